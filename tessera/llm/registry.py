@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.simhash import op7_simhash_anchors
+from tessera.llm.tokens import op5_ranked_varint_tokens
 
 
 def queries() -> dict:
-    return {"op7_simhash_anchors": op7_simhash_anchors}
+    return {"op5_ranked_varint_tokens": op5_ranked_varint_tokens, "op7_simhash_anchors": op7_simhash_anchors}
 
 
 def oracle_sql() -> dict[str, str]:
