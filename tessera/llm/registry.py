@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.lines import OP10_SQL, op10_window_line_dedup
+from tessera.llm.sharding import OP9_SQL, op9_prefix_sum_shards
 from tessera.llm.simhash import op7_simhash_anchors
 from tessera.llm.tokens import op5_ranked_varint_tokens
 
 
 def queries() -> dict:
-    return {"op5_ranked_varint_tokens": op5_ranked_varint_tokens, "op7_simhash_anchors": op7_simhash_anchors}
+    return {
+        "op5_ranked_varint_tokens": op5_ranked_varint_tokens,
+        "op7_simhash_anchors": op7_simhash_anchors,
+        "op9_prefix_sum_shards": op9_prefix_sum_shards,
+        "op10_window_line_dedup": op10_window_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL}
