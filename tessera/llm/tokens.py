@@ -21,8 +21,11 @@ BLOCK_TOKENS = 1 << 18
 CACHED_WORDS = 250_000
 END_ID = 1
 MARK = "\x01"
+LATIN_STOP = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,])([ \n])"
+#: Of these, some compose with a small letter but not with its capital.
+COMBINING = r"[\x{300}-\x{36F}]"
 
-_TOKENISED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+_TOKENISED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("seen", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 _CODED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
 
@@ -36,9 +39,12 @@ def vocabulary(name: str) -> str:
 class WordEncoder:
     """Ids of whole texts by a tokenizer of the tokenizers library, without added special tokens.
 
-    Where the tokenizer turns white space into blanks and drops them when it splits words, the ids
-    of a text are those of its white-space separated words, one after the other. Then each
-    different word of a batch is encoded once. Other tokenizers get the whole texts.
+    Where the tokenizer turns white space into blanks, lowers letters, and drops blanks when it
+    splits words, the ids of a text are those of its words, one after the other. Each different
+    word is then encoded once and kept. Before, A-Z are lowered and a full stop or comma after a
+    Latin letter at the end of a word is set apart, as the tokenizer does both itself; texts with
+    combining marks (lowering could let them compose) or strings of added tokens, and all texts of
+    other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,65 +52,95 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = self._drops_space(json.load(f))
+            spec = json.load(f)
+        self.by_word = self._drops_space(spec)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.cache: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids if self.by_word else []
+        self.older: dict[str, bytes] = {}
+        if self.by_word:
+            self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+            suffix = spec["model"].get("end_of_word_suffix")
+            vocabulary = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + len(self.added) + 1, bool)
+            if suffix:
+                self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
         normal = spec.get("normalizer") or {}
-        steps = normal.get("normalizers", [normal])
-        blank = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
-        known = all(s.get("type") in ("NFC", "NFD", "Lowercase", "Replace") for s in steps) and sum(s.get("type") == "Replace" for s in steps) == 1
+        steps = [s.get("type") for s in normal.get("normalizers", [normal])]
+        replaced = [(s.get("pattern"), s.get("content")) for s in normal.get("normalizers", [normal]) if s.get("type") == "Replace"]
         pre = spec.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
         pattern = (first.get("pattern") or {}).get("Regex", r"\s")
-        kept = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        plain = not (set(pattern.replace(r"[^\s\p{L}\p{N}]+", "").replace(r"[\p{L}]+", "").replace(r"[\p{N}]", "")) - set("'strevmld|"))
+        for known in (r"[^\s\p{L}\p{N}]+", r"[\p{L}]+", r"[\p{N}]"):
+            pattern = pattern.replace(known, "")
+        split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and not set(pattern) - set("'strevmld|")
         loose = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
-        return blank and known and kept and plain and not loose and (spec.get("post_processor") is None)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        encode = lambda t: self.tokenizer.encode_batch_fast(t, add_special_tokens=False)
-        if len(self.mark) != 1:
-            return [np.array(e.ids, np.uint32).tobytes() for e in encode(words)]
-        found: list[bytes] = []
-        odd = [k for k, w in enumerate(words) if MARK in w]
-        alone = {k: np.array(e.ids, np.uint32).tobytes() for k, e in zip(odd, encode([words[k] for k in odd]))}
-        between = f" {MARK} "
+        return steps == ["NFC", "Replace", "Lowercase"] and replaced == [({"Regex": r"\s+"}, " ")] and split and not loose and spec.get("post_processor") is None
+
+    def _whole(self, some: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _lines(self, words: list[str], between: str, is_end, found: dict[str, bytes], drop: int) -> list[str]:
+        """Encode words a few hundred at a time as one line, cut behind each id that ends a word; returns those of lines that don't come apart."""
+        odd = []
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
-            line = between.join("" if MARK in w else w for w in some) + between
-            ids = np.array(encode([line])[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) != len(some):
-                raise ValueError("the mark between words was not kept apart")
-            start = 0
-            for end in cut.tolist():
-                found.append(ids[start:end].tobytes())
-                start = end + 1
-        for k, ids in alone.items():
-            found[k] = ids
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some) + between], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(is_end(ids))
+            if len(ends) != len(some):
+                odd += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * (ends + 1)).tolist()):
+                found[w] = raw[start : end - drop]
+                start = end
+        return odd
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        if self.ends.any():
+            rest += self._lines(letters, " ", lambda ids: self.ends[ids], found, 0)
+        else:
+            rest += letters
+        alone = [w for w in rest if MARK in w]
+        if len(self.mark) == 1:
+            alone += self._lines([w for w in rest if MARK not in w], f" {MARK} ", lambda ids: ids == self.mark[0], found, 4)
+        else:
+            alone = rest
+        for w, ids in zip(alone, self._whole(alone)):
+            found[w] = ids.tobytes()
         return found
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each text) of a string column without nulls."""
-        if not self.by_word:
-            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
-            return (np.concatenate(each) if each else np.zeros(0, np.uint32)), np.array([len(x) for x in each], np.int64)
-        words = pc.ascii_split_whitespace(column)
-        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        missing = [w for w in unique if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHED_WORDS:
-            self.cache.clear()
-            missing = unique
-        fresh = dict(zip(missing, self._encode_words(missing)))
+    def _lookup(self, unique: list[str]) -> list[bytes]:
+        cache, older = self.cache, self.older
+        each = [cache.get(w) for w in unique]
+        again = [k for k, x in enumerate(each) if x is None]
+        fresh: dict[str, bytes] = {}
+        missing = []
+        for k in again:
+            if (ids := older.get(unique[k])) is None:
+                missing.append(unique[k])
+            else:
+                fresh[unique[k]] = ids
+        fresh.update(self._encode_words(missing))
+        for k in again:
+            each[k] = fresh[unique[k]]
+        if len(cache) + len(fresh) > CACHED_WORDS:
+            self.older, self.cache = cache, {}
         if len(fresh) <= CACHED_WORDS:
             self.cache.update(fresh)
-            fresh = self.cache
-        each = [fresh[w] for w in unique]
+        return each
+
+    def _by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(column, LATIN_STOP, r"\1 \2\3"))
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        each = self._lookup(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         held = np.frombuffer(b"".join(each), np.uint32)
         start = np.cumsum(size) - size
@@ -114,6 +150,37 @@ class WordEncoder:
         ids = held[np.repeat(start[index] - (ends - length), length) + np.arange(total)]
         return ids, _sums(length, n_words)
 
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of a string column without nulls."""
+        if self.by_word:
+            lower = pc.ascii_lower(column)
+            odd = pc.match_substring_regex(lower, COMBINING)
+            for t in self.added:
+                odd = pc.or_(odd, pc.match_substring(lower, t))
+            if not pc.any(odd).as_py():
+                return self._by_word(lower)
+            odd = odd.to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(column), bool)
+        each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
+        for k, ids in zip(np.flatnonzero(odd), self._whole(column.filter(pa.array(odd)).to_pylist())):
+            each[k] = ids
+        if not odd.all():
+            ids, sizes = self._by_word(lower.filter(pa.array(~odd)))
+            for k, part in zip(np.flatnonzero(~odd), np.split(ids, np.cumsum(sizes)[:-1])):
+                each[k] = part
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder, kept with its words from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups of the given sizes."""
@@ -124,45 +191,42 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _tokenise(path: str, end_id: int, block_tokens: int):
     def run(batches):
-        encoder, shard, block = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, block = encoder_of(path), TaskContext.get().partitionId(), 0
         doc_ids, counts, parts, held = [], [], [], 0
+        times = np.zeros(0, np.int64)
+        end = np.array([end_id], np.uint32)
 
         def full():
-            ids = np.concatenate(parts).astype("<u4").tobytes()
-            return batch_of(_TOKENISED, [shard], [block], [doc_ids], [counts], [ids])
+            nonlocal times
+            ids = np.concatenate(parts)
+            now = np.bincount(ids)
+            if len(now) > len(times):
+                now, times = times, now.astype(np.int64)
+            times[: len(now)] += now
+            return ids.astype("<u4").tobytes()
 
         for whole in batches:
             for b in small_batches(whole, "text", 8 << 20):
                 ids, sizes = encoder(b.column("text"))
                 ends = np.cumsum(sizes)
-                for doc, end, n in zip(b.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist()):
+                for doc, to, n in zip(b.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist()):
                     if parts and held + n + 1 > block_tokens:
-                        yield full()
+                        yield batch_of(_TOKENISED, [shard], [block], [doc_ids], [counts], [full()], [None], [None])
                         block += 1
                         doc_ids, counts, parts, held = [], [], [], 0
                     doc_ids.append(doc)
                     counts.append(n + 1)
-                    parts.append(ids[end - n : end])
-                    parts.append(np.array([end_id], np.uint32))
+                    parts.append(ids[to - n : to])
+                    parts.append(end)
                     held += n + 1
         if parts:
-            yield full()
+            last = full()
+            seen = np.flatnonzero(times)
+            yield batch_of(_TOKENISED, [shard], [block], [doc_ids], [counts], [last], [seen], [times[seen]])
 
     return run
 
 
-def _id_counts(batches):
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        for ids in b.column("ids"):
-            now = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(now) > len(total):
-                now, total = total, now.astype(np.int64)
-            total[: len(now)] += now
-    seen = np.flatnonzero(total)
-    yield batch_of(pa.schema([("id", pa.int64()), ("n", pa.int64())]), seen, total[seen])
-
-
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data): each value in 1 to 4 bytes, its length less one in 2 bits of the control bytes."""
     values = np.ascontiguousarray(values, "<u4")
@@ -218,13 +282,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     keyed = texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     types = "shard int, block int, doc_ids array<long>, counts array<long>"
-    tokens = stored(ordered.mapInArrow(_tokenise(tokenizer, end_id, block_tokens), f"{types}, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tokens = stored(ordered.mapInArrow(_tokenise(tokenizer, end_id, block_tokens), f"{types}, ids binary, seen array<long>, times array<long>"), "tokens")
+    counts = tokens.select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.times").alias("n"))
     order = [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    tokens.mapInArrow(_code(rank), f"{types}, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    tokens.drop("seen", "times").mapInArrow(_code(rank), f"{types}, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     before = sizes.groupBy("shard").agg(F.sum("n").alias("total"))
     before = before.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
