@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from tessera.llm.counts import op6_resynchronised_counts
 from tessera.llm.lines import OP10_SQL, op10_window_line_dedup
+from tessera.llm.media import op8_iso_media
 from tessera.llm.sharding import OP9_SQL, op9_prefix_sum_shards
 from tessera.llm.simhash import op7_simhash_anchors
 from tessera.llm.tokens import op5_ranked_varint_tokens
+from tessera.llm.toxicity import op1_noisy_or_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
         "op5_ranked_varint_tokens": op5_ranked_varint_tokens,
+        "op6_resynchronised_counts": op6_resynchronised_counts,
         "op7_simhash_anchors": op7_simhash_anchors,
+        "op8_iso_media": op8_iso_media,
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
         "op10_window_line_dedup": op10_window_line_dedup,
     }
