@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.counts import op6_resynchronised_counts
 from tessera.llm.lines import OP10_SQL, op10_window_line_dedup
 from tessera.llm.media import op8_iso_media
+from tessera.llm.mixing import OP3_SQL, op3_temperature_mix
 from tessera.llm.sharding import OP9_SQL, op9_prefix_sum_shards
 from tessera.llm.simhash import op7_simhash_anchors
 from tessera.llm.tokens import op5_ranked_varint_tokens
@@ -14,6 +15,7 @@ from tessera.llm.toxicity import op1_noisy_or_toxicity
 def queries() -> dict:
     return {
         "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
+        "op3_temperature_mix": op3_temperature_mix,
         "op5_ranked_varint_tokens": op5_ranked_varint_tokens,
         "op6_resynchronised_counts": op6_resynchronised_counts,
         "op7_simhash_anchors": op7_simhash_anchors,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL}
+    return {"op3_temperature_mix": OP3_SQL, "op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL}
