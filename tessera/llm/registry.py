@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.counts import op6_resynchronised_counts
 from tessera.llm.decontamination import op2_blockmax_decontamination
+from tessera.llm.html import op4_max_subsequence_html
 from tessera.llm.lines import OP10_SQL, op10_window_line_dedup
 from tessera.llm.media import op8_iso_media
 from tessera.llm.mixing import OP3_SQL, op3_temperature_mix
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
         "op2_blockmax_decontamination": op2_blockmax_decontamination,
         "op3_temperature_mix": op3_temperature_mix,
+        "op4_max_subsequence_html": op4_max_subsequence_html,
         "op5_ranked_varint_tokens": op5_ranked_varint_tokens,
         "op6_resynchronised_counts": op6_resynchronised_counts,
         "op7_simhash_anchors": op7_simhash_anchors,
