@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +20,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 #: Bounds of the labelled sample that is learned from: rows, and characters of their texts.
-TRAIN_ROWS = 12_000
-TRAIN_CHARS = 64_000_000
+TRAIN_ROWS = 10_000
+TRAIN_CHARS = 40_000_000
 MAX_FEATURES = 4_096
 MIN_CHI_SQUARE = 12.0
 THRESHOLD = 0.3
@@ -76,25 +76,32 @@ def _noisy_or(ps) -> float:
     return 1.0 - math.exp(sum(math.log1p(-min(p, 1 - 1e-12)) for p in ps))
 
 
-def _select(docs: list[tuple[set[str], int]]) -> list[str]:
+def _select(rows: list[tuple[str, int]]) -> list[str]:
     """The features whose counts differ most from independence of the label (chi-square)."""
-    n_pos = sum(y for _, y in docs)
-    share = n_pos / max(1, len(docs))
-    by_word = [Counter(), Counter()]
-    for held, y in docs:
-        by_word[y].update(held)
-    counts: list[Counter] = [Counter(), Counter()]
-    for y in (0, 1):
-        for w, c in by_word[y].items():
-            for f in word_features(w):
-                counts[y][f] += c
+    share = sum(y for _, y in rows) / max(1, len(rows))
+    by_word: dict[str, list[int]] = {}
+    for text, y in rows:
+        for w in set(WORD.findall(text.lower())):
+            by_word.setdefault(w, [0, 0])[y] += 1
     scored = []
-    for f in counts[0].keys() | counts[1].keys():
-        pos, total = counts[1][f], counts[0][f] + counts[1][f]
-        if total >= 5:
-            e = total * share
+
+    def weigh(f: str, clean: int, pos: int) -> None:
+        if clean + pos >= 5:
+            e = (clean + pos) * share
             if (chi := (pos - e) ** 2 / (e * (1 - share))) >= MIN_CHI_SQUARE:
                 scored.append((-chi, f))
+
+    for w, (clean, pos) in by_word.items():
+        weigh(f"={w}", clean, pos)
+    for k in PREFIXES:
+        counts: dict[str, list[int]] = {}
+        for w, (clean, pos) in by_word.items():
+            if len(w) >= k:
+                held = counts.setdefault(w[:k], [0, 0])
+                held[0] += clean
+                held[1] += pos
+        for f, (clean, pos) in counts.items():
+            weigh(f, clean, pos)
     return [f for _, f in sorted(scored)[:MAX_FEATURES]]
 
 
@@ -107,26 +114,24 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.1, decay
     n_pos = sum(y for _, y in rows)
     if n_pos in (0, len(rows)):
         return Model(6.0 if n_pos else -6.0, {})
-    bags = []
-    for text, y in rows:
-        sentences = [h for s in SENTENCE.findall(text.lower()) if (h := set(WORD.findall(s)))] or [set()]
-        bags.append((sentences, y))
-    names = _select([(set().union(*s), y) for s, y in bags])
+    names = _select(rows)
     index = {f: k for k, f in enumerate(names)}
-    known: dict[str, list[int]] = {}
-    cols, rows_at, bag_of = [], [], []
+    known: dict[str, tuple[int, ...]] = {}
+    cols, rows_at, bag_of = array("i"), array("i"), array("i")
     at = 0
-    for b, (sentences, _) in enumerate(bags):
-        for held in sentences:
+    for b, (text, _) in enumerate(rows):
+        for held in [h for s in SENTENCE.findall(text.lower()) if (h := set(WORD.findall(s)))] or [set()]:
             for w in held:
                 if (ids := known.get(w)) is None:
-                    ids = known[w] = [index[f] for f in word_features(w) if f in index]
+                    ids = tuple(index[f] for f in word_features(w) if f in index)
+                    if len(known) < CACHED_WORDS:
+                        known[w] = ids
                 cols.extend(ids)
                 rows_at.extend([at] * len(ids))
             bag_of.append(b)
             at += 1
-    col, row, bag = np.array(cols, np.int64), np.array(rows_at, np.int64), np.array(bag_of, np.int64)
-    y = np.array([v for _, v in bags], float)
+    col, row, bag = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (cols, rows_at, bag_of))
+    y = np.array([v for _, v in rows], float)
     w, bias = np.zeros(len(names)), -7.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
