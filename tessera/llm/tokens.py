@@ -18,7 +18,7 @@ from tessera.llm.common import batch_of, shared_dir, small_batches, stored, tabl
 #: Tokens of a block of a token file (a longer document is a block of its own).
 BLOCK_TOKENS = 1 << 18
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 END_ID = 1
 MARK = "\x01"
 LATIN_STOP = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,])([ \n])"
@@ -206,7 +206,7 @@ def _tokenise(path: str, end_id: int, block_tokens: int):
             return ids.astype("<u4").tobytes()
 
         for whole in batches:
-            for b in small_batches(whole, "text", 8 << 20):
+            for b in small_batches(whole, "text", 4 << 20):
                 ids, sizes = encoder(b.column("text"))
                 ends = np.cumsum(sizes)
                 for doc, to, n in zip(b.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist()):

@@ -27,7 +27,7 @@ MIN_CHI_SQUARE = 12.0
 THRESHOLD = 0.3
 #: A sentence this likely to be toxic is reported.
 SPAN_THRESHOLD = 0.5
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 def word_features(word: str) -> list[str]:
