@@ -78,7 +78,11 @@ def _aside(name: str, attributes: str) -> bool:
 
 
 def tokens(page: str):
-    """('tag', name, block break) and ('text', string, context, aside) in page order; unread elements give nothing."""
+    """('tag', name, block break, inset) and ('text', string, context, aside, inset) in page order; unread elements give nothing.
+
+    inset: an aside within the page's article, which is left out but doesn't end the region.
+    """
+    inset = lambda: bool(stack) and stack[-1][1] and any(x[0] in ROOTS for x in stack)
     stack: list[tuple[str, bool, str, int]] = []  # name, aside, kind, links
     at, end = 0, len(page)
     while at < end:
@@ -86,26 +90,24 @@ def tokens(page: str):
         stop = m.start() if m else end
         if stop > at:
             _, aside, kind, links = stack[-1] if stack else ("", False, "other", 0)
-            yield "text", html.unescape(page[at:stop]), (aside, links > 0, kind), aside
+            yield "text", html.unescape(page[at:stop]), (aside, links > 0, kind), aside, inset()
         if not m:
             return
         at = m.end()
         if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                continue
             continue
         name, closing, attributes = m.group(2).lower(), bool(m.group(1)), m.group(3)
         if closing:
             if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
                     pass
-            yield "tag", "/" + name, name in BLOCKS
+            yield "tag", "/" + name, name in BLOCKS, inset()
             continue
         if name in UNREAD:
             close = re.compile(rf"</{name}\s*>|(?=<body)" if name == "head" else rf"</{name}\s*>", re.I).search(page, at)
             if not attributes.endswith("/"):
                 at = close.end() if close else (at if name == "head" else end)
-            yield "tag", name, False
+            yield "tag", name, False, inset()
             continue
         if name in BLOCKS and name != "br":
             if stack and any(x[0] == "p" for x in stack) and name not in ("html", "body"):
@@ -119,7 +121,7 @@ def tokens(page: str):
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
                         break
-        yield "tag", name, name in BLOCKS
+        yield "tag", name, name in BLOCKS, inset()
         if name not in VOID and not attributes.endswith("/"):
             _, aside, kind, links = stack[-1] if stack else ("", False, "other", 0)
             roots = any(x[0] in ROOTS for x in stack)
@@ -176,6 +178,8 @@ def main_text(page: str | None) -> str:
     best, best_from, best_to = 0.0, 0, 0
     score, begin = 0.0, 0
     for k, t in enumerate(found):
+        if t[-1]:
+            continue
         if t[0] == "tag":
             score += tag_weights.get(t[1].lstrip("/"), -0.5)
         elif n := len(t[1].split()):
