@@ -422,7 +422,7 @@ def decomposition_solve(matrix: Matrix, b: Vector) -> Solution:
 
 
 def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, levels: int = 3, coarsest: int = 4, omega: float = 0.7, smooth: int = 2) -> Solution:
-    """V-cycles over aggregates of neighbouring indexes; Jacobi smooths, the coarsest system is solved by elimination."""
+    """V-cycles over aggregates of neighbouring indexes; Jacobi smooths, the inverse of the coarsest system is made once."""
     spark = matrix.df.sparkSession
     grids = [Matrix(cut(matrix.df), matrix.n, matrix.n)]
     while len(grids) < levels and grids[-1].n > coarsest:
@@ -431,17 +431,19 @@ def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = D
         rows = fine.df.groupBy(F.floor(c("i") / 2).cast("long").alias("i"), F.floor(c("j") / 2).cast("long").alias("j")).agg(F.sum("v").alias("v"))
         grids.append(Matrix(cut(rows), half, half))
 
+    coarse_inverse = Matrix(cut(inverse(grids[-1]).df), grids[-1].n, grids[-1].n)
+
     def smoothed(a: Matrix, x: Vector, rhs: Vector) -> Vector:
         for _ in range(smooth):
-            x = a.jacobi_step(x, rhs, omega)
-        return Vector(cut(x.df), a.n)
+            x = Vector(cut(a.jacobi_step(x, rhs, omega).df), a.n)
+        return x
 
     def cycle(level: int, x: Vector, rhs: Vector) -> Vector:
         a = grids[level]
         if level == len(grids) - 1:
-            return decomposition_solve(a, rhs).x
+            return Vector(cut(coarse_inverse.times(rhs).df), a.n)
         x = smoothed(a, x, rhs)
-        r = a.times(x, -1.0, rhs, 1.0)
+        r = Vector(cut(a.times(x, -1.0, rhs, 1.0).df), a.n)
         coarse = Vector(cut(r.df.groupBy(F.floor(c("i") / 2).cast("long").alias("i")).agg(F.sum("v").alias("v"))), grids[level + 1].n)
         e = cycle(level + 1, Vector.fill(spark, coarse.n, 0.0), coarse)
         add = x.df.select("i", "v", F.floor(c("i") / 2).cast("long").alias("k")).join(e.df.select(c("i").alias("k"), c("v").alias("e")), "k")

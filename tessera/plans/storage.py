@@ -31,6 +31,5 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint, for loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a written table, for loops. (A checkpoint keeps the constraints that the optimizer inferred, which grow from step to step.)"""
+    return stored(df, "step", "lz4")

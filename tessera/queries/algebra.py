@@ -20,10 +20,8 @@ R.add("l01_gemv_transposed", lambda s, d: vector_out(T(s, d).s.times(T(s, d).p,
 
 @R.query("l02_sparse_times_vectors", "SELECT s.i, e.k, round(sum(s.v * e.v), 3) AS v FROM s JOIN (SELECT s_suppkey AS i, k, s_acctbal * (k + 1) / 10 AS v FROM supplier, range(10) r(k)) e ON s.j = e.i GROUP BY s.i, e.k")
 def _(s, d):
-    k = F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long").alias("k")
     many = T(s, d).table("supplier").select(F.col("s_suppkey").alias("i"), "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
     many = many.select("i", F.col("k").cast("long").alias("k"), (F.col("s_acctbal") * (F.col("k") + 1) / 10).alias("v"))
-    del k
     return T(s, d).s.times_many(many).select("i", "k", F.round("v", 3).alias("v"))
 
 
@@ -37,7 +35,7 @@ def _embeddings(s, d) -> Matrix:
 
 R.add("l03_dense_times_sparse", lambda s, d: matrix_out(_embeddings(s, d).transpose().matmul(Matrix(T(s, d).table("embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v")), 0, 10))), f"SELECT e.j AS i, label::BIGINT AS j, round(sum(e.v), 4) AS v FROM {_E} JOIN embeddings m ON e.i = m.vec_id GROUP BY 1, 2")
 R.add("l04_spgemm_plus", lambda s, d: matrix_out(T(s, d).c.matmul(T(s, d).c, 0.5, T(s, d).c, 2.0), 3), "SELECT i, j, round(sum(v), 3) AS v FROM (SELECT l.i, r.j, 0.5 * l.v * r.v AS v FROM c l JOIN c r ON l.j = r.i UNION ALL SELECT i, j, 2 * v FROM c) GROUP BY i, j")
-R.add("l05_dense_gemm", lambda s, d: matrix_out(_embeddings(s, d).transpose().matmul(_embeddings(s, d))), f"SELECT l.j AS i, r.j, round(sum(l.v * r.v), 4) AS v FROM {_E.replace(' e', ' l', 1) if False else _E[:-1] + 'l'} JOIN {_E[:-1] + 'r'} ON l.i = r.i GROUP BY l.j, r.j")
+R.add("l05_dense_gemm", lambda s, d: matrix_out(_embeddings(s, d).transpose().matmul(_embeddings(s, d))), f"SELECT l.j AS i, r.j, round(sum(l.v * r.v), 4) AS v FROM {_E[:-1] + 'l'} JOIN {_E[:-1] + 'r'} ON l.i = r.i GROUP BY l.j, r.j")
 R.add("l06_matrix_plus_matrix", lambda s, d: matrix_out(T(s, d).s.plus(T(s, d).d, 2.0, -3.0)), "SELECT s.i, s.j, round(2 * s.v - 3 * coalesce(d.v, 0), 4) AS v FROM s LEFT JOIN d ON s.i = d.i AND s.j = d.j")
 R.add("l07_scale", lambda s, d: matrix_out(T(s, d).s.scale(0.25)), "SELECT i, j, round(0.25 * v, 4) AS v FROM s")
 R.add("l08_transpose", lambda s, d: matrix_out(T(s, d).a.transpose()), "SELECT j AS i, i AS j, round(v, 4) AS v FROM a")
@@ -75,7 +73,7 @@ def _(s, d):
 
 
 R.add("l13_gramian", lambda s, d: vector_out(T(s, d).s.gramian_times(Vector.of(T(s, d).table("supplier"), "s_suppkey", F.col("s_acctbal") / 1000)), 3), "SELECT s.j AS i, round(sum(s.v * q.v), 3) AS v FROM s JOIN (SELECT s.i, sum(s.v * s_acctbal / 1000) AS v FROM s JOIN supplier ON s.j = s_suppkey GROUP BY s.i) q ON s.i = q.i GROUP BY s.j")
-R.add("l14_hybrid_sum", lambda s, d: vector_out(Vector(T(s, d).s.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df.unionByName(T(s, d).d.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df).groupBy("i").agg(F.sum("v").alias("v")), 0), 3), "SELECT p.i, round(coalesce(sum(q.v * s_acctbal), 0), 3) AS v FROM p LEFT JOIN (SELECT i, j, v FROM s UNION ALL SELECT i, j, v FROM d) q ON p.i = q.i LEFT JOIN supplier ON q.j = s_suppkey GROUP BY p.i")
+R.add("l14_hybrid_sum", lambda s, d: vector_out(Vector(T(s, d).s.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df.unionByName(T(s, d).d.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df).groupBy("i").agg(F.sum("v").alias("v")), 0)), "SELECT p.i, round(coalesce(sum(q.v * s_acctbal), 0), 4) AS v FROM p LEFT JOIN (SELECT i, j, v FROM s UNION ALL SELECT i, j, v FROM d) q ON p.i = q.i LEFT JOIN supplier ON q.j = s_suppkey GROUP BY p.i")
 
 
 @R.query("l15_matrix_free", "SELECT b.i, round(3 * b.v - coalesce(n.v, 0), 4) AS v FROM b LEFT JOIN b n ON n.i = b.i - 1")

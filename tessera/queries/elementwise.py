@@ -42,7 +42,7 @@ R.add("b13_scalar_left", lambda s, d: vector_out(T(s, d).x.scalar("divide", 1e6,
 
 R.add("e01_scale", lambda s, d: vector_out(T(s, d).x.scalar("mult", 0.5)), "SELECT i, round(0.5 * v, 4) AS v FROM x")
 R.add("e02_scale_and_add_sparse", lambda s, d: vector_out(T(s, d).y.times_plus(2.0, 3.0).to_dense()), "SELECT i, round(2 * v + 3, 4) AS v FROM yd")
-R.add("e03_sum_of_two", lambda s, d: vector_out(T(s, d).x.plus(T(s, d).y, 0.001, -2.0)), "SELECT x.i, round(0.001 * x.v - 2 * yd.v, 4) AS v FROM x JOIN yd ON x.i = yd.i")
+R.add("e03_sum_of_two", lambda s, d: vector_out(T(s, d).x.plus(T(s, d).y, 0.01, -2.0)), "SELECT x.i, round(0.01 * x.v - 2 * yd.v, 4) AS v FROM x JOIN yd ON x.i = yd.i")
 R.add("e04_product", lambda s, d: vector_out(T(s, d).t.binary("mult", T(s, d).y).scalar("mult", 3.0)), "SELECT t.i, round(3 * (t.v * yd.v), 4) AS v FROM t JOIN yd ON t.i = yd.i")
 R.add("e05_update_add", lambda s, d: vector_out(T(s, d).x.binary("add", T(s, d).z).binary("sub", T(s, d).y)), "SELECT x.i, round(x.v + coalesce(z.v, 0) - yd.v, 4) AS v FROM x JOIN yd ON x.i = yd.i LEFT JOIN z ON x.i = z.i")
 R.add("e06_quotient", lambda s, d: vector_out(T(s, d).y.to_dense().binary("divide", T(s, d).x)), "SELECT x.i, round(yd.v / x.v, 4) AS v FROM x JOIN yd ON x.i = yd.i")

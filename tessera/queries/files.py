@@ -61,7 +61,7 @@ def _(s, d):
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"content": [binary.mat_bytes(25, 25, frame)]})
 
-    content = c.df.groupBy(F.lit(0)).applyInPandas(whole, "content binary")
+    content = c.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
     return matrix_out(Matrix(_decoded_here(s, content, lambda b: binary.decode_mat(b)[2], binary.TRIPLES), 25, 25))
 
 
@@ -92,7 +92,7 @@ def _image(s, d, kind: str):
     return vector_out(Vector(_decoded_here(s, content, lambda b: pd.DataFrame({"v": decode(b).reshape(-1).astype(float)}).reset_index(names="i"), binary.PAIRS), 1875))
 
 
-_IMAGE = "SELECT (c.i * 25 + c.j) * 3 + k AS i, CASE k WHEN 0 THEN g WHEN 1 THEN 255 - g ELSE 7 END::DOUBLE AS v FROM (SELECT i, j, floor((v * 10) % 256) AS g FROM c) c, range(3) r(k)"
+_IMAGE = "SELECT (x * 25 + y) * 3 + k AS i, CASE WHEN g IS NULL THEN 0 WHEN k = 0 THEN g WHEN k = 1 THEN 255 - g ELSE 7 END::DOUBLE AS v FROM range(25) a(x), range(25) b(y), range(3) r(k) LEFT JOIN (SELECT i, j, floor((v * 10) % 256) AS g FROM c) q ON q.i = x AND q.j = y"
 R.add("io09_bmp", lambda s, d: _image(s, d, "bmp"), _IMAGE)
 R.add("io10_png", lambda s, d: _image(s, d, "png"), _IMAGE)
 R.add("io12_partitioned", lambda s, d: _partitioned(s, d), "SELECT CAST(i % 4 AS INTEGER) AS part, count(*) AS n, round(sum(v), 2) AS v FROM x GROUP BY 1")

@@ -123,7 +123,7 @@ def _(s, d):
     x, b = Vector.fill(s, 25, 0.0), a.times(T(s, d).known)
     from tessera.plans.storage import cut
 
-    for _ in range(25):
+    for _ in range(20):
         x = Vector(cut(x.plus(a.times(x, -1.0, b, 1.0), 1.0, 0.045).df), 25)
     return vector_out(x, 3)
 

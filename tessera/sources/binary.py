@@ -66,7 +66,7 @@ def petsc_bytes(matrix: "Matrix | Vector") -> DataFrame:
         def vector(frame: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"content": [struct.pack(">2i", PETSC_VECTOR, n) + frame.sort_values("i")["v"].to_numpy().astype(">f8").tobytes()]})
 
-        return matrix.to_dense().df.groupBy(F.lit(0)).applyInPandas(vector, "content binary")
+        return matrix.to_dense().df.groupBy(F.lit("all").alias("file")).applyInPandas(vector, "content binary")
     n, m = matrix.n, matrix.m
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +75,7 @@ def petsc_bytes(matrix: "Matrix | Vector") -> DataFrame:
         content = struct.pack(">4i", PETSC_MATRIX, n, m, len(frame)) + sizes.astype(">i4").tobytes() + frame["j"].to_numpy().astype(">i4").tobytes() + frame["v"].to_numpy().astype(">f8").tobytes()
         return pd.DataFrame({"content": [content]})
 
-    return matrix.df.groupBy(F.lit(0)).applyInPandas(whole, "content binary")
+    return matrix.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
 
 
 def read_samg(spark: SparkSession, header_path: str, data_path: str) -> Matrix:
@@ -84,9 +84,10 @@ def read_samg(spark: SparkSession, header_path: str, data_path: str) -> Matrix:
     form, (nnz, n) = lines[0][0], map(int, lines[1][:2])
     if form == "f":
         from tessera.plans.scan import ranked
+        from tessera.sources.text import _lines
 
-        numbers = spark.read.text(data_path).withColumn("id", F.monotonically_increasing_id()).select("id", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("p", "x")).filter("x != ''")
-        placed = ranked(numbers.select("id", "p", F.col("x").cast("double").alias("x")), F.col("id").asc(), F.col("p").asc())
+        numbers = _lines(spark, data_path).select("at", F.posexplode(F.split("value", r"\s+")).alias("p", "x")).filter("x != ''")
+        placed = ranked(numbers.select("at", "p", F.col("x").cast("double").alias("x")), F.col("at").asc(), F.col("p").asc())
         offsets = placed.filter(F.col("rank") <= n).select(F.col("rank").alias("i"), (F.col("x") - 1).cast("long").alias("o"))
         ends = offsets.select((F.col("i") - 1).alias("i"), F.col("o").alias("e"))
         entry = F.explode(F.sequence(F.col("o"), F.col("e") - 1)).alias("k")
@@ -263,7 +264,7 @@ def image_bytes(x: Vector, grid: Grid, kind: str = "png") -> DataFrame:
         pixels[frame["i"].to_numpy()] = np.clip(frame["v"].to_numpy(), 0, 255).astype(np.uint8)
         return pd.DataFrame({"content": [encode(pixels.reshape(shape))]})
 
-    return x.df.groupBy(F.lit(0)).applyInPandas(whole, "content binary")
+    return x.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
 
 
 def false_colours(x: Vector, grid: Grid, low: float, high: float) -> tuple[Vector, Grid]:

@@ -24,15 +24,15 @@ class Header:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, value) of the lines that hold data; ids grow in file order."""
+    """(at, value): at orders the lines as the file, or the files of a folder by name, have them."""
     rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    return rows.select("id", F.trim("value").alias("value"))
+    return rows.select(F.struct("_metadata.file_path", "_metadata.file_block_start", "id").alias("at"), F.trim("value").alias("value"))
 
 
 def header(spark: SparkSession, path: str) -> Header:
     """What the first lines of a Matrix Market file say; reads no entries."""
-    banner = _lines(spark, path).filter(F.col("value").startswith(BANNER)).orderBy("id").first()
-    sizes = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != "")).orderBy("id").first()
+    banner = _lines(spark, path).filter(F.col("value").startswith(BANNER)).orderBy("at").first()
+    sizes = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != "")).orderBy("at").first()
     if banner is None or sizes is None:
         raise ValueError(f"{path} is no Matrix Market file")
     _, item, form, kind, symmetry = banner.value.lower().split()
@@ -43,8 +43,8 @@ def read_mtx_complex(spark: SparkSession, path: str) -> tuple[DataFrame, Header]
     """((i, j, re, im), header): 0-based; the halves of symmetric files are mirrored, array files are read by columns."""
     head = header(spark, path)
     lines = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != ""))
-    first = lines.agg(F.min("id")).first()[0]
-    body = lines.filter(F.col("id") > first).select("id", F.split("value", r"\s+").alias("f"))
+    first = lines.agg(F.min("at").alias("first"))
+    body = lines.join(F.broadcast(first), F.col("at") > F.col("first")).select("at", F.split("value", r"\s+").alias("f"))  # a single row is broadcast
     number = lambda k: F.col("f")[k].cast("double")
     if head.form == "coordinate":
         re = F.lit(1.0) if head.kind == "pattern" else number(2)
@@ -53,7 +53,7 @@ def read_mtx_complex(spark: SparkSession, path: str) -> tuple[DataFrame, Header]
     else:
         n = head.sizes[0]
         im = number(1) if head.kind == "complex" else F.lit(0.0)
-        placed = ranked(body.select("id", number(0).alias("re"), im.alias("im")), F.col("id").asc())
+        placed = ranked(body.select("at", number(0).alias("re"), im.alias("im")), F.col("at").asc())
         if head.symmetry == "general":
             rows = placed.select((F.col("rank") % n).alias("i"), F.floor(F.col("rank") / n).cast("long").alias("j"), "re", "im")
         else:  # the lower triangle by columns: column j begins at j n - j (j - 1) / 2
@@ -118,7 +118,7 @@ def read_txt(spark: SparkSession, path: str) -> Matrix:
 def read_txt_vector(spark: SparkSession, path: str) -> Vector:
     """One value a line."""
     lines = _lines(spark, path).filter(F.col("value") != "")
-    placed = ranked(lines.select("id", F.col("value").cast("double").alias("v")), F.col("id").asc())
+    placed = ranked(lines.select("at", F.col("value").cast("double").alias("v")), F.col("at").asc())
     return Vector(placed.select(F.col("rank").alias("i"), "v"), placed.count())
 
 
