@@ -94,7 +94,7 @@ def fiedler(graph: Matrix, steps: int = 30, eps: float = 1e-6) -> tuple[float, V
     return value, x.scalar("mult", 1 / length)
 
 
-def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vector, tolerance: float = 1e-6, max_steps: int = 60) -> Solution:
+def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vector, tolerance: float = 1e-6, max_steps: int = 60, growth: float = 2.0) -> Solution:
     """The least |A x - b| with low < x < high, by an interior point method.
 
     Newton directions of tau |A x - b|^2 less the logarithms of the distances to the bounds are
@@ -136,7 +136,7 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
             step /= 2
         x = x.plus(d, 1.0, step)
         if step >= 0.5:
-            tau = max(2 * min(2 * n / gap, tau), tau)
+            tau = max(growth * min(2 * n / gap, tau), tau)
     return Solution(x, gaps)
 
 
