@@ -55,8 +55,8 @@ class Tables:
 
     @property
     def t(self) -> Vector:
-        """Dense: the total price of each order in 100000, less 2.5."""
-        return Vector.of(self.table("orders"), "o_orderkey", F.col("o_totalprice") / 100000 - 2.5)
+        """Dense: the total price of each order in 99991.7 (so that no value has few digits), less 2.5."""
+        return Vector.of(self.table("orders"), "o_orderkey", F.col("o_totalprice") / 99991.7 - 2.5)
 
     @property
     def y(self) -> Vector:
@@ -128,7 +128,7 @@ class Tables:
 
 SQL = {
     "x": "x AS (SELECT o_orderkey AS i, o_totalprice AS v FROM orders)",
-    "t": "t AS (SELECT o_orderkey AS i, o_totalprice / 100000 - 2.5 AS v FROM orders)",
+    "t": "t AS (SELECT o_orderkey AS i, o_totalprice / 99991.7 - 2.5 AS v FROM orders)",
     "y": "y AS (SELECT l_orderkey AS i, sum(l_quantity) AS v FROM lineitem GROUP BY 1)",
     "yd": "yd AS (SELECT o_orderkey AS i, coalesce(sum(l_quantity), 0) AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)",
     "z": "z AS (SELECT l_orderkey AS i, count(*)::DOUBLE AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)",
