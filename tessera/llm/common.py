@@ -2,62 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import shared_dir, stored
+
+__all__ = ["batch_of", "shared_dir", "small_batches", "stored", "table", "texts"]
 
 #: Bytes of a batch of rows that a Python worker gets at once.
 BATCH_BYTES = "8m"
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; from then on the session hands texts to Python workers in batches of bounded bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in local tests only) one of our own."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.tessera.shared.dir", None)
-    if not base:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.tessera.shared.dir", base)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text), so that further or clashing columns can't matter; a null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
-
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
-
 def small_batches(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
     """Slices of a batch whose column has about limit bytes at most (a longer single value stays whole)."""
     n = batch.num_rows
     if n <= 1 or batch.nbytes <= limit:
         yield batch
         return
-    offsets = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    offsets = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start = held = 0
     for k in range(n):
         size = 0 if offsets[k] != offsets[k] else int(offsets[k])

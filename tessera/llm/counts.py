@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
             for b in small_batches(whole, "text", 2 << 20):
                 some = b.column("text").to_pylist()
                 n, chunks = zip(*counter.batch(some, chunk, overlap))
-                size = pa.compute.binary_length(b.column("text")).cast(pa.int64())
+                size = pc.binary_length(b.column("text")).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(chunks, pa.int64())], schema=_COUNTED)
 
     found = texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_chunks long")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import small_batches, stored, table, texts
@@ -208,7 +209,7 @@ def media_of_texts(docs: DataFrame) -> DataFrame:
                 for t in b.column("text"):
                     raw = t.as_buffer().to_pybytes()
                     made.append(build(raw + bytes(max(FRAME, -(-len(raw) // FRAME) * FRAME) - len(raw))))
-                size = pa.compute.binary_length(b.column("text")).cast(pa.int64())
+                size = pc.binary_length(b.column("text")).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(made, pa.binary())], schema=schema)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
