@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     ids = linked.join(least, "root").select("fp", "least")
-    ids = nodes.join(ids, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    ids = stored(nodes.join(ids, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     return prints.join(ids, prints.fingerprint == ids.fp).select("doc_id", "fingerprint", "component_id")
 
 
