@@ -65,6 +65,12 @@ def _(s, d):
     return matrix_out(Matrix(_decoded_here(s, content, lambda b: binary.decode_mat(b)[2], binary.TRIPLES), 25, 25))
 
 
+@R.query("io06_petsc", "SELECT i, j, round(v, 4) AS v FROM c")
+def _(s, d):
+    """A PETSc file of the nations' trade, written as bytes and decoded."""
+    return matrix_out(Matrix(_decoded_here(s, binary.petsc_bytes(T(s, d).c), binary.decode_petsc_matrix, binary.TRIPLES), 25, 25))
+
+
 @R.query("io07_txt", "SELECT i, j, round(v, 4) AS v FROM s")
 def _(s, d):
     return matrix_out(_through(s, T(s, d).s, "txt"))
@@ -168,6 +174,6 @@ def _(s, d):
     """The events table read as a stream and folded per user."""
     source = T(s, d).table("events")
     stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    name = f"fold_{uuid.uuid4().hex}"
-    run_once(folded_stream(stream.select(F.col("user_id").alias("i"), F.col("value").alias("v"))), name, f"{shared_dir(s)}/tessera/{name}")
-    return s.table(name).select("i", F.round("v", 4).alias("v"))
+    place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
+    folded = run_once(folded_stream(stream.select(F.col("user_id").alias("i"), F.col("value").alias("v"))), f"{place}/rows", f"{place}/state")
+    return folded.select("i", F.round("v", 4).alias("v"))

@@ -41,6 +41,13 @@ TRIPLES, PAIRS = "i long, j long, v double", "i long, v double"
 PETSC_MATRIX, PETSC_VECTOR = 1211216, 1211214
 
 
+def decode_petsc_matrix(d: bytes) -> pd.DataFrame:
+    _, rows, _, nnz = struct.unpack_from(">4i", d)
+    sizes = np.frombuffer(d, ">i4", rows, 16)
+    ja = np.frombuffer(d, ">i4", nnz, 16 + 4 * rows)
+    return _triples(np.concatenate(([0], np.cumsum(sizes))), ja, np.frombuffer(d, ">f8", nnz, 16 + 4 * (rows + nnz)))
+
+
 def read_petsc(spark: SparkSession, path: str) -> "Matrix | Vector":
     """Big-endian: class id, sizes, row lengths, columns, values."""
     kind, n, m = struct.unpack(">3i", (_head(spark, path, 12) + bytes(12))[:12])
@@ -49,13 +56,7 @@ def read_petsc(spark: SparkSession, path: str) -> "Matrix | Vector":
     if kind != PETSC_MATRIX:
         raise ValueError(f"{path} has the unknown class id {kind}")
 
-    def decode(d: bytes) -> pd.DataFrame:
-        _, rows, _, nnz = struct.unpack_from(">4i", d)
-        sizes = np.frombuffer(d, ">i4", rows, 16)
-        ja = np.frombuffer(d, ">i4", nnz, 16 + 4 * rows)
-        return _triples(np.concatenate(([0], np.cumsum(sizes))), ja, np.frombuffer(d, ">f8", nnz, 16 + 4 * (rows + nnz)))
-
-    return Matrix(_decoded(spark, path, decode, TRIPLES), n, m)
+    return Matrix(_decoded(spark, path, decode_petsc_matrix, TRIPLES), n, m)
 
 
 def petsc_bytes(matrix: "Matrix | Vector") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.scalar import aggregate
 
@@ -19,8 +18,12 @@ def windowed_stream(contributions: DataFrame, time: str, length: str, late: str,
     return contributions.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), *keys).agg(aggregate(op, F.col("v")).alias("v")).select(F.col("w.start").alias("start"), *keys, "v")
 
 
-def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process all there is and stop; the result is a table of the session."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process all there is and stop. The complete fold is written to path after each batch and read from there."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
