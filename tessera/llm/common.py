@@ -14,18 +14,22 @@ __all__ = ["batch_of", "shared_dir", "small_batches", "stored", "table", "texts"
 #: Bytes of a batch of rows that a Python worker gets at once.
 BATCH_BYTES = "8m"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; from then on the session hands texts to Python workers in batches of bounded bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text), so that further or clashing columns can't matter; a null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
+
 def small_batches(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
     """Slices of a batch whose column has about limit bytes at most (a longer single value stays whole)."""
     n = batch.num_rows
