@@ -230,3 +230,16 @@ def test_n_body_agrees_with_all_pairs(spark):
     r = (d**2).sum(axis=2) + 0.01
     force = (d / r[..., None] ** 1.5).sum(axis=1)
     assert np.abs(moved[["vx", "vy"]].to_numpy() - force).max() < 0.1 * np.abs(force).max()
+
+
+def test_stream_assembly(spark, tmp_path):
+    from tessera.streaming.assembly import folded_stream, run_once, windowed_stream
+
+    rows = spark.createDataFrame([(k % 3, float(k)) for k in range(30)], "i long, v double")
+    for part in range(2):
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("i long, v double").parquet(f"{tmp_path}/in")
+    got = {r.i: r.v for r in run_once(folded_stream(stream), f"{tmp_path}/out", f"{tmp_path}/state").collect()}
+    assert got == {i: 2.0 * sum(k for k in range(30) if k % 3 == i) for i in range(3)}
+    timed = windowed_stream(stream.withColumn("t", F.timestamp_seconds("v")), "t", "10 seconds", "1 minute", op="max")
+    assert timed.isStreaming and timed.columns == ["start", "i", "v"]
