@@ -85,8 +85,8 @@ def _txt_vector(s, d):
     return vector_out(text.read_txt_vector(s, path))
 
 
-R.add("io08_native", lambda s, d: matrix_out(_through(s, T(s, d).a, "lmf")), "SELECT i, j, round(v, 4) AS v FROM a")
-R.add("io08_native_sparse_vector", lambda s, d: vector_out(_through(s, T(s, d).y.scalar("add", 1.0), "lmf").to_dense()), "SELECT i, round(v + 1, 4) AS v FROM yd")
+R.add("io08_native", lambda s, d: matrix_out(_through(s, T(s, d).a, "tsr")), "SELECT i, j, round(v, 4) AS v FROM a")
+R.add("io08_native_sparse_vector", lambda s, d: vector_out(_through(s, T(s, d).y.scalar("add", 1.0), "tsr").to_dense()), "SELECT i, round(v + 1, 4) AS v FROM yd")
 
 
 def _image(s, d, kind: str):
@@ -128,7 +128,7 @@ def _(s, d):
 
 @R.query("io15_exists_and_remove", "SELECT true AS before, false AS after FROM region WHERE r_regionkey = 0")
 def _(s, d):
-    path = _place(s, "lmf")
+    path = _place(s, "tsr")
     files.write(T(s, d).known, path)
     before = files.exists(s, path)
     files.remove(s, path)
@@ -137,7 +137,7 @@ def _(s, d):
 
 @R.query("io16_typed_write", "SELECT i, floor(v)::DOUBLE AS v FROM p")
 def _(s, d):
-    path = _place(s, "lmf")
+    path = _place(s, "tsr")
     files.write(T(s, d).p, path, "long")
     return vector_out(files.read(s, path))
 
@@ -156,7 +156,7 @@ def _(s, d):
 
 @R.query("io19_convert", "SELECT i, j, round(v, 4) AS v FROM c")
 def _(s, d):
-    one, two = _place(s, "lmf"), _place(s, "mtx")
+    one, two = _place(s, "tsr"), _place(s, "mtx")
     files.write(T(s, d).c, one)
     files.convert(s, one, two)
     return matrix_out(files.read(s, two))

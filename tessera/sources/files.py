@@ -28,7 +28,7 @@ def _native_read(spark: SparkSession, path: str) -> "Vector | Matrix":
 
 
 READERS: dict[str, Callable[[SparkSession, str], "Vector | Matrix"]] = {
-    "lmf": _native_read,
+    "tsr": _native_read,
     "mtx": text.read_mtx,
     "txt": text.read_txt,
     "psc": binary.read_petsc,
@@ -39,7 +39,7 @@ READERS: dict[str, Callable[[SparkSession, str], "Vector | Matrix"]] = {
     "png": lambda spark, path: binary.read_image(spark, path)[0],
 }
 WRITERS: dict[str, Callable[["Vector | Matrix", str], None]] = {
-    "lmf": _native_write,
+    "tsr": _native_write,
     "mtx": lambda x, path: text.write_mtx_vector(x, path) if isinstance(x, Vector) else text.write_mtx(x, path),
     "txt": text.write_txt,
 }

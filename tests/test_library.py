@@ -170,7 +170,7 @@ def test_random_is_the_same_in_any_partitioning(spark):
     assert a.orderBy("i").toPandas().equals(generate.random_vector(spark, 100, 2.0, 4).df.repartition(3).orderBy("i").toPandas())
 
 
-@pytest.mark.parametrize("suffix", ["mtx", "txt", "lmf"])
+@pytest.mark.parametrize("suffix", ["mtx", "txt", "tsr"])
 def test_text_and_native_files(spark, tmp_path, suffix):
     for a in (TD1, S3):
         path = f"{tmp_path}/{a.shape[0]}.{suffix}"
