@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_of, stored, texts
@@ -228,19 +228,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     return prints.join(ids, prints.fingerprint == ids.fp).select("doc_id", "fingerprint", "component_id")
 
 
+def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id), one a doc_id (that with the smallest text hash), and those without doc_id."""
+    kept = docs.filter("doc_id is not null").join(ids.select(F.col("doc_id").alias("__keep")), F.col("doc_id") == F.col("__keep"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def first_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id): the smallest of each component."""
+    return near_duplicates(docs, shingle, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id.
 
     Of rows that repeat that doc_id one stays (the one with the smallest text hash). Rows with a
     null doc_id can't be named by a component and pass unchanged. Columns are those of docs.
     """
-    keep = near_duplicates(docs, shingle, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return keep_rows(docs, first_of_each(docs, shingle, max_bits))
 
 
 def op7_simhash_anchors(spark, sf_dir: str) -> DataFrame:
