@@ -24,10 +24,8 @@ TABLES = 32
 CELL_BITS = 24
 #: Bits of 512 that may differ: 77 are to be expected at a similarity of 0.8, with a deviation of 8.
 MAX_BITS = 84
-#: A cell with more fingerprints than this is dealt over several tasks.
+#: A cell with more fingerprints than this is cut into blocks of about as many; each two blocks meet in a task.
 HOT_CELL = 16_384
-#: Fingerprints of a hot cell that each of its tasks gets.
-PIVOTS = 64
 SMALL_CELL = 64
 CACHED_WORDS = 100_000
 PAIRS_AT_ONCE = 1 << 18
@@ -182,9 +180,8 @@ def similar_links(nodes: DataFrame, max_bits: int = MAX_BITS, hot_cell: int = HO
     """Links (u, v) between ids of nodes (id, n0..n7, w0..w7) that meet in a cell and are at most max_bits apart.
 
     Cells of up to SMALL_CELL rows give every such pair, larger ones a spanning forest. A cell of
-    more than hot_cell rows is dealt at random, anew for each table, over as many tasks as it needs,
-    and about PIVOTS of its rows go to all of them: groups of copies stay connected through these,
-    and no task holds a whole hot cell.
+    more than hot_cell rows is cut into blocks, and each two of them are a task: no link is lost
+    and no task holds more than two blocks, but the work of such a cell grows with its square.
     """
     cells = nodes.select("id", *NARROW, *WIDE).mapInArrow(_cells, _typed(_CELLS))
     hot = stored(cells.groupBy("cell").agg(F.count("*").alias("held")).filter(F.col("held") > hot_cell), "hot-cells")
@@ -193,8 +190,8 @@ def similar_links(nodes: DataFrame, max_bits: int = MAX_BITS, hot_cell: int = HO
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
         marked = cells.drop("part").join(side, "cell")
         parts = F.ceil(F.col("held") / hot_cell).cast("long")
-        pivot = F.pmod(F.xxhash64("id", "cell"), F.col("held")) < PIVOTS
-        dealt = F.when(pivot, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "id"), parts)))
+        block = F.pmod(F.xxhash64("cell", "id"), parts)
+        dealt = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.least(block, k) * parts + F.greatest(block, k))
         cells = cells.join(side, "cell", "left_anti").unionByName(marked.withColumn("part", F.explode(dealt)).drop("held"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.withColumn("cell", F.col("cell") + F.shiftleft("part", 32)).drop("part")

@@ -359,6 +359,18 @@ def test_hot_cells_stay_connected(spark):
         assert sorted(groups)[0] == 0 and len(groups) == 2 and min(groups.values()) >= 297
 
 
+def test_hot_cells_lose_no_small_group(spark):
+    rng = np.random.default_rng(5)
+    wide = rng.integers(-(2**63), 2**63 - 1, (600, similar.LANES), dtype=np.int64)
+    wide[1:80:2] = wide[:80:2] ^ 5
+    bits = rng.integers(0, 2, (600, 64 * similar.LANES), dtype=np.uint8)
+    bits[:, similar._TAKEN[0]] = 0
+    rows = [(i, *n, *w) for i, (n, w) in enumerate(zip(np.packbits(bits, axis=1).view(np.int64).tolist(), wide.tolist()))]
+    nodes = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} long" for c in similar.NARROW + similar.WIDE))
+    got = {tuple(sorted(r)) for r in similar.similar_links(nodes, hot_cell=40).collect()}
+    assert got == {(k, k + 1) for k in range(0, 80, 2)}
+
+
 def test_representatives_of_edges(spark, edges, nothing):
     ids = edges.select("doc_id").filter("doc_id is not null").distinct()
     assert sorted(r.doc_id for r in similar.representatives(edges, ids).collect()) == [1, 3, 5, 6]
