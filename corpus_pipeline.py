@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import stored, table
 from tessera.llm.decontamination import without_contaminated
+from tessera.llm.jaccard import representatives
 from tessera.llm.mixing import mixed_rows
 from tessera.llm.simhash import first_of_each, keep_rows
-from tessera.llm.similar import representatives
 from tessera.llm.tokens import token_file_digest, vocabulary
 from tessera.llm.toxicity import learn, without_toxic
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
     First groups of fingerprints at most 3 bits apart, then, of what is left, groups of texts whose
-    five-word shingles have a similarity of 0.8 or more by their wide fingerprints.
+    five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     return keep_rows(docs, representatives(docs, first_of_each(docs)))
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by similarity of their five-word shingles, from wide SimHash fingerprints.
+"""Similarity of five-word shingles by wide SimHash fingerprints, as an estimate; jaccard.py compares the shingles.
 
 Three of 64 bits (simhash.py) find copies with a word or two changed; at a Jaccard similarity of 0.8
 a seventh of the bits differ. Two fingerprints of 512 bits a text go further: that of its word pairs,
@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_of, stored, texts
-from tessera.llm.components import connected_components
+from tessera.llm.jaccard import _Hashes, _mixed, _shingles, representatives
+
+__all__ = ["representatives", "similar_links", "sketch", "sketches"]
 
 LANES = 8
 TABLES = 32
@@ -27,7 +28,6 @@ MAX_BITS = 84
 #: A cell with more fingerprints than this is cut into blocks of about as many; each two blocks meet in a task.
 HOT_CELL = 16_384
 SMALL_CELL = 64
-CACHED_WORDS = 100_000
 PAIRS_AT_ONCE = 1 << 18
 
 NARROW = [f"n{k}" for k in range(LANES)]
@@ -36,22 +36,6 @@ _TAKEN = np.stack([np.random.default_rng(t).permutation(64 * LANES)[:CELL_BITS]
 _LANE = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the different runs of size words (of the whole sequence, if shorter)."""
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = _mixed(h + words[k : k + n] + np.uint64(1))
-    return np.unique(h)
-
-
 def _majority(hashes: np.ndarray) -> np.ndarray:
     """LANES words of 64 bits, each bit set if most hashes set it."""
     counts = np.zeros(64 * LANES, np.int64)
@@ -63,14 +47,6 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes)).view(np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
 def sketch(text: str, hashes: dict[str, int] | None = None) -> np.ndarray:
     """The two fingerprints of a text, LANES words each; without words all zero."""
     found = text.lower().split()
@@ -196,18 +172,3 @@ def similar_links(nodes: DataFrame, max_bits: int = MAX_BITS, hot_cell: int = HO
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.withColumn("cell", F.col("cell") + F.shiftleft("part", 32)).drop("part")
     return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_compare(max_bits), "u long, v long")
-
-
-def representatives(docs: DataFrame, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of ids (doc_id), the smallest of each group of similar texts of docs.
-
-    Texts without words are alike. Null doc_ids are left out; of rows that repeat a doc_id one
-    stands for it; other columns are ignored; empty tables give an empty one.
-    """
-    first = F.min(F.struct(*NARROW, *WIDE)).alias("s")
-    held = sketches(docs.filter("doc_id is not null")).join(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    held = held.groupBy("doc_id").agg(first).select("doc_id", "s.*")
-    nodes = stored(held.groupBy(*NARROW, *WIDE).agg(F.min("doc_id").alias("id")), "sketches")
-    roots = connected_components(similar_links(nodes, max_bits))
-    others = roots.filter("node != root").select(F.col("node").alias("id"))
-    return nodes.select("id").join(others, "id", "left_anti").select(F.col("id").alias("doc_id"))

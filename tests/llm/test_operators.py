@@ -378,6 +378,33 @@ def test_representatives_of_edges(spark, edges, nothing):
     assert similar.representatives(edges, ids.limit(0)).count() == 0
 
 
+def test_representatives_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    common = list(rng.choice(vocabulary, 90))
+    texts = []
+    for g in range(40):
+        base = list(rng.choice(vocabulary, int(rng.integers(3, 120))))
+        base = common + base[:60] if g % 4 == 0 else base
+        for _ in range(6):
+            mine = list(base)
+            at = int(rng.integers(0, len(base)))
+            n = int(rng.integers(0, 2 + len(base) // 12))
+            mine[at : at + n] = rng.choice(vocabulary, n)
+            texts.append(" ".join(mine))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    for more in ({}, {"run_limit": 2}, {"run_limit": 2, "block_shingles": 300, "block_texts": 3}):
+        got = sorted(r.doc_id for r in similar.representatives(docs, docs.select("doc_id"), **more).collect())
+        assert got == sorted(set(root)) and 60 < len(got) < 200
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(200).selectExpr("id AS u", "id + 1 AS v")
     assert {(r.node, r.root) for r in connected_components(chain).collect()} == {(k, 0) for k in range(201)}
