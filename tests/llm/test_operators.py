@@ -170,8 +170,6 @@ def test_region_of_pages(spark):
     assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
     assert sorted(r.text for r in got)[:3] == ["", "", ""]
     assert html.extract_pages(pages.limit(0)).count() == 0
-    tags, words = html.weights()[1], html.weights()[0]
-    assert all(w < 0 for w in tags.values()) and html._word_weight((False, False, "p")) > 0 > html._word_weight((True, True, "li")) and words
 
 
 def test_main_text_of_all_pages_is_the_article(spark, data):
