@@ -6,12 +6,13 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from collections.abc import Iterator
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,18 @@ K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
 #: Share of the question's word triples, and of the answer's words, that must stand around the passage.
 MIN_OVERLAP = 0.6
-#: A block of items, indexed and broadcast at once, has at most this many bytes of text; further items make further blocks.
+#: A block of items, indexed and broadcast at once, has about this many bytes of text; further items make further blocks.
 ITEM_BYTES = 8 << 20
-#: Passages are windows of twice this many words, one beginning every so many words (more where an item is longer).
+#: Passages are windows of twice this many words, one beginning every so many words; for items of more words the next power of two times this.
 STRIDE = 64
 POSTINGS_A_BLOCK = 8
-#: Groups of items with bounds of their own in the first two bounds on passages.
+#: Groups of items with bounds of their own in the second bound on passages.
 GROUPS = 64
 #: Terms of little weight, together at most this share of a score, are left out of the first bound.
 SLACK = 0.15
+#: Cells of the bounds over all blocks: a term's bound is the greatest weight in its cell.
+CELLS = 1 << 18
+CACHED_WORDS = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -46,64 +50,83 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return (words(" ".join(lines[:-1])), words(lines[-1])) if len(lines) > 1 else (words(text), [])
 
 
-@dataclass
+def stride_of(n_words: int) -> int:
+    """The stride of the passages that are searched for an item: it depends on the item alone."""
+    return STRIDE << max(0, math.ceil(n_words / STRIDE) - 1).bit_length()
+
+
+def weights_of(held: list[str], df: dict[str, int], n_items: int, mean_length: float) -> dict[str, float]:
+    """BM25 weights of an item's terms as shares of its own score."""
+    impact = {}
+    for w, tf in Counter(held).items():
+        idf = math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5))
+        impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(held) / mean_length))
+    own = sum(impact.values())
+    return {w: x / own for w, x in impact.items()}
+
+
+def tiles_of(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each tile, first tile of each document, whether the next tile is of the same document)."""
+    tiles = -(-lengths // stride)
+    doc = np.repeat(np.arange(len(lengths)), tiles)
+    follows = np.zeros(len(doc), bool)
+    follows[:-1] = doc[1:] == doc[:-1]
+    return doc, np.cumsum(tiles) - tiles, follows
+
+
+def likely_tiles(ids: np.ndarray, lengths: np.ndarray, stride: int, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tiles of stride words that reach least with the next one, each different id counting its bound.
+
+    ids are those of all documents' words, one after the other; -1 counts nothing. Also returns each
+    word's tile, and documents and first tiles as tiles_of() gives them.
+    """
+    doc, first, follows = tiles_of(lengths, stride)
+    word_doc = np.repeat(np.arange(len(lengths)), lengths)
+    tile = first[word_doc] + (np.arange(len(ids)) - (np.cumsum(lengths) - lengths)[word_doc]) // stride
+    some = ids >= 0
+    some[some] = bound[ids[some]] > 0
+    n = max(1, len(bound))
+    pairs = np.unique(tile[some] * n + ids[some])
+    held = np.bincount(pairs // n, bound[pairs % n], len(doc))
+    both = held + np.where(follows, np.concatenate((held[1:], [0.0])), 0.0)
+    return np.flatnonzero(both >= least - 1e-6), tile, doc, first
+
+
 class Index:
-    """Postings by term: items in order, weights as shares of the items' own scores, and their maxima by block."""
-
-    item_ids: list[int | None]
-    questions: list[set[tuple[str, ...]]]
-    answers: list[set[str]]
-    terms: dict[str, int]
-    postings: list[list[int]]
-    weights: list[list[float]]
-    maxima: list[list[float]]
-    bound: np.ndarray
-    stride: int
-    kept: np.ndarray = field(default=None)
-    slack: float = 0.0
-    group_bound: np.ndarray = field(default=None)
-
-    @classmethod
-    def build(cls, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_length: float) -> "Index":
-        """items: (id, text) of this block; df, n_items and mean_length are of all items."""
-        split = [(i, t, words(t)) for i, t in items]
-        split = sorted((x for x in split if x[2]), key=lambda x: (len(x[2]), x[0] is None, x[0] or 0, x[1]))
-        terms: dict[str, int] = {}
-        postings: list[list[int]] = []
-        weights: list[list[float]] = []
-        for k, (_, _, held) in enumerate(split):
-            counts = Counter(held)
-            impact = {}
-            for w, tf in counts.items():
-                idf = math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5))
-                impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(held) / mean_length))
-            own = sum(impact.values())
-            for w, x in impact.items():
-                t = terms.setdefault(w, len(terms))
-                if t == len(postings):
-                    postings.append([])
-                    weights.append([])
-                postings[t].append(k)
-                weights[t].append(x / own)
-        maxima = [[max(ws[a : a + POSTINGS_A_BLOCK]) for a in range(0, len(ws), POSTINGS_A_BLOCK)] for ws in weights]
-        bound = np.array([max(m) for m in maxima], np.float64) if maxima else np.zeros(0)
-        questions, answers = [], []
-        for _, text, _ in split:
+    """Postings of items of one stride by term: items in order, weights as shares of the items' own scores, and their maxima by block."""
+
+    def __init__(self, stride: int, items: list[tuple[int | None, str, dict[str, float]]]):
+        """items: (id, text, weights by term)."""
+        self.stride = stride
+        items = sorted(items, key=lambda x: (len(x[2]), x[0] is None, x[0] or 0, x[1]))
+        self.item_ids = [x[0] for x in items]
+        self.questions: list[set[tuple[str, ...]]] = []
+        self.answers: list[set[str]] = []
+        self.terms: dict[str, int] = {}
+        self.postings: list[list[int]] = []
+        self.weights: list[list[float]] = []
+        for k, (_, text, shares) in enumerate(items):
+            for w, x in shares.items():
+                t = self.terms.setdefault(w, len(self.terms))
+                if t == len(self.postings):
+                    self.postings.append([])
+                    self.weights.append([])
+                self.postings[t].append(k)
+                self.weights[t].append(x)
             q, a = parts(text)
-            questions.append({tuple(q[j : j + 3]) for j in range(max(1, len(q) - 2))})
-            answers.append(set(a))
-        stride = max([STRIDE, *(len(x[2]) for x in split)])
-        index = cls([x[0] for x in split], questions, answers, terms, postings, weights, maxima, bound, stride)
-        order = np.argsort(bound, kind="stable")
-        low = np.cumsum(bound[order]) <= SLACK
-        index.kept = np.ones(len(bound), bool)
-        index.kept[order[low]] = False
-        index.slack = float(bound[order[low]].sum())
-        size = max(1, -(-len(split) // GROUPS))
-        index.group_bound = np.zeros((len(bound), max(1, -(-len(split) // size))), np.float32)
-        for t, (ps, ws) in enumerate(zip(postings, weights)):
-            np.maximum.at(index.group_bound[t], np.array(ps) // size, np.array(ws, np.float32))
-        return index
+            self.questions.append({tuple(q[j : j + 3]) for j in range(max(1, len(q) - 2))})
+            self.answers.append(set(a))
+        self.maxima = [[max(ws[a : a + POSTINGS_A_BLOCK]) for a in range(0, len(ws), POSTINGS_A_BLOCK)] for ws in self.weights]
+        self.bound = np.array([max(m) for m in self.maxima], np.float64)
+        order = np.argsort(self.bound, kind="stable")
+        low = order[np.cumsum(self.bound[order]) <= SLACK]
+        self.first_bound = self.bound.copy()
+        self.first_bound[low] = 0.0
+        self.slack = float(self.bound[low].sum())
+        size = max(1, -(-len(items) // GROUPS))
+        self.group_bound = np.zeros((len(self.bound), max(1, -(-len(items) // size))), np.float32)
+        for t, (ps, ws) in enumerate(zip(self.postings, self.weights)):
+            np.maximum.at(self.group_bound[t], np.array(ps) // size, np.array(ws, np.float32))
 
     def search(self, query: list[int], least: float) -> list[tuple[int, float]]:
         """All items whose score for the query's terms is at least least, by block-max WAND."""
@@ -155,38 +178,23 @@ class Index:
     def passages(self, ids: np.ndarray, lengths: np.ndarray, least: float) -> list[tuple[int, int, np.ndarray]]:
         """(document, first word, terms) of the passages whose bounds reach least.
 
-        ids are the term numbers (-1: not in the index) of the words of all documents, one after
-        the other. A passage is two neighbouring tiles of stride words; its bound is the sum of
-        the greatest weights of its different terms, first over all items, then by group of items.
+        A passage is two neighbouring tiles of stride words; its bound is the sum of the greatest
+        weights of its different terms, first over all items, then by group of items.
         """
-        tiles = -(-lengths // self.stride)
-        first_tile = np.cumsum(tiles) - tiles
-        first_word = np.cumsum(lengths) - lengths
-        at = np.flatnonzero(ids >= 0)
-        doc = np.repeat(np.arange(len(lengths)), lengths)[at]
-        tile = first_tile[doc] + (at - first_word[doc]) // self.stride
-        term = ids[at]
-        n_tiles, n_terms = int(tiles.sum()), max(1, len(self.bound))
-        some = self.kept[term]
-        pairs = np.unique(tile[some] * n_terms + term[some])
-        held = np.bincount(pairs // n_terms, self.bound[pairs % n_terms], n_tiles)
-        tile_doc = np.repeat(np.arange(len(lengths)), tiles)
-        follows = np.zeros(n_tiles, bool)
-        follows[:-1] = tile_doc[1:] == tile_doc[:-1]
-        both = held + np.where(follows, np.concatenate((held[1:], [0.0])), 0.0)
-        likely = np.flatnonzero(both >= least - self.slack - 1e-6)
-        starts = np.searchsorted(tile, np.arange(n_tiles + 1))
+        likely, tile, doc, first = likely_tiles(ids, lengths, self.stride, self.first_bound, least - self.slack)
+        starts = np.searchsorted(tile, likely)
+        ends = np.searchsorted(tile, likely + np.where((likely + 1 < len(doc)) & (doc[np.minimum(likely + 1, len(doc) - 1)] == doc[likely]), 2, 1))
         out = []
-        for k in likely.tolist():
-            query = np.unique(term[starts[k] : starts[k + 2 if follows[k] else k + 1]])
-            if self.group_bound[query].sum(axis=0).max() >= least - 1e-4:
-                d = int(tile_doc[k])
-                out.append((d, (k - int(first_tile[d])) * self.stride, query))
+        for k, a, b in zip(likely.tolist(), starts.tolist(), ends.tolist()):
+            query = np.unique(ids[a:b])
+            query = query[query >= 0]
+            if len(query) and self.group_bound[query].sum(axis=0).max() >= least - 1e-4:
+                d = int(doc[k])
+                out.append((d, (k - int(first[d])) * self.stride, query))
         return out
 
-    def matches(self, some: list[str], least: float, overlap: float) -> dict[tuple[int, int], tuple[int, float, float, float]]:
-        """{(text, item): (passages, best score, question overlap, answer overlap)} of the texts that hold items."""
-        split = [words(t) for t in some]
+    def matches(self, split: list[list[str]], least: float, overlap: float) -> dict[tuple[int, int], tuple[int, float, float, float]]:
+        """{(document, item): (passages, best score, question overlap, answer overlap)} of the documents (as words) that hold items."""
         get = self.terms.get
         lengths = np.array([len(x) for x in split], np.int64)
         ids = np.fromiter((get(w, -1) for x in split for w in x), np.int64, int(lengths.sum()))
@@ -206,87 +214,211 @@ class Index:
         return found
 
 
-def item_indexes(items: DataFrame, max_bytes: int = ITEM_BYTES) -> Iterator[Index]:
-    """Indexes of all items (item_id, text), in blocks of about max_bytes of text each; weights are those of the whole set.
+class Bounds:
+    """Greatest weights over all items of a stride, by cell of the terms' hashes: which passages can hold any item at all.
 
-    Items without words can't occur in a text and are left out. Only one block of bounded size is
-    with the driver at a time.
+    Its size is CELLS numbers a stride, whatever the number of items; terms that share a cell only
+    make more passages likely.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_blocks = -(-total // max_bytes)
-    if not n_blocks:
-        return
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    schema = pa.schema([("part", pa.int64()), ("length", pa.int64()), ("term", pa.string()), ("one", pa.int64())])
-
-    def split(batches):
-        for b in batches:
-            out = []
-            for part, t in zip(b.column("part").to_pylist(), b.column("text").to_pylist()):
-                held = words(t)
-                out += [(part, len(held) if k == 0 else 0, w, int(k == 0)) for k, w in enumerate(set(held))]
-            yield batch_of(schema, *(zip(*out) if out else ((), (), (), ())))
-
-    terms = stored(rows.mapInArrow(split, "part long, length long, term string, one long"), "item-terms")
-    n_items, length = terms.agg(F.sum("one"), F.sum("length")).first()
-    if not n_items:
-        return
-    df = stored(terms.groupBy("term").agg(F.count("*").alias("df")), "item-df")
-    for part in range(n_blocks):
-        block = [(r.item_id, r.text) for r in rows.filter(F.col("part") == part).collect()]
-        counts = df.join(terms.filter(F.col("part") == part).select("term").distinct(), "term")
-        yield Index.build(block, {r.term: r.df for r in counts.collect()}, n_items, length / n_items)
+
+    def __init__(self, by_stride: dict[int, np.ndarray]):
+        self.by_stride = by_stride
+        self.cells: dict[str, int] = {}
+
+    def cell(self, word: str) -> int:
+        if (c := self.cells.get(word)) is None:
+            if len(self.cells) >= CACHED_WORDS:
+                self.cells.clear()
+            c = self.cells[word] = cell_of(word)
+        return c
+
+    def likely(self, some: list[str], least: float) -> list[bool]:
+        """Whether a text has a passage whose bound reaches least."""
+        split = [words(t) for t in some]
+        lengths = np.array([len(x) for x in split], np.int64)
+        ids = np.fromiter((self.cell(w) for x in split for w in x), np.int64, int(lengths.sum()))
+        held = np.zeros(len(some), bool)
+        for stride, bound in self.by_stride.items():
+            tiles, _, doc, _ = likely_tiles(ids, lengths, stride, bound, least - 1e-4)
+            held[doc[tiles]] = True
+        return held.tolist()
+
+
+def cell_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % CELLS
+
+
+class Items:
+    """The different texts of a benchmark, weighed as one set and dealt into blocks of bounded size.
+
+    Items with equal texts are one item, under the smallest of their ids. Items without words can't
+    occur in a text and are left out. Counts and weights are Spark tables; one block at a time, of
+    about max_bytes of text (a longer single item is a block), is with the driver.
+    """
+
+    def __init__(self, items: DataFrame, max_bytes: int = ITEM_BYTES):
+        rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        rows = rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+        self.items = stored(rows.withColumn("key", F.monotonically_increasing_id()), "items")
+        total = self.items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        self.n_blocks = -(-total // max_bytes)
+        schema = pa.schema([("key", pa.int64()), ("length", pa.int64()), ("term", pa.string()), ("one", pa.int64())])
+
+        def split(batches):
+            for b in batches:
+                out = []
+                for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                    held = words(t)
+                    out += [(key, len(held) if k == 0 else 0, w, int(k == 0)) for k, w in enumerate(set(held))]
+                yield batch_of(schema, *(zip(*out) if out else ((), (), (), ())))
+
+        self.terms = stored(self.items.mapInArrow(split, "key long, length long, term string, one long"), "item-terms")
+        self.n, length = self.terms.agg(F.coalesce(F.sum("one"), F.lit(0)), F.sum("length")).first()
+        self.mean_length = length / self.n if self.n else 0.0
+        if not self.n:
+            self.n_blocks = 0
+        self.df = stored(self.terms.groupBy("term").agg(F.count("*").alias("df")), "item-df") if self.n else None
+
+    def part(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.n_blocks))
+
+    def blocks(self) -> Iterator[list[Index]]:
+        """For each block the indexes of its items, one a stride."""
+        for part in range(self.n_blocks):
+            rows = [(r.item_id, r.text, words(r.text)) for r in self.items.filter(self.part() == part).select("item_id", "text").collect()]
+            mine = self.terms.filter(self.part() == part).select("term").distinct()
+            df = {r.term: r.df for r in self.df.join(mine, "term").collect()}
+            held: dict[int, list] = {}
+            for i, t, w in rows:
+                if w:
+                    held.setdefault(stride_of(len(w)), []).append((i, t, weights_of(w, df, self.n, self.mean_length)))
+            yield [Index(s, x) for s, x in sorted(held.items())]
+
+    def bounds(self) -> Bounds:
+        """Bounds over all items; at most CELLS numbers a stride reach the driver."""
+        counts = self.terms.join(self.df, "term").groupBy("key").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
+        schema = pa.schema([("stride", pa.int64()), ("cell", pa.int64()), ("w", pa.float64())])
+        n, mean = self.n, self.mean_length
+
+        def weigh(batches):
+            for b in batches:
+                out = []
+                for text, counts in zip(b.column("text").to_pylist(), b.column("counts").to_pylist()):
+                    held = words(text)
+                    shares = weights_of(held, {c["term"]: c["df"] for c in counts}, n, mean)
+                    out += [(stride_of(len(held)), cell_of(w), x) for w, x in shares.items()]
+                yield batch_of(schema, *(zip(*out) if out else ((), (), ())))
+
+        found = self.items.join(counts, "key").select("text", "counts").mapInArrow(weigh, "stride long, cell long, w double")
+        found = found.groupBy("stride", "cell").agg(F.max("w").alias("w")).toArrow()
+        strides, cells, w = (found.column(c).to_numpy() for c in ("stride", "cell", "w"))
+        by_stride = {}
+        for s in np.unique(strides).tolist():
+            by_stride[s] = np.zeros(CELLS)
+            by_stride[s][cells[strides == s]] = w[strides == s]
+        return Bounds(by_stride)
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+FOUND = "doc_id long, item_id long, passages long, score double, question_overlap double, answer_overlap double"
+
+
+def _search(rows: DataFrame, indexes: list[Index], least: float, overlap: float) -> DataFrame:
+    """The matches of rows (doc_id, text) with the items of one block, which is broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(indexes)
+
+    def run(batches):
+        for whole in batches:
+            for b in small_batches(whole, "text", 4 << 20):
+                ids = b.column("doc_id").to_pylist()
+                split = [words(t) for t in b.column("text").to_pylist()]
+                for index in shared.value:
+                    found = index.matches(split, least, overlap)
+                    if found:
+                        yield batch_of(_FOUND, *zip(*((ids[d], index.item_ids[i], *x) for (d, i), x in found.items())))
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def _filtered(docs: DataFrame, test) -> DataFrame:
+    """The rows of docs whose texts pass test, a function from a list of texts to one of booleans."""
+
+    @F.pandas_udf("boolean")
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            some = [t or "" for t in column]
+            yield pd.Series([x for at in range(0, len(some), 500) for x in test(some[at : at + 500])], dtype="bool")
+
+    return docs.filter(passes(F.col("text")))
+
+
+def _likely(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items.bounds())
+    return _filtered(docs, lambda some: shared.value.likely(some, least))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, overlap: float = MIN_OVERLAP, max_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, passages, score, question_overlap, answer_overlap) for every text of docs that holds an item.
 
-    Every passage (window of 2 * stride words, one every stride) of every whole text is a query;
-    all items with at least the share least of their own score are retrieved, and stay if the share
-    overlap of the question's word triples and of the answer's words stands around the passage.
-    Case and punctuation don't count. Null and empty texts hold nothing; rows with a null doc_id and
-    repeated rows are reported as they come; either table may be empty; further columns are ignored.
-    Nothing is shuffled: each block of items is broadcast and goes once through all documents.
+    Every passage (window of twice the item's stride, one every stride) of every whole text is a
+    query; all items with at least the share least of their own score are retrieved, and stay if
+    the share overlap of the question's word triples and of the answer's words stands around the
+    passage. Whether a text holds an item depends on the two, and on the whole set's term counts,
+    but not on how items are dealt into blocks.
+
+    Case and punctuation don't count. Items with equal texts are one, under the smallest of their
+    ids. Null and empty texts hold nothing; rows with a null doc_id and repeated rows are reported
+    as they come; texts of any length are read whole; either table may be empty; further columns
+    are ignored. With one block of items, that is broadcast and documents are read once. With more,
+    one pass over the documents finds those that can hold any item, by bounds of fixed size; they
+    are written, and each block goes over them in turn, its result written and its broadcast gone
+    before the next.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    types = "doc_id long, item_id long, passages long, score double, question_overlap double, answer_overlap double"
-    spark = docs.sparkSession
-    result = spark.createDataFrame([], types)
-    for index in item_indexes(items, max_bytes):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for whole in batches:
-                for b in small_batches(whole, "text", 4 << 20):
-                    ids = b.column("doc_id").to_pylist()
-                    found = index.matches(b.column("text").to_pylist(), least, overlap)
-                    rows = [(ids[d], index.item_ids[i], *x) for (d, i), x in found.items()]
-                    if rows:
-                        yield batch_of(schema, *zip(*rows))
-
-        result = result.unionByName(texts(docs).mapInArrow(run, types))
+    held = Items(items, max_bytes)
+    rows = texts(docs)
+    if held.n_blocks == 0:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    if held.n_blocks == 1:
+        return _search(rows, next(held.blocks()), least, overlap)
+    rows = stored(_likely(rows, held, least), "likely")
+    result = None
+    for indexes in held.blocks():
+        found = stored(_search(rows, indexes, least, overlap), "matches")
+        result = found if result is None else result.unionByName(found)
     return result
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, overlap: float = MIN_OVERLAP, max_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of docs that hold no item, with the columns of docs."""
-    for index in item_indexes(items, max_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for column in batches:
-                some = [t or "" for t in column]
-                held: set[int] = set()
-                for at in range(0, len(some), 500):
-                    held |= {at + d for d, _ in shared.value.matches(some[at : at + 500], least, overlap)}
-                yield pd.Series([k not in held for k in range(len(some))], dtype="bool")
+    """The rows of docs that hold no item (as contaminated() has it), with the columns of docs.
 
-        docs = docs.filter(clean(F.col("text")))
-    return docs
+    Each row is judged by its own text: null and empty texts, and all rows if there are no items,
+    stay; repeated rows and rows without a doc_id go or stay alike; no column of docs matters but
+    text. With more than one block of items, texts that hold items are told by two 64-bit hashes.
+    """
+    held = Items(items, max_bytes)
+    if held.n_blocks == 0:
+        return docs
+    if held.n_blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(held.blocks()))
+
+        def clean(some: list[str]) -> list[bool]:
+            split = [words(t) for t in some]
+            found = {d for index in shared.value for d, _ in index.matches(split, least, overlap)}
+            return [k not in found for k in range(len(some))]
+
+        return _filtered(docs, clean)
+    text = F.col("text").cast("string")
+    first, second = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    some = _likely(docs.select(text.alias("text")).filter("text is not null"), held, least)
+    some = stored(some.withColumn("doc_id", F.monotonically_increasing_id()), "likely")
+    bad = None
+    for indexes in held.blocks():
+        found = stored(_search(some.select("doc_id", "text"), indexes, least, overlap).select("doc_id").distinct(), "matches")
+        bad = found if bad is None else bad.unionByName(found)
+    gone = some.join(bad.distinct(), "doc_id", "left_semi").select(first.alias("first"), second.alias("second")).distinct()
+    return docs.join(gone, (first == gone["first"]) & (second == gone["second"]), "left_anti")
 
 
 def op2_blockmax_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table documents that holds an item of the table benchmark."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

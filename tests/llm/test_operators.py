@@ -100,22 +100,6 @@ def test_learning_separates_the_shared_labels(spark):
 # -- decontamination
 
 
-def test_wand_finds_what_all_scores_find():
-    rng = np.random.default_rng(3)
-    vocabulary = [f"t{k}" for k in (rng.zipf(1.3, 3000) % 400)]
-    items = [(k, " ".join(rng.choice(vocabulary, int(rng.integers(5, 40))))) for k in range(150)]
-    df = Counter(w for _, t in items for w in set(decontamination.words(t)))
-    index = decontamination.Index.build(items, df, len(items), 20.0)
-    for _ in range(60):
-        query = sorted({index.terms[w] for w in rng.choice(vocabulary, 60) if w in index.terms})
-        scores = Counter()
-        for t in query:
-            for i, w in zip(index.postings[t], index.weights[t]):
-                scores[i] += w
-        for least in (0.2, 0.5):
-            assert {i for i, _ in index.search(query, least)} == {i for i, s in scores.items() if s >= least - 1e-9}
-
-
 def test_planted_items_are_found_and_others_left(spark, edges, nothing):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
