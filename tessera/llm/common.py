@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.storage import shared_dir, stored
 
-__all__ = ["batch_of", "shared_dir", "small_batches", "stored", "table", "texts"]
+__all__ = ["batch_of", "fresh", "shared_dir", "small_batches", "stored", "table", "texts"]
 
 #: Bytes of a batch of rows that a Python worker gets at once.
 BATCH_BYTES = "8m"
@@ -26,6 +26,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """As a table: the join with it then shuffles both of its sides plainly, so that the rows of a node with many links are dealt to many tasks."""
+    return stored(least, "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _written(down.groupBy("u").agg(F.min("v").alias("m")))
     hooked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 

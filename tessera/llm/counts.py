@@ -63,7 +63,11 @@ class PieceCounter:
         return found
 
     def huge(self, data: bytes, chunk: int, overlap: int) -> tuple[int, int]:
-        """Count over overlapping chunks, spliced at boundaries that both encodings have and that are stable."""
+        """Count over overlapping chunks, spliced at boundaries that both encodings have and that are stable.
+
+        The overlap is encoded to find the seam; the next chunk, which is counted, must then have the
+        seam among its own boundaries, or it begins further to the left.
+        """
 
         def letter(at: int) -> int:
             while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
@@ -72,10 +76,14 @@ class PieceCounter:
 
         total = chunks = 0
         begin = cut = 0  # the chunk begins at begin; its ids count from cut on
-        width = chunk
+        width, lead = chunk, 1
         while True:
             end = letter(min(len(data), begin + width))
             here = begin + self.starts(data[begin:end])
+            if begin and cut not in here:
+                lead *= 2  # the seam isn't a boundary of the encoding that counts: begin earlier
+                begin = letter(max(0, cut - lead))
+                continue
             if end == len(data):
                 return total + int((here >= cut).sum()), chunks + 1
             seam, over = None, overlap
@@ -91,7 +99,7 @@ class PieceCounter:
             total += int(((here >= cut) & (here < seam)).sum())
             chunks += 1
             # the model puts a blank of its own before a chunk: begin one letter early, count from the seam
-            begin, cut, width = letter(seam - 1), seam, chunk
+            begin, cut, width, lead = letter(seam - 1), seam, chunk, 1
 
     @staticmethod
     def apart(data: bytes, at: int) -> bool:
@@ -121,4 +129,5 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
 
 
 def op6_resynchronised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document of the table documents."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -91,8 +91,8 @@ def front_of(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text, h) of the rows with a doc_id; h tells the texts of one doc_id apart."""
-    text = F.col("text").cast("string")
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -197,7 +197,11 @@ def candidates(nodes: DataFrame, run_limit: int = RUN) -> DataFrame:
 
 
 def alike_links(ids: np.ndarray, sets: list[np.ndarray]):
-    """Links (u, v) that span the groups of sets that are 0.8 alike."""
+    """Links (u, v) that span the groups of sets that are 0.8 alike.
+
+    Each set reached is held against those not reached yet; when these are fewer than half, the
+    search goes on among them alone.
+    """
     n = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), n)
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -209,9 +213,13 @@ def alike_links(ids: np.ndarray, sets: list[np.ndarray]):
     for seed in range(len(sets)):
         if not left[seed]:
             continue
+        if seed and 2 * left.sum() <= len(sets):
+            rest = np.flatnonzero(left)
+            more = alike_links(ids[rest], [sets[k] for k in rest])
+            return np.concatenate((np.array(u, np.int64), more[0])), np.concatenate((np.array(v, np.int64), more[1]))
         left[seed] = False
         waiting = [seed]
-        while waiting:
+        while waiting and left.any():
             at = waiting.pop()
             mine = term[start[at] : start[at] + n[at]]
             size = first[mine + 1] - first[mine]

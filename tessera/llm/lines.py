@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
@@ -10,6 +10,11 @@ from tessera.llm.common import stored, table
 WINDOW_LINES = 3
 
 
+def text_key(text: Column) -> Column:
+    """60 bits of a text's MD5 as a long: tells texts of one doc_id apart, and orders them."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def windows(docs: DataFrame, n: int = WINDOW_LINES) -> DataFrame:
     """(w1, w2, doc_id, h, at): two hashes of every n consecutive lines that aren't blank, and the lines' positions."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
@@ -29,18 +34,19 @@ def drop_repeated_windows(docs: DataFrame, n: int = WINDOW_LINES) -> DataFrame:
 
     Lines are compared without blanks at their ends; blank lines belong to no window and stay. Of
     each window of n consecutive lines that occurs more than once in all documents, the first
-    occurrence (by doc_id, nulls first, then text hash and position) stays, and the lines of all
+    occurrence (by doc_id, nulls first, then text_key and position) stays, and the lines of all
     later ones go, each line once however many windows cover it. Texts with fewer than n lines
     that aren't blank have no window and stay as they are; null texts give empty ones; rows that
     repeat both doc_id and text count as one occurrence and get the same result; an empty table
     gives an empty one; further columns are ignored. Windows are told apart by two 64-bit hashes,
     and counts are combined before the shuffle, so that a window in a third of all documents is one
-    row per task.
+    row per task; the repeated ones are a table, so that the join with it is dealt anew where a
+    window has very many rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))
     found = stored(windows(rows, n), "windows")
     first = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", F.col("at")[0].alias("p"))).alias("first"))
-    repeated = first.filter("n > 1").select("w1", "w2", "first")
+    repeated = stored(first.filter("n > 1").select("w1", "w2", "first"), "repeated")
     later = found.join(repeated, ["w1", "w2"]).filter(~F.struct("doc_id", "h", F.col("at")[0].alias("p")).eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone")
@@ -56,20 +62,21 @@ def drop_repeated_windows(docs: DataFrame, n: int = WINDOW_LINES) -> DataFrame:
 
 
 def op10_window_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table documents without its repeated lines."""
     return drop_repeated_windows(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = """
-WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+  SELECT doc_id, text, h, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 filled AS (
-  SELECT doc_id, text, trim(line, ' ') AS x, pos FROM lines WHERE trim(line, ' ') <> ''),
+  SELECT doc_id, text, h, trim(line, ' ') AS x, pos FROM lines WHERE trim(line, ' ') <> ''),
 win AS (
-  SELECT doc_id, text, x, pos, lead(x, 1) OVER w AS x2, lead(x, 2) OVER w AS x3, lead(pos, 1) OVER w AS p2, lead(pos, 2) OVER w AS p3
+  SELECT doc_id, text, h, x, pos, lead(x, 1) OVER w AS x2, lead(x, 2) OVER w AS x3, lead(pos, 1) OVER w AS p2, lead(pos, 2) OVER w AS p3
   FROM filled WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY x, x2, x3 ORDER BY doc_id NULLS FIRST, text, pos) AS nth FROM win WHERE x3 IS NOT NULL),
+  SELECT *, row_number() OVER (PARTITION BY x, x2, x3 ORDER BY doc_id NULLS FIRST, h, pos) AS nth FROM win WHERE x3 IS NOT NULL),
 gone AS (
   SELECT DISTINCT doc_id, text, unnest([pos, p2, p3]) AS pos FROM ranked WHERE nth > 1),
 kept AS (

@@ -137,34 +137,48 @@ def sample_ranges(track: dict) -> tuple[np.ndarray, np.ndarray]:
     return offsets[chunk] + before - before[first[chunk]], sizes
 
 
-def describe(media: bytes) -> list[dict]:
-    """Each track's kind, codec, seconds, number of samples and the byte ranges of its keyframes (all samples if no table names some)."""
+def read_tracks(media) -> list[tuple[dict, np.ndarray, np.ndarray]]:
+    """(tables, sample offsets, sample sizes) of each track of a container (bytes or a buffer); payloads are not touched."""
     data, tracks = memoryview(media), []
     for kind, a, b in boxes(data):
-        if kind != b"moov":
-            continue
-        for inner, c, d in boxes(data, a, b):
+        for inner, c, d in boxes(data, a, b) if kind == b"moov" else ():
             if inner == b"trak":
                 track: dict = {}
                 _tables(data, c, d, track)
-                offset, size = sample_ranges(track)
-                keys = track["stss"][:, 0] - 1 if "stss" in track else np.arange(len(size))
-                if len(keys) and (keys.min() < 0 or keys.max() >= len(size)):
-                    raise ValueError("a keyframe is no sample")
-                scale = track.get("timescale", 0)
-                tracks.append(
-                    {
-                        "track": track.get("track"),
-                        "kind": track.get("kind"),
-                        "codec": track.get("codec"),
-                        "seconds": track.get("duration", 0) / scale if scale else None,
-                        "n_samples": len(size),
-                        "keyframes": np.stack((offset[keys], size[keys]), axis=1).tolist(),
-                    }
-                )
+                tracks.append((track, *sample_ranges(track)))
     return tracks
 
 
+def samples(media, offset: np.ndarray, size: np.ndarray) -> bytes:
+    """The samples at these ranges, one after the other; ranges that follow each other are one slice."""
+    if len(size) and (offset.min() < 0 or (offset + size).max() > len(media)):
+        raise ValueError("a sample lies outside the container")
+    new = np.flatnonzero(np.concatenate(([True], offset[1:] != offset[:-1] + size[:-1]))) if len(size) else np.zeros(0, np.int64)
+    last = np.concatenate((new[1:], [len(size)]))[: len(new)] - 1
+    data = memoryview(media)
+    return b"".join(data[a:b] for a, b in zip(offset[new].tolist(), (offset[last] + size[last]).tolist()))
+
+
+def describe(media) -> list[dict]:
+    """Each track's kind, codec, seconds, number of samples and the byte ranges of its keyframes (all samples if no table names some)."""
+    return [_described(*x) for x in read_tracks(media)]
+
+
+def _described(track: dict, offset: np.ndarray, size: np.ndarray) -> dict:
+    keys = track["stss"][:, 0] - 1 if "stss" in track else np.arange(len(size))
+    if len(keys) and (keys.min() < 0 or keys.max() >= len(size)):
+        raise ValueError("a keyframe is no sample")
+    scale = track.get("timescale", 0)
+    return {
+        "track": track.get("track"),
+        "kind": track.get("kind"),
+        "codec": track.get("codec"),
+        "seconds": track.get("duration", 0) / scale if scale else None,
+        "n_samples": len(size),
+        "keyframes": np.stack((offset[keys], size[keys]), axis=1).tolist(),
+    }
+
+
 _TRACKS = pa.list_(
     pa.struct(
         [("track", pa.int64()), ("kind", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.list_(pa.int64())))]
@@ -188,7 +202,7 @@ def media_tracks(media: DataFrame, key: str = "doc_id", column: str = "media") -
                 tracks, errors = [], []
                 for value in b.column("media"):
                     try:
-                        tracks.append(describe(value.as_buffer().to_pybytes() if value.is_valid else b""))
+                        tracks.append(describe(value.as_buffer() if value.is_valid else b""))
                         errors.append(None)
                     except (ValueError, struct.error, IndexError) as e:
                         tracks.append(None)
@@ -199,7 +213,11 @@ def media_tracks(media: DataFrame, key: str = "doc_id", column: str = "media") -
 
 
 def media_of_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): the UTF-8 bytes of every whole text, filled up with bytes 0 to whole frames, as a container."""
+    """(doc_id, n_bytes, media): the UTF-8 bytes of every whole text, filled up with bytes 0 to whole frames, as a container.
+
+    A null or empty text is one frame of bytes 0. Repeated rows and rows without a doc_id come out as
+    they go in; an empty table gives an empty one; further columns are ignored.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches):
@@ -222,17 +240,22 @@ _DIGEST = pa.schema(
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Digests of what stored containers (doc_id, n_bytes, media) hold, and a feature string of their first track."""
+    """Digests of what stored containers (doc_id, n_bytes, media) hold, and a feature string of their first track.
+
+    The payload is read through the sample tables. Containers are those of media_of_texts(); a null
+    or malformed one is an error. Rows come out as they go in; an empty table gives an empty one.
+    """
 
     def run(batches):
         for whole in batches:
             for b in small_batches(whole, "media"):
                 rows = []
                 for doc, n, value in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
-                    raw = value.as_buffer().to_pybytes()
-                    track = describe(raw)[0]
-                    payload = b"".join(memoryview(raw)[x:y] for k, x, y in boxes(memoryview(raw)) if k == b"mdat")
-                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(raw), hashlib.sha256(raw).hexdigest(), json.dumps(track, separators=(",", ":"))))
+                    raw = memoryview(value.as_buffer())
+                    track, offset, size = read_tracks(raw)[0]
+                    payload = samples(raw, offset, size)
+                    feature = json.dumps(_described(track, offset, size), separators=(",", ":"))
+                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DIGEST)], schema=_DIGEST)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
@@ -241,4 +264,5 @@ def media_digest(media: DataFrame) -> DataFrame:
 
 
 def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers of the texts of the table documents hold, as read back from the stored column."""
     return media_digest(stored(media_of_texts(table(spark, sf_dir, "documents")), "media"))

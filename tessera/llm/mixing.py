@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import fresh, stored, table
 
 #: The entropy of the weights aimed at, as a share of that of equal weights.
 TARGET_ENTROPY = 0.97
@@ -15,6 +15,10 @@ TARGET_ENTROPY = 0.97
 MAX_REPEATS = 4.0
 BLOCKS = 256
 STEPS = 40
+#: Halvings that one aggregate over the sources decides.
+AT_ONCE = 5
+#: A plan of more blocks than this is joined, not broadcast.
+BROADCAST_BLOCKS = 1 << 18
 
 
 def n_tokens(text: Column) -> Column:
@@ -30,19 +34,31 @@ def block_of(doc_id: Column) -> Column:
 def bisect_exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, steps: int = STEPS) -> float:
     """The exponent of the token shares: the largest in [0, 1] with the target entropy, or, where that repeats a source too often, the smallest that doesn't.
 
-    sources has a column tokens (1 at least). A step is one aggregate over the sources, of which a
-    few sums reach the driver. Entropy and repetition both fall as the exponent grows.
+    sources has a column tokens (1 at least). Entropy and repetition both fall as the exponent
+    grows. One aggregate over the sources gives the entropies of all points that the next AT_ONCE
+    halvings can come to, so that few sums and few jobs are needed.
     """
     n, low, high = sources.agg(F.count("*"), F.min("tokens"), F.max("tokens")).first()
     if n < 2 or low == high:
         return 1.0
 
-    def even_enough(a: float) -> bool:
-        w = F.pow(F.col("tokens").cast("double") / F.lit(float(high)), F.lit(a))
-        total, weighted = sources.agg(F.sum(w), F.sum(w * F.ln(w))).first()
-        return (math.log(total) - weighted / total) / math.log(n) >= target_entropy
+    known: dict[float, bool] = {}
 
-    def repeats_too_often(a: float) -> bool:
+    def look(points: list[float]) -> None:
+        """Whether the weights with these exponents are even enough."""
+        w = [F.pow(F.col("tokens").cast("double") / F.lit(float(high)), F.lit(a)) for a in points]
+        sums = sources.agg(*[s for x in w for s in (F.sum(x), F.sum(x * F.ln(x)))]).first()
+        for k, a in enumerate(points):
+            total, weighted = sums[2 * k], sums[2 * k + 1]
+            known[a] = (math.log(total) - weighted / total) / math.log(n) >= target_entropy
+
+    def even_enough(a: float, left: float = 0.0, right: float = 1.0) -> bool:
+        if a not in known:
+            width = (right - left) / 2**AT_ONCE
+            look([left + k * width for k in range(1, 2**AT_ONCE + 1)])
+        return known[a]
+
+    def repeats_too_often(a: float, left: float = 0.0, right: float = 1.0) -> bool:
         return (high / low) ** (1 - a) > max_repeats
 
     def bisect(below) -> tuple[float, float]:
@@ -50,7 +66,7 @@ def bisect_exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY,
         left, right = 0.0, 1.0
         for _ in range(steps):
             middle = (left + right) / 2
-            left, right = (middle, right) if below(middle) else (left, middle)
+            left, right = (middle, right) if below(middle, left, right) else (left, middle)
         return left, right
 
     by_entropy = 1.0 if even_enough(1.0) else bisect(even_enough)[0]
@@ -69,7 +85,7 @@ def mixing_plan(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_rep
     """
     weighed = docs.select(F.col("source"), n_tokens(F.col("text")).alias("tokens"), block_of(F.col("doc_id")).alias("block"))
     blocks = stored(weighed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
-    sources = stored(blocks.groupBy("source").agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("tokens")).coalesce(1), "mix-sources")
+    sources = stored(blocks.groupBy("source").agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("tokens")), "mix-sources")
     a = bisect_exponent(sources, target_entropy, max_repeats)
     low, high, total = sources.agg(F.min("tokens"), F.max("tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a)))).first()
     if low is None:
@@ -105,14 +121,22 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: fl
 
 
 def mixed_rows(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """docs with every row as often as the mix uses it, with the columns of docs."""
+    """docs with every row as often as the mix uses it (once at least), with the columns of docs.
+
+    Null sources, null and empty texts, repeated rows and rows without a doc_id are used as mix()
+    has it; an empty table gives an empty one; no column of docs clashes. The table of blocks is
+    broadcast if it has at most BROADCAST_BLOCKS rows, so that texts are not shuffled.
+    """
     plan = mixing_plan(docs, target_entropy, max_repeats)
-    times = plan.groupBy(F.col("source").alias("__s"), F.col("block").alias("__b")).agg(F.count("*").cast("int").alias("__times"))
-    joined = docs.join(times, F.col("source").eqNullSafe(F.col("__s")) & (block_of(F.col("doc_id")) == F.col("__b")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = stored(plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("times")), "mix-times")
+    times = F.broadcast(times) if times.count() <= BROADCAST_BLOCKS else times
+    nth = fresh(docs, "nth")
+    joined = docs.join(times, docs["source"].eqNullSafe(times["source"]) & (block_of(docs["doc_id"]) == times["block"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["times"])).alias(nth)).drop(nth)
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the sources of the table documents: a row for each time that a document is used."""
     return mix(table(spark, sf_dir, "documents"))
 
 

@@ -46,6 +46,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def op9_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document of the table documents."""
     found = shard_by_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_of, stored, texts
+from tessera.llm.common import batch_of, fresh, stored, texts
 from tessera.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,7 +30,7 @@ HOT_ANCHOR = 4096
 #: Fingerprint pairs compared at once.
 BLOCK = 1 << 20
 
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fingerprint", pa.int64())])
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -56,14 +56,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint) of every row; the fingerprint is the signed long with these 64 bits."""
+    """(doc_id, h, fingerprint) of every row: h is a hash of the text, the fingerprint the signed long with these 64 bits."""
 
     def run(batches):
         for b in batches:
             found = [fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()]
-            yield batch_of(_FINGERPRINTS, b.column("doc_id"), np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(np.array(found, np.uint64).view(np.int64))], schema=_FINGERPRINTS)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fingerprint long")
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -208,6 +208,16 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, hot_anchor: int = HOT_ANCH
     return dealt.mapInArrow(_compare(max_bits), "u long, v long")
 
 
+def components_of(prints: DataFrame, max_bits: int = MAX_BITS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+    """(fp, component_id) for the different fingerprints of prints (doc_id, fingerprint)."""
+    nodes = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "nodes")
+    roots = connected_components(links(nodes, max_bits, hot_anchor))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    ids = linked.join(least, "root").select("fp", "least")
+    return stored(nodes.join(ids, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of docs (doc_id, text).
 
@@ -219,26 +229,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     compared, and only links between different fingerprints become rows.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(links(nodes, max_bits, hot_anchor))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    ids = linked.join(least, "root").select("fp", "least")
-    ids = stored(nodes.join(ids, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
+    ids = components_of(prints, max_bits, hot_anchor)
     return prints.join(ids, prints.fingerprint == ids.fp).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id), one a doc_id (that with the smallest text hash), and those without doc_id."""
-    kept = docs.filter("doc_id is not null").join(ids.select(F.col("doc_id").alias("__keep")), F.col("doc_id") == F.col("__keep"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    """The rows of docs whose doc_id is in ids (doc_id), one a doc_id, and all rows without a doc_id.
+
+    Of rows that repeat a doc_id that with the smallest text hash stays (null texts hash as empty
+    ones; equal texts: that with the smallest hash of all columns). No column of docs clashes.
+    """
+    nth, text = fresh(docs, "nth"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = docs.filter("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), F.xxhash64(*plain))
+    kept = kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id): the smallest of each component."""
-    return near_duplicates(docs, shingle, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
+    """(doc_id): the smallest of each component.
+
+    A doc_id that comes with different texts stands for that with the smallest text hash, which
+    keep_rows() keeps. Null doc_ids are left out; an empty table gives an empty one.
+    """
+    prints = fingerprints(docs.filter("doc_id is not null"), shingle)
+    prints = prints.groupBy("doc_id").agg(F.min(F.struct("h", "fingerprint")).alias("s")).select("doc_id", F.col("s.fingerprint").alias("fingerprint"))
+    prints = stored(prints, "fingerprints")
+    ids = components_of(prints, max_bits).withColumnRenamed("fp", "fingerprint")
+    return prints.join(ids, "fingerprint").filter("doc_id = component_id").select("doc_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -251,6 +270,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> Dat
 
 
 def op7_simhash_anchors(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document of the table documents."""
     from tessera.llm.common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -329,7 +329,11 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write docs as a token folder in the shared folder and return what reading it back gives."""
+    """Write docs as a token folder in the shared folder and return (doc_id, start, n_tokens, ids_crc32) as reading it back gives.
+
+    ids_crc32 is that of the document's ids, end_id included, as little-endian 32-bit numbers. Null,
+    empty and repeated rows, rows without a doc_id and empty tables are as write_tokens() has them.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tessera/token-file-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end_id)
@@ -337,4 +341,5 @@ def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
 
 
 def op5_ranked_varint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of the table documents hold for each document, as read back."""
     return token_file_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

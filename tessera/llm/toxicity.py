@@ -210,7 +210,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with the columns of docs."""
+    """The rows of docs that score below the threshold, with the columns of docs.
+
+    Each row is judged by its whole text; a null or empty one counts as one sentence without words.
+    Repeated rows and rows without a doc_id stay or go alike, an empty table gives an empty one, and
+    no column matters but text.
+    """
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -222,6 +227,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document of the table documents, learned from those of the table labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2

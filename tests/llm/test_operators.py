@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import counts, decontamination, html, lines, media, mixing, registry, sharding, simhash, similar, tokens, toxicity
+from tessera.llm import counts, decontamination, html, jaccard, lines, media, mixing, registry, sharding, simhash, tokens, toxicity
 from tessera.llm.common import stored
 from tessera.llm.components import connected_components
 from tests.compare import connect, difference
@@ -293,71 +293,11 @@ def test_near_duplicates_of_edges(spark, edges, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
-def similar_texts(n_groups: int, copies: int, rng) -> list[tuple[int, str]]:
-    """Groups of texts of 150 words; each copy has a few words of its own."""
-    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(4000)]
-    rows = []
-    for g in range(n_groups):
-        base = list(rng.choice(vocabulary, 150))
-        for c in range(copies):
-            mine = list(base)
-            for k in rng.choice(150, int(rng.integers(0, 4)), replace=False):
-                mine[k] = rng.choice(vocabulary)
-            rows.append((g * copies + c, " ".join(mine)))
-    return rows
-
-
-def jaccard(a: str, b: str) -> float:
-    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
-
-
-def nodes_of(spark, rows):
-    return similar.sketches(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "id")
-
-
-def test_similar_links_are_those_of_brute_force(spark):
-    rows = similar_texts(60, 3, np.random.default_rng(3))
-    got = {tuple(sorted(r)) for r in similar.similar_links(nodes_of(spark, rows)).collect()}
-    prints = {i: similar.sketch(t) for i, t in rows}
-    bits = {i: np.unpackbits(p[: similar.LANES].view(np.uint8)) for i, p in prints.items()}
-    whole = {i: int.from_bytes(p[similar.LANES :].tobytes(), "big") for i, p in prints.items()}
-    want = set()
-    for a, _ in rows:
-        for b in range(a):
-            if (whole[a] ^ whole[b]).bit_count() <= similar.MAX_BITS and any((bits[a][k] == bits[b][k]).all() for k in similar._TAKEN):
-                want.add((b, a))
-    assert got == want
-    close = {(b, a) for a, x in rows for b, y in rows[:a] if jaccard(x, y) >= 0.8}
-    assert len(close - got) <= 0.1 * len(close) and all(a // 3 == b // 3 for a, b in got)
-
-
-def test_hot_cells_stay_connected(spark):
-    rows = similar_texts(2, 300, np.random.default_rng(4))
-    for hot in (40, 10_000):
-        links = similar.similar_links(nodes_of(spark, rows), hot_cell=hot)
-        roots = {r.node: r.root for r in connected_components(links).collect()}
-        groups = Counter(roots.values())
-        assert sorted(groups)[0] == 0 and len(groups) == 2 and min(groups.values()) >= 297
-
-
-def test_hot_cells_lose_no_small_group(spark):
-    rng = np.random.default_rng(5)
-    wide = rng.integers(-(2**63), 2**63 - 1, (600, similar.LANES), dtype=np.int64)
-    wide[1:80:2] = wide[:80:2] ^ 5
-    bits = rng.integers(0, 2, (600, 64 * similar.LANES), dtype=np.uint8)
-    bits[:, similar._TAKEN[0]] = 0
-    rows = [(i, *n, *w) for i, (n, w) in enumerate(zip(np.packbits(bits, axis=1).view(np.int64).tolist(), wide.tolist()))]
-    nodes = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} long" for c in similar.NARROW + similar.WIDE))
-    got = {tuple(sorted(r)) for r in similar.similar_links(nodes, hot_cell=40).collect()}
-    assert got == {(k, k + 1) for k in range(0, 80, 2)}
-
-
 def test_representatives_of_edges(spark, edges, nothing):
     ids = edges.select("doc_id").filter("doc_id is not null").distinct()
-    assert sorted(r.doc_id for r in similar.representatives(edges, ids).collect()) == [1, 3, 5, 6]
-    assert similar.representatives(nothing, nothing.select("doc_id")).count() == 0
-    assert similar.representatives(edges, ids.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in jaccard.representatives(edges, ids).collect()) == [1, 3, 5, 6]
+    assert jaccard.representatives(nothing, nothing.select("doc_id")).count() == 0
+    assert jaccard.representatives(edges, ids.limit(0)).count() == 0
 
 
 def test_representatives_are_those_of_brute_force(spark):
@@ -383,7 +323,7 @@ def test_representatives_are_those_of_brute_force(spark):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     for more in ({}, {"run_limit": 2}, {"run_limit": 2, "block_shingles": 300, "block_texts": 3}):
-        got = sorted(r.doc_id for r in similar.representatives(docs, docs.select("doc_id"), **more).collect())
+        got = sorted(r.doc_id for r in jaccard.representatives(docs, docs.select("doc_id"), **more).collect())
         assert got == sorted(set(root)) and 60 < len(got) < 200
 
 
