@@ -20,7 +20,12 @@ from tessera.llm.toxicity import learn, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the noisy-or model of the labelled ones scores at 0.3 or more go."""
+    """Documents that the noisy-or model of the labelled ones scores at 0.3 or more go.
+
+    Each row is judged by its own whole text, so repeated rows and rows without a doc_id go or stay
+    alike. Null and empty texts count as one sentence without words. Without labels of both classes
+    the model is constant. An empty table gives an empty one.
+    """
     return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -28,23 +33,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
     First groups of fingerprints at most 3 bits apart, then, of what is left, groups of texts whose
-    five-word shingles have a Jaccard similarity of 0.8 or more.
+    five-word shingles have a Jaccard similarity of 0.8 or more: no two documents that stay are
+    linked either way. Null and empty texts, and texts without words, are alike. Of rows that repeat
+    a doc_id that with the smallest text hash is judged and stays or goes. Rows without a doc_id
+    can't be named by a group and all stay. An empty table gives an empty one.
     """
     return keep_rows(docs, representatives(docs, first_of_each(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Each row is judged by its own whole text; null and empty texts stay, as do all rows if the
+    benchmark is empty. Null and empty items are in no text.
+    """
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays and comes as often as its source's weight asks for."""
+    """Every document stays and comes as often as its source's weight asks for.
+
+    A null source is one of its own; null and empty texts have no tokens and come as often as their
+    block does; repeated rows each count. A single source stays as it is, as does an empty table.
+    """
     return mixed_rows(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of the documents as read back from the token files."""
+    """(doc_id, start, n_tokens, ids_crc32) of the documents as read back from the token files.
+
+    A row for each row of docs, in ascending doc_id order in the files (nulls first, ties by text
+    hash); a null or empty text is the end id alone; an empty table gives an empty one.
+    """
     return token_file_digest(docs, vocabulary("word_bpe_49k.json"))
 
 
