@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,11 @@ def ieee_remainder(a: Column, b: Column) -> Column:
     return F.when(b != 0, a % b).otherwise(F.lit(NAN))
 
 
+def _whole(round_to, v: Column) -> Column:
+    """floor or ceil as a double; values from 2^53 on are whole, and infinities and NaN stay."""
+    return F.when(F.abs(v) < 2.0**53, round_to(v).cast("double")).otherwise(v)
+
+
 UNARY = {
     "copy": lambda v: v,
     "conj": lambda v: v,
@@ -39,8 +45,8 @@ UNARY = {
     "tan": F.tan,
     "atan": F.atan,
     "log": ieee_log,
-    "floor": lambda v: F.floor(v).cast("double"),
-    "ceil": lambda v: F.ceil(v).cast("double"),
+    "floor": lambda v: _whole(F.floor, v),
+    "ceil": lambda v: _whole(F.ceil, v),
     "sign": lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.signum(v)),
     "reciprocal": lambda v: ieee_divide(F.lit(1.0), v),
 }
@@ -79,38 +85,42 @@ def aggregate(op: str, v: Column) -> Column:
 
 
 def python_value(op: str, *values: float) -> float:
-    """The same operation on Python floats, for the implicit values of sparse vectors."""
-    import math
-
-    a, b = values[0], values[-1]
+    """The same operation on Python floats, with IEEE results, for the implicit values of sparse vectors."""
+    a, b = np.float64(values[0]), np.float64(values[-1])
     table = {
         "copy": lambda: b,
         "conj": lambda: a,
-        "abs": lambda: abs(a),
-        "asum": lambda: abs(a),
+        "abs": lambda: np.abs(a),
+        "asum": lambda: np.abs(a),
         "sqr": lambda: a * a,
         "minus": lambda: -a,
-        "exp": lambda: math.exp(a),
-        "sqrt": lambda: math.sqrt(a) if a >= 0 else NAN,
-        "sin": lambda: math.sin(a),
-        "cos": lambda: math.cos(a),
-        "tan": lambda: math.tan(a),
-        "atan": lambda: math.atan(a),
-        "log": lambda: math.log(a) if a > 0 else (-INF if a == 0 else NAN),
-        "floor": lambda: float(math.floor(a)),
-        "ceil": lambda: float(math.ceil(a)),
-        "sign": lambda: 0.0 if a != a else float((a > 0) - (a < 0)),
-        "reciprocal": lambda: 1 / a if a else INF,
+        "exp": lambda: np.exp(a),
+        "sqrt": lambda: np.sqrt(a),
+        "sin": lambda: np.sin(a),
+        "cos": lambda: np.cos(a),
+        "tan": lambda: np.tan(a),
+        "atan": lambda: np.arctan(a),
+        "log": lambda: np.log(a),
+        "floor": lambda: np.floor(a),
+        "ceil": lambda: np.ceil(a),
+        "sign": lambda: 0.0 if np.isnan(a) else np.sign(a),
+        "reciprocal": lambda: python_value("divide", 1.0, a),
         "add": lambda: a + b,
         "sub": lambda: a - b,
         "mult": lambda: a * b,
-        "divide": lambda: a / b if b else (NAN if a == 0 or a != a else math.copysign(INF, a)),
-        "modulo": lambda: math.fmod(a, b) if b else NAN,
-        "min": lambda: min(a, b),
-        "max": lambda: max(a, b),
-        "abs_max": lambda: max(abs(a), abs(b)),
-        "abs_diff": lambda: abs(a - b),
-        "pow": lambda: a**b,
-        "copy_sign": lambda: abs(a) * (-1.0 if b < 0 else 1.0),
+        "divide": lambda: a / b if b else (NAN if a == 0 or np.isnan(a) else np.copysign(INF, a)),
+        "modulo": lambda: np.fmod(a, b),
+        "min": lambda: _order(a, b)[0],
+        "max": lambda: _order(a, b)[1],
+        "abs_max": lambda: _order(np.abs(a), np.abs(b))[1],
+        "abs_diff": lambda: np.abs(a - b),
+        "pow": lambda: np.power(a, b),
+        "copy_sign": lambda: np.abs(a) * (-1.0 if b < 0 else 1.0),
     }
-    return float(table[op]())
+    with np.errstate(all="ignore"):
+        return float(table[op]())
+
+
+def _order(a: float, b: float) -> list[float]:
+    """The smaller and the greater value; NaN is greater than all, as Spark has it."""
+    return sorted((a, b), key=lambda x: (np.isnan(x), x))

@@ -1,8 +1,10 @@
 """Iterative solvers: a driver loop of Spark steps over one wide table (i, x, r, ...) of all their vectors.
 
 Elementwise updates are projections; a product with the matrix is a join and a sum, after which
-the table goes behind a reliable checkpoint; all dot products that a step needs are one aggregate.
-Only scalars reach the driver.
+the table is written; all dot products that a step needs are one aggregate. The matrix is dealt
+by columns once and kept by the executors (a lost part is made again from its table), so that a
+step moves vectors only. Only scalars reach the driver. In place of a matrix, an Operator gives
+products alone.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,27 +75,65 @@ class Solution:
         return len(self.residuals) - 1
 
 
+@dataclass(frozen=True)
+class Operator:
+    """A square matrix that is known by its products: product(x) and, for qmr and kaczmarz, transposed(x) are vectors; diagonal for the Jacobi forms."""
+
+    n: int
+    product: Callable[[Vector], Vector]
+    transposed: Callable[[Vector], Vector] | None = None
+    diagonal: Vector | None = None
+
+
 class State:
     """The vectors of a solver as columns of one table."""
 
-    def __init__(self, matrix: Matrix, b: Vector, x0: Vector | None = None):
-        entries = matrix.df.select("i", "j", "v")
-        self.matrix = Matrix(cut(entries), matrix.n, matrix.m)
-        x = (x0 or Vector.fill(matrix.df.sparkSession, matrix.m, 0.0)).to_dense().df
+    def __init__(self, matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None):
+        self.n = matrix.n
+        self.dealt: dict[str, DataFrame] = {}
+        self.matrix = matrix if isinstance(matrix, Operator) else Matrix(cut(matrix.df.select("i", "j", "v")), matrix.n, matrix.m)
+        x = (x0 or Vector.fill(b.df.sparkSession, matrix.n if isinstance(matrix, Operator) else matrix.m, 0.0)).to_dense().df
         self.df = cut(b.to_dense().df.select("i", c("v").alias("b")).join(x.select("i", c("v").alias("x")), "i"))
 
+    def _entries(self, col: str) -> DataFrame:
+        """The entries (row, at, e), dealt by the index that a product joins by."""
+        if col not in self.dealt:
+            row = "i" if col == "j" else "j"
+            parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            entries = self.matrix.df.select(c(row).alias("row"), c(col).alias("at"), c("v").alias("e"))
+            self.dealt[col] = entries.repartition(parts, "at").persist(StorageLevel.MEMORY_AND_DISK)
+        return self.dealt[col]
+
+    def close(self) -> "State":
+        for entries in self.dealt.values():
+            entries.unpersist()
+        self.dealt = {}
+        return self
+
+    def solution(self, norms: list[float]) -> Solution:
+        """x as it is now; what executors kept for the products is let go."""
+        return Solution(self.close().vector(), norms)
+
     def let(self, **columns: Column | float) -> "State":
         self.df = self.df.withColumns({k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in columns.items()})
         return self
 
     def times(self, to: str, of: Column, transposed: bool = False) -> "State":
         """A new column: the matrix times a column expression."""
-        row, col = ("j", "i") if transposed else ("i", "j")
-        x = self.df.select(c("i").alias("at"), of.alias("y"))
-        entries = self.matrix.df.select(c(row).alias("row"), c(col).alias("at"), c("v").alias("e"))
-        sums = entries.join(x, "at").groupBy(c("row").alias("i")).agg(F.sum(c("e") * c("y")).alias("__sum"))
+        if isinstance(self.matrix, Operator):
+            product = self.matrix.transposed if transposed else self.matrix.product
+            if product is None:
+                raise ValueError("the operator has no product with its transpose")
+            sums = product(Vector(self.df.select("i", of.alias("v")), self.n)).df.select("i", c("v").alias("__sum"))
+        else:
+            x = self.df.select(c("i").alias("at"), of.alias("y"))
+            sums = self._entries("i" if transposed else "j").join(x, "at").groupBy(c("row").alias("i")).agg(F.sum(c("e") * c("y")).alias("__sum"))
+        return self.join(sums, to)
+
+    def join(self, values: DataFrame, to: str) -> "State":
+        """A new column, written, from values (i, __sum); 0 where there is none."""
         df = self.df.drop(to) if to in self.df.columns else self.df
-        self.df = cut(df.join(sums, "i", "left").select(*df.columns, F.coalesce("__sum", F.lit(0.0)).alias(to)))
+        self.df = cut(df.join(values, "i", "left").select(*df.columns, F.coalesce("__sum", F.lit(0.0)).alias(to)))
         return self
 
     def sums(self, **columns: Column) -> dict[str, float]:
@@ -106,54 +147,83 @@ class State:
         return self.times("ax", c("x")).let(r=c("b") - c("ax"))
 
     def vector(self, column: str = "x") -> Vector:
-        return Vector(self.df.select("i", c(column).alias("v")), self.matrix.n)
+        return Vector(self.df.select("i", c(column).alias("v")), self.n)
 
     def with_diagonal(self) -> "State":
-        d = self.matrix.df.filter("i = j").select("i", c("v").alias("d"))
-        self.df = self.df.join(d, "i", "left")
+        if isinstance(self.matrix, Operator):
+            if self.matrix.diagonal is None:
+                raise ValueError("the operator doesn't say its diagonal")
+            d = self.matrix.diagonal.df.select("i", c("v").alias("d"))
+        else:
+            d = self.matrix.df.filter("i = j").select("i", c("v").alias("d"))
+        self.df = cut(self.df.join(d, "i", "left"))
         return self
 
 
+# -- preconditioners: called as p(state, to, of), they add the column to, near the matrix's inverse times the column expression of
+
+
+def trivial(s: State, to: str, of: Column) -> State:
+    return s.let(**{to: of})
+
+
+def diagonal(s: State, to: str, of: Column) -> State:
+    """Divides by the diagonal."""
+    if "d" not in s.df.columns:
+        s.with_diagonal()
+    return s.let(**{to: of / c("d")})
+
+
+def by_solver(method: str, steps: int = 2, **options) -> Callable[[State, str, Column], State]:
+    """Some steps of any solver, from 0."""
+
+    def apply(s: State, to: str, of: Column) -> State:
+        rhs = Vector(cut(s.df.select("i", of.alias("v"))), s.n)
+        x = solve(s.matrix, rhs, method, stop=iterations(steps), **options).x
+        return s.join(x.df.select("i", c("v").alias("__sum")), to)
+
+    return apply
+
+
 def _ratio(a: float, b: float) -> float:
     return a / b if b else 0.0
 
 
-def _start(matrix: Matrix, b: Vector, x0: Vector | None, jacobi: bool) -> tuple[State, Callable[[Column], Column]]:
-    state = State(matrix, b, x0)
-    if jacobi:
-        state.with_diagonal()
-        return state.residual(), lambda v: v / c("d")
-    return state.residual(), lambda v: v
+Preconditioner = Callable[[State, str, Column], State]
+
 
+def _start(matrix: "Matrix | Operator", b: Vector, x0: Vector | None, jacobi: bool, preconditioner: Preconditioner | None) -> tuple[State, Preconditioner]:
+    return State(matrix, b, x0).residual(), preconditioner or (diagonal if jacobi else trivial)
 
-def cg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False) -> Solution:
-    """Conjugate gradients for a symmetric positive definite matrix; jacobi preconditions by the diagonal."""
-    s, pre = _start(matrix, b, x0, jacobi)
-    s.let(p=pre(c("r")))
-    got = s.sums(rho=c("r") * pre(c("r")), rr=c("r") * c("r"))
+
+def cg(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False, preconditioner: Preconditioner | None = None) -> Solution:
+    """Conjugate gradients for a symmetric positive definite matrix; jacobi preconditions by the diagonal, preconditioner by anything (symmetric)."""
+    s, pre = _start(matrix, b, x0, jacobi, preconditioner)
+    pre(s, "z", c("r")).let(p=c("z"))
+    got = s.sums(rho=c("r") * c("z"), rr=c("r") * c("r"))
     norms = [math.sqrt(got["rr"])]
     while not stop(norms) and got["rho"]:
         s.times("q", c("p"))
         alpha = _ratio(got["rho"], s.sums(pq=c("p") * c("q"))["pq"])
         s.let(x=c("x") + alpha * c("p"), r=c("r") - alpha * c("q"))
-        new = s.sums(rho=c("r") * pre(c("r")), rr=c("r") * c("r"))
-        s.let(p=pre(c("r")) + _ratio(new["rho"], got["rho"]) * c("p"))
+        new = pre(s, "z", c("r")).sums(rho=c("r") * c("z"), rr=c("r") * c("r"))
+        s.let(p=c("z") + _ratio(new["rho"], got["rho"]) * c("p"))
         got = new
         norms.append(math.sqrt(got["rr"]))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def bicgstab(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False) -> Solution:
-    s, pre = _start(matrix, b, x0, jacobi)
+def bicgstab(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False, preconditioner: Preconditioner | None = None) -> Solution:
+    s, pre = _start(matrix, b, x0, jacobi, preconditioner)
     s.let(r0=c("r"), p=0.0, v=0.0)
     norms = [s.norm(c("r"))]
     rho_old = alpha = omega = 1.0
     while not stop(norms):
         rho = s.sums(a=c("r0") * c("r"))["a"]
         beta = _ratio(rho, rho_old) * _ratio(alpha, omega)
-        s.let(p=c("r") + beta * (c("p") - omega * c("v"))).let(kp=pre(c("p"))).times("v", c("kp"))
+        pre(s.let(p=c("r") + beta * (c("p") - omega * c("v"))), "kp", c("p")).times("v", c("kp"))
         alpha = _ratio(rho, s.sums(a=c("r0") * c("v"))["a"])
-        s.let(s=c("r") - alpha * c("v")).let(ks=pre(c("s"))).times("t", c("ks"))
+        pre(s.let(s=c("r") - alpha * c("v")), "ks", c("s")).times("t", c("ks"))
         got = s.sums(ts=c("t") * c("s"), tt=c("t") * c("t"))
         omega = _ratio(got["ts"], got["tt"])
         s.let(x=c("x") + alpha * c("kp") + omega * c("ks"), r=c("s") - omega * c("t"))
@@ -161,33 +231,33 @@ def bicgstab(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterio
         rho_old = rho
         if not rho or not omega:
             break
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def cgs(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False) -> Solution:
-    s, pre = _start(matrix, b, x0, jacobi)
+def cgs(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, jacobi: bool = False, preconditioner: Preconditioner | None = None) -> Solution:
+    s, pre = _start(matrix, b, x0, jacobi, preconditioner)
     s.let(r0=c("r"), u=c("r"), p=c("r"))
     norms = [s.norm(c("r"))]
     rho = s.sums(a=c("r0") * c("r"))["a"]
     while not stop(norms) and rho:
-        s.times("t", pre(c("p")))
+        pre(s, "kp", c("p")).times("t", c("kp"))
         alpha = _ratio(rho, s.sums(a=c("r0") * c("t"))["a"])
-        s.let(q=c("u") - alpha * c("t")).let(w=pre(c("u") + c("q"))).times("aw", c("w"))
+        pre(s.let(q=c("u") - alpha * c("t")), "w", c("u") + c("q")).times("aw", c("w"))
         s.let(x=c("x") + alpha * c("w"), r=c("r") - alpha * c("aw"))
         got = s.sums(a=c("r0") * c("r"), rr=c("r") * c("r"))
         beta = _ratio(got["a"], rho)
         s.let(u=c("r") + beta * c("q")).let(p=c("u") + beta * beta * c("p") + beta * c("q"))
         rho = got["a"]
         norms.append(math.sqrt(got["rr"]))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def gmres(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, krylov: int = 10, jacobi: bool = False) -> Solution:
+def gmres(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, krylov: int = 10, jacobi: bool = False, preconditioner: Preconditioner | None = None) -> Solution:
     """Restarted every krylov steps. A new direction is made orthogonal to all former ones twice, by one aggregate each time."""
-    s, pre = _start(matrix, b, x0, jacobi)
+    s, pre = _start(matrix, b, x0, jacobi, preconditioner)
     norms = [s.norm(c("r"))]
     while not stop(norms):
-        s.let(z=pre(c("r")))
+        pre(s, "z", c("r"))
         beta = s.norm(c("z"))
         if not beta:
             break
@@ -197,7 +267,7 @@ def gmres(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion =
         rotations: list[tuple[float, float]] = []
         g = [beta]
         for k in range(krylov):
-            s.times("w", c(f"v{k}")).let(w=pre(c("w")))
+            pre(s.times("aw", c(f"v{k}")), "w", c("aw"))
             column = [0.0] * (k + 1)
             for _ in range(2):
                 got = s.sums(**{f"h{m}": c("w") * c(f"v{m}") for m in range(k + 1)})
@@ -227,15 +297,15 @@ def gmres(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion =
         x = c("x")
         for m, f in enumerate(y):
             x = x + f * c(f"v{m}")
-        s.df = s.df.select("i", "b", x.alias("x"), *(["d"] if jacobi else []))
+        s.df = s.df.select("i", "b", x.alias("x"), *(["d"] if "d" in s.df.columns else []))
         s.residual()
         norms[-1] = s.norm(c("r"))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def minres(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
+def minres(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
     """For symmetric matrices, also indefinite ones: Lanczos vectors and two Givens rotations a step."""
-    s, _ = _start(matrix, b, x0, False)
+    s = State(matrix, b, x0).residual()
     beta = s.norm(c("r"))
     norms = [beta]
     s.let(v=(c("r") / beta) if beta else 0.0, v_old=0.0, p=0.0, p_old=0.0)
@@ -259,12 +329,12 @@ def minres(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion
         norms.append(abs(zeta))
         if not beta_new or not rho1:
             break
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def qmr(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
+def qmr(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
     """Quasi-minimal residuals by two-sided Lanczos; needs products with the transposed matrix."""
-    s, _ = _start(matrix, b, x0, False)
+    s = State(matrix, b, x0).residual()
     s.let(v=c("r"), w=c("r"), p=0.0, q=0.0, d=0.0, s=0.0)
     rho = xi = s.norm(c("r"))
     norms = [rho]
@@ -297,12 +367,12 @@ def qmr(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = D
         s.let(x=c("x") + c("d"), r=c("r") - c("s"))
         rho, first = rho_new, False
         norms.append(s.norm(c("r")))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def tfqmr(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
+def tfqmr(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP) -> Solution:
     """Transpose-free quasi-minimal residuals; two half steps an iteration."""
-    s, _ = _start(matrix, b, x0, False)
+    s = State(matrix, b, x0).residual()
     s.let(w=c("r"), y=c("r"), rt=c("r"), d=0.0).times("ay", c("y")).let(v=c("ay"))
     tau = s.norm(c("r"))
     norms = [tau]
@@ -329,26 +399,26 @@ def tfqmr(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion =
         beta = rho_new / rho
         s.let(ay_old=c("ay"), y=c("w") + beta * c("y")).times("ay", c("y")).let(v=c("ay") + beta * (c("ay_old") + beta * c("v")))
         rho = rho_new
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def jacobi(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
+def jacobi(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
     """x + omega * D^-1 (b - A x): the Jacobi sweep written with the residual."""
     s = State(matrix, b, x0).with_diagonal().residual()
     norms = [s.norm(c("r"))]
     while not stop(norms):
         s.let(x=c("x") + omega * c("r") / c("d")).residual()
         norms.append(s.norm(c("r")))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
-def richardson(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
+def richardson(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
     s = State(matrix, b, x0).residual()
     norms = [s.norm(c("r"))]
     while not stop(norms):
         s.let(x=c("x") + omega * c("r")).residual()
         norms.append(s.norm(c("r")))
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
 def kaczmarz(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
@@ -369,7 +439,7 @@ def kaczmarz(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterio
         norms.append(s.norm(c("r")))
         if norms[-1] > norms[-2]:
             omega /= 2
-    return Solution(s.vector(), norms)
+    return s.solution(norms)
 
 
 def inverse(matrix: Matrix, eps: float = 1e-12, max_steps: int = 60) -> Matrix:
@@ -397,12 +467,39 @@ def inverse_solve(matrix: Matrix, b: Vector) -> Solution:
     return Solution(inverse(matrix).times(b), [])
 
 
+#: Rows of the largest system that decomposition_solve takes.
+MAX_ELIMINATED = 512
+
+
+def triangular_solve(matrix: Matrix, b: Vector, lower: bool = True, max_steps: int = 1000) -> Solution:
+    """The solution of a triangular system; entries on the other side of the diagonal are not read.
+
+    A step settles all rows whose rows before them are settled, so it takes as many steps as the
+    longest chain of rows that need one another.
+    """
+    side = Matrix(matrix.df.filter("i >= j" if lower else "i <= j"), matrix.n, matrix.m)
+    s = State(Matrix(side.df.filter("i != j"), matrix.n, matrix.m), b)
+    d = side.df.filter("i = j").select("i", c("v").alias("d"))
+    s.df = cut(s.df.join(d, "i", "left"))
+    norms = []
+    for _ in range(max_steps):
+        s.times("nx", c("x")).let(y=(c("b") - c("nx")) / c("d"))
+        norms.append(s.norm(c("y") - c("x")))
+        s.let(x=c("y"))
+        if norms[-1] == 0:
+            return s.solution(norms)
+    s.close()
+    raise ValueError(f"rows need one another over more than {max_steps} steps")
+
+
 def decomposition_solve(matrix: Matrix, b: Vector) -> Solution:
     """Gaussian elimination with pivoting by columns; a step is one projection over the remaining rows joined with the pivot row.
 
-    It takes as many steps as the matrix has rows: for small systems.
+    It takes as many steps as the matrix has rows, and refuses those of more than MAX_ELIMINATED.
     """
     n = matrix.n
+    if n > MAX_ELIMINATED:
+        raise ValueError(f"elimination takes a step a row: at most {MAX_ELIMINATED} rows, not {n}; use an iterative solver")
     table = cut(matrix.df.unionByName(b.to_dense().df.select("i", F.lit(n).cast("long").alias("j"), "v")))
     order: list[int] = []
     for k in range(n):
@@ -421,15 +518,15 @@ def decomposition_solve(matrix: Matrix, b: Vector) -> Solution:
     return Solution(Vector(rows, n, 0.0, False).to_dense(), [])
 
 
-def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, levels: int = 3, coarsest: int = 4, omega: float = 0.7, smooth: int = 2) -> Solution:
-    """V-cycles over aggregates of neighbouring indexes; Jacobi smooths, the inverse of the coarsest system is made once."""
+def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, levels: int = 3, coarsest: int = 4, omega: float = 0.7, smooth: int = 2, by: int = 2) -> Solution:
+    """V-cycles over aggregates of by neighbouring indexes; Jacobi smooths, the inverse of the coarsest system is made once."""
     spark = matrix.df.sparkSession
     grids = [Matrix(cut(matrix.df), matrix.n, matrix.n)]
     while len(grids) < levels and grids[-1].n > coarsest:
         fine = grids[-1]
-        half = -(-fine.n // 2)
-        rows = fine.df.groupBy(F.floor(c("i") / 2).cast("long").alias("i"), F.floor(c("j") / 2).cast("long").alias("j")).agg(F.sum("v").alias("v"))
-        grids.append(Matrix(cut(rows), half, half))
+        fewer = -(-fine.n // by)
+        rows = fine.df.groupBy(F.floor(c("i") / by).cast("long").alias("i"), F.floor(c("j") / by).cast("long").alias("j")).agg(F.sum("v").alias("v"))
+        grids.append(Matrix(cut(rows), fewer, fewer))
 
     coarse_inverse = Matrix(cut(inverse(grids[-1]).df), grids[-1].n, grids[-1].n)
 
@@ -444,9 +541,9 @@ def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = D
             return Vector(cut(coarse_inverse.times(rhs).df), a.n)
         x = smoothed(a, x, rhs)
         r = Vector(cut(a.times(x, -1.0, rhs, 1.0).df), a.n)
-        coarse = Vector(cut(r.df.groupBy(F.floor(c("i") / 2).cast("long").alias("i")).agg(F.sum("v").alias("v"))), grids[level + 1].n)
+        coarse = Vector(cut(r.df.groupBy(F.floor(c("i") / by).cast("long").alias("i")).agg(F.sum("v").alias("v"))), grids[level + 1].n)
         e = cycle(level + 1, Vector.fill(spark, coarse.n, 0.0), coarse)
-        add = x.df.select("i", "v", F.floor(c("i") / 2).cast("long").alias("k")).join(e.df.select(c("i").alias("k"), c("v").alias("e")), "k")
+        add = x.df.select("i", "v", F.floor(c("i") / by).cast("long").alias("k")).join(e.df.select(c("i").alias("k"), c("v").alias("e")), "k")
         return smoothed(a, Vector(add.select("i", (c("v") + c("e")).alias("v")), a.n), rhs)
 
     rhs = Vector(cut(b.to_dense().df), b.n)
@@ -461,7 +558,7 @@ def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = D
 
 SOLVERS: dict[str, Callable[..., Solution]] = {
     "cg": cg, "bicgstab": bicgstab, "cgs": cgs, "gmres": gmres, "minres": minres, "qmr": qmr, "tfqmr": tfqmr, "jacobi": jacobi,
-    "richardson": richardson, "kaczmarz": kaczmarz, "amg": amg, "inverse": inverse_solve, "decomposition": decomposition_solve,
+    "richardson": richardson, "kaczmarz": kaczmarz, "amg": amg, "inverse": inverse_solve, "decomposition": decomposition_solve, "triangular": triangular_solve,
 }
 
 
@@ -470,5 +567,5 @@ def register(name: str, solver: Callable[..., Solution]) -> None:
     SOLVERS[name] = solver
 
 
-def solve(matrix: Matrix, b: Vector, method: str = "cg", **options) -> Solution:
+def solve(matrix: "Matrix | Operator", b: Vector, method: str = "cg", **options) -> Solution:
     return SOLVERS[method](matrix, b, **options)

@@ -137,11 +137,11 @@ class Matrix:
         return Vector(self.df.filter(F.col("j") == j).select("i", "v"), self.n, 0.0, False)
 
     def put_row(self, i: int, row: Vector, op: str = "copy") -> "Matrix":
-        """Changes the stored places of a row."""
+        """Changes the stored places of a row; only that row is joined with the new values."""
         new = row.df.select(F.col("i").alias("j"), F.col("v").alias("y"))
-        rows = self.df.join(new, "j", "left")
         value = BINARY[op](F.col("v"), F.coalesce("y", F.lit(row.zero)))
-        return replace(self, df=rows.select("i", "j", F.when(F.col("i") == i, value).otherwise(F.col("v")).alias("v")))
+        changed = self.df.filter(F.col("i") == i).join(new, "j", "left").select("i", "j", value.alias("v"))
+        return replace(self, df=self.df.filter(F.col("i") != i).unionByName(changed))
 
     def put_column(self, j: int, column: Vector, op: str = "copy") -> "Matrix":
         return self.transpose().put_row(j, column, op).transpose()

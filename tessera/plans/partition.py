@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +90,12 @@ def block_sizes(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("owner").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
 
 
+def replicate(x: Vector, parts: int) -> DataFrame:
+    """(owner, i, v): all rows of x with each of the owners; copies are made per row."""
+    owners = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    return x.df.select(owners.alias("owner"), "i", "v")
+
+
 def halo(matrix: Matrix, owner_of, parts: int) -> DataFrame:
     """(owner, j, source): the columns that each owner's rows need from other owners."""
     needed = matrix.df.select(owner_of(F.col("i")).alias("owner"), "j", owner_of(F.col("j")).alias("source"))
@@ -102,13 +110,19 @@ def edge_cut(matrix: Matrix, owners: DataFrame) -> DataFrame:
     return e.join(a, "i").join(b, "j").agg(F.count_if(F.col("a") != F.col("b")).alias("cut"), F.count("*").alias("edges"))
 
 
+#: How much larger than its share a part of a graph partitioning may be.
+BALANCE = 1.05
+
+
 def weighted_blocks(matrix: Matrix, weights: list[float], rounds: int = 8) -> DataFrame:
     """(i, owner): a graph partitioning by rows.
 
     Rows start in blocks in proportion to the weights. In each round a row goes to the owner that
     most of its neighbours have if that cuts fewer edges and the owner has room (a twentieth above
     its share); half the rows, by parity of a hash, may move per round. Size counts and moves are
-    aggregates; a round is one written table.
+    aggregates; a round is one written table. Of all rounds' partitionings, the blocks included,
+    that with the fewest cut edges is returned, of those whose parts are within BALANCE of their
+    shares (rounded up): it cuts no more edges than the blocks do.
     """
     from tessera.plans.storage import cut
 
@@ -116,10 +130,17 @@ def weighted_blocks(matrix: Matrix, weights: list[float], rounds: int = 8) -> Da
     owners = matrix.df.sparkSession.range(n).select(F.col("id").alias("i"), general_block_owner(F.col("id"), general_block_offsets(n, weights)).alias("owner"))
     both = matrix.edges()
     both = cut(both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"))))
-    for k in range(rounds):
+    best_cut, best_owners = None, None
+    most = [math.ceil(BALANCE * n * w / total) for w in weights]
+    for k in range(rounds + 1):
         owners = cut(owners)
-        sizes = {r.owner: r.n for r in owners.groupBy("owner").agg(F.count("*").alias("n")).collect()}
-        room = F.create_map(*[x for p in range(parts) for x in (F.lit(p), F.lit(max(0, int(1.05 * n * weights[p] / total) - sizes.get(p, 0))))])
+        sizes = {r.owner: r.n for r in owners.groupBy("owner").agg(F.count("*").alias("n")).collect()}  # a row a part
+        now = edge_cut(matrix, owners).first().cut
+        if best_cut is None or (now < best_cut and all(sizes.get(p, 0) <= most[p] for p in range(parts))):
+            best_cut, best_owners = now, owners
+        if k == rounds:
+            break
+        room = F.create_map(*[x for p in range(parts) for x in (F.lit(p), F.lit(max(0, most[p] - sizes.get(p, 0))))])
         near = both.join(owners.select(F.col("i").alias("j"), F.col("owner").alias("o")), "j").groupBy("i", "o").agg(F.count("*").alias("c"))
         best = near.groupBy("i").agg(F.max_by("o", F.struct("c", -F.col("o"))).alias("best"), F.max("c").alias("gain"))
         mine = near.withColumnRenamed("o", "owner").withColumnRenamed("c", "stay")
@@ -127,4 +148,47 @@ def weighted_blocks(matrix: Matrix, weights: list[float], rounds: int = 8) -> Da
         share = F.element_at(room, F.col("best")) / F.lit(max(1.0, n / parts / 2))
         moves = (F.col("gain") > F.coalesce("stay", F.lit(0))) & (F.pmod(F.xxhash64("i"), F.lit(2)) == k % 2) & (F.pmod(F.xxhash64("i", F.lit(k)), F.lit(1000)) / 1000.0 < share)
         owners = rows.select("i", F.when(moves, F.col("best")).otherwise(F.col("owner")).alias("owner"))
-    return owners
+    return best_owners
+
+
+#: Owner functions by name: (index, number of indexes, parts) to an owner.
+DISTRIBUTIONS: dict[str, Callable[[Column, int, int], Column]] = {
+    "block": block_owner,
+    "cyclic": lambda i, n, parts: cyclic_owner(i, 1, parts),
+    "single": lambda i, n, parts: F.lit(0),
+}
+
+
+def register_distribution(name: str, owner: Callable[[Column, int, int], Column]) -> None:
+    """Make a distribution of one's own known to distribute()."""
+    DISTRIBUTIONS[name] = owner
+
+
+def distribute(x: "Vector | Matrix", name: str, parts: int) -> DataFrame:
+    """The rows of x dealt to the owners of a distribution by its name."""
+    return redistribute(x, DISTRIBUTIONS[name](F.col("i"), x.n, parts).cast("int"), parts)
+
+
+#: Partitionings of a square matrix's rows by name: (matrix, weights of the parts) to (i, owner).
+PARTITIONINGS: dict[str, Callable[[Matrix, list[float]], DataFrame]] = {
+    "block": lambda m, w: m.df.sparkSession.range(m.n).select(F.col("id").alias("i"), general_block_owner(F.col("id"), general_block_offsets(m.n, w)).alias("owner")),
+    "cyclic": lambda m, w: m.df.sparkSession.range(m.n).select(F.col("id").alias("i"), cyclic_owner(F.col("id"), 1, len(w)).alias("owner")),
+    "graph": weighted_blocks,
+}
+
+
+def partition(matrix: Matrix, weights: list[float], name: str = "graph") -> DataFrame:
+    """(i, owner) of the rows, by the partitioning's name."""
+    return PARTITIONINGS[name](matrix, weights)
+
+
+def rectangular(matrix: Matrix, weights: list[float], name: str = "graph") -> tuple[DataFrame, DataFrame]:
+    """Owners of rows and of columns of a rectangular matrix.
+
+    Rows are partitioned as the graph of rows that share columns is; a column goes to the owner with
+    most of its entries, of equals the smallest.
+    """
+    pattern = Matrix(matrix.df.select("i", "j", F.lit(1.0).alias("v")), matrix.n, matrix.m)
+    rows = partition(pattern.matmul(pattern.transpose()), weights, name)
+    shares = matrix.df.join(rows, "i").groupBy("j", "owner").agg(F.count("*").alias("n"))
+    return rows, shares.groupBy("j").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("owner"))

@@ -4,28 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUN = "spark.tessera.run"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or (in local tests only) a folder of our own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.tessera.shared.dir", None)
     if not base:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.shared.dir", base)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of the run's tables: that of scratch(), or one for all that is outside of it."""
+    return f"{shared_dir(spark)}/tessera/{spark.conf.get(RUN, 'tables')}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, tables go to a folder of their own, which is removed at the end: results must be written or collected before."""
+    before = spark.conf.get(RUN, None)
+    spark.conf.set(RUN, f"run-{uuid.uuid4().hex}")
+    path = run_dir(spark)
+    try:
+        yield path
+    finally:
+        if before is None:
+            spark.conf.unset(RUN)
+        else:
+            spark.conf.set(RUN, before)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import algebra, elementwise, files, grids, joins, order, partitions, reductions, systems
+from tessera.queries import algebra, complexes, elementwise, files, grids, joins, order, partitions, reductions, systems
 from tessera.queries.inputs import Tables, vector_out
 
-MODULES = (elementwise, joins, reductions, algebra, order, grids, partitions, files, systems)
+MODULES = (elementwise, joins, reductions, algebra, complexes, order, grids, partitions, files, systems)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

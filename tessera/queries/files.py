@@ -12,7 +12,7 @@ from tessera.plans.matrix import Matrix
 from tessera.plans.storage import shared_dir, stored
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
-from tessera.sources import binary, files, text
+from tessera.sources import files, text
 from tessera.streaming.assembly import folded_stream, run_once
 
 R = Registry()
@@ -42,33 +42,11 @@ def _(s, d):
     return vector_out(Vector(text.read_mtx_vector(s, dense).df.unionByName(moved), 0))
 
 
-def _decoded_here(s, content, decode, schema: str):
-    """Rows of a stored file's bytes, as the binary reader would give them."""
-
-    def run(frames):
-        for frame in frames:
-            for c in frame["content"]:
-                yield decode(bytes(c))
-
-    return stored(content, "content").mapInPandas(run, schema)
-
-
-@R.query("io04_mat", "SELECT i, j, round(v, 4) AS v FROM c")
-def _(s, d):
-    """A MATLAB file of the nations' trade, written as bytes and decoded."""
-    c = T(s, d).c
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"content": [binary.mat_bytes(25, 25, frame)]})
-
-    content = c.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
-    return matrix_out(Matrix(_decoded_here(s, content, lambda b: binary.decode_mat(b)[2], binary.TRIPLES), 25, 25))
-
-
-@R.query("io06_petsc", "SELECT i, j, round(v, 4) AS v FROM c")
-def _(s, d):
-    """A PETSc file of the nations' trade, written as bytes and decoded."""
-    return matrix_out(Matrix(_decoded_here(s, binary.petsc_bytes(T(s, d).c), binary.decode_petsc_matrix, binary.TRIPLES), 25, 25))
+R.add("io04_mat", lambda s, d: matrix_out(_through(s, T(s, d).s, "mat")), "SELECT i, j, round(v, 4) AS v FROM s")
+R.add("io05_samg", lambda s, d: matrix_out(_through(s, T(s, d).near, "frm"), 6), "SELECT i, j, round(v, 6) AS v FROM near")
+R.add("io05_samg_vector", lambda s, d: vector_out(_through(s, T(s, d).p, "frv")), "SELECT i, round(v, 4) AS v FROM p")
+R.add("io06_petsc", lambda s, d: matrix_out(_through(s, T(s, d).s, "psc")), "SELECT i, j, round(v, 4) AS v FROM s")
+R.add("io06_petsc_vector", lambda s, d: vector_out(_through(s, T(s, d).p, "psc")), "SELECT i, round(v, 4) AS v FROM p")
 
 
 @R.query("io07_txt", "SELECT i, j, round(v, 4) AS v FROM s")
@@ -93,9 +71,7 @@ def _image(s, d, kind: str):
     c = T(s, d).c
     grey = Vector(c.df.select((F.col("i") * 25 + F.col("j")).alias("i"), F.floor(F.col("v") * 10 % 256).cast("double").alias("v")), 625)
     rgb = grey.df.select((F.col("i") * 3).alias("i"), F.posexplode(F.array("v", F.lit(255) - F.col("v"), F.lit(7.0))).alias("k", "w")).select((F.col("i") + F.col("k")).alias("i"), F.col("w").alias("v"))
-    content = binary.image_bytes(Vector(rgb, 1875), Grid((25, 25, 3)), kind)
-    decode = binary.decode_png if kind == "png" else binary.decode_bmp
-    return vector_out(Vector(_decoded_here(s, content, lambda b: pd.DataFrame({"v": decode(b).reshape(-1).astype(float)}).reset_index(names="i"), binary.PAIRS), 1875))
+    return vector_out(_through(s, (Vector(rgb, 1875), Grid((25, 25, 3))), kind))
 
 
 _IMAGE = "SELECT (x * 25 + y) * 3 + k AS i, CASE WHEN g IS NULL THEN 0 WHEN k = 0 THEN g WHEN k = 1 THEN 255 - g ELSE 7 END::DOUBLE AS v FROM range(25) a(x), range(25) b(y), range(3) r(k) LEFT JOIN (SELECT i, j, floor((v * 10) % 256) AS g FROM c) q ON q.i = x AND q.j = y"

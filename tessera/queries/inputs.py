@@ -35,6 +35,9 @@ class Registry:
         return take
 
 
+SIZES: dict[tuple[str, str, str], int] = {}
+
+
 class Tables:
     """The vectors and matrices that queries start from."""
 
@@ -45,18 +48,22 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def size(self, table: str, key: str) -> int:
-        found = self.table(table).agg(F.max(key)).first()[0]
-        return 0 if found is None else found + 1
+        """One more than the greatest key; looked up once a session and folder."""
+        at = (self.spark.sparkContext.applicationId, self.dir, table)
+        if at not in SIZES:
+            found = self.table(table).agg(F.max(key)).first()[0]
+            SIZES[at] = 0 if found is None else found + 1
+        return SIZES[at]
 
     @property
     def x(self) -> Vector:
         """Dense: the total price of each order."""
-        return Vector.of(self.table("orders"), "o_orderkey", "o_totalprice")
+        return Vector.of(self.table("orders"), "o_orderkey", "o_totalprice", self.size("orders", "o_orderkey"))
 
     @property
     def t(self) -> Vector:
         """Dense: the total price of each order in 99991.7 (so that no value has few digits), less 2.5."""
-        return Vector.of(self.table("orders"), "o_orderkey", F.col("o_totalprice") / 99991.7 - 2.5)
+        return Vector.of(self.table("orders"), "o_orderkey", F.col("o_totalprice") / 99991.7 - 2.5, self.size("orders", "o_orderkey"))
 
     @property
     def y(self) -> Vector:
@@ -71,12 +78,12 @@ class Tables:
     @property
     def p(self) -> Vector:
         """Dense: the retail price of each part."""
-        return Vector.of(self.table("part"), "p_partkey", "p_retailprice")
+        return Vector.of(self.table("part"), "p_partkey", "p_retailprice", self.size("part", "p_partkey"))
 
     @property
     def b(self) -> Vector:
         """Dense: the balance of each customer."""
-        return Vector.of(self.table("customer"), "c_custkey", "c_acctbal")
+        return Vector.of(self.table("customer"), "c_custkey", "c_acctbal", self.size("customer", "c_custkey"))
 
     @property
     def a(self) -> Matrix:
@@ -123,7 +130,45 @@ class Tables:
     @property
     def known(self) -> Vector:
         """The solution that the systems are made of: 1, 2, 3, 1, ..."""
-        return Vector.of(self.table("nation"), "n_nationkey", F.col("n_nationkey") % 3 + 1)
+        return Vector.of(self.table("nation"), "n_nationkey", F.col("n_nationkey") % 3 + 1, self.size("nation", "n_nationkey"))
+
+    def _followed(self) -> DataFrame:
+        """(i, j, w): how often lines of the parts i and j follow one another in an order, in either order."""
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        then = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
+        pairs = lines.join(then, ["l_orderkey", "l_linenumber"]).filter("l_partkey != next")
+        both = pairs.select(F.col("l_partkey").alias("i"), F.col("next").alias("j")).unionByName(pairs.select(F.col("next").alias("i"), F.col("l_partkey").alias("j")))
+        return both.groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
+
+    @property
+    def near(self) -> Matrix:
+        """parts x parts: the graph of lines that follow one another, each weight divided by the roots of both degrees; its greatest eigenvalue is 1."""
+        w = self._followed()
+        degree = w.groupBy("i").agg(F.sum("w").alias("d"))
+        rows = w.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("e")), "j")
+        n = self.size("part", "p_partkey")
+        return Matrix(rows.select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("v")), n, n)
+
+    def _parts_system(self, skew: float) -> Matrix:
+        near = self.near
+        off = near.df.select("i", "j", (-F.col("v") * F.when(F.col("j") > F.col("i"), F.lit(1 + skew)).otherwise(F.lit(1.0))).alias("v"))
+        every = self.table("part").select(F.col("p_partkey").cast("long").alias("i"), F.col("p_partkey").cast("long").alias("j"), F.lit(3.0).alias("v"))
+        return Matrix(off.unionByName(every), near.n, near.n)
+
+    @property
+    def system(self) -> Matrix:
+        """parts x parts: 3 on the diagonal, less near; symmetric, with eigenvalues from 2 to 4."""
+        return self._parts_system(0.0)
+
+    @property
+    def skew_system(self) -> Matrix:
+        """As system, but not symmetric."""
+        return self._parts_system(0.5)
+
+    @property
+    def answer(self) -> Vector:
+        """The solution that the systems over parts are made of."""
+        return Vector.of(self.table("part"), "p_partkey", F.col("p_partkey") % 3 + 1, self.size("part", "p_partkey"))
 
 
 SQL = {
@@ -139,6 +184,10 @@ SQL = {
     "d": "d AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_discount) AS v FROM lineitem WHERE l_discount > 0.05 GROUP BY 1, 2)",
     "c": "c AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(l_extendedprice / 1e6) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)",
     "spd": "spd AS (SELECT l.n_nationkey::BIGINT AS i, r.n_nationkey::BIGINT AS j, CASE WHEN l.n_nationkey = r.n_nationkey THEN l.n_nationkey % 3 + 20.0 ELSE -1.0 END AS v FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey OR abs(l.n_nationkey - r.n_nationkey) <= 1)",
+    "followed": "followed AS (SELECT i, j, count(*)::DOUBLE AS w FROM (SELECT unnest([a.l_partkey, b.l_partkey]) AS i, unnest([b.l_partkey, a.l_partkey]) AS j FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber AND a.l_partkey <> b.l_partkey) GROUP BY 1, 2)",
+    "degree": "degree AS (SELECT i, sum(w) AS d FROM followed GROUP BY 1)",
+    "near": "near AS (SELECT f.i, f.j, f.w / sqrt(p.d * q.d) AS v FROM followed f JOIN degree p ON f.i = p.i JOIN degree q ON f.j = q.i)",
+    "answer": "answer AS (SELECT p_partkey AS i, (p_partkey % 3 + 1)::DOUBLE AS v FROM part)",
     "known": "known AS (SELECT n_nationkey::BIGINT AS i, (n_nationkey % 3 + 1)::DOUBLE AS v FROM nation)",
 }
 
@@ -149,7 +198,10 @@ def WITH_OF(sql: str) -> list[str]:  # noqa: N802
 
     if sql.lstrip().upper().startswith("WITH RECURSIVE"):
         return []
-    return [SQL[k] for k in SQL if re.search(rf"\b(FROM|JOIN|,)\s+{k}\b", sql)]
+    needs = {"near": ("followed", "degree"), "degree": ("followed",)}
+    named = {k for k in SQL if re.search(rf"\b(FROM|JOIN|,)\s+{k}\b", sql)}
+    named |= {n for k in named for n in needs.get(k, ())}
+    return [SQL[k] for k in SQL if k in named]
 
 
 def vector_out(v: Vector, digits: int = 4) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.plans import partition as part
 from tessera.plans.grid import Grid
+from tessera.plans.matrix import Matrix
 from tessera.plans.storage import stored
 from tessera.queries.inputs import Registry, Tables, vector_out
 
@@ -30,30 +33,51 @@ def _(s, d):
 R.add("r03_redistribute_matrix", lambda s, d: part.redistribute(T(s, d).s, part.block_owner(F.col("i"), T(s, d).s.n, 4), 4).groupBy("owner").agg(F.count("*").alias("nnz"), F.round(F.sum("v"), 2).alias("v")), "SELECT CAST(s.i // CAST(ceil((SELECT max(p_partkey) + 1 FROM part) / 4) AS BIGINT) AS INTEGER) AS owner, count(*) AS nnz, round(sum(v), 2) AS v FROM s GROUP BY 1")
 
 
-@R.query("r04_replicate", "SELECT a.i, a.j, round(a.v * p.v, 4) AS v FROM a JOIN p ON a.j = p.i")
+@R.query("r04_replicate", "SELECT CAST(k AS INTEGER) AS owner, i, round(v, 4) AS v FROM p, range(4) r(k)")
 def _(s, d):
-    """A vector with all of few values: Spark broadcasts it if its size allows."""
-    t = T(s, d)
-    return t.a.scale_columns(t.p).df.select("i", "j", F.round("v", 4).alias("v"))
+    """All of a vector with each of four owners."""
+    return part.replicate(T(s, d).p, 4).select("owner", "i", F.round("v", 4).alias("v"))
 
 
 R.add("r05_local_indexes", lambda s, d: T(s, d).x.df.select("i", part.cyclic_owner(F.col("i"), 3, 4).alias("owner"), part.cyclic_local(F.col("i"), 3, 4).alias("local"), part.block_local(F.col("i"), T(s, d).x.n, 4).alias("block_local")), "SELECT i, CAST((i // 3) % 4 AS INTEGER) AS owner, (i // 12) * 3 + i % 3 AS local, i % CAST(ceil((SELECT max(o_orderkey) + 1 FROM orders) / 4) AS BIGINT) AS block_local FROM x")
-R.add("r06_halo", lambda s, d: part.halo(T(s, d).spd, lambda i: part.block_owner(i, 25, 4), 4), "SELECT DISTINCT CAST(i // 7 AS INTEGER) AS owner, j, CAST(j // 7 AS INTEGER) AS source FROM spd WHERE i // 7 <> j // 7")
-R.add("r07_partition_block_cut", lambda s, d: part.edge_cut(T(s, d).spd, s.range(25).select(F.col("id").alias("i"), part.block_owner(F.col("id"), 25, 4).alias("owner"))), "SELECT count(*) FILTER (i // 7 <> j // 7) AS cut, count(*) AS edges FROM spd WHERE i < j")
+_BLOCK = "CAST({} // CAST(ceil((SELECT max(p_partkey) + 1 FROM part) / 4) AS BIGINT) AS INTEGER)"
+_I, _J = _BLOCK.format("near.i"), _BLOCK.format("near.j")
+R.add("r06_halo", lambda s, d: part.halo(T(s, d).near, lambda i: part.block_owner(i, T(s, d).size("part", "p_partkey"), 4), 4), f"SELECT DISTINCT {_I} AS owner, j, {_J} AS source FROM near WHERE {_I} <> {_J}")
+
+
+def _blocks(s, d):
+    n = T(s, d).size("part", "p_partkey")
+    return s.range(n).select(F.col("id").alias("i"), part.block_owner(F.col("id"), n, 4).alias("owner"))
 
 
-@R.query("r07_partition_graph", "SELECT true AS ok FROM region WHERE r_regionkey = 0")
+R.add("r07_partition_block_cut", lambda s, d: part.edge_cut(T(s, d).near, _blocks(s, d)), f"SELECT count(*) FILTER ({_I} <> {_J}) AS cut, count(*) AS edges FROM near WHERE i < j")
+
+
+@R.query("r07_partition_graph", "SELECT count(*) AS n, 4::BIGINT AS parts, true AS no_worse, true AS balanced FROM part")
 def _(s, d):
-    """A partitioning in four parts by refinement: every row has an owner, sizes are near equal, and it cuts no more edges than blocks do."""
-    m = T(s, d).spd
-    owners = part.weighted_blocks(m, [1, 1, 1, 1])
-    start = s.range(25).select(F.col("id").alias("i"), part.general_block_owner(F.col("id"), part.general_block_offsets(25, [1, 1, 1, 1])).alias("owner"))
-    before, after = part.edge_cut(m, start).first()[0], part.edge_cut(m, owners).select("cut")
-    sizes = owners.groupBy("owner").count().agg(F.sum("count").alias("n"), F.max("count").alias("m"))
-    return after.join(sizes).select(((F.col("cut") <= before + 2) & (F.col("n") == 25) & (F.col("m") <= 10)).alias("ok"))
+    """The graph of parts in four, by refinement: every row has an owner, no part is above 1.05 of its share, and no more edges are cut than by blocks."""
+    m = T(s, d).near
+    m = Matrix(stored(m.df, "near"), m.n, m.n)
+    owners = part.partition(m, [1, 1, 1, 1])
+    before, after = part.edge_cut(m, _blocks(s, d)).first().cut, part.edge_cut(m, owners).first().cut
+    sizes = owners.groupBy("owner").agg(F.count("*").alias("n"))
+    most = math.ceil(part.BALANCE * m.n / 4)
+    return sizes.agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.lit(after <= before).alias("no_worse"), (F.max("n") <= most).alias("balanced"))
 
 
-R.add("r08_graph_edges", lambda s, d: T(s, d).spd.edges(), "SELECT i, j FROM spd WHERE i < j")
+@R.query("r07_partition_rectangular", f"SELECT j, CAST(arg_max(o, (n, -o)) AS INTEGER) AS owner FROM (SELECT s.j, s.i // CAST(ceil((SELECT max(p_partkey) + 1 FROM part) / 4) AS BIGINT) AS o, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY j")
+def _(s, d):
+    """Parts by blocks; suppliers go where most of their parts are."""
+    return part.rectangular(T(s, d).s, [1, 1, 1, 1], "block")[1]
+
+
+R.add("r08_graph_edges", lambda s, d: T(s, d).near.edges(), "SELECT i, j FROM near WHERE i < j")
 R.add("r09_all_to_all", lambda s, d: T(s, d).x.df.groupBy(part.block_owner(F.col("i"), T(s, d).x.n, 4).alias("source"), part.cyclic_owner(F.col("i"), 1, 4).alias("target")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v")), "SELECT CAST(i // CAST(ceil((SELECT max(o_orderkey) + 1 FROM orders) / 4) AS BIGINT) AS INTEGER) AS source, CAST(i % 4 AS INTEGER) AS target, count(*) AS n, round(sum(v), 2) AS v FROM x GROUP BY 1, 2")
 R.add("r10_processor_grid", lambda s, d: T(s, d).table("region").filter("r_regionkey = 0").select(F.lit(part.proc_grid(12, (60, 20))[0]).alias("p"), F.lit(part.proc_grid(12, (60, 20))[1]).alias("q")), "SELECT 6 AS p, 2 AS q FROM region WHERE r_regionkey = 0")
-R.add("f07_own_distribution", lambda s, d: vector_out(T(s, d).x).withColumn("owner", F.pmod(F.col("i") * 7, F.lit(5)).cast("int")), "SELECT i, round(v, 4) AS v, CAST((i * 7) % 5 AS INTEGER) AS owner FROM x")
+
+
+@R.query("f07_own_distribution", "SELECT CAST((i * 7) % 5 AS INTEGER) AS owner, count(*) AS n, min(i) AS first, max(i) AS last FROM x GROUP BY 1")
+def _(s, d):
+    """A distribution that is registered by its name, and rows dealt by it."""
+    part.register_distribution("sevens", lambda i, n, parts: F.pmod(i * 7, F.lit(parts)))
+    return part.block_sizes(part.distribute(T(s, d).x, "sevens", 5))

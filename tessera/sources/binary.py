@@ -1,4 +1,4 @@
-"""Binary files: each is one row of Spark's binaryFile source and is decoded where it lies; many files are many rows."""
+"""Binary files: each is one row of Spark's binaryFile source and is decoded where it lies; many files are many rows. Written ones are encoded by tasks, range by range."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.complex import ComplexMatrix
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
+from tessera.plans.storage import stored
 from tessera.plans.vector import Vector
 
 
@@ -35,6 +39,41 @@ def _triples(ia: np.ndarray, ja: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"i": np.repeat(np.arange(len(ia) - 1), np.diff(ia)), "j": ja.astype(np.int64), "v": v.astype(float)})
 
 
+def _pieces(rows: DataFrame, order: list[str], column: str, kind: str, section: int) -> DataFrame:
+    """(section, part, k, content): the values of a column as bytes of a numpy type, in order; each task encodes its range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((section, part, k, b.column(0).to_numpy(zero_copy_only=False).astype(kind).tobytes()), _PIECE)], schema=_PIECE)
+
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(column)
+    return dealt.mapInArrow(run, PIECES)
+
+
+def _literal(spark: SparkSession, section: int, content: bytes) -> DataFrame:
+    return spark.createDataFrame([(section, 0, 0, bytearray(content))], PIECES)
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """One binary file of the pieces in their order.
+
+    Pieces are made and sorted by tasks. A file of these formats is one stream of bytes, so the driver
+    passes them on, piece by piece, a partition at a time.
+    """
+    spark = pieces.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for r in stored(pieces, "pieces").orderBy("section", "part", "k").select("content").toLocalIterator():
+            out.write(bytearray(r.content))
+    finally:
+        out.close()
+
+
+PIECES = "section int, part int, k int, content binary"
+_PIECE = pa.schema([("section", pa.int32()), ("part", pa.int32()), ("k", pa.int32()), ("content", pa.binary())])
 TRIPLES, PAIRS = "i long, j long, v double", "i long, v double"
 
 # Fixed values of the PETSc binary format: class ids of matrices and vectors.
@@ -59,24 +98,17 @@ def read_petsc(spark: SparkSession, path: str) -> "Matrix | Vector":
     return Matrix(_decoded(spark, path, decode_petsc_matrix, TRIPLES), n, m)
 
 
-def petsc_bytes(matrix: "Matrix | Vector") -> DataFrame:
-    """(content) of one file. Such a file is one value, so this suits what one task can hold; larger matrices go to Parquet."""
-    if isinstance(matrix, Vector):
-        n = matrix.n
-
-        def vector(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"content": [struct.pack(">2i", PETSC_VECTOR, n) + frame.sort_values("i")["v"].to_numpy().astype(">f8").tobytes()]})
-
-        return matrix.to_dense().df.groupBy(F.lit("all").alias("file")).applyInPandas(vector, "content binary")
-    n, m = matrix.n, matrix.m
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["i", "j"])
-        sizes = np.bincount(frame["i"], minlength=n)
-        content = struct.pack(">4i", PETSC_MATRIX, n, m, len(frame)) + sizes.astype(">i4").tobytes() + frame["j"].to_numpy().astype(">i4").tobytes() + frame["v"].to_numpy().astype(">f8").tobytes()
-        return pd.DataFrame({"content": [content]})
-
-    return matrix.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
+def write_petsc(x: "Matrix | Vector", path: str) -> None:
+    spark = x.df.sparkSession
+    if isinstance(x, Vector):
+        head = _literal(spark, 0, struct.pack(">2i", PETSC_VECTOR, x.n))
+        return write_pieces(head.unionByName(_pieces(x.to_dense().df, ["i"], "v", ">f8", 1)), path)
+    nnz = x.df.count()
+    pieces = _literal(spark, 0, struct.pack(">4i", PETSC_MATRIX, x.n, x.m, nnz))
+    pieces = pieces.unionByName(_pieces(x.row_sizes().to_dense().df, ["i"], "v", ">i4", 1))
+    for section, column, kind in ((2, "j", ">i4"), (3, "v", ">f8")):
+        pieces = pieces.unionByName(_pieces(x.df, ["i", "j"], column, kind, section))
+    write_pieces(pieces, path)
 
 
 def read_samg(spark: SparkSession, header_path: str, data_path: str) -> Matrix:
@@ -119,9 +151,27 @@ def read_samg_vector(spark: SparkSession, header_path: str, data_path: str) -> V
     return Vector(_decoded(spark, data_path, lambda d: pd.DataFrame({"i": np.arange(n), "v": np.frombuffer(d, kind, n).astype(float)}), PAIRS), n)
 
 
+def write_samg(matrix: Matrix, path: str) -> None:
+    """A text header (.frm) and beside it the binary data (.amg), little-endian."""
+    spark = matrix.df.sparkSession
+    if matrix.n != matrix.m:
+        raise ValueError("this format holds square matrices")
+    nnz = matrix.df.count()
+    write_pieces(_literal(spark, 0, f"b 4\n{nnz} {matrix.n} 22 1 0\n".encode()), path)
+    data = _pieces(matrix.offsets().scalar("add", 1.0).df, ["i"], "v", "<i4", 0)
+    data = data.unionByName(_pieces(matrix.df.select("i", "j", (F.col("j") + 1).alias("c")), ["i", "j"], "c", "<i4", 1))
+    write_pieces(data.unionByName(_pieces(matrix.df, ["i", "j"], "v", "<f8", 2)), path[:-3] + "amg")
+
+
+def write_samg_vector(x: Vector, path: str) -> None:
+    """A text header (.frv) and beside it the binary values (.vec), little-endian."""
+    write_pieces(_literal(x.df.sparkSession, 0, f"b\n{x.n}\n8\n".encode()), path)
+    write_pieces(_pieces(x.to_dense().df, ["i"], "v", "<f8", 0), path[:-3] + "vec")
+
+
 # Fixed values of MATLAB's level-5 files: data types, array classes.
 MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
-MAT_MATRIX, MAT_PACKED, MAT_SPARSE = 14, 15, 5
+MAT_MATRIX, MAT_PACKED, MAT_SPARSE, MAT_COMPLEX = 14, 15, 5, 0x800
 
 
 def _mat_elements(d: bytes, at: int, end: int, order: str):
@@ -137,8 +187,8 @@ def _mat_elements(d: bytes, at: int, end: int, order: str):
         yield kind, d[body : body + size]
 
 
-def decode_mat(d: bytes) -> tuple[int, int, pd.DataFrame]:
-    """(rows, columns, (i, j, v)) of the first real or complex array of a level-5 file; of complex values the real part."""
+def decode_mat(d: bytes) -> tuple[int, int, bool, pd.DataFrame]:
+    """(rows, columns, whether complex, (i, j, re, im)) of the first real or complex array of a level-5 file."""
     order = "<" if d[126:128] == b"IM" else ">"
     for kind, body in _mat_elements(d, 128, len(d), order):
         if kind == MAT_PACKED:
@@ -150,32 +200,48 @@ def decode_mat(d: bytes) -> tuple[int, int, pd.DataFrame]:
         flags = struct.unpack_from(order + "I", parts[0][1])[0]
         n, m = struct.unpack_from(order + "2i", parts[1][1])
         number = lambda p: np.frombuffer(p[1], order + MAT_TYPES[p[0]])
+        is_complex = bool(flags & MAT_COMPLEX)
         if flags & 0xFF == MAT_SPARSE:
-            ir, jc, v = number(parts[3]), number(parts[4]), number(parts[5]).astype(float)
+            ir, jc = number(parts[3]), number(parts[4])
             nnz = int(jc[-1])
-            return n, m, pd.DataFrame({"i": ir[:nnz].astype(np.int64), "j": np.repeat(np.arange(m), np.diff(jc)), "v": v[:nnz]})
-        v = number(parts[3]).astype(float)
-        at = np.arange(n * m)
-        return n, m, pd.DataFrame({"i": at % n, "j": at // n, "v": v})
+            place = {"i": ir[:nnz].astype(np.int64), "j": np.repeat(np.arange(m), np.diff(jc))}
+            values = [number(p).astype(float)[:nnz] for p in parts[5:7]]
+        else:
+            at = np.arange(n * m)
+            place = {"i": at % n, "j": at // n}
+            values = [number(p).astype(float) for p in parts[3:5]]
+        return n, m, is_complex, pd.DataFrame(place | {"re": values[0], "im": values[1] if is_complex else 0.0})
     raise ValueError("no numeric array in the file")
 
 
-def read_mat(spark: SparkSession, path: str) -> Matrix:
-    shape = _decoded(spark, path, lambda d: pd.DataFrame([decode_mat(d)[:2]], columns=["n", "m"]), "n long, m long").first()
-    return Matrix(_decoded(spark, path, lambda d: decode_mat(d)[2], TRIPLES), shape.n, shape.m)
-
-
-def mat_bytes(n: int, m: int, rows: pd.DataFrame, name: str = "A") -> bytes:
-    """A sparse level-5 array of the triples (one task's worth)."""
-    rows = rows.sort_values(["j", "i"])
-
-    def element(kind: int, body: bytes) -> bytes:
-        return struct.pack("<II", kind, len(body)) + body + bytes(-len(body) % 8)
-
-    jc = np.concatenate(([0], np.cumsum(np.bincount(rows["j"], minlength=m)))).astype("<i4")
-    body = element(6, struct.pack("<II", MAT_SPARSE, max(1, len(rows)))) + element(5, struct.pack("<2i", n, m)) + element(1, name.encode())
-    body += element(5, rows["i"].to_numpy().astype("<i4").tobytes()) + element(5, jc.tobytes()) + element(9, rows["v"].to_numpy().astype("<f8").tobytes())
-    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x100) + b"IM" + element(MAT_MATRIX, body)
+def read_mat(spark: SparkSession, path: str) -> "Matrix | ComplexMatrix":
+    shape = _decoded(spark, path, lambda d: pd.DataFrame([decode_mat(d)[:3]], columns=["n", "m", "c"]), "n long, m long, c boolean").first()
+    rows = _decoded(spark, path, lambda d: decode_mat(d)[3], "i long, j long, re double, im double")
+    if shape.c:
+        return ComplexMatrix(rows, shape.n, shape.m)
+    return Matrix(rows.select("i", "j", F.col("re").alias("v")), shape.n, shape.m)
+
+
+def write_mat(x: "Matrix | ComplexMatrix", path: str, name: str = "A") -> None:
+    """A level-5 file with one sparse array."""
+    spark, n, m = x.df.sparkSession, x.n, x.m
+    is_complex = isinstance(x, ComplexMatrix)
+    rows = x.df if is_complex else x.df.withColumnRenamed("v", "re")
+    nnz = rows.count()
+    columns = Matrix(rows.select("i", "j", F.col("re").alias("v")), n, m).transpose().offsets()
+    tag = lambda kind, size: struct.pack("<II", kind, size)
+    pad = lambda size: bytes(-size % 8)
+    label = name.encode()
+    flags = MAT_SPARSE | (MAT_COMPLEX if is_complex else 0)
+    head = tag(6, 8) + struct.pack("<II", flags, max(1, nnz)) + tag(5, 8) + struct.pack("<2i", n, m) + tag(1, len(label)) + label + pad(len(label))
+    parts = [(5, 4 * nnz, rows, "i", "<i4"), (5, 4 * (m + 1), None, "v", "<i4"), *((9, 8 * nnz, rows, c, "<f8") for c in (("re", "im") if is_complex else ("re",)))]
+    total = len(head) + sum(8 + size + len(pad(size)) for _, size, *_ in parts)
+    pieces = _literal(spark, 0, b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x100) + b"IM" + tag(MAT_MATRIX, total) + head)
+    for k, (kind, size, values, column, numbers) in enumerate(parts):
+        pieces = pieces.unionByName(_literal(spark, 3 * k + 1, tag(kind, size)))
+        pieces = pieces.unionByName(_pieces(columns.df, ["i"], column, numbers, 3 * k + 2) if values is None else _pieces(values, ["j", "i"], column, numbers, 3 * k + 2))
+        pieces = pieces.unionByName(_literal(spark, 3 * k + 3, pad(size)))
+    write_pieces(pieces, path)
 
 
 def decode_bmp(d: bytes) -> np.ndarray:
@@ -256,7 +322,7 @@ def read_image(spark: SparkSession, path: str) -> tuple[Vector, Grid]:
 
 
 def image_bytes(x: Vector, grid: Grid, kind: str = "png") -> DataFrame:
-    """(content) of one image file of a height x width x 3 grid (one task's worth)."""
+    """(content) of one image file of a height x width x 3 grid: an image is one value, made by one task."""
     encode = png_bytes if kind == "png" else bmp_bytes
     shape = grid.shape
 
@@ -268,6 +334,12 @@ def image_bytes(x: Vector, grid: Grid, kind: str = "png") -> DataFrame:
     return x.df.groupBy(F.lit("all").alias("file")).applyInPandas(whole, "content binary")
 
 
+def write_image(image: tuple[Vector, Grid], path: str) -> None:
+    """A vector over a height x width x 3 grid as a .bmp or .png file."""
+    content = image_bytes(*image, "png" if path.endswith(".png") else "bmp")
+    write_pieces(content.select(*[F.lit(0).alias(c) for c in ("section", "part", "k")], "content"), path)
+
+
 def false_colours(x: Vector, grid: Grid, low: float, high: float) -> tuple[Vector, Grid]:
     """A two-dimensional grid as red, green, blue: blue for low over green to red for high."""
     t = F.least(F.greatest((F.col("v") - F.lit(float(low))) / F.lit(float(high - low or 1.0)), F.lit(0.0)), F.lit(1.0))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.complex import ComplexMatrix
 from tessera.plans.matrix import Matrix
 from tessera.plans.vector import Vector
 from tessera.sources import binary, text
@@ -40,8 +41,14 @@ READERS: dict[str, Callable[[SparkSession, str], "Vector | Matrix"]] = {
 }
 WRITERS: dict[str, Callable[["Vector | Matrix", str], None]] = {
     "tsr": _native_write,
-    "mtx": lambda x, path: text.write_mtx_vector(x, path) if isinstance(x, Vector) else text.write_mtx(x, path),
+    "mtx": lambda x, path: text.write_mtx_complex(x, path) if isinstance(x, ComplexMatrix) else text.write_mtx_vector(x, path) if isinstance(x, Vector) else text.write_mtx(x, path),
     "txt": text.write_txt,
+    "psc": binary.write_petsc,
+    "mat": binary.write_mat,
+    "frm": binary.write_samg,
+    "frv": binary.write_samg_vector,
+    "bmp": binary.write_image,
+    "png": binary.write_image,
 }
 
 
@@ -62,7 +69,7 @@ def read(spark: SparkSession, path: str) -> "Vector | Matrix":
 
 
 def write(x: "Vector | Matrix", path: str, kind: str | None = None) -> None:
-    """kind casts the values before (float, int, ...)."""
+    """By the path's suffix. kind casts the values before (float, int, ...). Images are vectors with a shape: see binary.Image."""
     if kind:
         x = x.cast(kind) if isinstance(x, Vector) else x._with(F.col("v").cast(kind).cast("double"))
     WRITERS[suffix_of(path)](x, path)

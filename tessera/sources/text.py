@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.complex import ComplexMatrix
 from tessera.plans.matrix import Matrix
 from tessera.plans.scan import ranked
 from tessera.plans.vector import Vector
@@ -21,6 +23,7 @@ class Header:
     kind: str  # real, integer, complex or pattern
     symmetry: str
     sizes: tuple[int, ...]
+    line: str = ""
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,20 +33,36 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header(spark: SparkSession, path: str) -> Header:
-    """What the first lines of a Matrix Market file say; reads no entries."""
-    banner = _lines(spark, path).filter(F.col("value").startswith(BANNER)).orderBy("at").first()
-    sizes = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != "")).orderBy("at").first()
-    if banner is None or sizes is None:
+    """What the first lines of a Matrix Market file (or of the first file of a folder) say; no entries are read."""
+    lines = (x.strip() for x in first_lines(spark, path))
+    banner = next(lines, "")
+    sizes = next((x for x in lines if x and not x.startswith("%")), None)
+    if not banner.startswith(BANNER) or sizes is None:
         raise ValueError(f"{path} is no Matrix Market file")
-    _, item, form, kind, symmetry = banner.value.lower().split()
-    return Header(item, form, kind, symmetry, tuple(int(x) for x in sizes.value.split()))
+    _, item, form, kind, symmetry = banner.lower().split()
+    return Header(item, form, kind, symmetry, tuple(int(x) for x in sizes.split()), sizes)
+
+
+def first_lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The lines of a text file, or of the files of a folder by name, read as far as they are asked for."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(where) if not s.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+    for part in parts:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(part), "UTF-8"))
+        try:
+            while (line := reader.readLine()) is not None:
+                yield line
+        finally:
+            reader.close()
 
 
 def read_mtx_complex(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     """((i, j, re, im), header): 0-based; the halves of symmetric files are mirrored, array files are read by columns."""
     head = header(spark, path)
     lines = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != ""))
-    first = lines.agg(F.min("at").alias("first"))
+    first = lines.filter(F.col("value") == head.line).agg(F.min("at").alias("first"))  # entries that read the same come later
     body = lines.join(F.broadcast(first), F.col("at") > F.col("first")).select("at", F.split("value", r"\s+").alias("f"))  # a single row is broadcast
     number = lambda k: F.col("f")[k].cast("double")
     if head.form == "coordinate":
@@ -66,9 +85,11 @@ def read_mtx_complex(spark: SparkSession, path: str) -> tuple[DataFrame, Header]
     return rows, head
 
 
-def read_mtx(spark: SparkSession, path: str) -> Matrix:
+def read_mtx(spark: SparkSession, path: str) -> "Matrix | ComplexMatrix":
     rows, head = read_mtx_complex(spark, path)
     n, m = head.sizes[0], head.sizes[1] if len(head.sizes) > 1 else 1
+    if head.kind == "complex":
+        return ComplexMatrix(rows.select("i", "j", "re", "im"), n, m)
     return Matrix(rows.select("i", "j", F.col("re").alias("v")), n, m)
 
 
@@ -95,6 +116,16 @@ def write_mtx(matrix: Matrix, path: str, kind: str = "real") -> None:
     _write_lines(banner.unionByName(head).unionByName(body), path)
 
 
+def write_mtx_complex(matrix: ComplexMatrix, path: str) -> None:
+    """A general coordinate file of complex values in row order."""
+    spark = matrix.df.sparkSession
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    body = matrix.df.select((F.col("i") + 1).alias("at"), F.col("j").alias("sub"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "re", "im").alias("value"))
+    head = matrix.df.agg(F.concat(F.lit(f"{matrix.n} {matrix.m} "), F.count("*").cast("string")).alias("value")).select(zero.alias("at"), one.alias("sub"), "value")
+    banner = spark.range(1).select(zero.alias("at"), zero.alias("sub"), F.lit(f"{BANNER} matrix coordinate complex general").alias("value"))
+    _write_lines(banner.unionByName(head).unionByName(body), path)
+
+
 def write_mtx_vector(x: Vector, path: str) -> None:
     """An array file of n values, or a coordinate file of the stored ones of a sparse vector."""
     spark = x.df.sparkSession

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.operators import applications as app
 from tessera.operators import fft, generate
 from tessera.operators.assembly import assemble_matrix, assemble_vector
-from tessera.operators.solvers import SOLVERS, inverse, iterations, residual_below, solve
+from tessera.operators.solvers import SOLVERS, Operator, by_solver, decomposition_solve, diagonal, inverse, iterations, residual_below, solve, triangular_solve, trivial
+from tessera.plans.complex import ComplexMatrix, ComplexVector
 from tessera.plans.grid import Grid, Stencil, apply_stencil, stencil_matrix
 from tessera.plans.matrix import Matrix
 from tessera.plans.partition import edge_cut, general_block_offsets, proc_grid, weighted_blocks
@@ -133,7 +134,8 @@ S3 = np.array([[9, 1, 2], [1, 7, 1], [2, 1, 8]], float)
 def test_solvers(spark, method):
     a = S3 if method in ("cg", "minres", "amg", "kaczmarz") else A3
     x = np.array([1, 2, -1.0])
-    options = {} if method in ("inverse", "decomposition", "damped") else {"stop": residual_below(1e-6) | iterations(30)}
+    a = np.tril(a) if method == "triangular" else a
+    options = {} if method in ("inverse", "decomposition", "damped", "triangular") else {"stop": residual_below(1e-6) | iterations(30)}
     if method == "richardson":
         options["omega"] = 0.1
     if method == "kaczmarz":
@@ -199,9 +201,16 @@ def test_samg_and_petsc(spark, tmp_path):
     (tmp_path / "x.frm").write_text("x 4\n4 3 22 1 0\n")
     (tmp_path / "x.amg").write_bytes(np.array([1, 3, 3, 5, 1, 3, 2, 3], ">i4").tobytes() + np.array([5, 6, 7, 8], ">f8").tobytes())
     assert dense(files.read(spark, f"{tmp_path}/x.frm")).tolist() == want
-    (tmp_path / "a.psc").write_bytes(bytes(binary.petsc_bytes(mat(spark, want)).first()[0]))
+    raw = np.array([1211216, 3, 3, 4, 2, 0, 2, 0, 2, 1, 2], ">i4").tobytes() + np.array([5, 6, 7, 8], ">f8").tobytes()
+    (tmp_path / "a.psc").write_bytes(raw)
     assert dense(files.read(spark, f"{tmp_path}/a.psc")).tolist() == want
-    (tmp_path / "v.psc").write_bytes(bytes(binary.petsc_bytes(vec(spark, [1, 2, 3])).first()[0]))
+    for suffix in ("psc", "frm", "mat"):
+        files.write(mat(spark, want), f"{tmp_path}/b.{suffix}")
+        assert dense(files.read(spark, f"{tmp_path}/b.{suffix}")).tolist() == want
+    assert (tmp_path / "b.psc").read_bytes() == raw
+    files.write(vec(spark, [1, 2, 3]), f"{tmp_path}/v.psc")
+    files.write(vec(spark, [1, 2, 3]), f"{tmp_path}/w.frv")
+    assert values(files.read(spark, f"{tmp_path}/w.frv")).tolist() == [1, 2, 3]
     assert values(files.read(spark, f"{tmp_path}/v.psc")).tolist() == [1, 2, 3]
     (tmp_path / "v.frv").write_text("f\n3\n8\n")
     (tmp_path / "v.vec").write_text("1.5\n2\n3\n")
@@ -215,10 +224,84 @@ def test_images_and_mat(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(binary.png_bytes(pixels))
     x, grid = binary.read_image(spark, f"{tmp_path}/a.png")
     assert grid.shape == (5, 7, 3) and (values(x).reshape(5, 7, 3) == pixels).all()
-    frame = pd.DataFrame({"i": [0, 2, 1], "j": [0, 0, 3], "v": [1.5, -2.0, 3.0]})
-    (tmp_path / "a.mat").write_bytes(binary.mat_bytes(3, 4, frame))
+    for suffix in ("png", "bmp"):
+        files.write((x, grid), f"{tmp_path}/b.{suffix}")
+        assert (values(files.read(spark, f"{tmp_path}/b.{suffix}")).reshape(5, 7, 3) == pixels).all()
+    a = np.array([[1.5, 0, 0, 0], [0, 0, 0, 3], [-2, 0, 0, 0]])
+    files.write(mat(spark, a), f"{tmp_path}/a.mat")
     got = files.read(spark, f"{tmp_path}/a.mat")
-    assert dense(got)[2, 0] == -2 and dense(got)[1, 3] == 3 and (got.n, got.m) == (3, 4)
+    assert (dense(got) == a).all() and (got.n, got.m) == (3, 4)
+
+
+def test_complex_vectors_and_matrices(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(4, 3)) + 1j * rng.normal(size=(4, 3))
+    m = ComplexMatrix(spark.createDataFrame([(i, j, float(z[i, j].real), float(z[i, j].imag)) for i in range(4) for j in range(3)], "i long, j long, re double, im double"), 4, 3)
+    vector = lambda v: ComplexVector(spark.createDataFrame([(k, float(x.real), float(x.imag)) for k, x in enumerate(v)], "i long, re double, im double"), len(v))
+
+    def array(x):
+        out = np.zeros(x.n, complex)
+        for r in x.df.collect():
+            out[r.i] = complex(r.re, r.im)
+        return out
+
+    x, y = z[0], z[:, 1]
+    forms = {"normal": z, "conj": z.conj(), "transpose": z.T, "conj_transpose": z.conj().T}
+    for name, want in forms.items():
+        at, base = (x, y) if want.shape == (4, 3) else (y, x)
+        assert np.allclose(array(m.times(vector(at), 2 - 1j, vector(base), 1j, name)), (2 - 1j) * want @ at + 1j * base)
+    assert np.allclose(complex(*vector(y).dot(vector(y * 2j)).first()), np.vdot(y, y * 2j))
+    assert np.isclose(vector(y).l2_norm().first()[0], np.linalg.norm(y)) and np.isclose(vector(y).max_norm().first()[0], abs(y).max())
+    assert np.isclose(vector(y).l1_norm().first()[0], (abs(y.real) + abs(y.imag)).sum())
+    assert np.allclose(array(vector(y).plus(vector(y).conj(), 1j, 3)), 1j * y + 3 * y.conj())
+    assert m.matmul(m, "conj_transpose").is_hermitian().first()[0] in (True, False) and not m.form("normal").l2_norm().first()[0] == 0
+    for suffix in ("mat", "mtx"):
+        files.write(m, f"{tmp_path}/c.{suffix}")
+        got = files.read(spark, f"{tmp_path}/c.{suffix}")
+        assert {(r.i, r.j): complex(r.re, r.im) for r in got.df.collect()} == {(i, j): z[i, j] for i in range(4) for j in range(3)}
+
+
+def test_implicit_values_are_ieee():
+    from tessera.functions.scalar import python_value
+
+    inf, nan = float("inf"), float("nan")
+    same = lambda a, b: a == b or (a != a and b != b)
+    wanted = {("exp", 1000): inf, ("exp", -inf): 0, ("pow", 0, -1): inf, ("pow", -2, 0.5): nan, ("floor", inf): inf, ("ceil", nan): nan, ("log", 0): -inf, ("log", -1): nan, ("sqrt", -1): nan, ("sin", inf): nan, ("divide", 0, 0): nan, ("divide", -3, 0): -inf, ("modulo", 5, 0): nan, ("max", nan, 1): nan, ("min", nan, 1): 1, ("sqr", 1e200): inf, ("reciprocal", 0): inf, ("sign", nan): 0, ("sign", -inf): -1}
+    for (op, *x), want in wanted.items():
+        assert same(python_value(op, *map(float, x)), want), (op, x)
+
+
+def test_implicit_values_are_those_of_columns(spark):
+    from tessera.functions.scalar import BINARY, UNARY, python_value
+
+    points = [0.0, -1.0, 1000.0, 2.5, float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(a, b) for a in points for b in points], "a double, b double")
+    got = rows.select("a", "b", *[f(F.col("a")).alias(n) for n, f in UNARY.items()], *[f(F.col("a"), F.col("b")).alias(f"two {n}") for n, f in BINARY.items()]).collect()
+    for r in got:
+        for n in UNARY:
+            assert np.isclose(r[n], python_value(n, r.a), equal_nan=True), (n, r.a, r[n])
+        for n in BINARY:
+            assert np.isclose(r[f"two {n}"], python_value(n, r.a, r.b), equal_nan=True), (n, r.a, r.b, r[f"two {n}"])
+
+
+def test_operators_and_preconditioners(spark):
+    x = np.array([1, 2, -1.0])
+    a, b = mat(spark, S3), vec(spark, S3 @ x)
+    by = Operator(3, lambda v: a.times(v), lambda v: a.times(v, transposed=True), a.diagonal().to_dense())
+    for method in ("cg", "bicgstab", "cgs", "gmres"):
+        for pre in (trivial, diagonal, by_solver("jacobi", 2)):
+            assert np.allclose(values(solve(by if pre is diagonal else a, b, method, stop=residual_below(1e-8) | iterations(20), preconditioner=pre).x), x, atol=1e-5)
+    for method in ("minres", "qmr", "jacobi"):
+        assert np.allclose(values(solve(by, b, method, stop=residual_below(1e-7) | iterations(30)).x), x, atol=1e-4)
+    with pytest.raises(ValueError):
+        decomposition_solve(Matrix(a.df, 10_000, 10_000), Vector.fill(spark, 10_000, 1.0))
+
+
+def test_triangular_systems(spark):
+    t = np.array([[2, 0, 0, 0], [1, 3, 0, 0], [0, -1, 4, 0], [5, 0, 1, 1]], float)
+    x = np.array([1, -2, 3, 0.5])
+    assert np.allclose(values(triangular_solve(mat(spark, t), vec(spark, t @ x)).x), x)
+    assert np.allclose(values(triangular_solve(mat(spark, t.T), vec(spark, t.T @ x), lower=False).x), x)
 
 
 def test_n_body_agrees_with_all_pairs(spark):
@@ -243,3 +326,25 @@ def test_stream_assembly(spark, tmp_path):
     assert got == {i: 2.0 * sum(k for k in range(30) if k % 3 == i) for i in range(3)}
     timed = windowed_stream(stream.withColumn("t", F.timestamp_seconds("v")), "t", "10 seconds", "1 minute", op="max")
     assert timed.isStreaming and timed.columns == ["start", "i", "v"]
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    import os
+
+    from tessera.plans.storage import scratch, stored
+
+    with scratch(spark) as path:
+        kept = stored(spark.range(5).toDF("i"), "t").count()
+        assert os.listdir(path.removeprefix("file://"))
+    assert kept == 5 and not os.path.exists(path.removeprefix("file://"))
+    assert stored(spark.range(3).toDF("i"), "t").count() == 3
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "tessera.llm", None)
+    assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) > 300
+    assert not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
