@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 import zlib
@@ -70,6 +72,54 @@ def test_noisy_or_learns_words_and_finds_sentences(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, None}
 
 
+def test_fit_climbs_the_noisy_or_likelihood():
+    """The likelihood of the labels, by its definition, is at a top: no small step from the weights found makes it greater."""
+    rng = np.random.default_rng(4)
+    words = [f"{c}{k}" for c in "abcdefghij" for k in range(4)]
+    rows = []
+    for k in range(400):
+        sentences = [list(rng.choice(words, 6)) for _ in range(int(rng.integers(1, 6)))]
+        toxic = int(rng.random() < 0.3)
+        if toxic or rng.random() < 0.05:
+            sentences[0].append("slur")
+        rows.append((". ".join(" ".join(s) for s in sentences), toxic))
+    model = toxicity.fit(rows, rounds=2000, rate=0.05, decay=1e-2)
+    assert model.weights
+
+    def likelihood(bias, weights):
+        total = 0.0
+        for text, y in rows:
+            clean = 1.0
+            for s in toxicity.SENTENCE.findall(text.lower()):
+                z = bias + sum(weights.get(f, 0.0) for w in set(toxicity.WORD.findall(s)) for f in toxicity.word_features(w))
+                clean *= 1 / (1 + math.exp(z))
+            total += math.log(1 - clean) if y else math.log(clean)
+        return total / len(rows) - 0.5e-2 * sum(w * w for w in weights.values())
+
+    at = likelihood(model.bias, model.weights)
+    for step in (1e-2, -1e-2):
+        assert likelihood(model.bias + step, model.weights) <= at + 1e-6
+        for f in list(model.weights)[:8]:
+            assert likelihood(model.bias, model.weights | {f: model.weights[f] + step}) <= at + 1e-6
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark, edges):
+    model = toxicity.Model(-2.0, {"=word": 0.5, "sec": 1.5, "=null": 4.0})
+    got = {(r.doc_id, r.n_sentences): r for r in toxicity.score(edges, model).collect()}
+    for i, t, _ in EDGES:
+        parts = [set(re.findall(r"\w+", s)) for s in re.split(r"[.!?\n]", (t or "").lower())]
+        parts = [p for p in parts if p] or [set()]
+        ps = [1 / (1 + math.exp(-(-2.0 + sum(model.weights.get(f, 0.0) for w in p for f in toxicity.word_features(w))))) for p in parts]
+        assert got[i, len(parts)].score == pytest.approx(1 - math.prod(1 - p for p in ps))
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    model = toxicity.Model(-9.0, {"=slur": 18.0})
+    docs = frame(spark, [(1, "word word. " * 300_000 + "slur", None), (2, "word " * 1_000_000, None)])
+    assert {r.doc_id: r.score > 0.9 for r in toxicity.score(docs, model).collect()} == {1: True, 2: False}
+    assert [r.doc_id for r in toxicity.without_toxic(docs, model).select("doc_id").collect()] == [2]
+
+
 def test_toxicity_without_labels_or_documents(spark, edges, nothing):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(edges, empty)
@@ -204,6 +254,18 @@ def test_token_file_of_edges(spark, edges, nothing):
     assert tokens.token_file_digest(nothing, path).count() == 0
 
 
+def test_token_file_digests_are_those_of_the_ids(spark, edges):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    encoder = Tokenizer.from_file(path)
+    want = Counter()
+    for i, t, _ in EDGES:
+        ids = [*encoder.encode(t or "", add_special_tokens=False).ids, 1]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.token_file_digest(edges, path).collect()) == want
+
+
 def test_token_files_read_back_whole(spark, tmp_path):
     path = tokens.vocabulary("word_bpe_49k.json")
     docs = spark.createDataFrame([(k, f"the number {k} and some more words") for k in range(50)], "doc_id long, text string")
@@ -345,11 +407,40 @@ def test_containers_hold_payloads_and_say_where(spark, edges, nothing):
         assert [raw[o : o + s] for o, s in track["keyframes"]] == [payload[k : k + 64] for k in range(0, n, 64 * 16)]
     with pytest.raises(ValueError):
         media.build(b"")
-    got = media.media_digest(stored(media.media_of_texts(edges), "m")).collect()
-    assert len(got) == len(EDGES) and {r.payload_bytes % 64 for r in got} == {0}
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media.media_digest(stored(media.media_of_texts(edges), "m")).collect())
+    want = Counter()
+    for i, t, _ in EDGES:
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        whole = media.build(payload)
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(whole), hashlib.sha256(whole).hexdigest()] += 1
+    assert got == want
     assert media.media_of_texts(nothing).count() == 0
 
 
+def test_payloads_are_read_by_the_sample_tables():
+    payload = np.random.default_rng(1).integers(0, 256, 64 * 70).astype(np.uint8).tobytes()
+    raw = bytearray(media.build(payload))
+    (track, offset, size), = media.read_tracks(raw)
+    assert media.samples(raw, offset, size) == payload and media.samples(raw, offset[::-1], size)[:64] == payload[-64:]
+    at = raw.index(b"co64") + 12
+    raw[at : at + 8] = (int.from_bytes(raw[at : at + 8], "big") + 64).to_bytes(8, "big")
+    (_, offset, size), = media.read_tracks(raw)
+    assert media.samples(raw, offset, size)[: 64 * 31] == payload[64 : 64 * 32]
+    raw[at : at + 8] = (1 << 40).to_bytes(8, "big")
+    (_, offset, size), = media.read_tracks(raw)
+    with pytest.raises(ValueError):
+        media.samples(raw, offset, size)
+
+
+def test_features_say_what_the_container_holds(spark):
+    docs = spark.createDataFrame([(1, "x" * 64 * 20), (2, "x" * 64 * 20)], "doc_id long, text string")
+    a, b = media.media_digest(stored(media.media_of_texts(docs), "m")).orderBy("doc_id").collect()
+    assert a.feature == b.feature and a.media_sha256 == b.media_sha256
+    found = json.loads(a.feature)
+    assert found["codec"] == "raw " and found["seconds"] == 20 / 25 and found["n_samples"] == 20 and len(found["keyframes"]) == 2
+
+
 def test_malformed_containers_are_reported(spark):
     good = media.build(bytes(64))
     rows = [(1, bytearray(good)), (2, bytearray(good[:50])), (3, None), (4, bytearray(b"")), (5, bytearray(b"not a box at all, really"))]
@@ -372,6 +463,24 @@ def test_shards_of_edges(spark, edges, nothing):
     assert sharding.shard_by_bytes(nothing).count() == 0
 
 
+def test_repeated_ids_with_different_texts_match_the_sql(spark, tmp_path):
+    three = "one\ntwo\nthree"
+    rows = [(1, f"b\n{three}"), (1, f"a\n{three}"), (1, f"{three}\nz"), (2, three), (None, three), (2, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = lines.drop_repeated_windows(docs).toPandas()
+    assert difference(got, connect(str(tmp_path)).execute(lines.OP10_SQL).df()) is None
+
+
+def test_no_column_name_clashes(spark):
+    names = ["nth", "times", "block", "h", "kept", "first", "at", "w1", "lines", "gone", "anchor", "fp"]
+    docs = spark.createDataFrame([(k, "same text here" if k < 3 else f"other {k}", "s", *range(len(names))) for k in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    assert mixing.mixed_rows(docs).columns == docs.columns and mixing.mixed_rows(docs).count() == 6
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+    assert {(r.nth, r.times, r.fp) for r in kept.collect()} == {(0, 1, 11)}
+
+
 def test_repeated_windows_go_but_the_first(spark, edges, nothing):
     text = "a\nb\nc\nd"
     docs = frame(spark, [(1, f"x\n{text}\ny", None), (2, f"p\n{text}", None), (3, "a\nb", None), (4, "b\nc\nd\n\nq\nb\n c \nd", None)])
