@@ -75,12 +75,12 @@ R.add("l09_conjugate_transpose", lambda s, d: _out(_matrix(s, d).form("conj_tran
 R.add("l10_complex_parts", lambda s, d: _matrix(s, d).real().df.withColumnRenamed("v", "re").join(_matrix(s, d).imag().df.withColumnRenamed("v", "im"), ["i", "j"]).select("i", "j", F.round("re", 4).alias("re"), F.round("im", 4).alias("im")), f"SELECT i, j, round(re, 4) AS re, round(im, 4) AS im FROM {_M}")
 
 
-@R.query("l13_hermitian_product", f"SELECT a.j AS i, b.j, round(sum(a.re * b.re + a.im * b.im), 3) AS re, round(sum(a.re * b.im - a.im * b.re), 3) AS im FROM {_M} a JOIN {_M} b ON a.i = b.i GROUP BY a.j, b.j")
+@R.query("l13_hermitian_product", f"SELECT a.j AS i, b.j, round(sum(a.re * b.re + a.im * b.im), 6) AS re, round(sum(a.re * b.im - a.im * b.re), 6) AS im FROM {_M} a JOIN {_M} b ON a.i = b.i GROUP BY a.j, b.j")
 def _(s, d):
     """conj(A)^T A."""
     m = _matrix(s, d)
     rows = m.matmul(m, "conj_transpose").df
-    return rows.select("i", "j", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
+    return rows.select("i", "j", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
 @R.query("io01_complex_mtx", f"SELECT i, j, round(re, 4) AS re, round(im, 4) AS im FROM {_M}")
