@@ -114,7 +114,7 @@ def python_value(op: str, *values: float) -> float:
         "max": lambda: _order(a, b)[1],
         "abs_max": lambda: _order(np.abs(a), np.abs(b))[1],
         "abs_diff": lambda: np.abs(a - b),
-        "pow": lambda: np.power(a, b),
+        "pow": lambda: NAN if np.abs(a) == 1 and not np.isfinite(b) else np.power(a, b),  # as Spark has it
         "copy_sign": lambda: np.abs(a) * (-1.0 if b < 0 else 1.0),
     }
     with np.errstate(all="ignore"):
