@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.storage import shared_dir, stored
 
-__all__ = ["batch_of", "fresh", "shared_dir", "small_batches", "stored", "table", "texts"]
+__all__ = ["batch_of", "fresh", "shared_dir", "small_batches", "stored", "table", "texts", "within"]
 
 #: Bytes of a batch of rows that a Python worker gets at once.
 BATCH_BYTES = "8m"
@@ -26,6 +26,15 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+#: Rows of a few numbers each that are broadcast at most; larger tables are joined by a shuffle.
+FEW_ROWS = 1_000_000
+
+
+def within(rows: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """rows (a written table of a few numbers a row), marked for broadcast if there are at most limit."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have."""
     taken = {c.lower() for c in docs.columns}

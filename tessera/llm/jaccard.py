@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_of, stored
+from tessera.llm.common import FEW_ROWS, batch_of, stored, within
 from tessera.llm.components import connected_components
 
 SIZE = 5
 #: A shingle that more texts than this have in front gives no pairs.
 RUN = 24
-#: One text in so many is counted to find frequent shingles, which have at least SAMPLE_LEAST of them.
+#: One of so many different texts is counted to find frequent shingles, which have at least SAMPLE_LEAST of them.
 SAMPLE = 16
 SAMPLE_LEAST = 4
 #: Frequent shingles that come last; further ones keep their places.
@@ -105,7 +105,7 @@ def _frequent(rows: DataFrame) -> np.ndarray:
             if found:
                 yield batch_of(schema, np.concatenate(found).view(np.int64))
 
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    some = rows.filter(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).select("text")
     counts = some.mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= SAMPLE_LEAST)
     found = counts.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toArrow()
     return np.sort(found.column("s").to_numpy().view(np.uint64))
@@ -283,10 +283,10 @@ def _tasks(members: DataFrame, block_shingles: int, block_texts: int) -> DataFra
 def similar_links(docs: DataFrame, nodes: DataFrame, run_limit: int = RUN, block_shingles: int = BLOCK_SHINGLES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """Links (u, v) that connect all ids of nodes (id, h, n, front) whose texts in docs are 0.8 alike, and no others."""
     groups = connected_components(candidates(nodes, run_limit))
-    members = stored(nodes.select("id", "h", "n").join(groups.withColumnRenamed("node", "id"), "id"), "candidates")
-    tasks = _tasks(members, block_shingles, block_texts).select(F.col("id").alias("doc_id"), "h", "key")
+    members = stored(nodes.select("id", "h", "n").distinct().join(groups.withColumnRenamed("node", "id"), "id"), "candidates")
+    tasks = stored(_tasks(members, block_shingles, block_texts).select(F.col("id").alias("doc_id"), "h", F.to_json("key").alias("key")), "tasks")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _rows(docs).join(tasks, ["doc_id", "h"]).select("doc_id", "text", F.to_json("key").alias("key"))
+    sent = _rows(docs).join(within(tasks, FEW_ROWS // 4), ["doc_id", "h"]).select("doc_id", "text", "key")
     return sent.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_verify(), "u long, v long").filter("u != v")
 
 
@@ -297,11 +297,14 @@ def representatives(docs: DataFrame, ids: DataFrame, run_limit: int = RUN, block
     left out; of rows that repeat a doc_id that with the smallest text hash counts; other columns
     are ignored; empty tables give an empty one.
     """
-    rows = _rows(docs).join(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    rows = _rows(docs)
     held = stored(_fronts(rows, _frequent(rows)), "fronts")
-    held = held.groupBy("doc_id").agg(F.min(F.struct("h", "n", "s0", "s1", "front")).alias("s")).select("doc_id", "s.*")
-    first = F.min(F.struct(F.col("doc_id").alias("id"), "h", "n", "front")).alias("f")
-    nodes = stored(held.groupBy("s0", "s1", F.col("n").alias("size")).agg(first).select("f.*"), "shingle-sets")
+    texts = held.groupBy("doc_id").agg(F.min(F.struct("h", "n", "s0", "s1")).alias("s")).select("doc_id", "s.*")
+    texts = texts.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = texts.groupBy("s0", "s1", F.col("n").alias("size")).agg(F.min(F.struct(F.col("doc_id").alias("id"), "h", "n")).alias("f")).select("f.*")
+    sets = stored(nodes, "shingle-sets")
+    fronts = held.select(F.col("doc_id").alias("id"), "h", "front").join(within(sets), ["id", "h"])
+    nodes = stored(fronts.select("id", "h", "n", "front"), "node-fronts")
     roots = connected_components(similar_links(docs, nodes, run_limit, block_shingles, block_texts))
     others = roots.filter("node != root").select(F.col("node").alias("id"))
-    return nodes.select("id").join(others, "id", "left_anti").select(F.col("id").alias("doc_id"))
+    return sets.select("id").join(others, "id", "left_anti").select(F.col("id").alias("doc_id"))

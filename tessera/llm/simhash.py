@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_of, fresh, stored, texts
+from tessera.llm.common import batch_of, fresh, stored, texts, within
 from tessera.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,14 +237,21 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (doc_id), one a doc_id, and all rows without a doc_id.
 
     Of rows that repeat a doc_id that with the smallest text hash stays (null texts hash as empty
-    ones; equal texts: that with the smallest hash of all columns). No column of docs clashes.
+    ones; equal texts: that with the smallest hash of all columns). No column of docs clashes. Only
+    ids are sorted out by shuffles: texts move where the ids that go, or those that come more than
+    once, are too many to broadcast.
     """
+    counts = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    kept = counts.join(ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("stays")).distinct(), "doc_id", "left")
+    odd = stored(kept.filter("stays is null or n > 1").select("doc_id", F.col("stays").isNotNull().alias("again")), "odd-ids")
+    gone, again = within(odd.filter("not again").select("doc_id")), within(odd.filter("again").select("doc_id"))
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     nth, text = fresh(docs, "nth"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = docs.filter("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), F.xxhash64(*plain))
-    kept = kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    repeated = rest.join(again, "doc_id", "left_semi").select(*docs.columns)
+    repeated = repeated.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
