@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.solvers import Criterion, Solution, State, c, cg, iterations, residual_below
+from tessera.operators.solvers import Criterion, Operator, Solution, State, c, cg, iterations, residual_below
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import cut
@@ -98,7 +98,7 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
     """The least |A x - b| with low < x < high, by an interior point method.
 
     Newton directions of tau |A x - b|^2 less the logarithms of the distances to the bounds are
-    found by conjugate gradients on the Gramian plus a diagonal; a step is halved until it stays
+    found by conjugate gradients on the Gramian plus a diagonal, of which only products are taken; a step is halved until it stays
     inside and descends, and tau grows while the duality gap is too wide.
     """
     n = matrix.m
@@ -106,6 +106,7 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
     bounds = low.df.select("i", c("v").alias("lo")).join(high.df.select("i", c("v").alias("hi")), "i")
     x = Vector(bounds.select("i", ((c("lo") + c("hi")) / 2).alias("v")), n)
     residual = lambda x: a.times(x, 1.0, b, -1.0)
+    squares = Vector(cut(a.reduce(1, "add", "sqr").df), n)
     tau, gaps = 1.0, []
 
     def value(x: Vector, tau: float) -> float:
@@ -127,9 +128,10 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
             break
         at = x.df.join(bounds, "i")
         barrier = Vector(at.select("i", (1 / (c("v") - c("lo")) - 1 / (c("hi") - c("v"))).alias("v")), n)
-        hess = Vector(at.select("i", (1 / ((c("v") - c("lo")) * (c("v") - c("lo"))) + 1 / ((c("hi") - c("v")) * (c("hi") - c("v")))).alias("v")), n)
+        hess = Vector(cut(at.select("i", (1 / ((c("v") - c("lo")) * (c("v") - c("lo"))) + 1 / ((c("hi") - c("v")) * (c("hi") - c("v")))).alias("v"))), n)
         rhs = Vector(cut(g.plus(barrier, -tau, 1.0).df), n)
-        gram = a.transpose().matmul(a, 2 * tau).plus(Matrix.diagonal_of(hess))
+        product = lambda p, h=hess, f=2 * tau: a.times(a.times(p), f, p.binary("mult", h), 1.0, transposed=True)
+        gram = Operator(n, product, diagonal=squares.plus(hess, 2 * tau, 1.0))
         d = Vector(cut(cg(gram, rhs, stop=residual_below(1e-8, True) | residual_below(1e-12) | iterations(2 * n + 20), jacobi=True).x.df), n)
         step, start, slope = 1.0, value(x, tau), -rhs.dot(d).first()[0]
         while step > 1e-10 and value(x.plus(d, 1.0, step), tau) > start + 0.01 * step * slope:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +23,33 @@ def _check(n: int) -> None:
         raise ValueError(f"the length {n} isn't a power of two")
 
 
-def _groups(key: str, at: str, n: int, inverse: bool):
-    """Transforms groups of n places; places without a row are 0."""
+#: Complex values that a worker transforms at once.
+BLOCK = 1 << 20
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros(n, complex)
-        z[rows[at].to_numpy()] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-        z = np.fft.ifft(z) * n if inverse else np.fft.fft(z)
-        return pd.DataFrame({key: rows[key].iloc[0], at: np.arange(n), "re": z.real, "im": z.imag})
 
-    return run
+def _transformed(x: DataFrame, key: str, at: str, n: int, inverse: bool) -> DataFrame:
+    """(key, at, re, im): the values of each key transformed over the places 0 to n - 1; places without a row are 0.
+
+    A key's values are packed into one row by the shuffle, and many rows are transformed by one call.
+    """
+    packed = x.groupBy(key).agg(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("e"))
+    packed = packed.select(F.col(key).cast("long").alias("key"), F.col("e.at").alias("at"), F.col("e.re").alias("re"), F.col("e.im").alias("im"))
+    schema = pa.schema([(key, pa.int64()), (at, pa.int64()), ("re", pa.float64()), ("im", pa.float64())])
+    step = max(1, BLOCK // n)
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                b = whole.slice(first, step)
+                places = b.column("at")
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                z = np.zeros((b.num_rows, n), complex)
+                z[row, places.flatten().to_numpy()] = b.column("re").flatten().to_numpy() + 1j * b.column("im").flatten().to_numpy()
+                z = np.fft.ifft(z, axis=1) * n if inverse else np.fft.fft(z, axis=1)
+                keys = np.repeat(b.column("key").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(n), b.num_rows)), pa.array(z.real.ravel()), pa.array(z.imag.ravel())], schema=schema)
+
+    return packed.mapInArrow(run, f"{key} long, {at} long, re double, im double")
 
 
 def fft(x: DataFrame, n: int, inverse: bool = False) -> DataFrame:
@@ -45,10 +63,10 @@ def fft(x: DataFrame, n: int, inverse: bool = False) -> DataFrame:
     n1 = 1 << (n.bit_length() - 1) // 2
     n2 = n // n1
     rows = x.select((F.col("i") % n1).alias("a"), F.floor(F.col("i") / n1).cast("long").alias("b"), "re", "im")
-    first = rows.groupBy("a").applyInPandas(_groups("a", "b", n2, inverse), "a long, b long, re double, im double")
+    first = _transformed(rows, "a", "b", n2, inverse)
     angle = F.lit((2 if inverse else -2) * math.pi / n) * F.col("a") * F.col("b")
     turned = first.select("b", "a", (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("re"), (F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)).alias("im"))
-    second = turned.groupBy("b").applyInPandas(_groups("b", "a", n1, inverse), "b long, a long, re double, im double")
+    second = _transformed(turned, "b", "a", n1, inverse)
     return second.select((F.col("b") + F.col("a") * n2).alias("i"), "re", "im")
 
 
@@ -61,7 +79,7 @@ def fft_rows(x: DataFrame, m: int, inverse: bool = False, dim: int = 1) -> DataF
     """(i, j, re, im): each row (dim 1) or column (dim 0) of a complex matrix (i, j, re, im) transformed; m is its length."""
     _check(m)
     key, at = ("i", "j") if dim == 1 else ("j", "i")
-    return x.groupBy(key).applyInPandas(_groups(key, at, m, inverse), f"{key} long, {at} long, re double, im double").select("i", "j", "re", "im")
+    return _transformed(x, key, at, m, inverse).select("i", "j", "re", "im")
 
 
 def fft_2d(x: DataFrame, n: int, m: int, inverse: bool = False) -> DataFrame:

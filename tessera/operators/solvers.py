@@ -77,7 +77,7 @@ class Solution:
 
 @dataclass(frozen=True)
 class Operator:
-    """A square matrix that is known by its products: product(x) and, for qmr and kaczmarz, transposed(x) are vectors; diagonal for the Jacobi forms."""
+    """A square matrix that is known by its products: product(x) and, for qmr, transposed(x) are vectors; diagonal for the Jacobi forms."""
 
     n: int
     product: Callable[[Vector], Vector]
@@ -421,21 +421,25 @@ def richardson(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None,
     return s.solution(norms)
 
 
-def kaczmarz(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0) -> Solution:
-    """Projections onto rows, all rows of a step at once, each with the weight of its share (Cimmino's form).
+def kaczmarz(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0, blocks: int = 1) -> Solution:
+    """Projections onto rows, block of rows after block; rows of one block (equal remainders by blocks) are projected onto at once.
 
-    The row-by-row order is sequential by nature; the simultaneous form solves the same systems and
-    is one product with the matrix and one with its transpose a step.
+    With one block a sweep is Cimmino's form, with as many as there are rows it is the row-by-row
+    order. A block is one product with the matrix and one with its transpose. Where a sweep makes
+    the residual larger, omega is halved.
     """
+    if isinstance(matrix, Operator):
+        raise ValueError("projections need the rows of a matrix")
     s = State(matrix, b, x0)
     rows = s.matrix.df.groupBy("i").agg(F.sum(c("v") * c("v")).alias("aa"))
-    cols = s.matrix.df.groupBy(c("j").alias("i")).agg(F.count("*").alias("nc"))
-    s.df = s.df.join(rows, "i", "left").join(cols, "i", "left")
+    s.df = s.df.join(rows, "i", "left")
     s.residual()
     norms = [s.norm(c("r"))]
     while not stop(norms):
-        s.times("g", F.when(c("aa") > 0, c("r") / c("aa")).otherwise(F.lit(0.0)), transposed=True)
-        s.let(x=c("x") + F.lit(omega) * c("g") / F.lit(1.0)).residual()
+        for k in range(blocks):
+            mine = (c("aa") > 0) & (F.pmod(c("i"), F.lit(blocks)) == k)
+            s.times("g", F.when(mine, c("r") / c("aa")).otherwise(F.lit(0.0)), transposed=True)
+            s.let(x=c("x") + F.lit(omega) * c("g")).residual()
         norms.append(s.norm(c("r")))
         if norms[-1] > norms[-2]:
             omega /= 2
@@ -454,12 +458,12 @@ def inverse(matrix: Matrix, eps: float = 1e-12, max_steps: int = 60) -> Matrix:
     off = last = math.inf
     for _ in range(max_steps):
         x = Matrix(cut(x.df), matrix.n, matrix.n)
-        rest = Matrix(cut(identity.plus(a.matmul(x), 1.0, -1.0).df), matrix.n, matrix.n)
+        rest = Matrix(cut(identity.plus(a.matmul(x, hot=None), 1.0, -1.0).df), matrix.n, matrix.n)
         off = rest.max_norm().first()[0]
         if off < eps or (off < 1e-6 and off >= last):
             return x
         last = off
-        x = x.plus(x.matmul(rest))
+        x = x.plus(x.matmul(rest, hot=None))
     raise ValueError(f"no inverse: {off} is left after {max_steps} steps")
 
 

@@ -11,6 +11,10 @@ from tessera.functions.scalar import BINARY, NEUTRAL, UNARY, aggregate
 from tessera.plans.vector import Vector
 
 
+#: Entries of a column from which on it is worth dealing over several tasks in a product.
+HOT_INNER = 1 << 16
+
+
 @dataclass(frozen=True)
 class Matrix:
     """df (i long, j long, v double) with unique (i, j), 0 <= i < n, 0 <= j < m."""
@@ -87,14 +91,30 @@ class Matrix:
         products = entries.join(x.df.select(F.col("i").alias("c"), F.col("v").alias("x")), "c").select(F.col("r").alias("i"), (F.lit(float(a)) * F.col("e") * F.col("x")).alias("v"))
         return Vector(products.unionByName(base).groupBy("i").agg(F.sum("v").alias("v")), n)
 
-    def matmul(self, other: "Matrix", a: float = 1.0, c: "Matrix | None" = None, b: float = 0.0) -> "Matrix":
-        """a * A B + b * C; places whose products cancel stay stored."""
+    def matmul(self, other: "Matrix", a: float = 1.0, c: "Matrix | None" = None, b: float = 0.0, hot: int | None = HOT_INNER) -> "Matrix":
+        """a * A B + b * C; places whose products cancel stay stored.
+
+        The products of one inner index are as many as its two counts' product, so a column of A with
+        more than hot entries is dealt over several tasks, each with a copy of the row of B. That
+        takes an aggregate of A's columns and one more shuffle of both; without hot, only tasks that
+        get too many bytes are split, at run time.
+        """
         left = self.df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
         right = other.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        rows = left.join(right, "k").select("i", "j", (F.lit(float(a)) * F.col("x") * F.col("y")).alias("v"))
+        if hot is None:
+            return self._summed(left.join(right, "k"), other.m, a, c, b)
+        shares = left.groupBy("k").agg(F.ceil(F.count("*") / hot).cast("int").alias("n")).filter("n > 1")
+        part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("i"), F.col("n")).cast("int")).alias("part")
+        left = left.join(shares, "k", "left").select("i", "k", "x", part)
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("part")
+        right = right.join(shares, "k", "left").select("k", "j", "y", copies)
+        return self._summed(left.join(right, ["k", "part"]), other.m, a, c, b)
+
+    def _summed(self, pairs: DataFrame, m: int, a: float, c: "Matrix | None", b: float) -> "Matrix":
+        rows = pairs.select("i", "j", (F.lit(float(a)) * F.col("x") * F.col("y")).alias("v"))
         if c is not None and b != 0:
             rows = rows.unionByName(c.scale(b).df)
-        return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), self.n, other.m)
+        return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), self.n, m)
 
     def times_many(self, others: DataFrame) -> DataFrame:
         """A X for vectors side by side: others and result (i, k, v), k being the vector."""

@@ -96,6 +96,26 @@ def _(s, d):
     return found.select("i", "j", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
 
 
+@R.query("l17_fft_columns", f"WITH n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM embeddings), w AS (SELECT k, n FROM n, unnest(range(n)) u(k)) SELECT w.k AS i, e.j, round(sum(e.v * cos(-2 * pi() * ((w.k * e.i) % w.n) / w.n)), 3) + 0 AS re, round(sum(e.v * sin(-2 * pi() * ((w.k * e.i) % w.n) / w.n)), 3) + 0 AS im FROM {_E}, w GROUP BY w.k, e.j")
+def _(s, d):
+    m = _embeddings(s, d)
+    found = fft.fft_rows(fft.complex_matrix(m), fft.next_power_of_two(m.n), dim=0)
+    return found.select("i", "j", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@R.query(
+    "l17_fft_2d",
+    f"WITH n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM embeddings), w AS (SELECT k, n FROM n, unnest(range(n)) u(k)),"
+    f" r AS (SELECT e.i, q.k AS j, sum(e.v * cos(-2 * pi() * ((q.k * e.j) % 64) / 64)) AS re, sum(e.v * sin(-2 * pi() * ((q.k * e.j) % 64) / 64)) AS im FROM {_E}, (SELECT unnest(range(64)) AS k) q GROUP BY e.i, q.k),"
+    " turned AS (SELECT w.k, r.j, r.re, r.im, -2 * pi() * ((w.k * r.i) % w.n) / w.n AS a FROM r, w)"
+    " SELECT k AS i, j, round(sum(re * cos(a) - im * sin(a)), 2) + 0 AS re, round(sum(re * sin(a) + im * cos(a)), 2) + 0 AS im FROM turned GROUP BY k, j",
+)
+def _(s, d):
+    m = _embeddings(s, d)
+    found = fft.fft_2d(fft.complex_matrix(m), fft.next_power_of_two(m.n), 64)
+    return found.select("i", "j", (F.round("re", 2) + 0.0).alias("re"), (F.round("im", 2) + 0.0).alias("im"))
+
+
 @R.query("l17_ifft_round_trip", "SELECT c_custkey AS i, round(c_acctbal, 4) AS v FROM customer")
 def _(s, d):
     b = T(s, d).b

@@ -13,7 +13,7 @@ from tessera.plans.storage import shared_dir, stored
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
 from tessera.sources import files, text
-from tessera.streaming.assembly import folded_stream, run_once
+from tessera.streaming.assembly import folded_stream, run_once, windowed_stream
 
 R = Registry()
 T = Tables
@@ -153,3 +153,13 @@ def _(s, d):
     place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
     folded = run_once(folded_stream(stream.select(F.col("user_id").alias("i"), F.col("value").alias("v"))), f"{place}/rows", f"{place}/state")
     return folded.select("i", F.round("v", 4).alias("v"))
+
+
+@R.query("st02_windowed_assembly", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, user_id AS i, round(max(value), 4) AS v FROM events GROUP BY 1, 2")
+def _(s, d):
+    """The greatest value of each user and hour, of the events table read as a stream."""
+    source = T(s, d).table("events")
+    stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
+    timed = windowed_stream(stream.select(F.col("ts"), F.col("user_id").alias("i"), F.col("value").alias("v")), "ts", "1 hour", "30 days", op="max")
+    return run_once(timed, f"{place}/rows", f"{place}/state").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", F.round("v", 4).alias("v"))

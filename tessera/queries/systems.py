@@ -37,7 +37,7 @@ for _n, _method, _symmetric in (("v01", "cg", True), ("v02", "bicgstab", False),
     R.add(f"{_n}_{_method}", lambda s, d, m=_method, y=_symmetric: _solved(s, d, m, y, stop=_CLOSE), _ANSWER)
 R.add("v01_cg_preconditioned", lambda s, d: _solved(s, d, "cg", True, stop=_CLOSE, jacobi=True), _ANSWER)
 R.add("v09_richardson", lambda s, d: _solved(s, d, "richardson", True, stop=_CLOSE, omega=0.33), _ANSWER)
-R.add("v10_kaczmarz", lambda s, d: _solved(s, d, "kaczmarz", True, stop=residual_below(1e-6, relative=True) | iterations(40), omega=0.9), _ANSWER)
+R.add("v10_kaczmarz", lambda s, d: _solved(s, d, "kaczmarz", False, stop=residual_below(1e-6, relative=True) | iterations(30), blocks=2), _ANSWER)
 R.add("v11_amg", lambda s, d: _solved(s, d, "amg", True, stop=residual_below(1e-6, relative=True) | iterations(12), levels=3, coarsest=16, by=16), _ANSWER)
 R.add("v12_inverse", lambda s, d: _small(s, d, "inverse", True), _KNOWN)
 R.add("v13_decomposition", lambda s, d: _small(s, d, "decomposition", False), _KNOWN)

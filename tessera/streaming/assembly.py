@@ -15,7 +15,7 @@ def folded_stream(contributions: DataFrame, keys: tuple[str, ...] = ("i",), op:
 
 def windowed_stream(contributions: DataFrame, time: str, length: str, late: str, keys: tuple[str, ...] = ("i",), op: str = "add") -> DataFrame:
     """A fold per time window; contributions later than the watermark are left out and their state is freed."""
-    return contributions.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), *keys).agg(aggregate(op, F.col("v")).alias("v")).select(F.col("w.start").alias("start"), *keys, "v")
+    return contributions.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length).alias("w"), *keys).agg(aggregate(op, F.col("v")).alias("v")).select(F.col("w.start").alias("start"), *keys, "v")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -120,6 +120,44 @@ def test_fft(spark, n):
         fft.fft(x, 3 * n)
 
 
+def test_fft_of_rows_columns_and_both(spark):
+    z = np.random.default_rng(5).normal(size=(8, 16, 2)) @ [1, 1j]
+    z[3], z[:, 2] = 0, 0
+    x = spark.createDataFrame([(i, j, float(z[i, j].real), float(z[i, j].imag)) for i in range(8) for j in range(16) if z[i, j]], "i long, j long, re double, im double")
+
+    def whole(df):
+        out = np.zeros((8, 16), complex)
+        for r in df.collect():
+            out[r.i, r.j] = r.re + 1j * r.im
+        return out
+
+    assert np.allclose(whole(fft.fft_rows(x, 16)), np.fft.fft(z, axis=1))
+    assert np.allclose(whole(fft.fft_rows(x, 8, dim=0)), np.fft.fft(z, axis=0))
+    assert np.allclose(whole(fft.fft_2d(fft.fft_2d(x, 8, 16), 8, 16, inverse=True)) / 128, z)
+
+
+def test_product_with_hot_inner_indexes(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 3, (40, 7)).astype(float), rng.integers(0, 3, (7, 9)).astype(float)
+    a[:, 2], a[:, 4] = 1, 0
+    a[3, 4] = 5
+    assert np.allclose(dense(mat(spark, a).matmul(mat(spark, b), 2.0, mat(spark, a @ b), -1.0, hot=8)), a @ b)
+    assert mat(spark, np.zeros((2, 2))).matmul(mat(spark, np.eye(2)), hot=1).df.count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_kaczmarz_by_blocks(spark, blocks):
+    """Against the same projections in numpy; three blocks of three rows are the row-by-row order."""
+    b = A3 @ [1, 2, -1.0]
+    x = np.zeros(3)
+    for _ in range(3):
+        for k in range(blocks):
+            rows = np.arange(k, 3, blocks)
+            x = x + 0.8 * sum(A3[i] * (b[i] - A3[i] @ x) / (A3[i] @ A3[i]) for i in rows)
+    got = solve(mat(spark, A3), vec(spark, b), "kaczmarz", stop=iterations(3), omega=0.8, blocks=blocks)
+    assert np.allclose(values(got.x), x)
+
+
 def test_stencils(spark):
     grid, s = Grid((3, 4), (False, True)), Stencil.laplace(2, 5)
     x = vec(spark, range(12))
@@ -326,6 +364,8 @@ def test_stream_assembly(spark, tmp_path):
     assert got == {i: 2.0 * sum(k for k in range(30) if k % 3 == i) for i in range(3)}
     timed = windowed_stream(stream.withColumn("t", F.timestamp_seconds("v")), "t", "10 seconds", "1 minute", op="max")
     assert timed.isStreaming and timed.columns == ["start", "i", "v"]
+    found = {(r.start.second, r.i): r.v for r in run_once(timed, f"{tmp_path}/timed", f"{tmp_path}/timed-state").collect()}
+    assert found == {(w, i): float(max(k for k in range(w, w + 10) if k % 3 == i)) for w in (0, 10, 20) for i in range(3)}
 
 
 def test_scratch_tables_go_at_the_end(spark):
