@@ -7,6 +7,7 @@ from tessera.llm.decontamination import op2_blockmax_decontamination
 from tessera.llm.html import op4_max_subsequence_html
 from tessera.llm.lines import OP10_SQL, op10_window_line_dedup
 from tessera.llm.media import op8_iso_media
+from tessera.llm.middle import OP11_SQL, op11_fill_in_middle
 from tessera.llm.mixing import OP3_SQL, op3_temperature_mix
 from tessera.llm.sharding import OP9_SQL, op9_prefix_sum_shards
 from tessera.llm.simhash import op7_simhash_anchors
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_iso_media": op8_iso_media,
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
         "op10_window_line_dedup": op10_window_line_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mix": OP3_SQL, "op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL}
+    return {"op3_temperature_mix": OP3_SQL, "op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
