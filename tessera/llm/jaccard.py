@@ -131,7 +131,7 @@ def _fronts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, n long, s0 long, s1 long, front array<long>")
 
 
-def _met(run_limit: int):
+def runs_met(run_limit: int):
     """From (s, id, n) sorted by s: pairs of ids of short runs and (s, id) of long ones."""
 
     def of(s, ids, n):
@@ -184,7 +184,7 @@ def candidates(nodes: DataFrame, run_limit: int = RUN) -> DataFrame:
     """Links (u, v) that connect all ids of nodes (id, n, front) whose sets are 0.8 alike, and others."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select(F.explode("front").alias("s"), "id", "n").repartition(parts, "s").sortWithinPartitions("s")
-    met = rows.mapInArrow(_met(run_limit), "frequent boolean, u long, v long, k long")
+    met = rows.mapInArrow(runs_met(run_limit), "frequent boolean, u long, v long, k long")
     met = stored(met.groupBy("frequent", "u", "v").agg(F.count("*").alias("c"), F.min("k").alias("k")), "shared-shingles")
     pairs, long = met.filter("not frequent"), met.filter("frequent")
     held = stored(long.groupBy(F.col("v").alias("id")).agg(F.sum("c").alias("f"), F.min("k").alias("k")), "frequent-shingles")
