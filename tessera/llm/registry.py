@@ -10,6 +10,7 @@ from tessera.llm.media import op8_iso_media
 from tessera.llm.middle import OP11_SQL, op11_fill_in_middle
 from tessera.llm.minhash import OP13_SQL, op13_minhash_coordinates
 from tessera.llm.mixing import OP3_SQL, op3_temperature_mix
+from tessera.llm.phrases import OP12_SQL, op12_weighted_collocations
 from tessera.llm.sharding import OP9_SQL, op9_prefix_sum_shards
 from tessera.llm.simhash import op7_simhash_anchors
 from tessera.llm.tokens import op5_ranked_varint_tokens
@@ -29,9 +30,17 @@ def queries() -> dict:
         "op9_prefix_sum_shards": op9_prefix_sum_shards,
         "op10_window_line_dedup": op10_window_line_dedup,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_weighted_collocations": op12_weighted_collocations,
         "op13_minhash_coordinates": op13_minhash_coordinates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mix": OP3_SQL, "op9_prefix_sum_shards": OP9_SQL, "op10_window_line_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_minhash_coordinates": OP13_SQL}
+    return {
+        "op3_temperature_mix": OP3_SQL,
+        "op9_prefix_sum_shards": OP9_SQL,
+        "op10_window_line_dedup": OP10_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_weighted_collocations": OP12_SQL,
+        "op13_minhash_coordinates": OP13_SQL,
+    }
