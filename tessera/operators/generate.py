@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import math
+
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.matrix import Matrix
@@ -27,12 +29,26 @@ def random_sparse(spark: SparkSession, n: int, rate: float, bound: float = 1.0,
     return Vector(chosen.df.filter(uniform(F.col("i"), seed + 1) < rate), n, zero, False)
 
 
+#: From this density on every place is drawn by itself.
+MANY = 1 / 16
+
+
 def random_matrix(spark: SparkSession, n: int, m: int, density: float, seed: int = 0) -> Matrix:
-    """About density * n * m entries at random places: the numbers of entries of rows are drawn first, then their columns, so that the work is that of the entries."""
-    per_row = density * m
-    whole = int(per_row)
-    more = F.when(uniform(F.col("id"), seed) < per_row - whole, F.lit(whole + 1)).otherwise(F.lit(whole))
-    rows = spark.range(n).withColumn("c", F.least(more, F.lit(m))).filter("c > 0").select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k"))
+    """Each place is stored with probability density, with a value uniform in [0, 1).
+
+    Where few places are, the gaps between them are drawn in place of the places (geometric, in
+    each row, ten standard deviations more than a row has on average), so that the work is that of
+    the entries.
+    """
+    if density >= MANY:
+        place = F.col("id")
+        chosen = spark.range(n * m).filter(uniform(place, seed) < density)
+        return Matrix(chosen.select(F.floor(place / m).cast("long").alias("i"), (place % m).alias("j"), uniform(place, seed + 1).alias("v")), n, m)
+    if density <= 0:
+        return Matrix.empty(spark, n, m)
+    most = min(m, int(density * m + 10 * math.sqrt(density * m) + 20))
+    drawn = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
     at = F.struct("i", "k")
-    rows = rows.select("i", F.floor(uniform(at, seed + 1) * m).cast("long").alias("j"), uniform(at, seed + 2).alias("v"))
-    return Matrix(rows.groupBy("i", "j").agg(F.max("v").alias("v")), n, m)
+    gap = 1 + F.floor(F.log(1 - uniform(at, seed)) / math.log1p(-density))
+    places = drawn.select("i", "k", F.least(gap, F.lit(m + 1)).cast("long").alias("gap")).withColumn("j", F.sum("gap").over(Window.partitionBy("i").orderBy("k")) - 1)
+    return Matrix(places.filter(F.col("j") < m).select("i", "j", uniform(at, seed + 1).alias("v")), n, m)

@@ -17,8 +17,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.factor import factorize, lu
+from tessera.operators.triangular import triangular
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import cut
+from tessera.plans.tiles import SIZE, Tiles
 from tessera.plans.vector import Vector
 
 c = F.col
@@ -446,80 +449,27 @@ def kaczmarz(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, s
     return s.solution(norms)
 
 
-def inverse(matrix: Matrix, eps: float = 1e-12, max_steps: int = 60) -> Matrix:
-    """The inverse by Newton's iteration X (2 I - A X), a matrix product at a time; it starts from the scaled transpose and works for every regular matrix."""
-    a = Matrix(cut(matrix.df), matrix.n, matrix.m)
-    one = a.reduce(1, "add", "abs").df.agg(F.max("v")).first()[0]
-    many = a.reduce(0, "add", "abs").df.agg(F.max("v")).first()[0]
-    if not one or not many:
-        raise ValueError("the matrix is singular")
-    x = a.transpose().scale(1 / (one * many))
-    identity = Matrix.identity(matrix.df.sparkSession, matrix.n)
-    off = last = math.inf
-    for _ in range(max_steps):
-        x = Matrix(cut(x.df), matrix.n, matrix.n)
-        rest = Matrix(cut(identity.plus(a.matmul(x, hot=None), 1.0, -1.0).df), matrix.n, matrix.n)
-        off = rest.max_norm().first()[0]
-        if off < eps or (off < 1e-6 and off >= last):
-            return x
-        last = off
-        x = x.plus(x.matmul(rest, hot=None))
-    raise ValueError(f"no inverse: {off} is left after {max_steps} steps")
+def inverse(matrix: Matrix, size: int = SIZE) -> Matrix:
+    """The inverse of a regular matrix, by its factors over tiles; a singular one is an error."""
+    return lu(matrix, size).inverse().entries()
 
 
-def inverse_solve(matrix: Matrix, b: Vector) -> Solution:
-    return Solution(inverse(matrix).times(b), [])
+def inverse_solve(matrix: Matrix, b: Vector, size: int = SIZE) -> Solution:
+    return Solution(lu(matrix, size).inverse().matmul(Tiles.of_vector(b, size)).vector(), [])
 
 
-#: Rows of the largest system that decomposition_solve takes.
-MAX_ELIMINATED = 512
-
-
-def triangular_solve(matrix: Matrix, b: Vector, lower: bool = True, max_steps: int = 1000) -> Solution:
+def triangular_solve(matrix: Matrix, b: Vector, lower: bool = True, size: int = SIZE) -> Solution:
     """The solution of a triangular system; entries on the other side of the diagonal are not read.
 
-    A step settles all rows whose rows before them are settled, so it takes as many steps as the
-    longest chain of rows that need one another.
-    """
-    side = Matrix(matrix.df.filter("i >= j" if lower else "i <= j"), matrix.n, matrix.m)
-    s = State(Matrix(side.df.filter("i != j"), matrix.n, matrix.m), b)
-    d = side.df.filter("i = j").select("i", c("v").alias("d"))
-    s.df = cut(s.df.join(d, "i", "left"))
-    norms = []
-    for _ in range(max_steps):
-        s.times("nx", c("x")).let(y=(c("b") - c("nx")) / c("d"))
-        norms.append(s.norm(c("y") - c("x")))
-        s.let(x=c("y"))
-        if norms[-1] == 0:
-            return s.solution(norms)
-    s.close()
-    raise ValueError(f"rows need one another over more than {max_steps} steps")
-
-
-def decomposition_solve(matrix: Matrix, b: Vector) -> Solution:
-    """Gaussian elimination with pivoting by columns; a step is one projection over the remaining rows joined with the pivot row.
-
-    It takes as many steps as the matrix has rows, and refuses those of more than MAX_ELIMINATED.
+    Chains of rows take as many steps as the logarithm of their length, rows that need many others a
+    step for each tile of rows.
     """
-    n = matrix.n
-    if n > MAX_ELIMINATED:
-        raise ValueError(f"elimination takes a step a row: at most {MAX_ELIMINATED} rows, not {n}; use an iterative solver")
-    table = cut(matrix.df.unionByName(b.to_dense().df.select("i", F.lit(n).cast("long").alias("j"), "v")))
-    order: list[int] = []
-    for k in range(n):
-        free = table.filter((c("j") == k) & (~c("i").isin(order) if order else F.lit(True)))
-        pivot = free.agg(F.max_by("i", F.struct(F.abs("v"), -c("i"))).alias("i"), F.max_by("v", F.struct(F.abs("v"), -c("i"))).alias("v")).first()
-        if not pivot.v:
-            raise ValueError("the matrix is singular")
-        order.append(pivot.i)
-        row = table.filter(c("i") == pivot.i).select("j", (c("v") / pivot.v).alias("p"))
-        factor = table.filter((c("j") == k) & (c("i") != pivot.i)).select("i", c("v").alias("f"))
-        less = factor.join(row.withColumn("k", F.lit(1)), F.lit(1) == c("k")).select("i", "j", (-c("f") * c("p")).alias("v"))
-        kept = table.filter(c("i") != pivot.i).unionByName(less).groupBy("i", "j").agg(F.sum("v").alias("v")).filter(c("j") != k)
-        table = cut(kept.unionByName(row.select(F.lit(pivot.i).cast("long").alias("i"), "j", c("p").alias("v"))))
-    place = F.create_map(*[x for k, i in enumerate(order) for x in (F.lit(i), F.lit(k))])
-    rows = table.filter(c("j") == n).select(F.element_at(place, c("i").cast("int")).cast("long").alias("i"), "v")
-    return Solution(Vector(rows, n, 0.0, False).to_dense(), [])
+    return Solution(triangular(matrix, b, lower, size)[0], [])
+
+
+def decomposition_solve(matrix: Matrix, b: Vector, symmetric: bool = False, size: int = SIZE) -> Solution:
+    """LU with pivoting, or LDL^T of a symmetric matrix; factorize() keeps the factors for further right sides."""
+    return Solution(factorize(matrix, symmetric, size).solve(b), [])
 
 
 def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, levels: int = 3, coarsest: int = 4, omega: float = 0.7, smooth: int = 2, by: int = 2) -> Solution:

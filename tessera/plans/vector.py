@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import BINARY, COMPARE, INF, KEEPS_ZERO, UNARY, aggregate, python_value
+from tessera.functions.scalar import BINARY, COMPARE, INF, UNARY, aggregate, python_value
 from tessera.plans.scan import prefix_sum, ranked
 
 
@@ -69,16 +69,14 @@ class Vector:
         x, y = self.df.select("i", F.col("v").alias("x")), other.df.select("i", F.col("v").alias("y"))
         if (self.dense and other.dense) or same_pattern:
             how = "inner"
-        elif self.dense or (op in KEEPS_ZERO and self.zero == 0 and (other.dense or (op == "mult" and other.zero == 0))):
+        elif self.dense or (op == "mult" and self.zero == 0 and (other.dense or other.zero == 0)):
             how = "left"
         else:
             how = "right" if other.dense else "full"
         a, b = F.coalesce("x", F.lit(self.zero)), F.coalesce("y", F.lit(other.zero))
         rows = x.join(y, "i", how).select("i", BINARY[op](a, b).alias("v"))
         dense = self.dense and other.dense or (how == "left" and self.dense) or how == "right"
-        zero = python_value(op, self.zero, other.zero) if not dense else 0.0
-        if zero != zero and self.zero == 0 and how == "left":
-            zero = 0.0
+        zero = python_value(op, self.zero, other.zero) if not dense and how != "left" else 0.0
         return Vector(rows, self.n, zero, dense)
 
     def plus(self, other: "Vector", a: float = 1.0, b: float = 1.0) -> "Vector":
@@ -121,9 +119,15 @@ class Vector:
         return replace(self, df=rows, n=n)
 
     def put_section(self, offset: int, stride: int, other: "Vector", op: str = "copy") -> "Vector":
-        moved = other.df.select((F.col("i") * stride + offset).alias("i"), F.col("v").alias("y"))
-        rows = self.df.join(moved, "i", "left")
-        return replace(self, df=rows.select("i", F.when(F.col("y").isNull(), F.col("v")).otherwise(BINARY[op](F.col("v"), F.col("y"))).alias("v")))
+        """op(self, other) at offset, offset + stride, ...; what other doesn't store is its implicit value."""
+        moved = (other if other.dense else other.to_dense()).df.select((F.col("i") * stride + offset).alias("i"), F.col("v").alias("y"))
+        return self._written(moved, op)
+
+    def _written(self, values: DataFrame, op: str) -> "Vector":
+        """op with values (i, y) at their places; places that a sparse vector doesn't store have its implicit value before."""
+        rows = self.df.join(values, "i", "left" if self.dense else "full")
+        old = F.col("v") if self.dense else F.coalesce("v", F.lit(self.zero))
+        return replace(self, df=rows.select("i", F.when(F.col("y").isNull(), F.col("v")).otherwise(BINARY[op](old, F.col("y"))).alias("v")))
 
     def resize(self, n: int) -> "Vector":
         """Indexes from n on are dropped; new ones have the implicit value."""
@@ -223,9 +227,7 @@ class Vector:
         if op not in ("copy", "add", "sub", "min", "max"):
             raise ValueError(f"repeated indexes can't be combined by {op}")
         combined = F.max_by("y", "k") if op == "copy" else aggregate("add" if op == "sub" else op, F.col("y"))
-        combined = pairs.groupBy("i").agg(combined.alias("y"))
-        rows = self.df.join(combined, "i", "left")
-        return replace(self, df=rows.select("i", F.when(F.col("y").isNull(), F.col("v")).otherwise(BINARY[op](F.col("v"), F.col("y"))).alias("v")))
+        return self._written(pairs.groupBy("i").agg(combined.alias("y")), op)
 
     # -- order
 

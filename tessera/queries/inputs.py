@@ -35,7 +35,7 @@ class Registry:
         return take
 
 
-SIZES: dict[tuple[str, str, str], int] = {}
+SIZES: dict[tuple[str, ...], int] = {}
 
 
 class Tables:
@@ -48,8 +48,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def size(self, table: str, key: str) -> int:
-        """One more than the greatest key; looked up once a session and folder."""
-        at = (self.spark.sparkContext.applicationId, self.dir, table)
+        """One more than the greatest key; looked up once a session, key and list of files."""
+        at = (self.spark.sparkContext.applicationId, key, *sorted(self.table(table).inputFiles()))
         if at not in SIZES:
             found = self.table(table).agg(F.max(key)).first()[0]
             SIZES[at] = 0 if found is None else found + 1
@@ -132,12 +132,12 @@ class Tables:
         """The solution that the systems are made of: 1, 2, 3, 1, ..."""
         return Vector.of(self.table("nation"), "n_nationkey", F.col("n_nationkey") % 3 + 1, self.size("nation", "n_nationkey"))
 
-    def _followed(self) -> DataFrame:
-        """(i, j, w): how often lines of the parts i and j follow one another in an order, in either order."""
-        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-        then = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
-        pairs = lines.join(then, ["l_orderkey", "l_linenumber"]).filter("l_partkey != next")
-        both = pairs.select(F.col("l_partkey").alias("i"), F.col("next").alias("j")).unionByName(pairs.select(F.col("next").alias("i"), F.col("l_partkey").alias("j")))
+    def _followed(self, key: str = "l_partkey") -> DataFrame:
+        """(i, j, w): how often lines of the parts (or other keys) i and j follow one another in an order, in either order."""
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", F.col(key).cast("long").alias("key"))
+        then = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("key").alias("next"))
+        pairs = lines.join(then, ["l_orderkey", "l_linenumber"]).filter("key != next")
+        both = pairs.select(F.col("key").alias("i"), F.col("next").alias("j")).unionByName(pairs.select(F.col("next").alias("i"), F.col("key").alias("j")))
         return both.groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
 
     @property
@@ -165,6 +165,15 @@ class Tables:
         """As system, but not symmetric."""
         return self._parts_system(0.5)
 
+    @property
+    def supplier_system(self) -> Matrix:
+        """suppliers x suppliers: -1 for each pair of a line and the next one of its order, and a dominant diagonal; symmetric."""
+        w = self._followed("l_suppkey")
+        degree = w.groupBy("i").agg(F.sum("w").alias("d"))
+        n = self.size("supplier", "s_suppkey")
+        own = self.table("supplier").select(F.col("s_suppkey").cast("long").alias("i")).join(degree, "i", "left").select("i", F.col("i").alias("j"), (F.coalesce("d", F.lit(0.0)) + 1.0).alias("v"))
+        return Matrix(w.select("i", "j", (-F.col("w")).alias("v")).unionByName(own), n, n)
+
     @property
     def answer(self) -> Vector:
         """The solution that the systems over parts are made of."""

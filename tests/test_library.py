@@ -11,6 +11,7 @@ from tessera.operators import applications as app
 from tessera.operators import fft, generate
 from tessera.operators.assembly import assemble_matrix, assemble_vector
 from tessera.operators.solvers import SOLVERS, Operator, by_solver, decomposition_solve, diagonal, inverse, iterations, residual_below, solve, triangular_solve, trivial
+from tessera.operators.triangular import triangular
 from tessera.plans.complex import ComplexMatrix, ComplexVector
 from tessera.plans.grid import Grid, Stencil, apply_stencil, stencil_matrix
 from tessera.plans.matrix import Matrix
@@ -331,8 +332,8 @@ def test_operators_and_preconditioners(spark):
             assert np.allclose(values(solve(by if pre is diagonal else a, b, method, stop=residual_below(1e-8) | iterations(20), preconditioner=pre).x), x, atol=1e-5)
     for method in ("minres", "qmr", "jacobi"):
         assert np.allclose(values(solve(by, b, method, stop=residual_below(1e-7) | iterations(30)).x), x, atol=1e-4)
-    with pytest.raises(ValueError):
-        decomposition_solve(Matrix(a.df, 10_000, 10_000), Vector.fill(spark, 10_000, 1.0))
+    for symmetric in (False, True):
+        assert np.allclose(values(decomposition_solve(a, b, symmetric, size=2).x), x)
 
 
 def test_triangular_systems(spark):
@@ -342,6 +343,58 @@ def test_triangular_systems(spark):
     assert np.allclose(values(triangular_solve(mat(spark, t.T), vec(spark, t.T @ x), lower=False).x), x)
 
 
+def test_triangular_systems_of_chains_trees_and_full_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 40
+    chain = np.diag(rng.uniform(1, 2, n)) + np.diag(rng.uniform(-1, 1, n - 1), -1)
+    tree = np.diag(rng.uniform(1, 2, n))
+    for k in range(1, n):
+        tree[k, rng.integers(k)] = rng.uniform(-1, 1)
+    ladder = chain.copy()
+    ladder[np.arange(9, n, 9), np.arange(9, n, 9) - 5] = 0.5
+    full = np.tril(rng.normal(size=(n, n))) / 4 + np.diag(np.full(n, 3.0))
+    x = rng.normal(size=n)
+    for t, most in ((chain, 1), (tree, 1), (ladder, 6), (full, 1)):
+        found, rounds = triangular(mat(spark, t), vec(spark, t @ x), size=16)
+        assert np.allclose(values(found), x) and rounds <= most
+        assert np.allclose(values(triangular(mat(spark, t.T), vec(spark, t.T @ x), lower=False, size=16)[0]), x)
+    with pytest.raises(ValueError, match="gaps"):
+        triangular(mat(spark, np.array([[1.0, 0], [1, 0]])), vec(spark, [1.0, 2]))
+
+
+def test_writes_to_sparse_vectors_keep_every_value(spark):
+    rows = spark.createDataFrame([(0, 5.0), (5, 2.0)], "i long, v double")
+    x = Vector(rows, 8, 0.0, False)
+    assert {r.i: r.v for r in x.put_section(0, 3, vec(spark, [9.0, 9, 9])).df.collect()} == {0: 9, 3: 9, 5: 2, 6: 9}
+    assert {r.i: r.v for r in x.put_section(4, 1, Vector(rows.filter("i = 0"), 2, 1.0, False), "add").df.collect()} == {0: 5, 4: 5, 5: 3}
+    index, source = vec(spark, [7, 0, 7]), vec(spark, [1.0, 2, 3])
+    assert {r.i: r.v for r in x.scatter(index, source).df.collect()} == {0: 2, 5: 2, 7: 3}
+    assert {r.i: r.v for r in x.scatter(index, source, "add").df.collect()} == {0: 7, 5: 2, 7: 4}
+    one = Vector(rows, 8, 1.0, False).scatter(index, source, "sub")
+    assert {r.i: r.v for r in one.df.collect()} == {0: 3, 5: 2, 7: -3}
+
+
+def test_quotients_of_implicit_zeros(spark):
+    rows = spark.createDataFrame([(0, 5.0)], "i long, v double")
+    x, d = Vector(rows, 3, 0.0, False), vec(spark, [2.0, 0, 4])
+    got = values(x.binary("divide", d))
+    assert got[0] == 2.5 and np.isnan(got[1]) and got[2] == 0
+    both = x.binary("divide", Vector(rows, 3, 0.0, False))
+    assert np.isnan(both.zero) and [tuple(r) for r in both.df.collect()] == [(0, 1.0)]
+
+
+@pytest.mark.parametrize("density", [0.0, 0.01, 0.05, 0.5, 1.0])
+def test_random_matrices_have_their_density(spark, density):
+    n, m = 400, 300
+    a = generate.random_matrix(spark, n, m, density, 7)
+    assert a.consistent().first().ok
+    found = a.df.selectExpr("count(*) AS c", "coalesce(avg(v), 0.5) AS v", "coalesce(avg(j), 149.5) AS j").first()
+    spread = (density * (1 - density) * n * m) ** 0.5
+    assert abs(found.c - density * n * m) <= 4 * spread
+    if density:
+        assert abs(found.v - 0.5) < 0.05 and abs(found.j - 149.5) < 12
+
+
 def test_n_body_agrees_with_all_pairs(spark):
     rng = np.random.default_rng(1)
     p = rng.random((40, 2))
