@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ BUCKET_MEMORY = "256MB"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", "abcdefghijklmnopqrstuvwxyz "
 _COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 _COUNTED_TYPES = "lang string, gram string, k int, n long"
+#: What tasks send to a bucket: sequences (words apart by blanks, sequences by line feeds, which no word has) and their counts, compressed.
+_SENT = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("k", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+_SENT_TYPES = "bucket int, lang string, k int, grams binary, counts binary"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -56,29 +61,53 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode())
 
 
-def _bit_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
-    """The bit of each sequence; words: the hashes of the first words, of the second ones and so on."""
+def _sequence_hash(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """A hash of each sequence; words: the hashes of the first words, of the second ones and so on."""
     h = np.full(len(words[0]), _hash(lang), np.uint64)
     for w in words:
         h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
-    return (h >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+    return h
+
+
+def _bit_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    return (_sequence_hash(lang, words) >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+
 
+def _packed(lang: str, k: int, grams: pa.Array, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Counts of sequences as a row for each bucket."""
+    press = zstandard.ZstdCompressor(level=3)
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(n)])).astype(np.int32)), grams.take(pa.array(order)))
+    joined, counts = pc.binary_join(lists, "\n"), np.split(n[order], first[1:])
+    columns = [bucket[order][first].astype(np.int32), [lang] * len(first), [k] * len(first), [press.compress(x.as_py().encode()) for x in joined], [press.compress(x.tobytes()) for x in counts]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
 
-def _sequences(longest: int, field: np.ndarray | None):
-    """Weighted counts of the sequences of pieces: up to two words and all words together (''), or, with a field, of longest words."""
 
-    def rows(lang, words, code, sel, m, weight):
+def _unpacked(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    unpress = zstandard.ZstdDecompressor()
+    for r in range(b.num_rows):
+        grams = pc.split_pattern(pa.array([unpress.decompress(b.column("grams")[r].as_py()).decode()]), "\n").values
+        n = np.frombuffer(unpress.decompress(b.column("counts")[r].as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.repeat(b.column("lang")[r], len(n)), grams, pa.repeat(b.column("k")[r], len(n)), pa.array(n)], schema=_COUNTED)
+
+
+def _sequences(longest: int, field: np.ndarray | None, buckets: int):
+    """Weighted counts of the sequences of pieces, by bucket: up to two words and all words together (''), or, with a field, of longest words."""
+
+    def rows(lang, words, hashes, code, sel, m, weight):
         key = code[sel]
         for j in range(1, m):
             if j > 1:
                 key = np.unique(key, return_inverse=True)[1]
             key = key * len(words) + code[sel + j]
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        parts = [words.take(pa.array(code[sel[first] + j])) for j in range(m)]
+        codes = [code[sel[first] + j] for j in range(m)]
         n = np.zeros(len(first), np.int64)
         np.add.at(n, which, weight[sel])
-        gram = parts[0] if m == 1 else pc.binary_join_element_wise(*parts, " ")
-        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), gram, pa.repeat(pa.scalar(m, pa.int32()), len(n)), pa.array(n)], schema=_COUNTED)
+        parts = [words.take(pa.array(c)) for c in codes]
+        bucket = _sequence_hash(lang, [hashes[c] for c in codes]) % np.uint64(buckets)
+        return _packed(lang, m, parts[0] if m == 1 else pc.binary_join_element_wise(*parts, " "), n, bucket)
 
     def counted(lang, b):
         lists = pc.split_pattern(b.column("piece"), " ")
@@ -90,19 +119,19 @@ def _sequences(longest: int, field: np.ndarray | None):
         if not len(code):
             return
         starts = lambda m: np.flatnonzero(owner[: len(owner) - m + 1] == owner[m - 1 :]) if len(owner) >= m else np.zeros(0, np.int64)
+        hashes = np.array([_hash(w) for w in words.to_pylist()], np.uint64)
         if field is None:
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([int(weight.sum())])], schema=_COUNTED)
+            yield _packed(lang, 0, pa.array([""]), np.array([weight.sum()]), np.zeros(1, np.int64))
             for m in range(1, min(2, longest) + 1):
                 if len(sel := starts(m)):
-                    yield rows(lang, words, code, sel, m, weight)
+                    yield rows(lang, words, hashes, code, sel, m, weight)
             return
         sel, m = starts(longest), longest
-        hashes = np.array([_hash(w) for w in words.to_pylist()], np.uint64)
         for ahead in (0, 1):
             bit = _bit_of(lang, [hashes[code[sel + ahead + j]] for j in range(m - 1)])
             sel = sel[(field[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1]
         if len(sel):
-            yield rows(lang, words, code, sel, m, weight)
+            yield rows(lang, words, hashes, code, sel, m, weight)
 
     def run(batches):
         for whole in batches:
@@ -123,7 +152,7 @@ def _bucket(least: int, memory: str):
         spill = tempfile.mkdtemp(prefix="bucket-")
         con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill, "preserve_insertion_order": False})
         try:
-            con.register("counts", pa.RecordBatchReader.from_batches(_COUNTED, (b.cast(_COUNTED) for b in batches)))
+            con.register("counts", pa.RecordBatchReader.from_batches(_COUNTED, (x for b in batches for x in _unpacked(b))))
             found = con.sql(f"SELECT lang, gram, any_value(k) AS k, sum(n)::BIGINT AS n FROM counts GROUP BY lang, gram HAVING sum(n) >= {int(least)}")
             for b in found.to_arrow_reader(10_000):
                 yield b.cast(_COUNTED)
@@ -162,7 +191,7 @@ def sequence_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST,
     held = stored(pieces(docs), "pieces")
 
     def counts(m: int, field: np.ndarray | None) -> DataFrame:
-        sent = held.mapInArrow(_sequences(m, field), _COUNTED_TYPES).repartition(parts, "lang", "gram")
+        sent = held.mapInArrow(_sequences(m, field, parts), _SENT_TYPES).repartitionById(parts, F.col("bucket"))
         return stored(sent.mapInArrow(_bucket(least, memory), _COUNTED_TYPES), "sequences")
 
     found = last = counts(min(2, longest), None)

@@ -80,6 +80,7 @@ def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
 
 def test_a_bucket_larger_than_its_memory_is_summed_on_disk():
     n = 400_000
-    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array([f"some rather long phrase number {k}" for k in range(n)]), pa.array([1] * n, pa.int32()), pa.array([6] * n)], schema=phrases._COUNTED)] * 2
+    grams = pa.array([f"some rather long phrase number {k}" for k in range(n)])
+    batches = [phrases._packed("en", 5, grams, np.full(n, 6), np.zeros(n, np.int64))] * 2
     found = sum(b.num_rows for b in phrases._bucket(12, "48MB")(iter(batches)))
     assert found == n
