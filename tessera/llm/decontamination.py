@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -16,21 +17,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_of, small_batches, stored, table, texts
+from tessera.llm.common import batch_of, small_batches, stored, table, texts, within
 
-WORD = re.compile(r"\w+")
+# Ranges of letters of scripts that put no blanks between words (Thai to Khmer, kana, Han).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Words; letters of those scripts are one each, so that triples of words are their 3-grams.
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
 MIN_SCORE = 0.6
 #: Share of the question's word triples, and of the answer's words, that must stand around the passage.
 MIN_OVERLAP = 0.6
 #: A block of items, indexed and broadcast at once, has about this many bytes of text; further items make further blocks.
-ITEM_BYTES = 8 << 20
+ITEM_BYTES = 4 << 20
 #: Passages are windows of twice this many words, one beginning every so many words; for items of more words the next power of two times this.
 STRIDE = 64
 POSTINGS_A_BLOCK = 8
 #: Groups of items with bounds of their own in the second bound on passages.
-GROUPS = 64
+GROUPS = 32
 #: Terms of little weight, together at most this share of a score, are left out of the first bound.
 SLACK = 0.15
 #: Cells of the bounds over all blocks: a term's bound is the greatest weight in its cell.
@@ -92,31 +96,43 @@ def likely_tiles(ids: np.ndarray, lengths: np.ndarray, stride: int, bound: np.nd
     return np.flatnonzero(both >= least - 1e-6), tile, doc, first
 
 
+def triples_of(ids: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the different runs of width (3 at most) terms, sorted."""
+    n = len(ids) - width + 1
+    h = np.zeros(max(0, n), np.uint64)
+    for j in range(width):
+        h = (h ^ ids[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
 class Index:
-    """Postings of items of one stride by term: items in order, weights as shares of the items' own scores, and their maxima by block."""
+    """Postings of items of one stride by term: items in order, weights as shares of the items' own scores, and their maxima by block; numbers are kept in arrays."""
 
-    def __init__(self, stride: int, items: list[tuple[int | None, str, dict[str, float]]]):
-        """items: (id, text, weights by term)."""
+    def __init__(self, stride: int, items: list[tuple[int, str, dict[str, float]]]):
+        """items: (key, text, weights by term)."""
         self.stride = stride
-        items = sorted(items, key=lambda x: (len(x[2]), x[0] is None, x[0] or 0, x[1]))
+        items = sorted(items, key=lambda x: (len(x[2]), x[0], x[1]))
         self.item_ids = [x[0] for x in items]
-        self.questions: list[set[tuple[str, ...]]] = []
-        self.answers: list[set[str]] = []
+        #: Of each item the words of a run of its question (3, if it has so many), their hashes, and the answer's terms.
+        self.questions: list[tuple[int, np.ndarray]] = []
+        self.answers: list[np.ndarray] = []
         self.terms: dict[str, int] = {}
-        self.postings: list[list[int]] = []
-        self.weights: list[list[float]] = []
+        self.postings: list[array] = []
+        self.weights: list[array] = []
         for k, (_, text, shares) in enumerate(items):
             for w, x in shares.items():
                 t = self.terms.setdefault(w, len(self.terms))
                 if t == len(self.postings):
-                    self.postings.append([])
-                    self.weights.append([])
+                    self.postings.append(array("i"))
+                    self.weights.append(array("d"))
                 self.postings[t].append(k)
                 self.weights[t].append(x)
-            q, a = parts(text)
-            self.questions.append({tuple(q[j : j + 3]) for j in range(max(1, len(q) - 2))})
-            self.answers.append(set(a))
-        self.maxima = [[max(ws[a : a + POSTINGS_A_BLOCK]) for a in range(0, len(ws), POSTINGS_A_BLOCK)] for ws in self.weights]
+            q, a = ([self.terms[w] for w in part] for part in parts(text))
+            width = min(3, len(q))
+            self.questions.append((width, triples_of(np.array(q, np.int64), width)))
+            self.answers.append(np.unique(np.array(a, np.int32)))
+        self.maxima = [array("d", [max(ws[a : a + POSTINGS_A_BLOCK]) for a in range(0, len(ws), POSTINGS_A_BLOCK)]) for ws in self.weights]
         self.bound = np.array([max(m) for m in self.maxima], np.float64)
         order = np.argsort(self.bound, kind="stable")
         low = order[np.cumsum(self.bound[order]) <= SLACK]
@@ -199,15 +215,14 @@ class Index:
         lengths = np.array([len(x) for x in split], np.int64)
         ids = np.fromiter((get(w, -1) for x in split for w in x), np.int64, int(lengths.sum()))
         found: dict[tuple[int, int], tuple[int, float, float, float]] = {}
+        first = np.cumsum(lengths) - lengths
         for d, at, query in self.passages(ids, lengths, least):
             for item, score in self.search(query.tolist(), least):
-                around = split[d][max(0, at - self.stride) : at + 3 * self.stride]
-                question = self.questions[item]
-                width = len(next(iter(question)))
-                triples = {tuple(around[j : j + width]) for j in range(len(around) - width + 1)}
-                q = len(question & triples) / len(question)
+                around = ids[first[d] + max(0, at - self.stride) : first[d] + min(int(lengths[d]), at + 3 * self.stride)]
+                width, question = self.questions[item]
+                q = float(np.isin(question, triples_of(around, width)).mean())
                 answer = self.answers[item]
-                a = len(answer & set(around)) / len(answer) if answer else 1.0
+                a = float(np.isin(answer, around).mean()) if len(answer) else 1.0
                 if q >= overlap and a >= overlap:
                     n, s, x, y = found.get((d, item), (0, 0.0, 0.0, 0.0))
                     found[d, item] = (n + 1, max(s, score), max(x, q), max(y, a))
@@ -251,15 +266,15 @@ def cell_of(word: str) -> int:
 class Items:
     """The different texts of a benchmark, weighed as one set and dealt into blocks of bounded size.
 
-    Items with equal texts are one item, under the smallest of their ids. Items without words can't
-    occur in a text and are left out. Counts and weights are Spark tables; one block at a time, of
+    Items with equal texts are one item, known by a key; members() tells the ids that a key stands
+    for. Items without words can't occur in a text and are left out. Counts and weights are Spark tables; one block at a time, of
     about max_bytes of text (a longer single item is a block), is with the driver.
     """
 
     def __init__(self, items: DataFrame, max_bytes: int = ITEM_BYTES):
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        rows = rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
-        self.items = stored(rows.withColumn("key", F.monotonically_increasing_id()), "items")
+        self.given = rows.withColumn("h", F.xxhash64("text"))
+        self.items = stored(rows.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "items")
         total = self.items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         self.n_blocks = -(-total // max_bytes)
         schema = pa.schema([("key", pa.int64()), ("length", pa.int64()), ("term", pa.string()), ("one", pa.int64())])
@@ -279,13 +294,18 @@ class Items:
             self.n_blocks = 0
         self.df = stored(self.terms.groupBy("term").agg(F.count("*").alias("df")), "item-df") if self.n else None
 
+    def members(self) -> DataFrame:
+        """(key, item_id): the different ids of the items of each key; texts are compared, not their hashes alone."""
+        keys = self.items.select("key", F.col("text").alias("t"), F.xxhash64("text").alias("h"))
+        return self.given.dropDuplicates(["item_id", "text"]).join(keys, "h").filter("t = text").select("key", "item_id")
+
     def part(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.n_blocks))
 
     def blocks(self) -> Iterator[list[Index]]:
         """For each block the indexes of its items, one a stride."""
         for part in range(self.n_blocks):
-            rows = [(r.item_id, r.text, words(r.text)) for r in self.items.filter(self.part() == part).select("item_id", "text").collect()]
+            rows = [(r.key, r.text, words(r.text)) for r in self.items.filter(self.part() == part).select("key", "text").collect()]
             mine = self.terms.filter(self.part() == part).select("term").distinct()
             df = {r.term: r.df for r in self.df.join(mine, "term").collect()}
             held: dict[int, list] = {}
@@ -319,7 +339,8 @@ class Items:
         return Bounds(by_stride)
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("passages", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+_FOUND_TYPES = "doc_id long, key long, passages long, score double, question_overlap double, answer_overlap double"
 FOUND = "doc_id long, item_id long, passages long, score double, question_overlap double, answer_overlap double"
 
 
@@ -337,7 +358,7 @@ def _search(rows: DataFrame, indexes: list[Index], least: float, overlap: float)
                     if found:
                         yield batch_of(_FOUND, *zip(*((ids[d], index.item_ids[i], *x) for (d, i), x in found.items())))
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, _FOUND_TYPES)
 
 
 def _filtered(docs: DataFrame, test) -> DataFrame:
@@ -366,8 +387,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, ov
     passage. Whether a text holds an item depends on the two, and on the whole set's term counts,
     but not on how items are dealt into blocks.
 
-    Case and punctuation don't count. Items with equal texts are one, under the smallest of their
-    ids. Null and empty texts hold nothing; rows with a null doc_id and repeated rows are reported
+    Case and punctuation don't count; letters of scripts without blanks between words are words.
+    Items with equal texts are searched as one, and each of their different ids is reported. Null and empty texts hold nothing; rows with a null doc_id and repeated rows are reported
     as they come; texts of any length are read whole; either table may be empty; further columns
     are ignored. With one block of items, that is broadcast and documents are read once. With more,
     one pass over the documents finds those that can hold any item, by bounds of fixed size; they
@@ -379,13 +400,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, ov
     if held.n_blocks == 0:
         return docs.sparkSession.createDataFrame([], FOUND)
     if held.n_blocks == 1:
-        return _search(rows, next(held.blocks()), least, overlap)
-    rows = stored(_likely(rows, held, least), "likely")
-    result = None
-    for indexes in held.blocks():
-        found = stored(_search(rows, indexes, least, overlap), "matches")
-        result = found if result is None else result.unionByName(found)
-    return result
+        result = _search(rows, next(held.blocks()), least, overlap)
+    else:
+        rows, result = stored(_likely(rows, held, least), "likely"), None
+        for indexes in held.blocks():
+            found = stored(_search(rows, indexes, least, overlap), "matches")
+            result = found if result is None else result.unionByName(found)
+    result = stored(result, "found").join(within(stored(held.members(), "members")), "key")
+    return result.select("doc_id", "item_id", "passages", "score", "question_overlap", "answer_overlap")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, overlap: float = MIN_OVERLAP, max_bytes: int = ITEM_BYTES) -> DataFrame:

@@ -29,6 +29,7 @@ TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
 #: The end of a tag, or the beginning of a quoted value in it.
 TAG_STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CLASS = re.compile(r"\bclass\s*=\s*[\"']?([^\"'>]*)", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -46,6 +47,8 @@ ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "table")), "dt": (("dt", "dd"), ("dl", "table")), "dd": (("dt", "dd"), ("dl", "table")), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody"), ("table",)), "tfoot": (("thead", "tbody"), ("table",)), "a": (("a",), ("p", "div", "li", "td", "section", "article", "table")), "option": (("option",), ("select",)),
 }
+#: Elements that entries of a discussion may be.
+ENTRIES = frozenset("article blockquote div li p section".split())
 HOLDS_P = ("table", "td", "th", "caption", "object")
 
 #: How much of an element's log odds is left below an element that has features of its own.
@@ -54,6 +57,12 @@ FADE = 0.5
 ASIDE = -1.0
 #: An element with this share of the page's words has a feature for it.
 BIG = 0.5
+#: Words of the line above an entry of a discussion at most, and of the entry at least.
+BYLINE, LEAST_POST = 6, 4
+#: Attributes of more characters are read anew each time.
+LONG_TAG = 512
+#: What the tags of elements that are left out cost at most, one after another, until a word of main text stands between them.
+ASIDE_MOST = 8.0
 RIDGE = 0.1
 LEAST_COST, MOST_COST = 0.2, 1.0
 
@@ -178,9 +187,17 @@ def read_page(page: str) -> Page:
     return out
 
 
-@lru_cache(maxsize=20_000)
 def _own_features(name: str, attributes: str) -> tuple[str, ...]:
-    """Features that an element's tag says: its section name, parts of class and id names, role, hidden."""
+    """Features that an element's tag says: its section name, parts of class and id names, role, hidden. Those of short tags are kept."""
+    return _kept_features(name, attributes) if len(attributes) <= LONG_TAG else _tag_features(name, attributes)
+
+
+@lru_cache(maxsize=20_000)
+def _kept_features(name: str, attributes: str) -> tuple[str, ...]:
+    return _tag_features(name, attributes)
+
+
+def _tag_features(name: str, attributes: str) -> tuple[str, ...]:
     found = {f"section {name}"} if name in SECTIONS else set()
     if attributes and name not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attributes):
@@ -198,13 +215,34 @@ def _own_features(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def posts(page: Page) -> set[int]:
+    """Elements that look like entries of a discussion: three siblings or more of the same tag and class, each a short line that is no heading, then a longer text."""
+    first: dict[int, tuple[int, str]] = {}
+    for words, _, held in blocks_of(page):
+        e = page.events[held[0]][3]
+        kind = page.kind[e]
+        while e and e not in first:
+            first[e] = (words, kind)
+            e = page.parent[e]
+    alike: dict[tuple[int, str, str], list[int]] = {}
+    for e in range(1, len(page.name)):
+        if page.name[e] in ENTRIES:
+            m = CLASS.search(page.attributes[e])
+            alike.setdefault((page.parent[e], page.name[e], m.group(1).lower() if m else ""), []).append(e)
+    fits = lambda e: e in first and first[e][0] <= BYLINE and first[e][1] not in ("heading", "title", "caption", "cell") and page.words[e] >= first[e][0] + LEAST_POST
+    return {e for some in alike.values() if len(some) >= 3 and 3 * sum(map(fits, some)) >= 2 * len(some) for e in some}
+
+
 def element_features(page: Page, known=None) -> list[tuple[str, ...]]:
     """The features of each element, of those known (all, if None); () for an element without any."""
     total = max(1, page.words[0])
     out: list[tuple[str, ...]] = [()]
+    entries = posts(page)
     for e in range(1, len(page.name)):
         name = page.name[e]
         found = _own_features(name, page.attributes[e])
+        if e in entries:
+            found = (*found, "post")
         if found:
             if name in SECTIONS and (around := page.section[page.parent[e]]):
                 found = (*found, f"section {name} in {around}")
@@ -256,7 +294,7 @@ class Weights:
         return out
 
     def scores(self, page: Page, odds: list[float]) -> list[float]:
-        """The score of each event: words of a block have its log odds, 0 at least and 0 in elements left out; tags are negative."""
+        """The score of each event: words of a block have its log odds, 0 at least and 0 in elements left out; tags are negative, in elements left out up to a bound."""
         out = [0.0] * len(page.events)
         for words, linked, held in blocks_of(page):
             local = sum(self.blocks.get(f, 0.0) for f in _block_features(page.kind[page.events[held[0]][3]], words, linked))
@@ -264,9 +302,15 @@ class Weights:
                 _, _, text, e = page.events[k]
                 if odds[e] >= ASIDE:
                     out[k] = len(text.split()) * max(0.0, local + odds[e])
+        spent = 0.0
         for k, (kind, _, name, e) in enumerate(page.events):
-            if kind != TEXT:
-                out[k] = self.tags.get("aside" if odds[e] < ASIDE else name, -0.5)
+            if kind == TEXT:
+                spent = 0.0 if out[k] > 0 else spent
+            elif odds[e] >= ASIDE:
+                out[k] = self.tags.get(name, -0.5)
+            elif spent < ASIDE_MOST:
+                out[k] = self.tags["aside"]
+                spent -= out[k]
         return out
 
 

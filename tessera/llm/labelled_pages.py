@@ -1,4 +1,4 @@
-"""Labelled pages, from which html.py learns its weights: frames of whole sites around main parts.
+"""Labelled pages, from which html.py learns its weights: frames of whole sites, each of a layout of its own, around main parts.
 
 The notation is short for HTML: {n} stands for n words, [n] for n menu items with links, and in a
 frame @ for the main part. «...» within a main part, like the frame, is not main text.
@@ -26,6 +26,35 @@ FRAMES = (
     "<html><body><header><h1>{2}</h1><p>{4}</p></header><main>@<section class='comments'><h2>{1}</h2><p>{60}</p><p>{70}</p><p>{55}</p><p>{44}</p></section></main><footer>{3}</footer></body></html>",
     "<html><body><header>{3}<nav>[4]</nav></header><section id='content'>@<form action='/s'><p>{9}</p><input><label>{1}</label><button>{2}</button></form></section><section id='comment-list' class='thread'><p>{40}</p><p>{52}</p><p>{61}</p></section><footer><p>{5}</p><p>{12}</p></footer></body></html>",
     "<html><body><header><h1>{3}</h1></header><div id='wrapper'><nav>[5]</nav><div class='main'>@</div><aside><p>{10}</p></aside></div><footer>{6}</footer></body></html>",
+    "<html><body><div class='masthead'><a href=/>{2}</a></div><div class='story'>@</div><div class='discussion'><h3>{2}</h3><div class='entry-c'><b>{1}</b><p>{24}</p></div><div class='entry-c'><b>{2}</b><p>{41}</p></div><div class='entry-c'><b>{1}</b><p>{18}</p></div></div><div class='foot'>{6}</div></body></html>",
+    "<html><body><nav class='top'>[5]</nav><main>@</main><div><h4>{2}</h4><div class='x1'><span>{2}</span><div>{30}</div></div><div class='x1'><span>{1}</span><div>{22}</div></div><div class='x1'><span>{3}</span><div>{51}</div></div><div class='x1'><span>{2}</span><div>{15}</div></div></div><footer>{7}</footer></body></html>",
+    "<html><body><div id='hd'>{3} <a href=/>{1}</a></div><div id='bd'>@</div><ul class='talkback'><li><i>{2}</i><p>{33}</p></li><li><i>{1}</i><p>{27}</p></li><li><i>{2}</i><p>{19}</p></li></ul><div id='ft'>{9}</div></body></html>",
+    "<html><body><header class='global'>{2}<ul>[6]</ul></header><div class='body-copy'>@</div><section class='responses'><h2>{1}</h2><article class='response'><p>{2}</p><p>{38}</p></article><article class='response'><p>{1}</p><p>{25}</p></article><article class='response'><p>{2}</p><p>{44}</p></article></section><footer class='global'>{12}</footer></body></html>",
+    "<html><body><div class='crumbs'><a href=a>{1}</a> <a href=b>{1}</a></div>@<div class='thread-list'><div class='msg'><div class='who'>{2}</div><div class='what'>{29}</div></div><div class='msg'><div class='who'>{2}</div><div class='what'>{17}</div></div><div class='msg'><div class='who'>{1}</div><div class='what'>{35}</div></div></div><div class='legal'>{14}</div></body></html>",
+    "<html><body><div class='cookiebar'><span>{16}</span> <a href=k>{1}</a></div><div class='shell'><div class='rail'><ul>[7]</ul></div><div class='copy'>@</div></div><div class='colophon'>{8}</div></body></html>",
+    "<html><body><div class='eu-banner privacy'><p>{22}</p></div><div class='l-main'>@</div><div class='l-side trending'><h3>{2}</h3><p><a href=a>{6}</a></p><p><a href=b>{7}</a></p><p><a href=c>{5}</a></p></div></body></html>",
+    "<html><body><div class='navbar'><div class='brand'>{1}</div>[5]</div><div class='hero'><h2>{4}</h2></div><div class='container'><div class='post-body'>@</div><div class='opinions'><div><strong>{2}</strong><p>{26}</p></div><div><strong>{2}</strong><p>{31}</p></div><div><strong>{1}</strong><p>{12}</p></div></div></div><div class='bottom-bar'>{5}</div></body></html>",
+    "<html><body><table><tr><td><ul>[6]</ul></td><td>@</td><td><b>{2}</b><br><a href=a>{3}</a><br><a href=b>{4}</a></td></tr></table><p><small>{11}</small></p></body></html>",
+    "<html><body><center><a href=/><b>{2}</b></a></center><hr>@<hr><a href=p>{2}</a> | <a href=n>{2}</a><hr><i>{4}</i></body></html>",
+    "<html><body><div class='app'><div class='drawer'>[8]</div><div class='view'><div class='reader'>@</div><div class='next-up'><h4>{2}</h4><div class='card'><a href=x>{8}</a></div><div class='card'><a href=y>{6}</a></div></div></div></div></body></html>",
+    "<html><body><div class='subscribe-wall paywall'><p>{13}</p><a href=s>{2}</a></div><div class='document'>@</div><div class='disclaimer'><p>{24}</p></div></body></html>",
+    "<html><body><header>{2}<form role='search'><input><button>{1}</button></form></header><div role='main'>@</div><div role='complementary'><h3>{2}</h3><p>{18}</p></div><div class='qa'><div class='user-post'><span>{1}</span><p>{33}</p></div><div class='user-post'><span>{2}</span><p>{28}</p></div><div class='user-post'><span>{2}</span><p>{46}</p></div></div></body></html>",
+    "<html><body><div class='utility'>[3]</div><div class='news-item'>@</div><div class='also'><ul><li><a href=a>{6}</a></li><li><a href=b>{9}</a></li><li><a href=c>{7}</a></li></ul></div><div class='tos'>{10} <a href=t>{2}</a></div></body></html>",
+    "<html><body><div class='announcement'><p>{9}</p></div><div class='two-col'><div class='text'>@</div><div class='extra'><div class='ad-unit'>{5}</div><div class='poll'><p>{8}</p><label>{1}</label><label>{1}</label><button>{1}</button></div></div></div><div class='sitemap'><ul>[9]</ul></div></body></html>",
+    "<html><body><nav aria-label='x'>[4]</nav><article>@</article><section><h2>{2}</h2><div><p>{2}</p><p>{27}</p></div><div><p>{3}</p><p>{36}</p></div><div><p>{2}</p><p>{14}</p></div><div><p>{1}</p><p>{22}</p></div></section></body></html>",
+    "<html><body><div class='hdr'>{3}</div><div class='art'>@</div><div id='replies'><blockquote><cite>{2}</cite><p>{21}</p></blockquote><blockquote><cite>{1}</cite><p>{37}</p></blockquote><blockquote><cite>{2}</cite><p>{29}</p></blockquote></div><div class='ftr'>{6}</div></body></html>",
+    "<html><body><div class='ribbon'>{4}</div><ul class='tabs'>[4]</ul><div class='panel'>@</div><div class='you-may-like'><h3>{4}</h3><p><a href=q>{9}</a></p><p><a href=r>{7}</a></p></div></body></html>",
+    "<html><body><div id='menu'><p><a href=a>{1}</a></p><p><a href=b>{1}</a></p><p><a href=c>{2}</a></p></div><div id='text'>@</div><div id='about'><p>{17}</p></div><div id='copy'>{5}</div></body></html>",
+    "<html><body><section class='cover'><a href=/>{2}</a></section><section class='longread'>@</section><section class='signup-box'><h3>{3}</h3><form><input><button>{1}</button></form></section><section class='guestbook'><p><b>{2}</b></p><p>{30}</p><p><b>{2}</b></p><p>{21}</p></section></body></html>",
+    "<html><body><div class='w'><div class='h'>{2} <a href=/>{1}</a> <a href=/a>{1}</a></div><div class='c'>@</div><div class='f'>{8}</div></div></body></html>",
+    "<html><body><div class='topnav sticky'>[5]</div><div class='inner'><div class='lede-wrap'>@</div><div class='tag-list'>[4]</div><div class='bio author'><p>{16}</p></div></div><div class='reactions'><div class='r'><a href=u>{1}</a><p>{26}</p></div><div class='r'><a href=u>{2}</a><p>{18}</p></div><div class='r'><a href=u>{1}</a><p>{39}</p></div></div></body></html>",
+    "<html><body><div class='splash' style='display: none'>{12}</div><div class='entry-wrap'>@</div><div class='carousel'><div><a href=a>{4}</a></div><div><a href=b>{5}</a></div><div><a href=c>{4}</a></div></div><div class='imprint'>{9}</div></body></html>",
+    "<html><body><div class='warning-message'>{7}</div><div class='doc'><div class='doc-nav'>[9]</div><div class='doc-text'>@</div></div><div class='doc-feedback'><p>{4}</p><button>{1}</button> <button>{1}</button></div><div class='doc-footer'>{7}</div></body></html>",
+    "<html><body><header class='top'>{2}</header><main>@<section id='comments'><h2>{1}</h2><p>{44}</p><p>{52}</p><p>{23}</p></section></main><footer>{5}</footer></body></html>",
+    "<html><body><nav>[4]</nav><div class='story'>@</div><section class='comments'><p>{38}</p><p>{61}</p><p>{47}</p></section><footer><p>{9}</p></footer></body></html>",
+    "<html><body><header><h1>{2}</h1></header><div class='page'>@<div class='comments'><div class='comment'><p>{42}</p></div><div class='comment'><p>{26}</p></div></div></div><footer>{6}</footer></body></html>",
+    "<html><body><div class='site-top'>[4]</div><main class='text'>@<section class='comment-thread discussion'><p>{36}</p><p>{58}</p></section></main><aside class='related'>[3]</aside></body></html>",
+    "<html><body><header>{2}</header><section class='body'>@</section><section class='guestbook replies'><p>{34}</p><p>{41}</p><p>{27}</p></section><footer>{7}</footer></body></html>",
 )
 
 MAINS = (

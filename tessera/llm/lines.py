@@ -40,7 +40,7 @@ def drop_repeated_windows(docs: DataFrame, n: int = WINDOW_LINES) -> DataFrame:
     repeat both doc_id and text count as one occurrence and get the same result; an empty table
     gives an empty one; further columns are ignored. Windows are told apart by two 64-bit hashes,
     and counts are combined before the shuffle, so that a window in a third of all documents is one
-    row per task; the repeated ones are a table, so that the join with it is dealt anew where a
+    row per task; a text that very many rows have gives each of its lines once; the repeated windows are a table, so that the join with it is dealt anew where a
     window has very many rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))
@@ -48,7 +48,8 @@ def drop_repeated_windows(docs: DataFrame, n: int = WINDOW_LINES) -> DataFrame:
     first = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", F.col("at")[0].alias("p"))).alias("first"))
     repeated = stored(first.filter("n > 1").select("w1", "w2", "first"), "repeated")
     later = found.join(repeated, ["w1", "w2"]).filter(~F.struct("doc_id", "h", F.col("at")[0].alias("p")).eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    places = later.select("doc_id", "h", F.explode("at").alias("line")).distinct()
+    gone = places.groupBy("doc_id", "h").agg(F.collect_list("line").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone")
     lines = F.split("text", "\n", -1)
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")

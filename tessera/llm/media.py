@@ -98,12 +98,23 @@ def _numbers(data: memoryview, begin: int, end: int, n: int, kind: str) -> np.nd
     return np.frombuffer(data[begin : begin + n * size], kind).astype(np.int64)
 
 
+def _nested(data: memoryview, begin: int, end: int):
+    """The boxes of a range and, in their order, those within containers, however deep."""
+    walks = [boxes(data, begin, end)]
+    while walks:
+        found = next(walks[-1], None)
+        if found is None:
+            walks.pop()
+        elif found[0] in CONTAINERS:
+            walks.append(boxes(data, found[1], found[2]))
+        else:
+            yield found
+
+
 def _tables(data: memoryview, begin: int, end: int, track: dict) -> None:
-    """Read what a track's boxes say into track, walking nested boxes."""
-    for kind, a, b in boxes(data, begin, end):
-        if kind in CONTAINERS:
-            _tables(data, a, b, track)
-        elif kind == b"mdhd":
+    """Read what a track's boxes say into track."""
+    for kind, a, b in _nested(data, begin, end):
+        if kind == b"mdhd":
             track["timescale"], track["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
         elif kind == b"hdlr":
             track["kind"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
@@ -117,6 +128,8 @@ def _tables(data: memoryview, begin: int, end: int, track: dict) -> None:
             track[kind.decode()] = _numbers(data, a + 8, b, n * width, ">u8" if kind == b"co64" else ">u4").reshape(-1, width)
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, a + 4)
+            if size * n > len(data):
+                raise ValueError(f"{n} samples of {size} bytes in a container of {len(data)}")
             track["stsz"] = np.full(n, size, np.int64) if size else _numbers(data, a + 12, b, n, ">u4")
 
 
@@ -191,7 +204,8 @@ def media_tracks(media: DataFrame, key: str = "doc_id", column: str = "media") -
     """(key, tracks, error) for every row of media (key, binary column): what describe() finds.
 
     A null or empty value has no tracks; a value that isn't a well-formed container has null tracks
-    and says why in error. Rows come out as often as they went in; an empty table gives an empty one.
+    and says why in error, as do counts that a container of its size can't have; boxes may be nested
+    to any depth. Rows come out as often as they went in; an empty table gives an empty one.
     """
     rows = media.select(media[key].cast("long").alias("key"), media[column].alias("media"))
     schema = pa.schema([("key", pa.int64()), ("tracks", _TRACKS), ("error", pa.string())])
@@ -204,7 +218,7 @@ def media_tracks(media: DataFrame, key: str = "doc_id", column: str = "media") -
                     try:
                         tracks.append(describe(value.as_buffer() if value.is_valid else b""))
                         errors.append(None)
-                    except (ValueError, struct.error, IndexError) as e:
+                    except (ValueError, struct.error, IndexError, OverflowError) as e:
                         tracks.append(None)
                         errors.append(str(e))
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(tracks, _TRACKS), pa.array(errors, pa.string())], schema=schema)

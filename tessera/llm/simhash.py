@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_of, fresh, stored, texts, within
@@ -237,7 +237,8 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (doc_id), one a doc_id, and all rows without a doc_id.
 
     Of rows that repeat a doc_id that with the smallest text hash stays (null texts hash as empty
-    ones; equal texts: that with the smallest hash of all columns). No column of docs clashes. Only
+    ones; equal texts: that with the smallest hash of all columns): hashes are aggregated first, so
+    that an id that very many rows have is a row a task. No column of docs clashes. Only
     ids are sorted out by shuffles: texts move where the ids that go, or those that come more than
     once, are too many to broadcast.
     """
@@ -246,11 +247,11 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     odd = stored(kept.filter("stays is null or n > 1").select("doc_id", F.col("stays").isNotNull().alias("again")), "odd-ids")
     gone, again = within(odd.filter("not again").select("doc_id")), within(odd.filter("again").select("doc_id"))
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nth, text = fresh(docs, "nth"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mine, least, text = fresh(docs, "mine"), fresh(docs, "least"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), F.xxhash64(*plain))
-    repeated = rest.join(again, "doc_id", "left_semi").select(*docs.columns)
-    repeated = repeated.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
+    repeated = rest.join(again, "doc_id", "left_semi").select(*docs.columns, F.struct(F.xxhash64(text), F.xxhash64(*plain)).alias(mine))
+    first = stored(repeated.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(mine).alias(least)), "least-rows")
+    repeated = repeated.join(within(first), "doc_id").filter(F.col(mine) == F.col(least)).select(*docs.columns).dropDuplicates(["doc_id"])
     return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 

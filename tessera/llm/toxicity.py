@@ -151,13 +151,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_ch
 
     Of these rows the max_rows with the smallest hash of their doc_id are taken, and of them as
     many as have max_chars characters together: a fixed bound on what reaches the driver. Labels
-    other than 0 and 1 are left out; of several labels of a doc_id the highest counts.
+    other than 0 and 1 are left out; of several labels of a doc_id the highest counts, of several
+    texts that with the smallest hash, so that a doc_id that very many rows have is one.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = rows.filter(F.length("text") <= max_chars)
+    rows = rows.filter(F.length("text") <= max_chars).groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     held, chars = [], 0
     for r in sorted(rows.collect() if _chars(rows) <= max_chars else _some(rows, max_chars), key=lambda r: (r.doc_id, r.text)):
         if chars + len(r.text) > max_chars:
