@@ -33,6 +33,8 @@ RUN = 24
 SAMPLE, LONG_LISTS = 16, 1_000_000
 #: Texts and shingles of a group that is one task; larger groups have a pivot and are cut into blocks of about as many.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 2_000_000
+#: Coordinates that a pivot is chosen by; any choice gives the same links.
+PIVOT_COORDINATES = 16
 CACHED_WORDS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -214,12 +216,14 @@ def _with_pivot(size: int):
 
 
 def _pivots(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(root, pivot): of each group of members (id, root) the node whose coordinates the most members share."""
-    parts = members.join(nodes.select("id", "sig"), "id").select("root", "id", "sig")
-    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.struct(k.alias("k"), F.expr("sig").substr(4 * k + 1, F.lit(4)).alias("s"))))
-    lists = stored(parts.select("root", "id", places.alias("p")).select("root", "id", "p.k", "p.s"), "places")
-    counts = stored(lists.groupBy("root", "k", "s").agg(F.count("*").alias("c")), "place-counts")
-    shared = lists.join(counts, ["root", "k", "s"]).groupBy("root", "id").agg(F.sum("c").alias("c"))
+    """(root, pivot): of each group of members (id, root) the node that has most of the commonest values of the first coordinates."""
+    parts = stored(members.join(nodes.select("id", "sig"), "id").select("root", "id", F.substring("sig", 1, 4 * PIVOT_COORDINATES).alias("sig")), "large-signatures")
+    value = lambda k: F.col("sig").substr(4 * k + 1, F.lit(4))
+    every = F.sequence(F.lit(0), F.lit(PIVOT_COORDINATES - 1))
+    lists = parts.select("root", F.explode(F.transform(every, lambda k: F.struct(k.alias("k"), value(k).alias("s")))).alias("p"))
+    counts = lists.groupBy("root", "p.k", "p.s").agg(F.count("*").alias("c"))
+    common = counts.groupBy("root", "k").agg(F.max(F.struct("c", "s")).alias("m")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("k", "m.s"))).alias("common"))
+    shared = parts.join(stored(common, "common-values"), "root").select("root", "id", F.size(F.filter(every, lambda k: value(k) == F.col("common")[k])).alias("c"))
     return shared.groupBy("root").agg(F.max(F.struct("c", (-F.col("id")).alias("id"))).alias("m")).select("root", (-F.col("m.id")).alias("pivot"))
 
 
