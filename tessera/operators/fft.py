@@ -25,6 +25,8 @@ def _check(n: int) -> None:
 
 #: Complex values that a worker transforms at once.
 BLOCK = 1 << 20
+#: Longer rows and columns are transformed in two steps.
+WHOLE = 256
 
 
 def _transformed(x: DataFrame, key: str, at: str, n: int, inverse: bool) -> DataFrame:
@@ -52,22 +54,28 @@ def _transformed(x: DataFrame, key: str, at: str, n: int, inverse: bool) -> Data
     return packed.mapInArrow(run, f"{key} long, {at} long, re double, im double")
 
 
-def fft(x: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """(i, re, im) for x (i, re, im) of length n, a power of two; forward with exp(-2 pi i), the inverse is not divided by n.
+def _long(x: DataFrame, key: str, at: str, n: int, inverse: bool) -> DataFrame:
+    """As _transformed(), in two steps over groups of at most 2 * sqrt(n) values each.
 
-    With i = a + n1 * b: for each a the transform over b, a twiddle factor, and for each result
-    index c the transform over a, which gives place c + n2 * d. Both steps are groups of at most
-    2 * sqrt(n) rows; two shuffles whatever the length.
+    With at = a + n1 * b: for each key and a the transform over b, a twiddle factor, and for each
+    result index c the transform over a, which gives place c + n2 * d.
     """
-    _check(n)
     n1 = 1 << (n.bit_length() - 1) // 2
     n2 = n // n1
-    rows = x.select((F.col("i") % n1).alias("a"), F.floor(F.col("i") / n1).cast("long").alias("b"), "re", "im")
-    first = _transformed(rows, "a", "b", n2, inverse)
-    angle = F.lit((2 if inverse else -2) * math.pi / n) * F.col("a") * F.col("b")
-    turned = first.select("b", "a", (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("re"), (F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)).alias("im"))
-    second = _transformed(turned, "b", "a", n1, inverse)
-    return second.select((F.col("b") + F.col("a") * n2).alias("i"), "re", "im")
+    k, i = F.col(key).cast("long"), F.col(at).cast("long")
+    rows = x.select((k * n1 + i % n1).alias("g"), F.floor(i / n1).cast("long").alias("b"), "re", "im")
+    first = _transformed(rows, "g", "b", n2, inverse)
+    a, b = F.col("g") % n1, F.col("b")
+    angle = F.lit((2 if inverse else -2) * math.pi / n) * a * b
+    turned = first.select((F.floor(F.col("g") / n1) * n2 + b).alias("g"), a.alias("a"), (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("re"), (F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)).alias("im"))
+    second = _transformed(turned, "g", "a", n1, inverse)
+    return second.select(F.floor(F.col("g") / n2).cast("long").alias(key), (F.col("g") % n2 + F.col("a") * n2).alias(at), "re", "im")
+
+
+def fft(x: DataFrame, n: int, inverse: bool = False) -> DataFrame:
+    """(i, re, im) for x (i, re, im) of length n, a power of two; forward with exp(-2 pi i), the inverse is not divided by n. Two shuffles whatever the length."""
+    _check(n)
+    return _long(x.withColumn("key", F.lit(0)), "key", "i", n, inverse).select("i", "re", "im")
 
 
 def fft_vector(x: Vector, inverse: bool = False) -> DataFrame:
@@ -76,10 +84,10 @@ def fft_vector(x: Vector, inverse: bool = False) -> DataFrame:
 
 
 def fft_rows(x: DataFrame, m: int, inverse: bool = False, dim: int = 1) -> DataFrame:
-    """(i, j, re, im): each row (dim 1) or column (dim 0) of a complex matrix (i, j, re, im) transformed; m is its length."""
+    """(i, j, re, im): each row (dim 1) or column (dim 0) of a complex matrix (i, j, re, im) transformed; m is its length. Those longer than WHOLE are no group of one task."""
     _check(m)
     key, at = ("i", "j") if dim == 1 else ("j", "i")
-    return _transformed(x, key, at, m, inverse).select("i", "j", "re", "im")
+    return (_transformed if m <= WHOLE else _long)(x, key, at, m, inverse).select("i", "j", "re", "im")
 
 
 def fft_2d(x: DataFrame, n: int, m: int, inverse: bool = False) -> DataFrame:

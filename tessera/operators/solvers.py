@@ -472,42 +472,11 @@ def decomposition_solve(matrix: Matrix, b: Vector, symmetric: bool = False, size
     return Solution(factorize(matrix, symmetric, size).solve(b), [])
 
 
-def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, levels: int = 3, coarsest: int = 4, omega: float = 0.7, smooth: int = 2, by: int = 2) -> Solution:
-    """V-cycles over aggregates of by neighbouring indexes; Jacobi smooths, the inverse of the coarsest system is made once."""
-    spark = matrix.df.sparkSession
-    grids = [Matrix(cut(matrix.df), matrix.n, matrix.n)]
-    while len(grids) < levels and grids[-1].n > coarsest:
-        fine = grids[-1]
-        fewer = -(-fine.n // by)
-        rows = fine.df.groupBy(F.floor(c("i") / by).cast("long").alias("i"), F.floor(c("j") / by).cast("long").alias("j")).agg(F.sum("v").alias("v"))
-        grids.append(Matrix(cut(rows), fewer, fewer))
-
-    coarse_inverse = Matrix(cut(inverse(grids[-1]).df), grids[-1].n, grids[-1].n)
-
-    def smoothed(a: Matrix, x: Vector, rhs: Vector) -> Vector:
-        for _ in range(smooth):
-            x = Vector(cut(a.jacobi_step(x, rhs, omega).df), a.n)
-        return x
-
-    def cycle(level: int, x: Vector, rhs: Vector) -> Vector:
-        a = grids[level]
-        if level == len(grids) - 1:
-            return Vector(cut(coarse_inverse.times(rhs).df), a.n)
-        x = smoothed(a, x, rhs)
-        r = Vector(cut(a.times(x, -1.0, rhs, 1.0).df), a.n)
-        coarse = Vector(cut(r.df.groupBy(F.floor(c("i") / by).cast("long").alias("i")).agg(F.sum("v").alias("v"))), grids[level + 1].n)
-        e = cycle(level + 1, Vector.fill(spark, coarse.n, 0.0), coarse)
-        add = x.df.select("i", "v", F.floor(c("i") / by).cast("long").alias("k")).join(e.df.select(c("i").alias("k"), c("v").alias("e")), "k")
-        return smoothed(a, Vector(add.select("i", (c("v") + c("e")).alias("v")), a.n), rhs)
-
-    rhs = Vector(cut(b.to_dense().df), b.n)
-    x = x0 or Vector.fill(spark, matrix.n, 0.0)
-    norm = lambda: grids[0].times(x, -1.0, rhs, 1.0).l2_norm().first()[0]
-    norms = [norm()]
-    while not stop(norms):
-        x = Vector(cut(cycle(0, x, rhs).df), matrix.n)
-        norms.append(norm())
-    return Solution(x, norms)
+def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, **options) -> Solution:
+    """Multigrid cycles; see tessera.operators.multigrid, which has them as a preconditioner, too."""
+    from tessera.operators import multigrid
+
+    return multigrid.amg(matrix, b, x0, stop, **options)
 
 
 SOLVERS: dict[str, Callable[..., Solution]] = {

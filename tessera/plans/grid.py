@@ -55,11 +55,15 @@ class Stencil:
         near = [o for o in around if 0 < sum(map(abs, o)) <= reach]
         return cls((*((o, -1.0) for o in near), ((0,) * dim, float(len(near)))))
 
+    def mirrored(self) -> "Stencil":
+        """The stencil of the transposed matrix."""
+        return Stencil(tuple((tuple(-d for d in o), w) for o, w in self.points))
 
-def neighbours(rows: DataFrame, grid: Grid, stencil: Stencil) -> DataFrame:
-    """(i, j, v): for each position i of rows those it is linked with; outside ones are left out, or wrapped where the grid is periodic."""
+
+def neighbours(rows: DataFrame, grid: Grid, stencil: Stencil, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, v): for each position i of rows those it is linked with; outside ones are left out, or wrapped where the grid is periodic. With columns to keep, v is named w."""
     points = F.explode(F.array(*[F.struct(*[F.lit(d).cast("long").alias(f"d{k}") for k, d in enumerate(o)], F.lit(w).alias("w")) for o, w in stencil.points]))
-    at = rows.select("i", *[c.alias(f"x{k}") for k, c in enumerate(grid.dims(F.col("i")))], points.alias("p"))
+    at = rows.select("i", *keep, *[c.alias(f"x{k}") for k, c in enumerate(grid.dims(F.col("i")))], points.alias("p"))
     inside, moved = F.lit(True), []
     for k, n in enumerate(grid.shape):
         x = F.col(f"x{k}") + F.col(f"p.d{k}")
@@ -68,7 +72,7 @@ def neighbours(rows: DataFrame, grid: Grid, stencil: Stencil) -> DataFrame:
         else:
             inside = inside & x.between(0, n - 1)
         moved.append(x)
-    return at.filter(inside).select("i", grid.position(moved).alias("j"), F.col("p.w").alias("v"))
+    return at.filter(inside).select("i", *keep, grid.position(moved).alias("j"), F.col("p.w").alias("w" if keep else "v"))
 
 
 def stencil_matrix(spark: SparkSession, grid: Grid, stencil: Stencil) -> Matrix:
@@ -83,10 +87,11 @@ def poisson(spark: SparkSession, dim: int, points: int, *shape: int) -> Matrix:
 
 
 def apply_stencil(x: Vector, grid: Grid, stencil: Stencil) -> Vector:
-    """The stencil matrix times x; the matrix is never stored: each position is a row per point, joined with x."""
-    near = neighbours(x.df.select("i"), grid, stencil)
-    rows = near.join(x.df.select(F.col("i").alias("j"), F.col("v").alias("x")), "j")
-    return Vector(rows.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v")), x.n)
+    """The stencil matrix times x; the matrix is never stored: each value goes to the places whose stencils reach it, where sums are made before and after one shuffle."""
+    sent = neighbours(x.df, grid, stencil.mirrored(), ("v",)).select(F.col("j").alias("i"), (F.col("w") * F.col("v")).alias("v"))
+    if all(any(o) for o, _ in stencil.points):
+        sent = sent.unionByName(x.df.select("i", F.lit(0.0).alias("v")))
+    return Vector(sent.groupBy("i").agg(F.sum("v").alias("v")), x.n)
 
 
 def section(x: Vector, grid: Grid, ranges: list[tuple[int, int, int]]) -> tuple[Vector, Grid]:

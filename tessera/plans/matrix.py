@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import BINARY, NEUTRAL, UNARY, aggregate
+from tessera.plans.notation import MatrixNotation
 from tessera.plans.vector import Vector
 
 
@@ -16,7 +17,7 @@ HOT_INNER = 1 << 16
 
 
 @dataclass(frozen=True)
-class Matrix:
+class Matrix(MatrixNotation):
     """df (i long, j long, v double) with unique (i, j), 0 <= i < n, 0 <= j < m."""
 
     df: DataFrame

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import BINARY, COMPARE, INF, UNARY, aggregate, python_value
+from tessera.plans.notation import VectorNotation
 from tessera.plans.scan import prefix_sum, ranked
 
 
 @dataclass(frozen=True)
-class Vector:
+class Vector(VectorNotation):
     """df (i long, v double) with unique 0 <= i < n; zero is the value of indexes without a row; dense: there are none."""
 
     df: DataFrame

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions import complex as z
 from tessera.operators import fft
 from tessera.operators.factor import factorize, lu
+from tessera.operators.linear import Of, OnGrid, Shift, gramian
+from tessera.operators.solvers import cg, iterations, residual_below
 from tessera.operators.triangular import triangular
+from tessera.plans.grid import Grid, Stencil
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import cut
 from tessera.plans.tiles import Tiles
@@ -100,16 +103,39 @@ def _(s, d):
 
 
 R.add("l13_gramian", lambda s, d: vector_out(T(s, d).s.gramian_times(Vector.of(T(s, d).table("supplier"), "s_suppkey", F.col("s_acctbal") / 1000)), 3), "SELECT s.j AS i, round(sum(s.v * q.v), 3) AS v FROM s JOIN (SELECT s.i, sum(s.v * s_acctbal / 1000) AS v FROM s JOIN supplier ON s.j = s_suppkey GROUP BY s.i) q ON s.i = q.i GROUP BY s.j")
-R.add("l14_hybrid_sum", lambda s, d: vector_out(Vector(T(s, d).s.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df.unionByName(T(s, d).d.times(Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")).df).groupBy("i").agg(F.sum("v").alias("v")), 0)), "SELECT p.i, round(coalesce(sum(q.v * s_acctbal), 0), 4) AS v FROM p LEFT JOIN (SELECT i, j, v FROM s UNION ALL SELECT i, j, v FROM d) q ON p.i = q.i LEFT JOIN supplier ON q.j = s_suppkey GROUP BY p.i")
+R.add("l14_hybrid_sum", lambda s, d: vector_out((Of(T(s, d).s) + Of(T(s, d).d)) @ Vector.of(T(s, d).table("supplier"), "s_suppkey", "s_acctbal")), "SELECT p.i, round(coalesce(sum(q.v * s_acctbal), 0), 4) AS v FROM p LEFT JOIN (SELECT i, j, v FROM s UNION ALL SELECT i, j, v FROM d) q ON p.i = q.i LEFT JOIN supplier ON q.j = s_suppkey GROUP BY p.i")
+R.add("l15_matrix_free", lambda s, d: vector_out(OnGrid(Grid((T(s, d).b.n,)), Stencil((((0,), 3.0), ((-1,), -1.0)))) @ T(s, d).b), "SELECT b.i, round(3 * b.v - coalesce(n.v, 0), 4) AS v FROM b LEFT JOIN b n ON n.i = b.i - 1")
 
 
-@R.query("l15_matrix_free", "SELECT b.i, round(3 * b.v - coalesce(n.v, 0), 4) AS v FROM b LEFT JOIN b n ON n.i = b.i - 1")
+def _by_cg(operator, answer):
+    """The solution of a system of an operator, whose right side has a known one."""
+    stop = residual_below(1e-8, relative=True) | iterations(60)
+    return vector_out(cg(operator.solver_operator(), Vector(cut(operator.apply(answer).df), answer.n), stop=stop).x)
+
+
+@R.query("l13_gramian_system", "SELECT i, v FROM answer")
 def _(s, d):
-    def operator(x: Vector) -> Vector:
-        before = Vector(x.df.select((F.col("i") + 1).alias("i"), "v").filter(F.col("i") < x.n), x.n, 0.0, False)
-        return x.scalar("mult", 3.0).binary("sub", before)
+    """The Gramian of the graph of parts and twice the identity, a chain that is never made."""
+    near = T(s, d).near
+    near = Matrix(cut(near.df), near.n, near.m)
+    return _by_cg(gramian(near) + Shift(near.n, 2.0), T(s, d).answer)
+
 
-    return vector_out(operator(T(s, d).b))
+@R.query("l14_hybrid_system", "SELECT i, v FROM answer")
+def _(s, d):
+    """The system over parts, less a quarter of its graph's matrix, and a grid operator, as one sum."""
+    t = T(s, d)
+    near, system = (Matrix(cut(m.df), m.n, m.m) for m in (t.near, t.system))
+    grid = OnGrid(Grid((near.n // 40, 40)), Stencil.laplace(2, 5))
+    return _by_cg(Of(system) - 0.25 * Of(near) + 0.5 * grid, t.answer)
+
+
+@R.query("l01_expression", "SELECT p.i, round(2 * p.v - 0.5 * coalesce(q.v, 0) - coalesce(r.v, 0) + p.v, 4) AS v FROM p LEFT JOIN (SELECT s.i, sum(s.v * s_acctbal) AS v FROM s JOIN supplier ON s.j = s_suppkey GROUP BY s.i) q ON p.i = q.i LEFT JOIN (SELECT d.i, sum(d.v * s_acctbal) AS v FROM d JOIN supplier ON d.j = s_suppkey GROUP BY d.i) r ON p.i = r.i")
+def _(s, d):
+    """Sums and products in one expression: one aggregate, and a join for each product."""
+    t = T(s, d)
+    x, p = Vector.of(t.table("supplier"), "s_suppkey", "s_acctbal"), t.p
+    return vector_out((2 * p - (0.5 * t.s + t.d) @ x + p).value)
 
 
 @R.query("l17_fft_vector", "WITH n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM customer), w AS (SELECT k FROM n, unnest(range(n)) u(k)) SELECT w.k AS i, round(sum(c_acctbal * cos(-2 * pi() * ((w.k * c_custkey) % n) / n)), 2) AS re, round(sum(c_acctbal * sin(-2 * pi() * ((w.k * c_custkey) % n) / n)), 2) AS im FROM w, n, customer GROUP BY w.k")

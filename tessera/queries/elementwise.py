@@ -164,3 +164,6 @@ R.add("p19_section", lambda s, d: vector_out(T(s, d).x.section(5, 7, 200)), "SEL
 R.add("p19_set_section", lambda s, d: vector_out(T(s, d).x.put_section(5, 7, T(s, d).known, "add")), "SELECT x.i, round(x.v + coalesce(known.v, 0), 4) AS v FROM x LEFT JOIN known ON known.i * 7 + 5 = x.i")
 R.add("p20_has_diagonal", lambda s, d: T(s, d).spd.has_diagonal(), "SELECT count(*) FILTER (i = j) = (SELECT count(*) FROM nation) AS ok FROM spd")
 R.add("p20_same_pattern", lambda s, d: T(s, d).spd.same_pattern(T(s, d).gen), "SELECT true AS ok FROM region WHERE r_regionkey = 0")
+
+
+R.add("e03_expression", lambda s, d: vector_out((2 * T(s, d).x + 3 * T(s, d).y - T(s, d).z / 4).value), "SELECT x.i, round(2 * x.v + 3 * coalesce(y.v, 0) - coalesce(z.v, 0) / 4, 4) AS v FROM x LEFT JOIN y ON x.i = y.i LEFT JOIN z ON x.i = z.i")

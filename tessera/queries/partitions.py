@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.plans import partition as part
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
-from tessera.plans.storage import stored
+from tessera.plans.multilevel import partition_graph
+from tessera.plans.storage import cut, stored
 from tessera.queries.inputs import Registry, Tables, vector_out
 
 R = Registry()
@@ -65,6 +66,24 @@ def _(s, d):
     return sizes.agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.lit(after <= before).alias("no_worse"), (F.max("n") <= most).alias("balanced"))
 
 
+#: Four groups of parts by remainder: within each, parts are linked with the first, second and fifth one after (in a ring); between them, each fiftieth part with the next number.
+_PLANTED = "(SELECT count(*) FROM part WHERE p_partkey % 50 = 0 AND p_partkey + 1 < (SELECT count(*) FROM part))"
+
+
+@R.query("r07_partition_planted", f"SELECT {_PLANTED} AS cut, p_partkey % 4 AS member, count(*) AS n, 1::BIGINT AS owners FROM part GROUP BY p_partkey % 4")
+def _(s, d):
+    """A graph of parts with planted groups, none of them contiguous: the partitioning finds them, hence the planted cut."""
+    n = T(s, d).size("part", "p_partkey")
+    i = F.col("p_partkey").cast("long")
+    inner = T(s, d).table("part").select(i.alias("i"), F.explode(F.array(*[F.lit(4 * k) for k in (1, 2, 5)])).alias("d")).select("i", F.pmod(F.col("i") + F.col("d"), F.lit(n)).alias("j"), F.lit(4.0).alias("v"))
+    outer = T(s, d).table("part").filter((F.col("p_partkey") % 50 == 0) & (F.col("p_partkey") + 1 < n)).select(i.alias("i"), (i + 1).alias("j"), F.lit(1.0).alias("v"))
+    graph = Matrix(cut(inner.unionByName(outer)), n, n)
+    owners = cut(partition_graph(graph, [1.0] * 4, weighted=True))
+    crossing = part.edge_cut(graph, owners).select("cut")
+    groups = owners.groupBy((F.col("i") % 4).cast("int").alias("member")).agg(F.count("*").alias("n"), F.countDistinct("owner").alias("owners"))
+    return groups.join(F.broadcast(crossing)).select("cut", "member", "n", "owners")
+
+
 @R.query("r07_partition_rectangular", f"SELECT j, CAST(arg_max(o, (n, -o)) AS INTEGER) AS owner FROM (SELECT s.j, s.i // CAST(ceil((SELECT max(p_partkey) + 1 FROM part) / 4) AS BIGINT) AS o, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY j")
 def _(s, d):
     """Parts by blocks; suppliers go where most of their parts are."""
