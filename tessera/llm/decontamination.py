@@ -21,8 +21,9 @@ from tessera.llm.common import batch_of, small_batches, stored, table, texts, wi
 
 # Ranges of letters of scripts that put no blanks between words (Thai to Khmer, kana, Han).
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-#: Words; letters of those scripts are one each, so that triples of words are their 3-grams.
+#: Words; letters of those scripts are one each, so that triples of words are their 3-grams. Texts without any are read by the plain pattern.
 WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+PLAIN_WORD, ANY_UNSPACED = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
 MIN_SCORE = 0.6
@@ -34,7 +35,7 @@ ITEM_BYTES = 4 << 20
 STRIDE = 64
 POSTINGS_A_BLOCK = 8
 #: Groups of items with bounds of their own in the second bound on passages.
-GROUPS = 32
+GROUPS = 64
 #: Terms of little weight, together at most this share of a score, are left out of the first bound.
 SLACK = 0.15
 #: Cells of the bounds over all blocks: a term's bound is the greatest weight in its cell.
@@ -43,7 +44,12 @@ CACHED_WORDS = 100_000
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    try:
+        text.encode("latin-1")
+        pattern = PLAIN_WORD
+    except UnicodeEncodeError:
+        pattern = WORD if ANY_UNSPACED.search(text) else PLAIN_WORD
+    return pattern.findall(text.lower())
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
