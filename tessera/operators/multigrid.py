@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.factor import lu
-from tessera.operators.solvers import DEFAULT_STOP, Criterion, Solution, State
+from tessera.operators.solvers import DEFAULT_STOP, Criterion, Solution, State, cg
 from tessera.plans.matrix import Matrix
 from tessera.plans.scan import ranked
 from tessera.plans.storage import cut
@@ -92,22 +92,18 @@ class Hierarchy:
         return [level.a.n for level in self.levels]
 
     def cycle(self, b: Vector, omega: float = 2 / 3, at: int = 0) -> Vector:
-        """A V-cycle from 0: two Jacobi sweeps down, two up."""
+        """A V-cycle from 0: a Jacobi sweep down (without a product, as it starts from 0) and one up; three written tables a level."""
         level = self.levels[at]
         if level.p is None:
             return Vector(cut(self.last.times(b).df), level.a.n)
 
-        def sweep(x: Vector) -> Vector:
-            r = level.a.times(x, -1.0, b, 1.0)
-            rows = x.df.join(r.df.select("i", c("v").alias("r")), "i").join(level.diagonal, "i")
-            return Vector(rows.select("i", (c("v") + omega * c("r") / c("d")).alias("v")), x.n)
-
-        first = Vector(b.df.join(level.diagonal, "i").select("i", (omega * c("v") / c("d")).alias("v")), b.n)
-        x = Vector(cut(sweep(first).df), b.n)
+        x = Vector(b.df.join(level.diagonal, "i").select("i", (omega * c("v") / c("d")).alias("v")), b.n)
         coarse = Vector(cut(level.p.times(level.a.times(x, -1.0, b, 1.0), transposed=True).df), level.p.m)
         below = self.cycle(coarse, omega, at + 1)
         x = Vector(cut(level.p.times(below, 1.0, x, 1.0).df), b.n)
-        return Vector(cut(sweep(Vector(cut(sweep(x).df), b.n)).df), b.n)
+        r = level.a.times(x, -1.0, b, 1.0).df.select("i", c("v").alias("r"))
+        rows = x.df.join(r, "i").join(level.diagonal, "i")
+        return Vector(cut(rows.select("i", (c("v") + omega * c("r") / c("d")).alias("v"))), b.n)
 
 
 def hierarchy(matrix: Matrix, coarsest: int = COARSEST, most: int = 10, strong: float = STRONG) -> Hierarchy:
@@ -138,14 +134,17 @@ def multigrid(h: Hierarchy) -> Callable[[State, str, Column], State]:
     return apply
 
 
-def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, coarsest: int = COARSEST, omega: float = 2 / 3, strong: float = STRONG) -> Solution:
-    """V-cycles on the residual."""
+def amg(matrix: Matrix, b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, coarsest: int = COARSEST, strong: float = STRONG, alone: bool = False) -> Solution:
+    """Conjugate gradients with a V-cycle a step; alone, V-cycles on the residual."""
     h = hierarchy(matrix, coarsest, strong=strong)
-    a, x = h.levels[0].a, x0 or Vector.fill(matrix.df.sparkSession, matrix.n, 0.0)
+    a = h.levels[0].a
+    if not alone:
+        return cg(a, b, x0, stop, preconditioner=multigrid(h))
+    x = x0 or Vector.fill(matrix.df.sparkSession, matrix.n, 0.0)
     r = Vector(cut(a.times(x, -1.0, b.to_dense(), 1.0).df), b.n)
     norms = [r.l2_norm().first()[0]]
     while not stop(norms):
-        e = h.cycle(r, omega)
+        e = h.cycle(r)
         x = Vector(cut(x.plus(e).df), b.n)
         r = Vector(cut(a.times(e, -1.0, r, 1.0).df), b.n)
         norms.append(r.l2_norm().first()[0])

@@ -12,8 +12,8 @@ from tessera.plans.matrix import Matrix
 from tessera.plans.storage import shared_dir, stored
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
-from tessera.sources import files, text
-from tessera.streaming.assembly import folded_stream, run_once, windowed_stream
+from tessera.sources import files, tables, text
+from tessera.streaming.assembly import folded_stream, last_stream, run_append, run_once, windowed_stream
 
 R = Registry()
 T = Tables
@@ -145,6 +145,16 @@ def _(s, d):
     return matrix_out(_through(s, T(s, d).c, "jsn"))
 
 
+@R.query("f04_data_source", "SELECT i, j, round(v, 4) AS v FROM a WHERE i % 2 = 1 OR i >= 100")
+def _(s, d):
+    """The matrix of orders written and read as a Spark data source of the library's own, in two ranges of rows."""
+    tables.register(s)
+    path = _place(s, "triples")
+    T(s, d).a.df.repartitionByRange("i").write.format(tables.NAME).mode("overwrite").save(path)
+    read = lambda **bounds: s.read.format(tables.NAME).options(partitionBytes=1 << 20, **bounds).load(path)
+    return matrix_out(Matrix(read(**{"from": 100}).unionByName(read(to=99).filter("i % 2 = 1")), 0, 0))
+
+
 @R.query("st01_stream_assembly", "SELECT user_id AS i, round(sum(value), 4) AS v FROM events GROUP BY 1")
 def _(s, d):
     """The events table read as a stream and folded per user."""
@@ -163,3 +173,34 @@ def _(s, d):
     place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
     timed = windowed_stream(stream.select(F.col("ts"), F.col("user_id").alias("i"), F.col("value").alias("v")), "ts", "1 hour", "30 days", op="max")
     return run_once(timed, f"{place}/rows", f"{place}/state").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", F.round("v", 4).alias("v"))
+
+
+#: Of the events those of each tenth user in the first quarter of the time come last of all, long after their windows are final.
+_LATE = "user_id % 10 = 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 4 FROM events)"
+
+
+@R.query("st03_append_windows", f"WITH e AS (SELECT *, {_LATE} AS late, date_trunc('hour', ts) AS hour FROM events), m AS (SELECT max(ts) AS top FROM e WHERE NOT late) SELECT strftime(hour, '%Y-%m-%d %H') AS hour, user_id AS i, round(sum(value), 4) AS v FROM e, m WHERE NOT late AND hour + INTERVAL 1 HOUR <= top - INTERVAL 2 HOUR GROUP BY 1, 2")
+def _(s, d):
+    """Events in files by time, one a batch, and late ones in the last: windows are written once, when the watermark has passed them."""
+    events = T(s, d).table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("i"), F.col("value").alias("v"))
+    low, high = events.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double"))).first()
+    seconds, source = F.col("ts").cast("double"), _place(s, "events")
+    late = (F.col("i") % 10 == 0) & (seconds < low + (high - low) / 4)
+    for k in range(4):
+        part = (~late) & (F.least(F.floor((seconds - low) / (high - low) * 4), F.lit(3)) == k)
+        events.filter(part).write.mode("append").parquet(source)
+    events.filter(late).write.mode("append").parquet(source)
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    place = _place(s, "windows")
+    found, _ = run_append(windowed_stream(stream, "ts", "1 hour", "2 hours"), f"{place}/rows", f"{place}/state")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", F.round("v", 4).alias("v"))
+
+
+@R.query("st04_copy_assembly", "SELECT user_id AS i, round(arg_max(value, event_id), 4) AS v FROM events GROUP BY 1")
+def _(s, d):
+    """The last event of each user by number, of the events table read as a stream."""
+    source = T(s, d).table("events")
+    stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    place = _place(s, "last")
+    last = run_once(last_stream(stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("i"), F.col("value").alias("v")), "seq"), f"{place}/rows", f"{place}/state")
+    return last.select("i", F.round("v", 4).alias("v"))
