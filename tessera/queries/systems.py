@@ -38,7 +38,7 @@ def _renumbered_grid(s, d) -> Matrix:
 @R.query("v11_amg", _ANSWER)
 def _(s, d):
     a = _renumbered_grid(s, d)
-    return vector_out(solve(a, Vector(cut(a.times(T(s, d).answer).df), a.n), "amg", stop=residual_below(1e-7, relative=True) | iterations(25)).x)
+    return vector_out(solve(a, Vector(cut(a.times(T(s, d).answer).df), a.n), "amg", stop=residual_below(1e-7, relative=True) | iterations(25), coarsest=400).x)
 
 
 @R.query("v12_inverse", "SELECT s_suppkey AS i, (s_suppkey % 4 - 1.5)::DOUBLE AS v FROM supplier")
