@@ -424,23 +424,50 @@ def richardson(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None,
     return s.solution(norms)
 
 
-def kaczmarz(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0, blocks: int = 1) -> Solution:
+def row_colours(matrix: Matrix) -> tuple[DataFrame, int]:
+    """((i, colour), number of colours): rows of one colour share no column.
+
+    In each round the rows that have the greatest priority (a hash) in all their columns get its
+    colour: an aggregate over columns and one over rows, so that no pairs of rows are made.
+    """
+    rows = cut(matrix.df.select("i", "j"))
+    open_, parts = cut(rows.select("i").distinct().withColumn("h", F.xxhash64("i"))), []
+    while not open_.isEmpty():
+        held = rows.join(open_, "i")
+        first = held.groupBy("j").agg(F.max(F.struct("h", "i")).alias("m"))
+        chosen = cut(held.join(first, "j").groupBy("i").agg(F.bool_and(c("m.i") == c("i")).alias("ok")).filter("ok").select("i", F.lit(len(parts)).alias("colour")))
+        parts.append(chosen)
+        open_ = cut(open_.join(chosen, "i", "left_anti"))
+    colours = matrix.df.sparkSession.range(0).select(c("id").alias("i"), F.lit(0).alias("colour"))
+    for p in parts:
+        colours = colours.unionByName(p)
+    return cut(colours), len(parts)
+
+
+def kaczmarz(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0, blocks: int | None = 1) -> Solution:
     """Projections onto rows, block of rows after block; rows of one block (equal remainders by blocks) are projected onto at once.
 
     With one block a sweep is Cimmino's form, with as many as there are rows it is the row-by-row
-    order. A block is one product with the matrix and one with its transpose. Where a sweep makes
-    the residual larger, omega is halved.
+    order. Without blocks (None) they are the colours of row_colours(): rows of one colour share no
+    column, so that projecting onto them at once is exactly what doing so one by one is. A block is
+    one product with the matrix and one with its transpose. Where a sweep makes the residual larger,
+    omega is halved.
     """
     if isinstance(matrix, Operator):
         raise ValueError("projections need the rows of a matrix")
     s = State(matrix, b, x0)
     rows = s.matrix.df.groupBy("i").agg(F.sum(c("v") * c("v")).alias("aa"))
     s.df = s.df.join(rows, "i", "left")
+    if blocks is None:
+        colours, blocks = row_colours(s.matrix)
+        s.df = s.df.join(colours.withColumnRenamed("colour", "block"), "i", "left")
+    else:
+        s.df = s.df.withColumn("block", F.pmod(c("i"), F.lit(blocks)).cast("int"))
     s.residual()
     norms = [s.norm(c("r"))]
     while not stop(norms):
         for k in range(blocks):
-            mine = (c("aa") > 0) & (F.pmod(c("i"), F.lit(blocks)) == k)
+            mine = (c("aa") > 0) & (c("block") == k)
             s.times("g", F.when(mine, c("r") / c("aa")).otherwise(F.lit(0.0)), transposed=True)
             s.let(x=c("x") + F.lit(omega) * c("g")).residual()
         norms.append(s.norm(c("r")))

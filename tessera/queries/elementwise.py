@@ -163,6 +163,7 @@ R.add("p18_insert", lambda s, d: vector_out(Vector(T(s, d).y.df.filter("i % 5 !=
 R.add("p19_section", lambda s, d: vector_out(T(s, d).x.section(5, 7, 200)), "SELECT ((i - 5) // 7)::BIGINT AS i, round(v, 4) AS v FROM x WHERE i >= 5 AND i < 5 + 1400 AND (i - 5) % 7 = 0")
 R.add("p19_set_section", lambda s, d: vector_out(T(s, d).x.put_section(5, 7, T(s, d).known, "add")), "SELECT x.i, round(x.v + coalesce(known.v, 0), 4) AS v FROM x LEFT JOIN known ON known.i * 7 + 5 = x.i")
 R.add("p20_has_diagonal", lambda s, d: T(s, d).spd.has_diagonal(), "SELECT count(*) FILTER (i = j) = (SELECT count(*) FROM nation) AS ok FROM spd")
+R.add("p20_different_patterns", lambda s, d: T(s, d).s.same_pattern(T(s, d).d), "SELECT (SELECT count(*) FROM (SELECT i, j FROM s EXCEPT SELECT i, j FROM d)) + (SELECT count(*) FROM (SELECT i, j FROM d EXCEPT SELECT i, j FROM s)) = 0 AS ok")
 R.add("p20_same_pattern", lambda s, d: T(s, d).spd.same_pattern(T(s, d).gen), "SELECT true AS ok FROM region WHERE r_regionkey = 0")
 
 

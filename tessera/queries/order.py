@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.grid import transpose_flat
+from tessera.plans.scan import ranked
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
 
@@ -26,8 +27,8 @@ R.add("s01_sort_descending", lambda s, d: vector_out(T(s, d).x.sort(False)[0]),
 R.add("s02_sort_with_permutation", lambda s, d: vector_out(T(s, d).b.sort(False)[1]), "SELECT row_number() OVER (ORDER BY v DESC, i) - 1 AS i, i::DOUBLE AS v FROM b")
 R.add("s03_sort_entries", lambda s, d: T(s, d).y.df.orderBy("i").select("i", F.round("v", 4).alias("v")), "SELECT i, round(v, 4) AS v FROM y")
 R.add("s04_merge_runs", lambda s, d: vector_out(T(s, d).p.concat(T(s, d).b).sort()[0]), "SELECT row_number() OVER (ORDER BY v) - 1 AS i, round(v, 4) AS v FROM (SELECT v FROM p UNION ALL SELECT v FROM b)")
-R.add("s05_sort_triples", lambda s, d: T(s, d).s.df.orderBy("i", "j").select("i", "j", F.round("v", 4).alias("v")), "SELECT i, j, round(v, 4) AS v FROM s")
-R.add("s06_sort_rows", lambda s, d: matrix_out(T(s, d).s).sortWithinPartitions("i", "j"), "SELECT i, j, round(v, 4) AS v FROM s")
+R.add("s05_sort_triples", lambda s, d: ranked(T(s, d).s.df, F.col("i").asc(), F.col("j").asc()).select("rank", "i", "j", F.round("v", 4).alias("v")), "SELECT row_number() OVER (ORDER BY i, j) - 1 AS rank, i, j, round(v, 4) AS v FROM s")
+R.add("s06_sort_rows", lambda s, d: T(s, d).s.adjacency().select("i", F.posexplode(F.arrays_zip("js", "vs")).alias("p", "e")).select("i", F.col("p").cast("long").alias("p"), F.col("e.js").alias("j"), F.round("e.vs", 4).alias("v")), "SELECT i, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS p, j, round(v, 4) AS v FROM s")
 R.add("s07_top", lambda s, d: T(s, d).x.top(25).select("i", F.round("v", 4).alias("v")), "SELECT i, round(v, 4) AS v FROM x ORDER BY v DESC, i LIMIT 25")
 R.add("s08_resize_down", lambda s, d: vector_out(T(s, d).x.resize(100)), "SELECT i, round(v, 4) AS v FROM x WHERE i < 100")
 R.add("s08_resize_up", lambda s, d: vector_out(T(s, d).b.resize(T(s, d).b.n + 50)), "SELECT i, round(v, 4) AS v FROM b UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer) + k, 0 FROM range(50) r(k)")

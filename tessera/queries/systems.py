@@ -27,6 +27,16 @@ def _solved(s, d, method: str, symmetric: bool, **options):
     return vector_out(solve(a, a.times(T(s, d).answer), method, **options).x)
 
 
+@R.query("v10_kaczmarz_colours", "SELECT c_custkey AS i, (c_custkey % 3 + 1)::DOUBLE AS v FROM customer")
+def _(s, d):
+    """Each customer and the next one: a cyclic bidiagonal system, by colours of rows, which are projected onto exactly."""
+    key, n = F.col("c_custkey").cast("long"), T(s, d).size("customer", "c_custkey")
+    rows = T(s, d).table("customer").select(key.alias("i"), F.explode(F.array(F.struct(key.alias("j"), F.lit(8.0).alias("v")), F.struct(F.pmod(key + 1, F.lit(n)).alias("j"), F.lit(-1.0).alias("v")))).alias("e"))
+    a = Matrix(cut(rows.select("i", "e.j", "e.v")), n, n)
+    x = Vector(T(s, d).table("customer").select(key.alias("i"), (key % 3 + 1).cast("double").alias("v")), n)
+    return vector_out(solve(a, Vector(cut(a.times(x).df), n), "kaczmarz", stop=residual_below(1e-6, relative=True) | iterations(20), blocks=None).x)
+
+
 def _renumbered_grid(s, d) -> Matrix:
     """The five-point operator of a grid with a place for each part, numbered so that neighbours are far apart."""
     n = T(s, d).answer.n

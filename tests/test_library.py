@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import applications as app
 from tessera.operators import fft, generate
 from tessera.operators.assembly import assemble_matrix, assemble_vector
-from tessera.operators.solvers import SOLVERS, Operator, by_solver, decomposition_solve, diagonal, inverse, iterations, residual_below, solve, triangular_solve, trivial
+from tessera.operators.solvers import SOLVERS, Operator, by_solver, decomposition_solve, diagonal, inverse, iterations, residual_below, row_colours, solve, triangular_solve, trivial
 from tessera.operators.triangular import triangular
 from tessera.plans.complex import ComplexMatrix, ComplexVector
 from tessera.plans.grid import Grid, Stencil, apply_stencil, stencil_matrix
@@ -336,6 +336,24 @@ def test_operators_and_preconditioners(spark):
         assert np.allclose(values(decomposition_solve(a, b, symmetric, size=2).x), x)
 
 
+def test_kaczmarz_by_colours_is_the_sequential_sweep(spark):
+    rng = np.random.default_rng(2)
+    n = 14
+    a = np.diag(rng.uniform(2, 3, n)) + np.diag(rng.uniform(-1, 1, n - 1), 1) + np.diag(rng.uniform(-1, 1, n - 3), -3)
+    colours, k = row_colours(mat(spark, a))
+    colour = {r.i: r.colour for r in colours.collect()}
+    assert sorted(colour) == list(range(n)) and set(colour.values()) == set(range(k))
+    for i in range(n):
+        for j in range(i):
+            assert colour[i] != colour[j] or not (a[i] * a[j]).any()
+    b, x = a @ rng.normal(size=n), np.zeros(n)
+    for _ in range(2):
+        for i in sorted(range(n), key=lambda i: colour[i]):
+            x += (b[i] - a[i] @ x) / (a[i] @ a[i]) * a[i]
+    got = solve(mat(spark, a), vec(spark, b), "kaczmarz", stop=iterations(2), blocks=None)
+    assert np.allclose(values(got.x), x)
+
+
 def test_triangular_systems(spark):
     t = np.array([[2, 0, 0, 0], [1, 3, 0, 0], [0, -1, 4, 0], [5, 0, 1, 1]], float)
     x = np.array([1, -2, 3, 0.5])
