@@ -36,6 +36,8 @@ STRIDE = 64
 POSTINGS_A_BLOCK = 8
 #: Groups of items with bounds of their own in the second bound on passages.
 GROUPS = 64
+#: Parts of a score that these bounds are counted in.
+UNITS = 65_535
 #: Terms of little weight, together at most this share of a score, are left out of the first bound.
 SLACK = 0.15
 #: Cells of the bounds over all blocks: a term's bound is the greatest weight in its cell.
@@ -149,6 +151,14 @@ class Index:
         self.group_bound = np.zeros((len(self.bound), max(1, -(-len(items) // size))), np.float32)
         for t, (ps, ws) in enumerate(zip(self.postings, self.weights)):
             np.maximum.at(self.group_bound[t], np.array(ps) // size, np.array(ws, np.float32))
+        self.group_bound = np.ceil(self.group_bound * UNITS).astype(np.uint16)  # rounded up, so that it stays a bound
+        self.by_group: np.ndarray | None = None
+
+    def group_bounds(self) -> np.ndarray:
+        """The bounds by term and group as numbers that are added up fast; made where they are used, not sent."""
+        if self.by_group is None:
+            self.by_group = self.group_bound.astype(np.float32) / np.float32(UNITS)
+        return self.by_group
 
     def search(self, query: list[int], least: float) -> list[tuple[int, float]]:
         """All items whose score for the query's terms is at least least, by block-max WAND."""
@@ -206,11 +216,11 @@ class Index:
         likely, tile, doc, first = likely_tiles(ids, lengths, self.stride, self.first_bound, least - self.slack)
         starts = np.searchsorted(tile, likely)
         ends = np.searchsorted(tile, likely + np.where((likely + 1 < len(doc)) & (doc[np.minimum(likely + 1, len(doc) - 1)] == doc[likely]), 2, 1))
-        out = []
+        out, by_group = [], self.group_bounds()
         for k, a, b in zip(likely.tolist(), starts.tolist(), ends.tolist()):
             query = np.unique(ids[a:b])
             query = query[query >= 0]
-            if len(query) and self.group_bound[query].sum(axis=0).max() >= least - 1e-4:
+            if len(query) and by_group[query].sum(axis=0).max() >= least - 1e-4:
                 d = int(doc[k])
                 out.append((d, (k - int(first[d])) * self.stride, query))
         return out
