@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.operators.applications import mandelbrot
+from tessera.plans.blocks import Blocks, conjugate_gradients
 from tessera.plans.grid import Grid, Stencil, apply_stencil, poisson, put_section, reduce_dim, section, stencil_matrix
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
@@ -63,6 +66,52 @@ def _(s, d):
     return vector_out(apply_stencil(*_field(s, d), blur))
 
 
+def _orders(s, d, *folded: int) -> Blocks:
+    """The total prices of orders, in the order of their keys, on a grid with rows (or layers of rows) of a fixed size, in blocks."""
+    x = T(s, d).x
+    layer = math.prod(folded)
+    return Blocks.pack(x, Grid((-(-x.n // layer), *folded)), (64,) * (1 + len(folded)) if len(folded) < 2 else (16, 16, 16)).keep()
+
+
+def _around_sql(folded: tuple[int, ...], points: list[tuple[tuple[int, ...], str]], x: str = "x") -> str:
+    """Weighted neighbours of each place of the grid of orders; those that leave a row, a layer or the grid are left out."""
+    layer = math.prod(folded)
+    widths = [math.prod(folded[k:]) for k in range(len(folded))] + [1]
+    at = lambda k: f"i // {widths[k]}" if k == 0 else f"i // {widths[k]} % {folded[k - 1]}"
+    sent = []
+    for o, w in points:
+        inside = " AND ".join(f"{at(k)} - ({o[k]}) BETWEEN 0 AND {folded[k - 1] - 1}" for k in range(1, len(o)) if o[k]) or "true"
+        sent.append(f"SELECT i - ({sum(a * b for a, b in zip(o, widths))}) AS i, {w} * v AS v FROM {x} WHERE {inside}")
+    places = f"(SELECT (max(o_orderkey) + {layer}) // {layer} * {layer} AS n FROM orders)"
+    every = f"SELECT unnest(range(n)) AS i, 0.0 AS v FROM {places}"
+    return f"SELECT i, sum(v) AS v FROM ({' UNION ALL '.join([every, *sent])}) WHERE i >= 0 AND i < (SELECT n FROM {places}) GROUP BY i"
+
+
+_STAR = [(o, str(w)) for o, w in Stencil.laplace(2, 5).points]
+_STAR3 = [(o, str(w)) for o, w in Stencil.laplace(3, 7).points]
+_BLUR = [((a, b), "(1.0 / 9)::DOUBLE") for a in (-1, 0, 1) for b in (-1, 0, 1)]
+_FIRM = Stencil(tuple((o, w if any(o) else 12.0) for o, w in Stencil.laplace(2, 5).points))
+R.add("l16_stencil_blocks", lambda s, d: vector_out(_orders(s, d, 128).stencil(Stencil.laplace(2, 5)).unpack(), 3), f"SELECT i, round(v, 3) AS v FROM ({_around_sql((128,), _STAR)})")
+R.add("j18_stencil_blocks", lambda s, d: vector_out(_orders(s, d, 16, 16).stencil(Stencil.laplace(3, 7)).unpack(), 3), f"SELECT i, round(v, 3) AS v FROM ({_around_sql((16, 16), _STAR3)})")
+
+
+@R.query("v20_convolution_blocks", f"SELECT i, round(v, 3) AS v FROM ({_around_sql((128,), _BLUR, '(' + _around_sql((128,), _BLUR) + ')')})")
+def _(s, d):
+    """Prices blurred twice: each step sends the faces of blocks."""
+    blur = Stencil(tuple(((a, b), 1 / 9) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    return vector_out(_orders(s, d, 128).steps(blur, 2).unpack(), 3)
+
+
+@R.query("v01_cg_blocks", "SELECT o_orderkey AS i, (o_orderkey % 5 + 1)::DOUBLE AS v FROM orders")
+def _(s, d):
+    """A system of a stencil over the grid of orders, whose solution is known."""
+    known = Vector.of(T(s, d).table("orders"), "o_orderkey", F.col("o_orderkey") % 5 + 1, T(s, d).size("orders", "o_orderkey"))
+    right = Blocks.pack(known, Grid((-(-known.n // 128), 128)), (64, 64)).keep().stencil(_FIRM)
+    x, _norms = conjugate_gradients(_FIRM, right, eps=1e-7)
+    rows = vector_out(x.unpack(), 3)
+    return rows.filter("v != 0")
+
+
 @R.query(
     "v20_mandelbrot",
     "WITH RECURSIVE m(i, cx, cy, x, y, k) AS (SELECT r * 40 + q, -2.0 + q * 0.075, -1.0 + r * 0.1, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM range(20) a(r), range(40) b(q) UNION ALL SELECT i, cx, cy, x * x - y * y + cx, 2 * x * y + cy, k + 1 FROM m WHERE x * x + y * y <= 4 AND k < 30) SELECT i, max(k)::DOUBLE AS v FROM m GROUP BY i",
