@@ -94,52 +94,67 @@ def fiedler(graph: Matrix, steps: int = 30, eps: float = 1e-6) -> tuple[float, V
     return value, x.scalar("mult", 1 / length)
 
 
-def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vector, tolerance: float = 1e-6, max_steps: int = 60, growth: float = 2.0) -> Solution:
+def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vector, tolerance: float = 1e-6, max_steps: int = 60, growth: float = 2.0, inner: float = 1e-8) -> Solution:
     """The least |A x - b| with low < x < high, by an interior point method.
 
     Newton directions of tau |A x - b|^2 less the logarithms of the distances to the bounds are
     found by conjugate gradients on the Gramian plus a diagonal, of which only products are taken; a step is halved until it stays
-    inside and descends, and tau grows while the duality gap is too wide.
+    inside and descends, and tau grows while the duality gap is too wide. With a greater inner
+    (the part of its right side that a direction may leave), directions are those of a truncated
+    Newton method: more steps with fewer products each.
     """
     n = matrix.m
     a = Matrix(cut(matrix.df), matrix.n, matrix.m)
-    bounds = low.df.select("i", c("v").alias("lo")).join(high.df.select("i", c("v").alias("hi")), "i")
-    x = Vector(bounds.select("i", ((c("lo") + c("hi")) / 2).alias("v")), n)
-    residual = lambda x: a.times(x, 1.0, b, -1.0)
+    bounds = cut(low.df.select("i", c("v").alias("lo")).join(high.df.select("i", c("v").alias("hi")), "i"))
+    x = bounds.select("i", ((c("lo") + c("hi")) / 2).alias("x"))
+    r = Vector(cut(a.times(Vector(x.select("i", c("x").alias("v")), n), 1.0, b, -1.0).df), matrix.n)
     squares = Vector(cut(a.reduce(1, "add", "sqr").df), n)
+    right = b.df.select("i", c("v").alias("b"))
     tau, gaps = 1.0, []
-
-    def value(x: Vector, tau: float) -> float:
-        inside = x.df.join(bounds, "i").agg(F.bool_and((c("v") > c("lo")) & (c("v") < c("hi"))), F.sum(F.when(c("v") > c("lo"), F.ln(c("v") - c("lo")))), F.sum(F.when(c("v") < c("hi"), F.ln(c("hi") - c("v"))))).first()
-        if not inside[0]:
-            return math.inf
-        r = residual(x)
-        return tau * r.dot(r).first()[0] - inside[1] - inside[2]
-
     for _ in range(max_steps):
-        x = Vector(cut(x.df), n)
-        r = Vector(cut(residual(x).df), matrix.n)
-        g = Vector(cut(a.times(r, 2.0, transposed=True).df), n)
-        dual = g.df.join(bounds, "i").agg(F.sum(F.greatest(c("v"), F.lit(0.0)) * c("lo")) - F.sum(F.greatest(-c("v"), F.lit(0.0)) * c("hi"))).first()[0]
-        rr, rb = r.dot(r).first()[0], r.dot(b).first()[0]
+        g = a.times(r, 2.0, transposed=True).df.select("i", c("v").alias("g"))
+        over, under = 1 / (c("hi") - c("x")), 1 / (c("x") - c("lo"))
+        at = cut(x.join(bounds, "i").join(g, "i").withColumns({"slack": under - over, "h": under * under + over * over}))
+        dual = at.agg(F.sum(F.greatest("g", F.lit(0.0)) * c("lo") - F.greatest(-c("g"), F.lit(0.0)) * c("hi"))).first()[0]
+        rr, rb = r.df.join(right, "i", "left").agg(F.sum(c("v") * c("v")), F.coalesce(F.sum(c("v") * c("b")), F.lit(0.0))).first()
         gap = rr - (-rr - 2 * rb + dual)
         gaps.append(gap)
         if gap <= tolerance * max(1.0, rr):
             break
-        at = x.df.join(bounds, "i")
-        barrier = Vector(at.select("i", (1 / (c("v") - c("lo")) - 1 / (c("hi") - c("v"))).alias("v")), n)
-        hess = Vector(cut(at.select("i", (1 / ((c("v") - c("lo")) * (c("v") - c("lo"))) + 1 / ((c("hi") - c("v")) * (c("hi") - c("v")))).alias("v"))), n)
-        rhs = Vector(cut(g.plus(barrier, -tau, 1.0).df), n)
+        hess = Vector(at.select("i", c("h").alias("v")), n)
+        rhs = Vector(at.select("i", (F.lit(-tau) * c("g") + c("slack")).alias("v")), n)
         product = lambda p, h=hess, f=2 * tau: a.times(a.times(p), f, p.binary("mult", h), 1.0, transposed=True)
         gram = Operator(n, product, diagonal=squares.plus(hess, 2 * tau, 1.0))
-        d = Vector(cut(cg(gram, rhs, stop=residual_below(1e-8, True) | residual_below(1e-12) | iterations(2 * n + 20), jacobi=True).x.df), n)
-        step, start, slope = 1.0, value(x, tau), -rhs.dot(d).first()[0]
-        while step > 1e-10 and value(x.plus(d, 1.0, step), tau) > start + 0.01 * step * slope:
-            step /= 2
-        x = x.plus(d, 1.0, step)
+        d = cut(cg(gram, rhs, stop=residual_below(inner, True) | residual_below(1e-12) | iterations(2 * n + 20), jacobi=True).x.df)
+        moved = cut(a.times(Vector(d, n)).df.select("i", c("v").alias("m")))
+        rm, mm = r.df.join(moved, "i").agg(F.sum(c("v") * c("m")), F.sum(c("m") * c("m"))).first()
+        step = _line(at.join(d.select("i", c("v").alias("d")), "i"), tau, rm, mm)
+        x = cut(at.select("i", "x").join(d, "i").select("i", (c("x") + F.lit(step) * c("v")).alias("x")))
+        r = Vector(cut(r.df.join(moved, "i").select("i", (c("v") + F.lit(step) * c("m")).alias("v"))), matrix.n)
         if step >= 0.5:
             tau = max(growth * min(2 * n / gap, tau), tau)
-    return Solution(x, gaps)
+    return Solution(Vector(x.select("i", c("x").alias("v")), n), gaps)
+
+
+def _line(at: DataFrame, tau: float, rm: float, mm: float, many: int = 8) -> float:
+    """The first of the steps 1, 1/2, 1/4, ... along d that stays between the bounds and descends; so many of them are tried by one aggregate.
+
+    The squares along the line are a parabola of its two products, so only the logarithms are summed.
+    """
+    slope = F.sum((F.lit(tau) * c("g") - c("slack")) * c("d")).alias("slope")
+    now = F.sum(F.ln(c("x") - c("lo")) + F.ln(c("hi") - c("x"))).alias("now")
+    for first in range(0, 34, many):
+        tried = []
+        for k in range(first, first + many):
+            below, above = c("x") + F.lit(0.5**k) * c("d") - c("lo"), c("hi") - c("x") - F.lit(0.5**k) * c("d")
+            inside = (below > 0) & (above > 0)
+            tried += [F.bool_and(inside).alias(f"in{k}"), F.sum(F.when(inside, F.ln(below) + F.ln(above))).alias(f"logs{k}")]
+        got = at.agg(slope, now, *tried).first()
+        for k in range(first, first + many):
+            s = 0.5**k
+            if got[f"in{k}"] and tau * (2 * s * rm + s * s * mm) - got[f"logs{k}"] + got["now"] <= 0.01 * s * got["slope"]:
+                return s
+    return 0.5**34
 
 
 def mandelbrot(spark: SparkSession, width: int, height: int, steps: int = 50, area: tuple[float, float, float, float] = (-2.0, 1.0, -1.0, 1.0)) -> tuple[Vector, Grid]:

@@ -123,6 +123,29 @@ def _(s, d):
     return vector_out(x, 1)
 
 
+@R.query("v17_bounded_parts", "SELECT i, round(v, 2) AS v FROM (SELECT p_partkey AS i, CASE p_partkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 ELSE 1.0 + p_partkey % 5 * 0.4 END::DOUBLE AS v FROM part)")
+def _(s, d):
+    """The system of parts over the identity, so twice as many rows as unknowns; bounds of 1 and 3 hold back two of five parts.
+
+    The right side is made of a solution and of residuals that fulfil its optimality conditions: the
+    gradient is 2 at the lower bounds, -2 at the upper ones and 0 elsewhere.
+    """
+    t = T(s, d)
+    system = t.system
+    n, part = system.n, t.table("part")
+    key = F.col("p_partkey").cast("long")
+    of_parts = lambda v: Vector.of(part, "p_partkey", v, n)
+    x = of_parts(F.when(key % 5 == 0, 1.0).when(key % 5 == 1, 3.0).otherwise(1 + key % 5 * 0.4))
+    upper = of_parts(0.05 * (key % 7 - 3))
+    pull = of_parts(F.when(key % 5 == 0, 1.0).when(key % 5 == 1, -1.0).otherwise(0.0))
+    lower = system.times(upper, -1.0, pull, 1.0)
+    a = Matrix(cut(system.df.unionByName(part.select((key + n).alias("i"), key.alias("j"), F.lit(1.0).alias("v")))), 2 * n, n)
+    residual = Vector(upper.df.unionByName(lower.df.select((F.col("i") + n).alias("i"), "v")), 2 * n)
+    b = Vector(cut(a.times(x, 1.0, residual, -1.0).df), 2 * n)
+    got = app.constrained_least_squares(a, b, Vector.fill(s, n, 1.0), Vector.fill(s, n, 3.0), tolerance=0.005, growth=30.0, inner=0.01)
+    return vector_out(got.x, 2)
+
+
 @R.query("v18_power_iteration", "SELECT i, round(sqrt(d / (SELECT sum(d) FROM degree)), 4) AS v, 1.0::DOUBLE AS value FROM degree")
 def _(s, d):
     """The graph of parts with weights divided by the roots of degrees: its greatest eigenvalue is 1, with the vector of these roots."""

@@ -196,6 +196,17 @@ def test_constrained_least_squares(spark):
     assert np.allclose(values(got.x), [1, 2, 2.5], atol=0.02)
 
 
+def test_bounds_hold_back_a_system_with_more_rows_than_unknowns(spark):
+    rng = np.random.default_rng(3)
+    a = np.vstack([3 * np.eye(6) + 0.3 * rng.normal(size=(6, 6)), np.eye(6)])
+    x, pull = np.array([1, 3, 1.4, 2.2, 3, 1.8]), np.array([1, -1, 0, 0, -0.7, 0])
+    upper = rng.normal(size=6) / 10
+    b = a @ x - np.concatenate([upper, pull - a[:6].T @ upper])
+    assert np.allclose(2 * a.T @ (a @ x - b), 2 * pull)  # the conditions of the optimum
+    got = app.constrained_least_squares(mat(spark, a), vec(spark, b), vec(spark, [1] * 6), vec(spark, [3] * 6), 1e-3, growth=20.0, inner=0.05)
+    assert np.allclose(values(got.x), x, atol=5e-3) and got.residuals[-1] < got.residuals[0]
+
+
 def test_partitioning(spark):
     assert general_block_offsets(10, [1, 2, 1]) == [3, 8, 10]
     assert proc_grid(12, (60, 20)) == (6, 2)
