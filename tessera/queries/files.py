@@ -12,7 +12,7 @@ from tessera.plans.matrix import Matrix
 from tessera.plans.storage import shared_dir, stored
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
-from tessera.sources import files, tables, text
+from tessera.sources import binary, files, tables, text
 from tessera.streaming.assembly import folded_stream, last_stream, run_append, run_once, windowed_stream
 
 R = Registry()
@@ -45,6 +45,16 @@ def _(s, d):
 R.add("io04_mat", lambda s, d: matrix_out(_through(s, T(s, d).s, "mat")), "SELECT i, j, round(v, 4) AS v FROM s")
 R.add("io05_samg", lambda s, d: matrix_out(_through(s, T(s, d).near, "frm"), 6), "SELECT i, j, round(v, 6) AS v FROM near")
 R.add("io05_samg_vector", lambda s, d: vector_out(_through(s, T(s, d).p, "frv")), "SELECT i, round(v, 4) AS v FROM p")
+
+
+def _formatted(s, x, suffix: str, write):
+    path = _place(s, suffix)
+    write(x, path, "f")
+    return files.read(s, path)
+
+
+R.add("io05_samg_text", lambda s, d: matrix_out(_formatted(s, T(s, d).near, "frm", binary.write_samg), 6), "SELECT i, j, round(v, 6) AS v FROM near")
+R.add("io05_samg_vector_text", lambda s, d: vector_out(_formatted(s, T(s, d).p, "frv", binary.write_samg_vector)), "SELECT i, round(v, 4) AS v FROM p")
 R.add("io06_petsc", lambda s, d: matrix_out(_through(s, T(s, d).s, "psc")), "SELECT i, j, round(v, 4) AS v FROM s")
 R.add("io06_petsc_vector", lambda s, d: vector_out(_through(s, T(s, d).p, "psc")), "SELECT i, round(v, 4) AS v FROM p")
 

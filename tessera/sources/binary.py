@@ -18,6 +18,7 @@ from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import stored
 from tessera.plans.vector import Vector
+from tessera.sources import text
 
 
 def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
@@ -117,9 +118,8 @@ def read_samg(spark: SparkSession, header_path: str, data_path: str) -> Matrix:
     form, (nnz, n) = lines[0][0], map(int, lines[1][:2])
     if form == "f":
         from tessera.plans.scan import ranked
-        from tessera.sources.text import _lines
 
-        numbers = _lines(spark, data_path).select("at", F.posexplode(F.split("value", r"\s+")).alias("p", "x")).filter("x != ''")
+        numbers = text.lines_of(spark, data_path).select("at", F.posexplode(F.split("value", r"\s+")).alias("p", "x")).filter("x != ''")
         placed = ranked(numbers.select("at", "p", F.col("x").cast("double").alias("x")), F.col("at").asc(), F.col("p").asc())
         offsets = placed.filter(F.col("rank") <= n).select(F.col("rank").alias("i"), (F.col("x") - 1).cast("long").alias("o"))
         ends = offsets.select((F.col("i") - 1).alias("i"), F.col("o").alias("e"))
@@ -144,28 +144,38 @@ def read_samg_vector(spark: SparkSession, header_path: str, data_path: str) -> V
     lines = [r.value.split() for r in spark.read.text(header_path).collect()]  # three short lines
     form, n, size = lines[0][0], int(lines[1][0]), int(lines[2][0])
     if form == "f":
-        from tessera.sources.text import read_txt_vector
-
-        return read_txt_vector(spark, data_path)
+        return text.read_txt_vector(spark, data_path)
     kind = f"{'>' if form == 'x' else '<'}f{size}"
     return Vector(_decoded(spark, data_path, lambda d: pd.DataFrame({"i": np.arange(n), "v": np.frombuffer(d, kind, n).astype(float)}), PAIRS), n)
 
 
-def write_samg(matrix: Matrix, path: str) -> None:
-    """A text header (.frm) and beside it the binary data (.amg), little-endian."""
+def write_samg(matrix: Matrix, path: str, form: str = "b") -> None:
+    """A text header (.frm) and beside it the data (.amg): binary, little-endian (b), or lines of text (f), in a folder of files that tasks write."""
     spark = matrix.df.sparkSession
     if matrix.n != matrix.m:
         raise ValueError("this format holds square matrices")
+    if form not in ("b", "f"):
+        raise ValueError(f"form {form!r} isn't written")
     nnz = matrix.df.count()
-    write_pieces(_literal(spark, 0, f"b 4\n{nnz} {matrix.n} 22 1 0\n".encode()), path)
+    write_pieces(_literal(spark, 0, f"{form} 4\n{nnz} {matrix.n} 22 1 0\n".encode()), path)
+    if form == "f":
+        line = lambda rows, section, i, j, value: rows.select(F.struct(F.lit(section).alias("section"), i.alias("i")).alias("at"), j.alias("sub"), value.cast("string").alias("value"))
+        i, j, none = F.col("i"), F.col("j"), F.lit(0).cast("long")
+        lines = line(matrix.offsets().df, 0, i, none, (F.col("v") + 1).cast("long"))
+        lines = lines.unionByName(line(matrix.df, 1, i, j, j + 1)).unionByName(line(matrix.df, 2, i, j, F.col("v")))
+        return text.write_lines(lines, path[:-3] + "amg")
     data = _pieces(matrix.offsets().scalar("add", 1.0).df, ["i"], "v", "<i4", 0)
     data = data.unionByName(_pieces(matrix.df.select("i", "j", (F.col("j") + 1).alias("c")), ["i", "j"], "c", "<i4", 1))
     write_pieces(data.unionByName(_pieces(matrix.df, ["i", "j"], "v", "<f8", 2)), path[:-3] + "amg")
 
 
-def write_samg_vector(x: Vector, path: str) -> None:
-    """A text header (.frv) and beside it the binary values (.vec), little-endian."""
-    write_pieces(_literal(x.df.sparkSession, 0, f"b\n{x.n}\n8\n".encode()), path)
+def write_samg_vector(x: Vector, path: str, form: str = "b") -> None:
+    """A text header (.frv) and beside it the values (.vec): binary, little-endian (b), or a line each (f), in a folder of files."""
+    if form not in ("b", "f"):
+        raise ValueError(f"form {form!r} isn't written")
+    write_pieces(_literal(x.df.sparkSession, 0, f"{form}\n{x.n}\n8\n".encode()), path)
+    if form == "f":
+        return text.write_txt(x, path[:-3] + "vec")
     write_pieces(_pieces(x.to_dense().df, ["i"], "v", "<f8", 0), path[:-3] + "vec")
 
 

@@ -26,7 +26,7 @@ class Header:
     line: str = ""
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """(at, value): at orders the lines as the file, or the files of a folder by name, have them."""
     rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
     return rows.select(F.struct("_metadata.file_path", "_metadata.file_block_start", "id").alias("at"), F.trim("value").alias("value"))
@@ -61,7 +61,7 @@ def first_lines(spark: SparkSession, path: str) -> Iterator[str]:
 def read_mtx_complex(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     """((i, j, re, im), header): 0-based; the halves of symmetric files are mirrored, array files are read by columns."""
     head = header(spark, path)
-    lines = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != ""))
+    lines = lines_of(spark, path).filter(~F.col("value").startswith("%") & (F.col("value") != ""))
     first = lines.filter(F.col("value") == head.line).agg(F.min("at").alias("first"))  # entries that read the same come later
     body = lines.join(F.broadcast(first), F.col("at") > F.col("first")).select("at", F.split("value", r"\s+").alias("f"))  # a single row is broadcast
     number = lambda k: F.col("f")[k].cast("double")
@@ -98,7 +98,7 @@ def read_mtx_vector(spark: SparkSession, path: str) -> Vector:
     return Vector(rows.select("i", F.col("re").alias("v")), head.sizes[0], 0.0, head.form == "array")
 
 
-def _write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str) -> None:
     """lines (at, sub, value) as a folder of text files that, one after the other, are one file."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines.repartitionByRange(n, "at", "sub").sortWithinPartitions("at", "sub").select("value").write.mode("overwrite").text(path)
@@ -113,7 +113,7 @@ def write_mtx(matrix: Matrix, path: str, kind: str = "real") -> None:
     body = rows.select((F.col("i") + 1).alias("at"), F.col("j").alias("sub"), F.concat((F.col("i") + 1).cast("string"), F.lit(" "), (F.col("j") + 1).cast("string"), number).alias("value"))
     head = rows.agg(F.concat(F.lit(f"{matrix.n} {matrix.m} "), F.count("*").cast("string")).alias("value")).select(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("sub"), "value")
     banner = spark.range(1).select(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("sub"), F.lit(f"{BANNER} matrix coordinate {kind} {'symmetric' if symmetric else 'general'}").alias("value"))
-    _write_lines(banner.unionByName(head).unionByName(body), path)
+    write_lines(banner.unionByName(head).unionByName(body), path)
 
 
 def write_mtx_complex(matrix: ComplexMatrix, path: str) -> None:
@@ -123,7 +123,7 @@ def write_mtx_complex(matrix: ComplexMatrix, path: str) -> None:
     body = matrix.df.select((F.col("i") + 1).alias("at"), F.col("j").alias("sub"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "re", "im").alias("value"))
     head = matrix.df.agg(F.concat(F.lit(f"{matrix.n} {matrix.m} "), F.count("*").cast("string")).alias("value")).select(zero.alias("at"), one.alias("sub"), "value")
     banner = spark.range(1).select(zero.alias("at"), zero.alias("sub"), F.lit(f"{BANNER} matrix coordinate complex general").alias("value"))
-    _write_lines(banner.unionByName(head).unionByName(body), path)
+    write_lines(banner.unionByName(head).unionByName(body), path)
 
 
 def write_mtx_vector(x: Vector, path: str) -> None:
@@ -135,7 +135,7 @@ def write_mtx_vector(x: Vector, path: str) -> None:
     head = x.df.agg(count.alias("value")).select(zero.alias("at"), F.lit(1).cast("long").alias("sub"), "value")
     banner = spark.range(1).select(zero.alias("at"), zero.alias("sub"), F.lit(f"{BANNER} matrix {form} real general").alias("value"))
     value = F.col("v").cast("string") if x.dense else F.concat((F.col("i") + 1).cast("string"), F.lit(" 1 "), F.col("v").cast("string"))
-    _write_lines(banner.unionByName(head).unionByName(x.df.select((F.col("i") + 1).alias("at"), zero.alias("sub"), value.alias("value"))), path)
+    write_lines(banner.unionByName(head).unionByName(x.df.select((F.col("i") + 1).alias("at"), zero.alias("sub"), value.alias("value"))), path)
 
 
 def read_txt(spark: SparkSession, path: str) -> Matrix:
@@ -148,7 +148,7 @@ def read_txt(spark: SparkSession, path: str) -> Matrix:
 
 def read_txt_vector(spark: SparkSession, path: str) -> Vector:
     """One value a line."""
-    lines = _lines(spark, path).filter(F.col("value") != "")
+    lines = lines_of(spark, path).filter(F.col("value") != "")
     placed = ranked(lines.select("at", F.col("value").cast("double").alias("v")), F.col("at").asc())
     return Vector(placed.select(F.col("rank").alias("i"), "v"), placed.count())
 
@@ -156,6 +156,6 @@ def read_txt_vector(spark: SparkSession, path: str) -> Vector:
 def write_txt(x: "Vector | Matrix", path: str) -> None:
     zero = F.lit(0).cast("long")
     if isinstance(x, Vector):
-        _write_lines(x.to_dense().df.select(F.col("i").alias("at"), zero.alias("sub"), F.col("v").cast("string").alias("value")), path)
+        write_lines(x.to_dense().df.select(F.col("i").alias("at"), zero.alias("sub"), F.col("v").cast("string").alias("value")), path)
     else:
-        _write_lines(x.df.select(F.col("i").alias("at"), F.col("j").alias("sub"), F.concat_ws(" ", "i", "j", "v").alias("value")), path)
+        write_lines(x.df.select(F.col("i").alias("at"), F.col("j").alias("sub"), F.concat_ws(" ", "i", "j", "v").alias("value")), path)

@@ -258,6 +258,14 @@ def test_samg_and_petsc(spark, tmp_path):
         files.write(mat(spark, want), f"{tmp_path}/b.{suffix}")
         assert dense(files.read(spark, f"{tmp_path}/b.{suffix}")).tolist() == want
     assert (tmp_path / "b.psc").read_bytes() == raw
+    binary.write_samg(mat(spark, want), f"{tmp_path}/t.frm", "f")
+    assert (tmp_path / "t.frm").read_text() == "f 4\n4 3 22 1 0\n" and dense(files.read(spark, f"{tmp_path}/t.frm")).tolist() == want
+    written = "".join(p.read_text() for p in sorted((tmp_path / "t.amg").glob("part-*"))).split()
+    assert [float(x) for x in written] == [1, 3, 3, 5, 1, 3, 2, 3, 5, 6, 7, 8]
+    binary.write_samg_vector(vec(spark, [1.5, 0, -3]), f"{tmp_path}/t.frv", "f")
+    assert values(files.read(spark, f"{tmp_path}/t.frv")).tolist() == [1.5, 0, -3]
+    with pytest.raises(ValueError):
+        binary.write_samg(mat(spark, want), f"{tmp_path}/t.frm", "x")
     files.write(vec(spark, [1, 2, 3]), f"{tmp_path}/v.psc")
     files.write(vec(spark, [1, 2, 3]), f"{tmp_path}/w.frv")
     assert values(files.read(spark, f"{tmp_path}/w.frv")).tolist() == [1, 2, 3]
