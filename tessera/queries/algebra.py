@@ -183,6 +183,10 @@ R.add("l19_jacobi_sweep", lambda s, d: vector_out(T(s, d).skew_system.jacobi_ste
 R.add("l20_blas1", lambda s, d: T(s, d).t.df.agg(F.round(F.sum("v"), 4).alias("total"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("nrm2"), F.round(F.sum(F.abs("v")), 4).alias("total_abs")), "SELECT round(sum(v), 4) AS total, round(sqrt(sum(v * v)), 4) AS nrm2, round(sum(abs(v)), 4) AS total_abs FROM t")
 
 R.add("c01_concat", lambda s, d: vector_out(T(s, d).p.concat(T(s, d).b)), "SELECT i, round(v, 4) AS v FROM p UNION ALL SELECT i + (SELECT max(p_partkey) + 1 FROM part), round(v, 4) FROM b")
+_PARTS, _SUPPLIERS = "(SELECT max(p_partkey) + 1 FROM part)", "(SELECT max(s_suppkey) + 1 FROM supplier)"
+R.add("c02_blocks_of_parts", lambda s, d: matrix_out(T(s, d).s.append_columns(T(s, d).d).append_rows(T(s, d).d.append_columns(T(s, d).s))), " UNION ALL ".join(f"SELECT i + {a} * {_PARTS} AS i, j + {b} * {_SUPPLIERS} AS j, round(v, 4) AS v FROM {m}" for a, b, m in ((0, 0, "s"), (0, 1, "d"), (1, 0, "d"), (1, 1, "s"))))
+R.add("c03_columns_of_parts", lambda s, d: matrix_out(T(s, d).s.append_columns(T(s, d).d)), f"SELECT i, j, round(v, 4) AS v FROM s UNION ALL SELECT i, j + {_SUPPLIERS}, round(v, 4) FROM d")
+R.add("c04_rows_of_parts", lambda s, d: matrix_out(T(s, d).s.append_rows(T(s, d).d)), f"SELECT i, j, round(v, 4) AS v FROM s UNION ALL SELECT i + {_PARTS}, j, round(v, 4) FROM d")
 R.add("c02_block_layout", lambda s, d: matrix_out(T(s, d).c.append_columns(T(s, d).spd).append_rows(T(s, d).spd.append_columns(T(s, d).c))), "SELECT i, j, round(v, 4) AS v FROM c UNION ALL SELECT i, j + 25, round(v, 4) FROM spd UNION ALL SELECT i + 25, j, round(v, 4) FROM spd UNION ALL SELECT i + 25, j + 25, round(v, 4) FROM c")
 R.add("c03_append_columns", lambda s, d: matrix_out(T(s, d).c.append_columns(T(s, d).spd)), "SELECT i, j, round(v, 4) AS v FROM c UNION ALL SELECT i, j + 25, round(v, 4) FROM spd")
 R.add("c04_append_rows", lambda s, d: matrix_out(T(s, d).c.append_rows(T(s, d).spd)), "SELECT i, j, round(v, 4) AS v FROM c UNION ALL SELECT i + 25, j, round(v, 4) FROM spd")

@@ -147,6 +147,10 @@ R.add("p12_set_column", lambda s, d: matrix_out(T(s, d).c.put_column(2, T(s, d).
 R.add("p13_diagonal", lambda s, d: vector_out(T(s, d).c.diagonal()), "SELECT i, round(v, 4) AS v FROM c WHERE i = j")
 R.add("p13_set_diagonal", lambda s, d: matrix_out(T(s, d).c.put_diagonal(1.0)), "SELECT i, j, round(CASE WHEN i = j THEN 1 ELSE v END, 4) AS v FROM c")
 R.add("p13_set_diagonal_vector", lambda s, d: matrix_out(T(s, d).c.put_diagonal(T(s, d).known)), "SELECT c.i, c.j, round(CASE WHEN c.i = c.j THEN known.v ELSE c.v END, 4) AS v FROM c JOIN known ON c.i = known.i")
+_SYSTEM = "(SELECT i, j, -v AS v FROM near UNION ALL SELECT p_partkey, p_partkey, 3.0 FROM part)"
+R.add("p13_set_diagonal_of_parts", lambda s, d: matrix_out(T(s, d).system.put_diagonal(T(s, d).answer)), f"SELECT q.i, q.j, round(CASE WHEN q.i = q.j THEN answer.v ELSE q.v END, 4) AS v FROM {_SYSTEM} q JOIN answer ON q.i = answer.i")
+R.add("p15_symmetry_of_parts", lambda s, d: T(s, d).system.is_symmetric().withColumn("skewed", F.lit(False)).unionByName(T(s, d).skew_system.is_symmetric().withColumn("skewed", F.lit(True))), f"SELECT skewed, bool_and(coalesce(l.v * CASE WHEN skewed AND l.j > l.i THEN 1.5 ELSE 1 END = r.v * CASE WHEN skewed AND r.j > r.i THEN 1.5 ELSE 1 END, false)) AS ok FROM (VALUES (false), (true)) k(skewed), {_SYSTEM} l LEFT JOIN {_SYSTEM} r ON l.i = r.j AND l.j = r.i GROUP BY skewed")
+R.add("p20_diagonal_of_parts", lambda s, d: T(s, d).system.has_diagonal(), f"SELECT count(*) FILTER (i = j) = (SELECT count(*) FROM part) AS ok FROM {_SYSTEM}")
 R.add("p14_valid_indexes", lambda s, d: T(s, d).table("lineitem").agg(F.bool_and(F.col("l_partkey").between(0, T(s, d).size("part", "p_partkey") - 1)).alias("ok")), "SELECT bool_and(l_partkey BETWEEN 0 AND (SELECT max(p_partkey) FROM part)) AS ok FROM lineitem")
 R.add("p15_check_symmetry", lambda s, d: T(s, d).spd.is_symmetric(), "SELECT bool_and(l.v = r.v) AS ok FROM spd l JOIN spd r ON l.i = r.j AND l.j = r.i")
 R.add("p16_consistent", lambda s, d: T(s, d).y.consistent(), "SELECT bool_and(i >= 0) AND count(*) = count(DISTINCT i) AS ok FROM y")

@@ -95,6 +95,37 @@ R.add("l16_stencil_blocks", lambda s, d: vector_out(_orders(s, d, 128).stencil(S
 R.add("j18_stencil_blocks", lambda s, d: vector_out(_orders(s, d, 16, 16).stencil(Stencil.laplace(3, 7)).unpack(), 3), f"SELECT i, round(v, 3) AS v FROM ({_around_sql((16, 16), _STAR3)})")
 
 
+
+
+def _rows_of_orders(s, d) -> tuple[Vector, Grid]:
+    """The total prices of orders as a grid with 128 a row."""
+    x = T(s, d).x
+    return x, Grid((-(-x.n // 128), 128))
+
+
+_PART_OF = "x.i // 128 >= 1 AND (x.i // 128 - 1) % 3 = 0 AND x.i % 128 < 125 AND x.i % 2 = 0"
+
+
+def _some(grid: Grid) -> list[tuple[int, int, int]]:
+    return [(1, grid.shape[0], 3), (0, 125, 2)]
+
+
+@R.query("l22_section_of_orders", f"SELECT (x.i // 128 - 1) // 3 * 63 + x.i % 128 // 2 AS i, round(x.v, 4) AS v FROM x WHERE {_PART_OF}")
+def _(s, d):
+    x, grid = _rows_of_orders(s, d)
+    return vector_out(section(x, grid, _some(grid))[0])
+
+
+@R.query("l22_section_scalar_of_orders", f"SELECT x.i, round(CASE WHEN {_PART_OF} THEN 2 * x.v ELSE x.v END, 4) AS v FROM x")
+def _(s, d):
+    x, grid = _rows_of_orders(s, d)
+    return vector_out(put_section(x, grid, _some(grid), 2.0, "mult"))
+
+
+for _dim, _by in ((0, "i % 128"), (1, "i // 128")):
+    R.add(f"l21_reduce_of_orders_{_dim}", lambda s, d, k=_dim: vector_out(reduce_dim(*_rows_of_orders(s, d), k, "max")[0]), f"SELECT {_by} AS i, round(max(v), 4) AS v FROM x GROUP BY 1")
+
+
 @R.query("v20_convolution_blocks", f"SELECT i, round(v, 3) AS v FROM ({_around_sql((128,), _BLUR, '(' + _around_sql((128,), _BLUR) + ')')})")
 def _(s, d):
     """Prices blurred twice: each step sends the faces of blocks."""
