@@ -144,6 +144,8 @@ R.add("p10_row", lambda s, d: vector_out(T(s, d).s.row(7)), "SELECT j AS i, roun
 R.add("p11_column", lambda s, d: vector_out(T(s, d).s.column(7)), "SELECT i, round(v, 4) AS v FROM s WHERE j = 7")
 R.add("p12_set_row", lambda s, d: matrix_out(T(s, d).c.put_row(2, T(s, d).known, "add")), "SELECT c.i, c.j, round(CASE WHEN c.i = 2 THEN c.v + known.v ELSE c.v END, 4) AS v FROM c JOIN known ON c.j = known.i")
 R.add("p12_set_column", lambda s, d: matrix_out(T(s, d).c.put_column(2, T(s, d).known)), "SELECT c.i, c.j, round(CASE WHEN c.j = 2 THEN known.v ELSE c.v END, 4) AS v FROM c JOIN known ON c.i = known.i")
+R.add("p12_set_row_of_parts", lambda s, d: matrix_out(T(s, d).near.put_row(2, T(s, d).answer, "add")), "SELECT near.i, near.j, round(CASE WHEN near.i = 2 THEN near.v + answer.v ELSE near.v END, 4) AS v FROM near JOIN answer ON near.j = answer.i")
+R.add("p12_set_column_of_parts", lambda s, d: matrix_out(T(s, d).near.put_column(2, T(s, d).answer)), "SELECT near.i, near.j, round(CASE WHEN near.j = 2 THEN answer.v ELSE near.v END, 4) AS v FROM near JOIN answer ON near.i = answer.i")
 R.add("p13_diagonal", lambda s, d: vector_out(T(s, d).c.diagonal()), "SELECT i, round(v, 4) AS v FROM c WHERE i = j")
 R.add("p13_set_diagonal", lambda s, d: matrix_out(T(s, d).c.put_diagonal(1.0)), "SELECT i, j, round(CASE WHEN i = j THEN 1 ELSE v END, 4) AS v FROM c")
 R.add("p13_set_diagonal_vector", lambda s, d: matrix_out(T(s, d).c.put_diagonal(T(s, d).known)), "SELECT c.i, c.j, round(CASE WHEN c.i = c.j THEN known.v ELSE c.v END, 4) AS v FROM c JOIN known ON c.i = known.i")
