@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import complex as z
+from tessera.functions.scalar import rounded
 from tessera.operators import fft
 from tessera.operators.factor import factorize, lu
 from tessera.operators.linear import Of, OnGrid, Shift, gramian
@@ -28,7 +29,7 @@ R.add("l01_gemv_transposed", lambda s, d: vector_out(T(s, d).s.times(T(s, d).p,
 def _(s, d):
     many = T(s, d).table("supplier").select(F.col("s_suppkey").alias("i"), "s_acctbal", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
     many = many.select("i", F.col("k").cast("long").alias("k"), (F.col("s_acctbal") * (F.col("k") + 1) / 10).alias("v"))
-    return T(s, d).s.times_many(many).select("i", "k", F.round("v", 3).alias("v"))
+    return T(s, d).s.times_many(many).select("i", "k", rounded("v", 3).alias("v"))
 
 
 _E = "(SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings) e"
@@ -62,14 +63,14 @@ R.add("l08_transpose", lambda s, d: matrix_out(T(s, d).a.transpose()), "SELECT j
 @R.query("l09_conjugate", "SELECT i, j, round(v, 4) AS re, round(-v / 2, 4) AS im FROM s")
 def _(s, d):
     w = z.conj(z.make(F.col("v"), F.col("v") / 2))
-    return T(s, d).s.df.select("i", "j", F.round(w["re"], 4).alias("re"), F.round(w["im"], 4).alias("im"))
+    return T(s, d).s.df.select("i", "j", rounded(w["re"], 4).alias("re"), rounded(w["im"], 4).alias("im"))
 
 
 @R.query("l10_real_imaginary", "SELECT i, j, round(v * v - 1, 4) AS re, round(2 * v, 4) AS im FROM s")
 def _(s, d):
     w = z.make(F.col("v"), F.lit(1.0))
     w = z.mult(w, w)
-    return T(s, d).s.df.select("i", "j", F.round(w["re"], 4).alias("re"), F.round(w["im"], 4).alias("im"))
+    return T(s, d).s.df.select("i", "j", rounded(w["re"], 4).alias("re"), rounded(w["im"], 4).alias("im"))
 
 
 @R.query("l11_inverse", "SELECT a.s_suppkey::BIGINT AS i, b.s_suppkey::BIGINT AS j, CASE WHEN a.s_suppkey = b.s_suppkey THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM supplier a, supplier b")
@@ -77,7 +78,7 @@ def _(s, d):
     """The system over suppliers times its inverse: the identity."""
     a = Tiles.pack(T(s, d).supplier_system)
     got = a.matmul(lu(a).inverse())
-    return got.entries().df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    return got.entries().df.select("i", "j", (rounded("v", 6) + 0.0).alias("v"))
 
 
 @R.query("l12_decomposition", "SELECT i, k, round(v * k + k - 1, 4) AS v FROM answer, (VALUES (1::BIGINT), (2)) r(k)")
@@ -87,7 +88,7 @@ def _(s, d):
     a = Matrix(cut(t.system.df), t.answer.n, t.answer.n)
     factors = factorize(a, symmetric=True)
     sides = [t.answer.times_plus(k, k - 1.0) for k in (1.0, 2.0)]
-    found = [factors.solve(a.times(x)).df.select("i", F.lit(k).cast("long").alias("k"), F.round("v", 4).alias("v")) for k, x in enumerate(sides, 1)]
+    found = [factors.solve(a.times(x)).df.select("i", F.lit(k).cast("long").alias("k"), rounded("v", 4).alias("v")) for k, x in enumerate(sides, 1)]
     return found[0].unionByName(found[1])
 
 
@@ -140,20 +141,20 @@ def _(s, d):
 
 @R.query("l17_fft_vector", "WITH n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM customer), w AS (SELECT k FROM n, unnest(range(n)) u(k)) SELECT w.k AS i, round(sum(c_acctbal * cos(-2 * pi() * ((w.k * c_custkey) % n) / n)), 2) AS re, round(sum(c_acctbal * sin(-2 * pi() * ((w.k * c_custkey) % n) / n)), 2) AS im FROM w, n, customer GROUP BY w.k")
 def _(s, d):
-    return fft.fft_vector(T(s, d).b).select("i", F.round("re", 2).alias("re"), F.round("im", 2).alias("im"))
+    return fft.fft_vector(T(s, d).b).select("i", rounded("re", 2).alias("re"), rounded("im", 2).alias("im"))
 
 
 @R.query("l17_fft_rows", f"SELECT e.i, w.k AS j, round(sum(e.v * cos(-2 * pi() * ((w.k * e.j) % 64) / 64)), 3) + 0 AS re, round(sum(e.v * sin(-2 * pi() * ((w.k * e.j) % 64) / 64)), 3) + 0 AS im FROM {_E}, (SELECT unnest(range(64)) AS k) w GROUP BY e.i, w.k")
 def _(s, d):
     found = fft.fft_rows(fft.complex_matrix(_embeddings(s, d)), 64)
-    return found.select("i", "j", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+    return found.select("i", "j", (rounded("re", 3) + 0.0).alias("re"), (rounded("im", 3) + 0.0).alias("im"))
 
 
 @R.query("l17_fft_columns", f"WITH n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM embeddings), w AS (SELECT k, n FROM n, unnest(range(n)) u(k)) SELECT w.k AS i, e.j, round(sum(e.v * cos(-2 * pi() * ((w.k * e.i) % w.n) / w.n)), 3) + 0 AS re, round(sum(e.v * sin(-2 * pi() * ((w.k * e.i) % w.n) / w.n)), 3) + 0 AS im FROM {_E}, w GROUP BY w.k, e.j")
 def _(s, d):
     m = _embeddings(s, d)
     found = fft.fft_rows(fft.complex_matrix(m), fft.next_power_of_two(m.n), dim=0)
-    return found.select("i", "j", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+    return found.select("i", "j", (rounded("re", 3) + 0.0).alias("re"), (rounded("im", 3) + 0.0).alias("im"))
 
 
 @R.query(
@@ -166,7 +167,7 @@ def _(s, d):
 def _(s, d):
     m = _embeddings(s, d)
     found = fft.fft_2d(fft.complex_matrix(m), fft.next_power_of_two(m.n), 64)
-    return found.select("i", "j", (F.round("re", 2) + 0.0).alias("re"), (F.round("im", 2) + 0.0).alias("im"))
+    return found.select("i", "j", (rounded("re", 2) + 0.0).alias("re"), (rounded("im", 2) + 0.0).alias("im"))
 
 
 @R.query("l17_ifft_round_trip", "SELECT c_custkey AS i, round(c_acctbal, 4) AS v FROM customer")
@@ -174,13 +175,13 @@ def _(s, d):
     b = T(s, d).b
     n = fft.next_power_of_two(b.n)
     back = fft.fft(fft.fft_vector(b), n, inverse=True)
-    return back.filter(F.col("i") < b.n).select("i", (F.round(F.col("re") / n, 4) + 0.0).alias("v"))
+    return back.filter(F.col("i") < b.n).select("i", (rounded(F.col("re") / n, 4) + 0.0).alias("v"))
 
 
 R.add("l18_replicate", lambda s, d: matrix_out(T(s, d).c.replicate(2, 3)), "SELECT c.i + 25 * p AS i, c.j + 25 * q AS j, round(c.v, 4) AS v FROM c, range(2) a(p), range(3) b(q)")
 R.add("g11_replicate_diagonal", lambda s, d: matrix_out(T(s, d).c.replicate_diagonal(3)), "SELECT c.i + 25 * p AS i, c.j + 25 * p AS j, round(c.v, 4) AS v FROM c, range(3) a(p)")
 R.add("l19_jacobi_sweep", lambda s, d: vector_out(T(s, d).skew_system.jacobi_step(T(s, d).answer, T(s, d).p, 0.8)), "SELECT k.i, round(0.8 * (p.v + coalesce(q.v, 0)) / 3 + 0.2 * k.v, 4) AS v FROM answer k JOIN p ON p.i = k.i LEFT JOIN (SELECT near.i, sum(near.v * CASE WHEN near.j > near.i THEN 1.5 ELSE 1 END * n.v) AS v FROM near JOIN (SELECT p_partkey AS i, (p_partkey % 3 + 1)::DOUBLE AS v FROM part) n ON near.j = n.i GROUP BY near.i) q ON k.i = q.i")
-R.add("l20_blas1", lambda s, d: T(s, d).t.df.agg(F.round(F.sum("v"), 4).alias("total"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("nrm2"), F.round(F.sum(F.abs("v")), 4).alias("total_abs")), "SELECT round(sum(v), 4) AS total, round(sqrt(sum(v * v)), 4) AS nrm2, round(sum(abs(v)), 4) AS total_abs FROM t")
+R.add("l20_blas1", lambda s, d: T(s, d).t.df.agg(rounded(F.sum("v"), 4).alias("total"), rounded(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("nrm2"), rounded(F.sum(F.abs("v")), 4).alias("total_abs")), "SELECT round(sum(v), 4) AS total, round(sqrt(sum(v * v)), 4) AS nrm2, round(sum(abs(v)), 4) AS total_abs FROM t")
 
 R.add("c01_concat", lambda s, d: vector_out(T(s, d).p.concat(T(s, d).b)), "SELECT i, round(v, 4) AS v FROM p UNION ALL SELECT i + (SELECT max(p_partkey) + 1 FROM part), round(v, 4) FROM b")
 _PARTS, _SUPPLIERS = "(SELECT max(p_partkey) + 1 FROM part)", "(SELECT max(s_suppkey) + 1 FROM supplier)"
@@ -195,7 +196,7 @@ R.add("c06_append_contributions", lambda s, d: vector_out(T(s, d).y.merge(T(s, d
 R.add("c08_split_and_join_columns", lambda s, d: matrix_out(T(s, d).s.part(0, T(s, d).s.n, 0, 50).append_columns(T(s, d).s.part(0, T(s, d).s.n, 50, 1 << 40))), "SELECT i, j, round(v, 4) AS v FROM s")
 R.add("c09_pattern_union", lambda s, d: T(s, d).y.df.select("i").union(T(s, d).z.df.select("i")).distinct(), "SELECT i FROM y UNION SELECT i FROM z")
 R.add("c09_pattern_intersection", lambda s, d: T(s, d).y.df.select("i").intersect(T(s, d).z.df.select("i")), "SELECT i FROM y INTERSECT SELECT i FROM z")
-R.add("k01_diagonals", lambda s, d: T(s, d).c.per_diagonal().select("d", "n", F.round("v", 4).alias("v")), "SELECT c.j - c.i AS d, count(*) AS n, round(sum(v), 4) AS v FROM c GROUP BY 1")
+R.add("k01_diagonals", lambda s, d: T(s, d).c.per_diagonal().select("d", "n", rounded("v", 4).alias("v")), "SELECT c.j - c.i AS d, count(*) AS n, round(sum(v), 4) AS v FROM c GROUP BY 1")
 R.add("k02_offsets", lambda s, d: vector_out(T(s, d).s.offsets()), "SELECT k AS i, coalesce((SELECT count(*) FROM s WHERE s.i < k), 0)::DOUBLE AS v FROM range((SELECT max(p_partkey) + 2 FROM part)) r(k)")
 R.add("k03_adjacency_round_trip", lambda s, d: matrix_out(Matrix.from_adjacency(T(s, d).s.adjacency(), 0, 0)), "SELECT i, j, round(v, 4) AS v FROM s")
 R.add("k04_entry_positions", lambda s, d: T(s, d).s.positions().select("i", "j", "p"), "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS p FROM s")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import rounded
 from tessera.plans.complex import FORMS, ComplexMatrix, ComplexVector
 from tessera.plans.storage import shared_dir
 from tessera.plans.vector import Vector
@@ -37,7 +38,7 @@ def _suppliers(s, d) -> ComplexVector:
 
 def _out(x, digits: int = 4):
     keys = ["i"] if isinstance(x, ComplexVector) else ["i", "j"]
-    return x.df.select(*keys, F.round("re", digits).alias("re"), F.round("im", digits).alias("im"))
+    return x.df.select(*keys, rounded("re", digits).alias("re"), rounded("im", digits).alias("im"))
 
 
 def _product_sql(form: str) -> str:
@@ -57,9 +58,9 @@ def _product(s, d, form: str):
 
 for _form in FORMS:
     R.add(f"l01_complex_gemv_{_form}", lambda s, d, f=_form: _product(s, d, f), _product_sql(_form))
-R.add("a04_complex_l1_norm", lambda s, d: _parts(s, d).l1_norm().select(F.round("v", 4).alias("v")), f"SELECT round(sum(abs(re) + abs(im)), 4) AS v FROM {_P}")
-R.add("a05_complex_l2_norm", lambda s, d: _parts(s, d).l2_norm().select(F.round("v", 4).alias("v")), f"SELECT round(sqrt(sum(re * re + im * im)), 4) AS v FROM {_P}")
-R.add("a06_complex_max_norm", lambda s, d: _parts(s, d).max_norm().select(F.round("v", 4).alias("v")), f"SELECT round(max(sqrt(re * re + im * im)), 4) AS v FROM {_P}")
+R.add("a04_complex_l1_norm", lambda s, d: _parts(s, d).l1_norm().select(rounded("v", 4).alias("v")), f"SELECT round(sum(abs(re) + abs(im)), 4) AS v FROM {_P}")
+R.add("a05_complex_l2_norm", lambda s, d: _parts(s, d).l2_norm().select(rounded("v", 4).alias("v")), f"SELECT round(sqrt(sum(re * re + im * im)), 4) AS v FROM {_P}")
+R.add("a06_complex_max_norm", lambda s, d: _parts(s, d).max_norm().select(rounded("v", 4).alias("v")), f"SELECT round(max(sqrt(re * re + im * im)), 4) AS v FROM {_P}")
 
 
 @R.query("a08_complex_dot_product", f"SELECT round(sum(a.re * b.re + a.im * b.im), 3) AS re, round(sum(a.re * b.im - a.im * b.re), 3) AS im FROM {_P} a JOIN (SELECT i, 3 - im AS re, re AS im FROM {_P}) b ON a.i = b.i")
@@ -67,12 +68,12 @@ def _(s, d):
     """The left side is conjugated."""
     x = _parts(s, d)
     y = ComplexVector(x.df.select("i", (3 - F.col("im")).alias("re"), F.col("re").alias("im")), x.n)
-    return x.dot(y).select(F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
+    return x.dot(y).select(rounded("re", 3).alias("re"), rounded("im", 3).alias("im"))
 
 
 R.add("e03_complex_sum", lambda s, d: _out(_parts(s, d).plus(_parts(s, d).conj(), 1j, 2.0)), f"SELECT i, round(2 * re - im, 4) AS re, round(re - 2 * im, 4) AS im FROM {_P}")
 R.add("l09_conjugate_transpose", lambda s, d: _out(_matrix(s, d).form("conj_transpose")), f"SELECT j AS i, i AS j, round(re, 4) AS re, round(-im, 4) AS im FROM {_M}")
-R.add("l10_complex_parts", lambda s, d: _matrix(s, d).real().df.withColumnRenamed("v", "re").join(_matrix(s, d).imag().df.withColumnRenamed("v", "im"), ["i", "j"]).select("i", "j", F.round("re", 4).alias("re"), F.round("im", 4).alias("im")), f"SELECT i, j, round(re, 4) AS re, round(im, 4) AS im FROM {_M}")
+R.add("l10_complex_parts", lambda s, d: _matrix(s, d).real().df.withColumnRenamed("v", "re").join(_matrix(s, d).imag().df.withColumnRenamed("v", "im"), ["i", "j"]).select("i", "j", rounded("re", 4).alias("re"), rounded("im", 4).alias("im")), f"SELECT i, j, round(re, 4) AS re, round(im, 4) AS im FROM {_M}")
 
 
 @R.query("l13_hermitian_product", f"SELECT a.j AS i, b.j, round(sum(a.re * b.re + a.im * b.im), 6) AS re, round(sum(a.re * b.im - a.im * b.re), 6) AS im FROM {_M} a JOIN {_M} b ON a.i = b.i GROUP BY a.j, b.j")
@@ -80,7 +81,7 @@ def _(s, d):
     """conj(A)^T A."""
     m = _matrix(s, d)
     rows = m.matmul(m, "conj_transpose").df
-    return rows.select("i", "j", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return rows.select("i", "j", rounded("re", 6).alias("re"), rounded("im", 6).alias("im"))
 
 
 @R.query("io01_complex_mtx", f"SELECT i, j, round(re, 4) AS re, round(im, 4) AS im FROM {_M}")

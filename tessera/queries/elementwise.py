@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import complex as z
-from tessera.functions.scalar import BINARY, UNARY
+from tessera.functions.scalar import BINARY, UNARY, rounded
 from tessera.operators import generate
 from tessera.plans.matrix import Matrix
 from tessera.plans.vector import Vector
@@ -58,12 +58,12 @@ def _complex(s, d):
 @R.query("e09_real_and_imaginary", "SELECT t.i, round(t.v * t.v - yd.v * yd.v, 4) AS re, round(2 * t.v * yd.v, 4) AS im FROM t JOIN yd ON t.i = yd.i")
 def _(s, d):
     sq = z.mult(F.col("z"), F.col("z"))
-    return _complex(s, d).select("i", F.round(sq["re"], 4).alias("re"), F.round(sq["im"], 4).alias("im"))
+    return _complex(s, d).select("i", rounded(sq["re"], 4).alias("re"), rounded(sq["im"], 4).alias("im"))
 
 
 @R.query("e10_complex_of_two", "SELECT t.i, round(sqrt(t.v * t.v + yd.v * yd.v), 4) AS r, round(atan2(yd.v, t.v), 4) AS phi FROM t JOIN yd ON t.i = yd.i")
 def _(s, d):
-    return _complex(s, d).select("i", F.round(z.absolute(F.col("z")), 4).alias("r"), F.round(z.arg(F.col("z")), 4).alias("phi"))
+    return _complex(s, d).select("i", rounded(z.absolute(F.col("z")), 4).alias("r"), rounded(z.arg(F.col("z")), 4).alias("phi"))
 
 
 R.add("e11_axpy", lambda s, d: vector_out(T(s, d).x.plus(T(s, d).x, 1.0, 0.5)), "SELECT i, round(v + 0.5 * v, 4) AS v FROM x")
@@ -82,7 +82,7 @@ R.add("e14_assign_copy", lambda s, d: vector_out(T(s, d).x.binary("copy", T(s, d
 @R.query("x06_complex_arithmetic", "SELECT t.i, round(t.v / (t.v * t.v + yd.v * yd.v), 4) AS re, round(-yd.v / (t.v * t.v + yd.v * yd.v) + 0, 4) + 0 AS im FROM t JOIN yd ON t.i = yd.i WHERE t.v * t.v + yd.v * yd.v <> 0")
 def _(s, d):
     q = z.divide(z.make(F.lit(1.0), F.lit(0.0)), F.col("z"))
-    return _complex(s, d).filter(z.norm(F.col("z")) != 0).select("i", F.round(q["re"], 4).alias("re"), (F.round(q["im"] + 0.0, 4) + 0.0).alias("im"))
+    return _complex(s, d).filter(z.norm(F.col("z")) != 0).select("i", rounded(q["re"], 4).alias("re"), (rounded(q["im"] + 0.0, 4) + 0.0).alias("im"))
 
 
 # -- generators
@@ -130,7 +130,7 @@ R.add("x07_random_seeded", lambda s, d: generate.random_vector(s, _n(s, d), 6, 1
 _COMPARE_SQL = {"lt": "<", "le": "<=", "ge": ">=", "gt": ">", "eq": "=", "ne": "<>"}
 for _op, _sign in _COMPARE_SQL.items():
     R.add(f"p02_all_{_op}_scalar", lambda s, d, op=_op: T(s, d).x.all_scalar(op, 250000.0), f"SELECT bool_and(v {_sign} 250000) AS ok FROM x")
-R.add("p01_compare", lambda s, d: T(s, d).x.df.filter(F.col("v") > 400000).select("i", F.round("v", 4).alias("v")), "SELECT i, round(v, 4) AS v FROM x WHERE v > 400000")
+R.add("p01_compare", lambda s, d: T(s, d).x.df.filter(F.col("v") > 400000).select("i", rounded("v", 4).alias("v")), "SELECT i, round(v, 4) AS v FROM x WHERE v > 400000")
 R.add("p03_all_vector", lambda s, d: T(s, d).x.all_vector("gt", T(s, d).y), "SELECT bool_and(x.v > yd.v) AS ok FROM x JOIN yd ON x.i = yd.i")
 R.add("p03_all_sparse_vectors", lambda s, d: T(s, d).z.all_vector("le", T(s, d).y), "SELECT bool_and(coalesce(z.v, 0) <= yd.v) AS ok FROM yd LEFT JOIN z ON z.i = yd.i")
 R.add("p04_compress", lambda s, d: vector_out(T(s, d).y.to_dense().to_sparse()), "SELECT i, round(v, 4) AS v FROM yd WHERE abs(v) > 1e-9")

@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import rounded
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import shared_dir, stored
@@ -93,7 +94,7 @@ R.add("io12_partitioned", lambda s, d: _partitioned(s, d), "SELECT CAST(i % 4 AS
 def _partitioned(s, d):
     path = f"{shared_dir(s)}/tessera/parts-{uuid.uuid4().hex}"
     T(s, d).x.df.withColumn("part", (F.col("i") % 4).cast("int")).write.partitionBy("part").parquet(path)
-    return s.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v"))
+    return s.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), rounded(F.sum("v"), 2).alias("v"))
 
 
 @R.query("io13_distribution_file", "SELECT i, CAST((i // 5) % 3 AS INTEGER) AS owner FROM x")
@@ -172,7 +173,7 @@ def _(s, d):
     stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
     folded = run_once(folded_stream(stream.select(F.col("user_id").alias("i"), F.col("value").alias("v"))), f"{place}/rows", f"{place}/state")
-    return folded.select("i", F.round("v", 4).alias("v"))
+    return folded.select("i", rounded("v", 4).alias("v"))
 
 
 @R.query("st02_windowed_assembly", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, user_id AS i, round(max(value), 4) AS v FROM events GROUP BY 1, 2")
@@ -182,7 +183,7 @@ def _(s, d):
     stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     place = f"{shared_dir(s)}/tessera/fold-{uuid.uuid4().hex}"
     timed = windowed_stream(stream.select(F.col("ts"), F.col("user_id").alias("i"), F.col("value").alias("v")), "ts", "1 hour", "30 days", op="max")
-    return run_once(timed, f"{place}/rows", f"{place}/state").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", F.round("v", 4).alias("v"))
+    return run_once(timed, f"{place}/rows", f"{place}/state").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", rounded("v", 4).alias("v"))
 
 
 #: Of the events those of each tenth user in the first quarter of the time come last of all, long after their windows are final.
@@ -203,7 +204,7 @@ def _(s, d):
     stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     place = _place(s, "windows")
     found, _ = run_append(windowed_stream(stream, "ts", "1 hour", "2 hours"), f"{place}/rows", f"{place}/state")
-    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", F.round("v", 4).alias("v"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "i", rounded("v", 4).alias("v"))
 
 
 @R.query("st04_copy_assembly", "SELECT user_id AS i, round(arg_max(value, event_id), 4) AS v FROM events GROUP BY 1")
@@ -213,4 +214,4 @@ def _(s, d):
     stream = s.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     place = _place(s, "last")
     last = run_once(last_stream(stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("i"), F.col("value").alias("v")), "seq"), f"{place}/rows", f"{place}/state")
-    return last.select("i", F.round("v", 4).alias("v"))
+    return last.select("i", rounded("v", 4).alias("v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import rounded
 from tessera.plans.grid import Grid, Stencil, apply_stencil
 from tessera.plans.vector import Vector
 from tessera.queries.inputs import Registry, Tables, matrix_out, vector_out
@@ -82,10 +83,10 @@ def _(s, d):
     from tessera.plans.partition import by_lookup
 
     owners = T(s, d).table("customer").select(F.col("c_custkey").alias("i"), (F.col("c_nationkey") % 4).alias("owner"))
-    return by_lookup(T(s, d).b, owners).groupBy("owner").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("v"))
+    return by_lookup(T(s, d).b, owners).groupBy("owner").agg(F.count("*").alias("n"), rounded(F.sum("v"), 4).alias("v"))
 
 
 @R.query("j20_exchange", "SELECT o_custkey % 7 AS target, count(*) AS n, round(sum(o_totalprice), 2) AS v, max(o_orderkey) AS last FROM orders GROUP BY 1")
 def _(s, d):
     rows = T(s, d).table("orders").select((F.col("o_custkey") % 7).alias("target"), "o_orderkey", "o_totalprice").repartition(7, "target")
-    return rows.groupBy("target").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("v"), F.max("o_orderkey").alias("last"))
+    return rows.groupBy("target").agg(F.count("*").alias("n"), rounded(F.sum("o_totalprice"), 2).alias("v"), F.max("o_orderkey").alias("last"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import rounded
 from tessera.operators import applications as app
 from tessera.operators import solvers
 from tessera.operators.solvers import Operator, by_solver, diagonal, divergence, iterations, residual_below, solve, stagnation, trivial
@@ -151,7 +152,7 @@ def _(s, d):
     """The graph of parts with weights divided by the roots of degrees: its greatest eigenvalue is 1, with the vector of these roots."""
     near = T(s, d).near
     value, v = app.power_iteration(near, 60, 1e-12)
-    return v.df.select("i", F.round("v", 4).alias("v"), F.round(F.lit(value), 4).alias("value"))
+    return v.df.select("i", rounded("v", 4).alias("v"), rounded(F.lit(value), 4).alias("value"))
 
 
 R.add("v18_power_steps", lambda s, d: vector_out(T(s, d).c.times(T(s, d).c.times(T(s, d).known)), 3), "SELECT c.i, round(sum(c.v * q.v), 3) AS v FROM c JOIN (SELECT k.i AS i, k.v AS v FROM (SELECT c.i, sum(c.v * known.v) AS v FROM c JOIN known ON c.j = known.i GROUP BY c.i) k) q ON c.j = q.i GROUP BY c.i")
@@ -164,7 +165,7 @@ def _(s, d):
     a = Matrix(cut(a.df), a.n, a.n)
     value, v = app.inverse_iteration(a, shift=1.5, steps=6, eps=1e-4, stop=residual_below(1e-4, relative=True) | iterations(30))
     off = a.times(v).plus(v, 1.0, -value).l2_norm().first()[0]
-    return v.df.agg(F.count("*").alias("n"), F.round(F.lit(value), 2).alias("value"), F.lit(off < 0.01).alias("close"))
+    return v.df.agg(F.count("*").alias("n"), rounded(F.lit(value), 2).alias("value"), F.lit(off < 0.01).alias("close"))
 
 
 @R.query("v18_fiedler", "SELECT round(2 - 2 * cos(pi() / 8), 3) AS value FROM region WHERE r_regionkey = 0")
@@ -172,7 +173,7 @@ def _(s, d):
     """A ring of 16: the second eigenvalue of its Laplacian is 2 - 2 cos(2 pi / 16)."""
     ring = s.range(16).select(F.col("id").alias("i"), ((F.col("id") + 1) % 16).alias("j"), F.lit(1.0).alias("v"))
     value, _ = app.fiedler(Matrix(ring, 16, 16), steps=6, eps=1e-3)
-    return T(s, d).table("region").filter("r_regionkey = 0").select(F.round(F.lit(value), 3).alias("value"))
+    return T(s, d).table("region").filter("r_regionkey = 0").select(rounded(F.lit(value), 3).alias("value"))
 
 
 @R.query("v19_label_propagation", "SELECT p_partkey AS i, k::BIGINT AS k, round(s, 2) AS v FROM (SELECT a.p_partkey, b.k, CASE WHEN a.p_partkey % 7 < 2 THEN CASE WHEN a.p_size % 2 = b.k THEN 1.0 ELSE 0.0 END ELSE b.n / b.t END AS s FROM part a JOIN (SELECT h, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY h) AS t FROM (SELECT p_partkey // 7 AS h, p_size % 2 AS k FROM part WHERE p_partkey % 7 < 2) GROUP BY h, k) b ON a.p_partkey // 7 = b.h) WHERE s > 0")
@@ -182,7 +183,7 @@ def _(s, d):
     edges = part.select("i", "h").join(part.select(F.col("i").alias("j"), "h"), "h").filter("i != j").select("i", "j", F.lit(1.0).alias("v"))
     n = T(s, d).size("part", "p_partkey")
     found = app.label_propagation(Matrix(edges, n, n), part.filter("i % 7 < 2").select("i", "k"), eps=1e-4)
-    return found.filter("v > 0").select("i", "k", F.round("v", 2).alias("v"))
+    return found.filter("v > 0").select("i", "k", rounded("v", 2).alias("v"))
 
 
 _BODIES = "(SELECT s_suppkey AS i, 1.0 + s_suppkey % 3 AS m, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 53 % 97)::DOUBLE AS y FROM supplier)"
@@ -194,7 +195,7 @@ def _(s, d):
     key = F.col("s_suppkey").cast("long")
     at = lambda a, b: (key * a % b).cast("double")
     bodies = T(s, d).table("supplier").select(key.alias("i"), (1.0 + key % 3).alias("m"), at(37, 101).alias("x"), at(53, 97).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-    return app.n_body_step(bodies, 0.5, levels=1).select("i", F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
+    return app.n_body_step(bodies, 0.5, levels=1).select("i", rounded("vx", 6).alias("vx"), rounded("vy", 6).alias("vy"))
 
 
 @R.query("v21_solve_by_name", "SELECT m AS method, i, v FROM answer, (VALUES ('bicgstab'), ('minres'), ('tfqmr')) r(m)")
@@ -209,7 +210,7 @@ def _(s, d):
 @R.query("v22_residual_history", f"WITH RECURSIVE h AS ({_NORMS}) SELECT k, round(norm, 4) AS norm FROM h WHERE k <= 5")
 def _(s, d):
     norms = _history(s, d, iterations(5))
-    return s.createDataFrame([(k, float(x)) for k, x in enumerate(norms)], "k long, norm double").select("k", F.round("norm", 4).alias("norm"))
+    return s.createDataFrame([(k, float(x)) for k, x in enumerate(norms)], "k long, norm double").select("k", rounded("norm", 4).alias("norm"))
 
 
 @R.query("f02_matrix_free_solver", _ANSWER)
