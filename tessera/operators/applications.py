@@ -173,33 +173,46 @@ def mandelbrot(spark: SparkSession, width: int, height: int, steps: int = 50, ar
     return Vector(rows.select("i", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step)["k"].cast("double").alias("v")), grid.size), grid
 
 
+#: Places of a cell whose pairs with those around it are one group of a task.
+PAIRED = 256
+
+
 def n_body_step(bodies: DataFrame, dt: float, softening: float = 1e-3, levels: int = 5) -> DataFrame:
     """bodies (i, m, x, y, vx, vy) after a step under gravity with constant 1.
 
     The square around all bodies is halved levels times. Bodies in neighbouring cells of the finest
     level attract one another singly. At each level the cells that are no neighbours, but whose
     parents are, act by their mass and centre: at most 27 rows a body and level, joined by cell.
+    Bodies at one place are pulled alike and act as one, so pairs are those of different places; the
+    places of a cell are dealt over tasks by PAIRED.
     """
     low_x, low_y, high_x, high_y = bodies.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     side = max(high_x - low_x, high_y - low_y, 1e-9) * (1 + 1e-9)
-    at = cut(bodies)
+    bodies = cut(bodies)
+    at = cut(bodies.groupBy("x", "y").agg(F.sum("m").alias("m")))
 
     def cell(v: str, low: float, level: int):
         return F.floor((c(v) - low) / (side / 2**level)).cast("long")
 
     def pull(rows: DataFrame) -> DataFrame:
         dx, dy = c("xk") - c("x"), c("yk") - c("y")
-        r = F.pow(dx * dx + dy * dy + softening, 1.5)
-        return rows.groupBy("i").agg(F.sum(c("mk") * dx / r).alias("ax"), F.sum(c("mk") * dy / r).alias("ay"))
+        rr = dx * dx + dy * dy + softening
+        r = rr * F.sqrt(rr)
+        return rows.groupBy("x", "y").agg(F.sum(c("mk") * dx / r).alias("ax"), F.sum(c("mk") * dy / r).alias("ay"))
 
     def around(level: int, reach: int) -> DataFrame:
         """Each body with the cells at most reach away."""
         moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
-        own = at.select("i", "x", "y", cell("x", low_x, level).alias("ox"), cell("y", low_y, level).alias("oy"), moves.alias("d"))
-        return own.select("i", "x", "y", "ox", "oy", (c("ox") + c("d.a")).alias("cx"), (c("oy") + c("d.b")).alias("cy"))
-
-    singles = at.select(c("i").alias("k"), c("m").alias("mk"), c("x").alias("xk"), c("y").alias("yk"), cell("x", low_x, levels).alias("cx"), cell("y", low_y, levels).alias("cy"))
-    forces = pull(around(levels, 1).join(singles, ["cx", "cy"]).filter("i != k"))
+        own = at.select("x", "y", cell("x", low_x, level).alias("ox"), cell("y", low_y, level).alias("oy"), moves.alias("d"))
+        return own.select("x", "y", "ox", "oy", (c("ox") + c("d.a")).alias("cx"), (c("oy") + c("d.b")).alias("cy"))
+
+    singles = at.select(c("m").alias("mk"), c("x").alias("xk"), c("y").alias("yk"), cell("x", low_x, levels).alias("cx"), cell("y", low_y, levels).alias("cy"))
+    most = singles.groupBy("cx", "cy").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = max(1, -(-most // PAIRED))
+    tasks = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = around(levels, 1).repartition(tasks, "x", "y").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
+    singles = singles.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    forces = pull(near.join(singles, ["cx", "cy", "part"]).filter("x != xk or y != yk"))
     for level in range(1, levels + 1):
         cells = at.groupBy(cell("x", low_x, level).alias("cx"), cell("y", low_y, level).alias("cy"))
         cells = cells.agg(F.sum("m").alias("mk"), (F.sum(c("m") * c("x")) / F.sum("m")).alias("xk"), (F.sum(c("m") * c("y")) / F.sum("m")).alias("yk"))
@@ -207,6 +220,6 @@ def n_body_step(bodies: DataFrame, dt: float, softening: float = 1e-3, levels: i
         apart = (F.abs(c("cx") - c("ox")) > 1) | (F.abs(c("cy") - c("oy")) > 1)
         akin = (F.abs(half("cx") - half("ox")) <= 1) & (F.abs(half("cy") - half("oy")) <= 1)
         forces = forces.unionByName(pull(around(level, 3).filter(apart & akin).join(cells, ["cx", "cy"])))
-    total = forces.groupBy("i").agg(F.sum("ax").alias("ax"), F.sum("ay").alias("ay"))
-    moved = at.join(total, "i", "left").withColumns({"vx": c("vx") + dt * F.coalesce("ax", F.lit(0.0)), "vy": c("vy") + dt * F.coalesce("ay", F.lit(0.0))})
+    total = forces.groupBy("x", "y").agg(F.sum("ax").alias("ax"), F.sum("ay").alias("ay"))
+    moved = bodies.join(total, ["x", "y"], "left").withColumns({"vx": c("vx") + dt * F.coalesce("ax", F.lit(0.0)), "vy": c("vy") + dt * F.coalesce("ay", F.lit(0.0))})
     return moved.select("i", "m", (c("x") + dt * c("vx")).alias("x"), (c("y") + dt * c("vy")).alias("y"), "vx", "vy")
