@@ -3,12 +3,16 @@
 A row is x_i = a_i + sum of w_ij x_j over rows before it. A round settles rows that need no other
 (any level of them at once), folds rows that need one other into affine maps of the row where their
 chain ends, in as many steps as the logarithm of its length, and puts both into the other rows,
-where links that lead to the same row become one. Rounds go on while they leave few rows; the
-others are numbered anew and solved by blocks.
+where links that lead to the same row become one. Rounds go on while they leave few rows. The
+others, if the weights of each row add up to less than 1, are found by sweeps over all rows, which
+keep the matrix sparse; else they are numbered anew and solved by blocks.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from tessera.plans.vector import Vector
 c = F.col
 #: A round that leaves a larger part of the rows is the last.
 WORTH = 0.7
+#: Rows whose weights add up to no more than this are left to sweeps.
+CONTRACTION = 0.9
 
 
 def folded(single: DataFrame, many: int = 0) -> DataFrame:
@@ -70,6 +76,24 @@ def _by_blocks(values: DataFrame, links: DataFrame, lower: bool, size: int) -> D
     return found.df.select(c("i").alias("rank"), c("v").alias("a")).join(order.select("i", "rank"), "rank").select("i", "a")
 
 
+def _by_sweeps(values: DataFrame, links: DataFrame, q: float, many: int) -> DataFrame:
+    """The values (i, a) of rows whose weights add up to at most q < 1: a sweep makes the greatest error q times as large, and as many sweeps as there are rows leave none.
+
+    Sweeps end where what is left to change is below the precision of the greatest value.
+    """
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = links.repartition(tasks, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    state = values.select("i", "a", c("a").alias("x"))
+    for _ in range(min(many, math.ceil(math.log(1e-18) / math.log(q)) + 1)):
+        sums = dealt.join(shuffled(state.select(c("i").alias("j"), "x"), many), "j").groupBy("i").agg(F.sum(c("w") * c("x")).alias("s"))
+        state = cut(shuffled(state, many).join(sums, "i", "left").select("i", "a", (c("a") + F.coalesce("s", F.lit(0.0))).alias("x"), c("x").alias("old")))
+        change, size = state.agg(F.max(F.abs(c("x") - c("old"))), F.max(F.abs("x"))).first()
+        if change * q <= (1 - q) * 1e-16 * size:
+            break
+    dealt.unpersist()
+    return state.select("i", c("x").alias("a"))
+
+
 def triangular(matrix: Matrix, b: Vector, lower: bool = True, size: int = SIZE, worth: float = WORTH) -> tuple[Vector, int]:
     """(x, rounds) of a triangular system; entries on the other side of the diagonal are not read, and the diagonal must be there."""
     side = cut(matrix.df.filter("i >= j" if lower else "i <= j"))
@@ -86,7 +110,8 @@ def triangular(matrix: Matrix, b: Vector, lower: bool = True, size: int = SIZE,
         rounds, before = rounds + 1, left
         left = values.count()
         if left > worth * before:
-            parts.append(_by_blocks(values, links, lower, size))
+            q = links.groupBy("i").agg(F.sum(F.abs("w")).alias("q")).agg(F.max("q")).first()[0]
+            parts.append(_by_sweeps(values, links, q, left) if 0 < q <= CONTRACTION else _by_blocks(values, links, lower, size))
             break
     whole = parts[0]
     for p in parts[1:]:
