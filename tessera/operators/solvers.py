@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.factor import factorize, lu
 from tessera.operators.triangular import triangular
+from tessera.plans import storage
 from tessera.plans.matrix import Matrix
 from tessera.plans.storage import cut, shuffled
 from tessera.plans.tiles import SIZE, Tiles
@@ -444,36 +445,87 @@ def row_colours(matrix: Matrix) -> tuple[DataFrame, int]:
     return cut(colours), len(parts)
 
 
+#: Blocks of a sweep that are one plan: each is two products, and a written table follows the last.
+CHAINED = 8
+#: Entries of a partition below which it isn't worth another one.
+DEALT_ROWS = 1 << 18
+
+
 def kaczmarz(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: Criterion = DEFAULT_STOP, omega: float = 1.0, blocks: int | None = 1) -> Solution:
     """Projections onto rows, block of rows after block; rows of one block (equal remainders by blocks) are projected onto at once.
 
     With one block a sweep is Cimmino's form, with as many as there are rows it is the row-by-row
     order. Without blocks (None) they are the colours of row_colours(): rows of one colour share no
     column, so that projecting onto them at once is exactly what doing so one by one is. A block is
-    one product with the matrix and one with its transpose. Where a sweep makes the residual larger,
-    omega is halved.
+    one product with its rows and one with their transpose, and reads these alone. Up to CHAINED
+    blocks are one plan without a branch: x goes along as rows of the identity below the block's
+    (numbers below 0), so that a product reads what the one before it gave once. Vectors of up to
+    BROADCAST_ROWS values are sent to the entries, which are dealt by what they add to, so that
+    products aren't shuffled; longer ones meet entries that are dealt by what they join. Where a
+    sweep makes the residual larger, omega is halved.
     """
     if isinstance(matrix, Operator):
         raise ValueError("projections need the rows of a matrix")
-    s = State(matrix, b, x0)
-    rows = s.matrix.df.groupBy("i").agg(F.sum(c("v") * c("v")).alias("aa"))
-    s.df = s.df.join(rows, "i", "left")
+    n = matrix.m
+    entries = Matrix(cut(matrix.df.select("i", "j", "v")), matrix.n, matrix.m)
+    rows = entries.df.groupBy("i").agg(F.sum(c("v") * c("v")).alias("aa")).filter("aa > 0").join(b.to_dense().df.select("i", c("v").alias("b")), "i")
     if blocks is None:
-        colours, blocks = row_colours(s.matrix)
-        s.df = s.df.join(colours.withColumnRenamed("colour", "block"), "i", "left")
+        colours, blocks = row_colours(entries)
+        rows = rows.join(colours.withColumnRenamed("colour", "block"), "i")
     else:
-        s.df = s.df.withColumn("block", F.pmod(c("i"), F.lit(blocks)).cast("int"))
-    s.residual()
-    norms = [s.norm(c("r"))]
+        rows = rows.withColumn("block", F.pmod(c("i"), F.lit(blocks)).cast("int"))
+    held = cut(entries.df.join(shuffled(cut(rows), matrix.n), "i"))
+    right = cut(b.to_dense().df.select(c("i").alias("to"), (-c("v")).alias("y")))
+    chained, sent = blocks <= CHAINED, n + matrix.n <= storage.BROADCAST_ROWS
+    most = int(matrix.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, 1 + (held.count() + n) // DEALT_ROWS)
+    same = matrix.df.sparkSession.range(n).select(c("id").alias("at"), (-1 - c("id")).alias("to"), F.lit(1.0).alias("e"))
+    forth, back = {}, {}
+
+    def block(k: int) -> tuple[DataFrame, DataFrame]:
+        """The products' entries: (at, to, e) and (at, to, base, e), of which the second gives base + e * y where at is a row, else y."""
+        mine = held.filter(c("block") == k)
+        there = mine.select(c("j").alias("at"), c("i").alias("to"), c("v").alias("e"))
+        again = mine.select(c("i").alias("at"), c("j").alias("to"), (c("v") * c("b") / c("aa")).alias("base"), (-c("v") / c("aa")).alias("e"))
+        if chained:
+            there = there.unionByName(same)
+            again = again.unionByName(same.select(c("to").alias("at"), c("at").alias("to"), F.lit(0.0).alias("base"), "e"))
+        return there, again
+
+    def dealt(entries: DataFrame) -> DataFrame:
+        by = "to" if sent else "at"
+        return entries.repartition(parts, by).sortWithinPartitions(by).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def product(of: DataFrame, x: DataFrame, value: Column) -> DataFrame:
+        return of.join(x.select(c("to").alias("at"), "y").hint("broadcast" if sent else "merge"), "at").select("to", value.alias("y"))
+
+    def projected(x: DataFrame, k: int) -> DataFrame:
+        there, again = (forth[k], back[k]) if chained else block(k)
+        sums = product(there, x, c("e") * c("y")).groupBy("to").agg(F.sum("y").alias("y"))
+        moved = product(again, sums, F.when(c("at") < 0, c("y")).otherwise(F.lit(omega) * (c("base") + c("e") * c("y"))))
+        return (moved if chained else moved.unionByName(x)).groupBy("to").agg(F.sum("y").alias("y"))
+
+    def residual(x: DataFrame) -> float:
+        rest = product(all_, x, c("e") * c("y")).unionByName(right).groupBy("to").agg(F.sum("y").alias("y"))
+        return math.sqrt(rest.agg(F.coalesce(F.sum(c("y") * c("y")), F.lit(0.0)).alias("s")).first().s)
+
+    if chained:
+        for k in range(blocks):
+            forth[k], back[k] = map(dealt, block(k))
+    all_ = dealt(entries.df.select(c("j").alias("at"), c("i").alias("to"), c("v").alias("e")))
+    x = cut((x0 or Vector.fill(b.df.sparkSession, n, 0.0)).to_dense().df.select(c("i").alias("to"), c("v").alias("y")))
+    norms = [residual(x)]
     while not stop(norms):
         for k in range(blocks):
-            mine = (c("aa") > 0) & (c("block") == k)
-            s.times("g", F.when(mine, c("r") / c("aa")).otherwise(F.lit(0.0)), transposed=True)
-            s.let(x=c("x") + F.lit(omega) * c("g")).residual()
-        norms.append(s.norm(c("r")))
+            x = projected(x, k)
+            if not chained or k == blocks - 1:
+                x = cut(x)
+        norms.append(residual(x))
         if norms[-1] > norms[-2]:
             omega /= 2
-    return s.solution(norms)
+    for kept in (all_, *forth.values(), *back.values()):
+        kept.unpersist()
+    return Solution(Vector(x.select(c("to").alias("i"), c("y").alias("v")), n), norms)
 
 
 def inverse(matrix: Matrix, size: int = SIZE) -> Matrix:
