@@ -1,14 +1,18 @@
-"""Binary files: each is one row of Spark's binaryFile source and is decoded where it lies; many files are many rows. Written ones are encoded by tasks, range by range."""
+"""Binary files. Matrices in one file that tasks can open are decoded by ranges of rows; other files are each one row of
+Spark's binaryFile source and are decoded where they lie (many files are many rows). Written ones are encoded by tasks, range by range."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,10 @@ from tessera.plans.matrix import Matrix
 from tessera.plans.storage import stored
 from tessera.plans.vector import Vector
 from tessera.sources import text
+from tessera.sources.tables import _place
+
+#: Rows (or columns) of a compressed matrix that a task decodes at most, and entries that it has in memory at once.
+RANGE_ROWS, RANGE_ENTRIES = 1 << 14, 1 << 16
 
 
 def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
@@ -36,6 +44,84 @@ def _head(spark: SparkSession, path: str, n: int) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n)).first()[0])
 
 
+def _openable(path: str) -> bool:
+    """Whether path is one file of a file system that pyarrow knows, so that tasks can read ranges of it."""
+    try:
+        files, base = _place(path)
+        return files.get_file_info(base).type == arrow_fs.FileType.File
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _bytes(path: str, at: int, size: int) -> bytes:
+    files, base = _place(path)
+    with files.open_input_file(base) as f:
+        return f.read_at(size, at)
+
+
+@dataclass(frozen=True)
+class Compressed:
+    """Where a file has a matrix in compressed form: n rows, by their sizes (counted) or by n + 1 offsets, then columns and values, each (position, numpy type)."""
+
+    n: int
+    index: tuple[int, str]
+    columns: tuple[int, str]
+    values: tuple[tuple[int, str], ...]
+    counted: bool = False
+    base: int = 0
+
+    def read(self, spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+        """Rows (row, column, values...) by these names; a task has a range of rows at a time, and of its entries a piece."""
+        each = min(RANGE_ROWS, max(1024, -(-self.n // 96)))
+        number = -(-self.n // each)
+        ranges = spark.range(0, number, 1, max(1, min(number, 1000))).select(F.col("id").alias("r"))
+        place = partial(_at, path)
+        ends = lambda r: (r * each, min(self.n, (r + 1) * each))
+        first: dict[int, int] = {}
+        if self.counted:
+
+            def count(batches):
+                for b in batches:
+                    with place() as f:
+                        sums = [int(_numbers(f, self.index, *ends(r)).sum(dtype=np.int64)) for r in b.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.int64())], ["r", "n"])
+
+            total = 0
+            for r in ranges.mapInArrow(count, "r long, n long").orderBy("r").collect():  # a number for each range
+                first[r.r], total = total, total + r.n
+        schema = pa.schema([(names[0], pa.int64()), (names[1], pa.int64()), *((v, pa.float64()) for v in names[2:])])
+
+        def decode(batches):
+            for b in batches:
+                with place() as f:
+                    for r in b.column(0).to_pylist():
+                        low, high = ends(r)
+                        if self.counted:
+                            offsets = np.concatenate(([0], np.cumsum(_numbers(f, self.index, low, high), dtype=np.int64))) + first[r]
+                        else:
+                            offsets = _numbers(f, self.index, low, high + 1).astype(np.int64) - self.base
+                        for k in range(int(offsets[0]), int(offsets[-1]), RANGE_ENTRIES):
+                            end = min(k + RANGE_ENTRIES, int(offsets[-1]))
+                            rows = low + np.searchsorted(offsets, np.arange(k, end), "right") - 1
+                            found = [rows, _numbers(f, self.columns, k, end).astype(np.int64) - self.base, *(_numbers(f, v, k, end).astype(float) for v in self.values)]
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+
+        types = ", ".join(f"{x} {'long' if k < 2 else 'double'}" for k, x in enumerate(names))
+        return ranges.mapInArrow(decode, types)
+
+
+def _at(path: str):
+    files, base = _place(path)
+    return files.open_input_file(base)
+
+
+def _numbers(f, section: tuple[int, str], first: int, last: int) -> np.ndarray:
+    """The numbers first to last - 1 of a section of an open file."""
+    at, kind = section
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(f.read_at((last - first) * size, at + first * size), kind)
+
+
 def _triples(ia: np.ndarray, ja: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"i": np.repeat(np.arange(len(ia) - 1), np.diff(ia)), "j": ja.astype(np.int64), "v": v.astype(float)})
 
@@ -90,12 +176,16 @@ def decode_petsc_matrix(d: bytes) -> pd.DataFrame:
 
 def read_petsc(spark: SparkSession, path: str) -> "Matrix | Vector":
     """Big-endian: class id, sizes, row lengths, columns, values."""
-    kind, n, m = struct.unpack(">3i", (_head(spark, path, 12) + bytes(12))[:12])
+    ranges = _openable(path)
+    head = _bytes(path, 0, 16) if ranges else _head(spark, path, 16)
+    kind, n, m, nnz = struct.unpack(">4i", (head + bytes(16))[:16])
     if kind == PETSC_VECTOR:
         return Vector(_decoded(spark, path, lambda d: pd.DataFrame({"i": np.arange(n), "v": np.frombuffer(d, ">f8", n, 8).astype(float)}), PAIRS), n)
     if kind != PETSC_MATRIX:
         raise ValueError(f"{path} has the unknown class id {kind}")
-
+    if ranges:
+        at = 16 + 4 * n
+        return Matrix(Compressed(n, (16, ">i4"), (at, ">i4"), ((at + 4 * nnz, ">f8"),), counted=True).read(spark, path, ("i", "j", "v")), n, m)
     return Matrix(_decoded(spark, path, decode_petsc_matrix, TRIPLES), n, m)
 
 
@@ -129,6 +219,11 @@ def read_samg(spark: SparkSession, header_path: str, data_path: str) -> Matrix:
         joined = rows.join(at(n + 1, "j"), "k").join(at(n + 1 + nnz, "v"), "k")
         return Matrix(joined.select("i", (F.col("j") - 1).cast("long").alias("j"), "v"), n, n)
     end = ">" if form == "x" else "<"
+    if nnz and _openable(data_path):
+        files, base = _place(data_path)
+        at = 4 * (n + 1)
+        size = (files.get_file_info(base).size - at - 4 * nnz) // nnz
+        return Matrix(Compressed(n, (0, f"{end}i4"), (at, f"{end}i4"), ((at + 4 * nnz, f"{end}f{size}"),), base=1).read(spark, data_path, ("i", "j", "v")), n, n)
 
     def decode(d: bytes) -> pd.DataFrame:
         ia = np.frombuffer(d, f"{end}i4", n + 1) - 1
@@ -224,7 +319,44 @@ def decode_mat(d: bytes) -> tuple[int, int, bool, pd.DataFrame]:
     raise ValueError("no numeric array in the file")
 
 
+def _sparse_mat(path: str) -> tuple[int, int, bool, Compressed] | None:
+    """(rows, columns, whether complex, its columns in compressed form) if the file's first element is a sparse array that is not packed."""
+    with _at(path) as f:
+        order = "<" if f.read_at(2, 126) == b"IM" else ">"
+
+        def element(at: int) -> tuple[int, int, int, int]:
+            """(type, position and size of the content, position of the next one)"""
+            head = f.read_at(8, at)
+            word, size = struct.unpack(order + "2I", head)
+            if word >> 16:
+                return word & 0xFFFF, at + 4, word >> 16, at + 8
+            return word, at + 8, size, at + 8 + size + -size % 8
+
+        if f.size() < 136:
+            return None
+        kind, at, size, end = element(128)
+        if kind != MAT_MATRIX:
+            return None
+        parts = []
+        while at + 8 <= min(end, f.size()):
+            kind, body, size, at = element(at)
+            parts.append((kind, body, size))
+        flags = struct.unpack(order + "I", f.read_at(4, parts[0][1]))[0]
+        n, m = struct.unpack(order + "2i", f.read_at(8, parts[1][1]))
+        if flags & 0xFF != MAT_SPARSE:
+            return None
+    section = lambda p: (p[1], order + MAT_TYPES[p[0]])
+    is_complex = bool(flags & MAT_COMPLEX)
+    return n, m, is_complex, Compressed(m, section(parts[4]), section(parts[3]), tuple(section(p) for p in parts[5 : 7 if is_complex else 6]))
+
+
 def read_mat(spark: SparkSession, path: str) -> "Matrix | ComplexMatrix":
+    found = _sparse_mat(path) if _openable(path) else None
+    if found is not None:
+        n, m, is_complex, where = found
+        if is_complex:
+            return ComplexMatrix(where.read(spark, path, ("j", "i", "re", "im")).select("i", "j", "re", "im"), n, m)
+        return Matrix(where.read(spark, path, ("j", "i", "v")).select("i", "j", "v"), n, m)
     shape = _decoded(spark, path, lambda d: pd.DataFrame([decode_mat(d)[:3]], columns=["n", "m", "c"]), "n long, m long, c boolean").first()
     rows = _decoded(spark, path, lambda d: decode_mat(d)[3], "i long, j long, re double, im double")
     if shape.c:
