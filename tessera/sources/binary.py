@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.plans.complex import ComplexMatrix
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
-from tessera.plans.storage import stored
+from tessera.plans.storage import cut, stored
 from tessera.plans.vector import Vector
 from tessera.sources import text
 from tessera.sources.tables import _place
@@ -251,6 +251,7 @@ def write_samg(matrix: Matrix, path: str, form: str = "b") -> None:
         raise ValueError("this format holds square matrices")
     if form not in ("b", "f"):
         raise ValueError(f"form {form!r} isn't written")
+    matrix = Matrix(cut(matrix.df.select("i", "j", "v")), matrix.n, matrix.m)  # each section reads it
     nnz = matrix.df.count()
     write_pieces(_literal(spark, 0, f"{form} 4\n{nnz} {matrix.n} 22 1 0\n".encode()), path)
     if form == "f":
