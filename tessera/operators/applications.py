@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.solvers import Criterion, Operator, Solution, State, c, cg, iterations, residual_below
 from tessera.plans.grid import Grid
 from tessera.plans.matrix import Matrix
+from tessera.plans.sparse import Held
 from tessera.plans.storage import cut
 from tessera.plans.vector import Vector
 
@@ -58,7 +59,7 @@ def inverse_iteration(matrix: Matrix, shift: float = 0.0, steps: int = 20, eps:
     """(the eigenvalue nearest to the shift, its vector) of a symmetric matrix that is positive definite after the shift."""
     spark = matrix.df.sparkSession
     moved = matrix if not shift else matrix.plus(Matrix.identity(spark, matrix.n), 1.0, -shift)
-    moved = Matrix(cut(moved.df), matrix.n, matrix.n)
+    moved = Held.of(moved)
     x = Vector(spark.range(matrix.n).select(F.col("id").alias("i"), (1.0 + (F.col("id") % 3)).alias("v")), matrix.n)
     value = math.inf
     for _ in range(steps):
@@ -69,6 +70,7 @@ def inverse_iteration(matrix: Matrix, shift: float = 0.0, steps: int = 20, eps:
         x, last, value = y, value, 1 / got
         if abs(value - last) < eps * abs(value):
             break
+    moved.release()
     return value + shift, x.scalar("mult", 1 / x.l2_norm().first()[0])
 
 
@@ -104,7 +106,7 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
     Newton method: more steps with fewer products each.
     """
     n = matrix.m
-    a = Matrix(cut(matrix.df), matrix.n, matrix.m)
+    a = Held.of(matrix)
     bounds = cut(low.df.select("i", c("v").alias("lo")).join(high.df.select("i", c("v").alias("hi")), "i"))
     x = bounds.select("i", ((c("lo") + c("hi")) / 2).alias("x"))
     r = Vector(cut(a.times(Vector(x.select("i", c("x").alias("v")), n), 1.0, b, -1.0).df), matrix.n)
@@ -133,6 +135,7 @@ def constrained_least_squares(matrix: Matrix, b: Vector, low: Vector, high: Vect
         r = Vector(cut(r.df.join(moved, "i").select("i", (c("v") + F.lit(step) * c("m")).alias("v"))), matrix.n)
         if step >= 0.5:
             tau = max(growth * min(2 * n / gap, tau), tau)
+    a.release()
     return Solution(Vector(x.select("i", c("x").alias("v")), n), gaps)
 
 
