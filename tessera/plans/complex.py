@@ -7,7 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.matrix import Matrix, paired
+from tessera.plans import products
+from tessera.plans.matrix import HOT_INNER, Matrix, paired
 from tessera.plans.vector import Vector
 
 #: Forms of a matrix in a product: whether it is transposed, whether its values are conjugated.
@@ -115,6 +116,9 @@ class ComplexMatrix:
     def matmul(self, other: "ComplexMatrix", left: str = "normal", right: str = "normal") -> "ComplexMatrix":
         """left(A) right(B)."""
         a, b = self.form(left), other.form(right)
+        if a.m >= products.LEAST:
+            made = products.by_regions(a.df.select("i", F.col("j").alias("k"), "re", "im"), b.df.select(F.col("i").alias("k"), "j", "re", "im"), a.m, products.complex_, ["re", "im"], HOT_INNER)
+            return ComplexMatrix(made, a.n, b.m)
         rows = paired(a.df.select("i", F.col("j").alias("k"), "re", "im"), b.df.select(F.col("i").alias("k"), "j", F.col("re").alias("x"), F.col("im").alias("y")), a.m)
         re, im = F.col("re") * F.col("x") - F.col("im") * F.col("y"), F.col("re") * F.col("y") + F.col("im") * F.col("x")
         return ComplexMatrix(rows.groupBy("i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im")), a.n, b.m)
