@@ -5,7 +5,8 @@ A row is x_i = a_i + sum of w_ij x_j over rows before it. A round settles rows t
 chain ends, in as many steps as the logarithm of its length, and puts both into the other rows,
 where links that lead to the same row become one. Rounds go on while they leave few rows. The
 others, if the weights of each row add up to less than 1, are found by sweeps over all rows, which
-keep the matrix sparse; else they are numbered anew and solved by blocks.
+keep the matrix sparse; else they are numbered anew and solved by blocks. No round is made where
+most rows need several others and sweeps will do.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.operators.factor import triangular_blocks
 from tessera.plans.matrix import Matrix
 from tessera.plans.scan import ranked
-from tessera.plans.storage import cut, shuffled
+from tessera.plans.storage import BROADCAST_ROWS, cut, shuffled
 from tessera.plans.tiles import SIZE, Tiles
 from tessera.plans.vector import Vector
 
@@ -28,6 +29,8 @@ c = F.col
 WORTH = 0.7
 #: Rows whose weights add up to no more than this are left to sweeps.
 CONTRACTION = 0.9
+#: Sweeps that are one plan.
+CHAINED = 4
 
 
 def folded(single: DataFrame, many: int = 0) -> DataFrame:
@@ -79,18 +82,28 @@ def _by_blocks(values: DataFrame, links: DataFrame, lower: bool, size: int) -> D
 def _by_sweeps(values: DataFrame, links: DataFrame, q: float, many: int) -> DataFrame:
     """The values (i, a) of rows whose weights add up to at most q < 1: a sweep makes the greatest error q times as large, and as many sweeps as there are rows leave none.
 
-    Sweeps end where what is left to change is below the precision of the greatest value.
+    CHAINED sweeps are one plan. Values of up to BROADCAST_ROWS rows are sent to the links, which are dealt by row,
+    so that nothing is shuffled; more of them meet links that are dealt by what they join. Sweeps end where what
+    is left to change is below the precision of the greatest value.
     """
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = links.repartition(tasks, "j").persist(StorageLevel.MEMORY_AND_DISK)
-    state = values.select("i", "a", c("a").alias("x"))
-    for _ in range(min(many, math.ceil(math.log(1e-18) / math.log(q)) + 1)):
-        sums = dealt.join(shuffled(state.select(c("i").alias("j"), "x"), many), "j").groupBy("i").agg(F.sum(c("w") * c("x")).alias("s"))
-        state = cut(shuffled(state, many).join(sums, "i", "left").select("i", "a", (c("a") + F.coalesce("s", F.lit(0.0))).alias("x"), c("x").alias("old")))
-        change, size = state.agg(F.max(F.abs(c("x") - c("old"))), F.max(F.abs("x"))).first()
-        if change * q <= (1 - q) * 1e-16 * size:
+    sent = many <= BROADCAST_ROWS
+    by = "i" if sent else "j"
+    dealt = links.repartition(tasks, by).sortWithinPartitions(by).persist(StorageLevel.MEMORY_AND_DISK)
+    own = values.select("i", "a").repartition(tasks, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    state, shrunk = own.select("i", c("a").alias("x")), q**CHAINED
+    for _ in range(math.ceil(min(many, math.log(1e-18) / math.log(q) + 1) / CHAINED)):
+        x = state
+        for _ in range(CHAINED):
+            sums = dealt.join(x.select(c("i").alias("j"), "x").hint("broadcast" if sent else "merge"), "j").groupBy("i").agg(F.sum(c("w") * c("x")).alias("s"))
+            x = own.join(sums.hint("merge"), "i", "left").select("i", (c("a") + F.coalesce("s", F.lit(0.0))).alias("x"))
+        seen = Observation()
+        before = state.select("i", c("x").alias("old")).hint("broadcast" if sent else "merge")
+        state = cut(x.join(before, "i").observe(seen, F.max(F.abs(c("x") - c("old"))).alias("change"), F.max(F.abs("x")).alias("size")).select("i", "x"))
+        if seen.get["change"] * shrunk <= (1 - shrunk) * 1e-16 * seen.get["size"]:
             break
     dealt.unpersist()
+    own.unpersist()
     return state.select("i", c("x").alias("a"))
 
 
@@ -104,6 +117,9 @@ def triangular(matrix: Matrix, b: Vector, lower: bool = True, size: int = SIZE,
         raise ValueError("the diagonal has gaps")
     links = cut(side.filter("i != j").join(shuffled(d, matrix.n), "i").select("i", "j", (-c("v") / c("d")).alias("w")))
     parts, rounds = [], 0
+    held = links.groupBy("i").agg(F.count("*").alias("n"), F.sum(F.abs("w")).alias("q")).agg(F.max("q").alias("q"), F.count_if(c("n") > 1).alias("several")).first()
+    if held.q and held.q <= CONTRACTION and held.several > worth * left:  # a round would leave too many
+        return Vector(cut(_by_sweeps(values, links, held.q, left).select("i", c("a").alias("v"))), matrix.n), rounds
     while left:
         done, values, links = _round(values, links, left)
         parts.append(done)
