@@ -332,7 +332,7 @@ def _laid_out(matrix: "Matrix | Tiles", size: int | None, full: bool, lower: boo
         free = matrix.df.sparkSession.range(whole).join(shuffled(place.select(F.col("p").alias("id")), n), "id", "left_anti")
         matrix = Matrix(rows.unionByName(free.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))), whole, whole)
     else:
-        size = size or (SIZE if n <= 4 * SIZE else min(LARGEST, max(SIZE, -(-n // 512) * 64)))
+        size = size or (LARGEST if n <= LARGEST else min(LARGEST, max(SIZE, -(-n // 512) * 64)))
         period = -(-n // size)
     if lower:
         matrix = Matrix(matrix.df.filter(F.col("i") >= F.col("j") - F.col("j") % size), matrix.n, matrix.m)

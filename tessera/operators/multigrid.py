@@ -203,6 +203,7 @@ def multigrid(h: Hierarchy) -> Callable[[State, str, Column], State]:
     def apply(s: State, to: str, of: Column) -> State:
         return s.join(h._cycle(s.df.select("i", of.alias("v")), 0).select("i", c("v").alias("__sum")), to)
 
+    apply.joins = True
     return apply
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.operators.factor import factorize, lu
@@ -93,7 +93,7 @@ class State:
     """The vectors of a solver as columns of one table."""
 
     def __init__(self, matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None):
-        self.n = matrix.n
+        self.n, self.watched, self.seen = matrix.n, {}, {}
         self.own = not isinstance(matrix, (Operator, Held))
         self.matrix = Held.of(matrix) if self.own else matrix
         x = (x0 or Vector.fill(b.df.sparkSession, matrix.n if isinstance(matrix, Operator) else matrix.m, 0.0)).to_dense().df
@@ -123,8 +123,18 @@ class State:
             sums = self.matrix.sums(self.df.select("i", of.alias("v")), transposed).select("i", c("v").alias("__sum"))
         return self.join(sums, to)
 
+    def watch(self, **columns: Column) -> "State":
+        """Sums that the next table's writing finds, too: they are in seen after it."""
+        self.watched, self.seen = columns, {}
+        return self
+
     def written(self, df: DataFrame) -> DataFrame:
         """A written table; one of many rows is in buckets, so that the next join moves what is new alone."""
+        if self.watched:
+            found, columns, self.watched = Observation(), self.watched, {}
+            held = self.written(df.observe(found, *[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in columns.items()]))
+            self.seen = dict(found.get)
+            return held
         if self.n <= storage.BROADCAST_ROWS:
             return cut(df)
         return in_buckets(df, "i", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -181,6 +191,7 @@ def by_solver(method: str, steps: int = 2, **options) -> Callable[[State, str, C
         x = solve(s.matrix, rhs, method, stop=iterations(steps), **options).x
         return s.join(x.df.select("i", c("v").alias("__sum")), to)
 
+    apply.joins = True
     return apply
 
 
@@ -189,6 +200,8 @@ def _ratio(a: float, b: float) -> float:
 
 
 Preconditioner = Callable[[State, str, Column], State]
+#: Sums of squares that a step makes smaller by more than this are added up anew.
+CANCELLED = 1e-6
 
 
 def _start(matrix: "Matrix | Operator", b: Vector, x0: Vector | None, jacobi: bool, preconditioner: Preconditioner | None) -> tuple[State, Preconditioner]:
@@ -201,14 +214,28 @@ def cg(matrix: "Matrix | Operator", b: Vector, x0: Vector | None = None, stop: C
     pre(s, "z", c("r")).let(p=c("z"))
     got = s.sums(rho=c("r") * c("z"), rr=c("r") * c("r"))
     norms = [math.sqrt(got["rr"])]
+    # the sums after a step are polynomials of its length where z is r times a column, so that the product's table gives them
+    scale = F.lit(1.0) if pre is trivial else 1 / c("d") if pre is diagonal else None
     while not stop(norms) and got["rho"]:
-        s.times("q", c("p"))
-        alpha = _ratio(got["rho"], s.sums(pq=c("p") * c("q"))["pq"])
+        s.watch(pq=c("p") * c("q"))
+        if scale is not None:
+            s.watch(pq=c("p") * c("q"), rr=c("r") * c("r"), rq=c("r") * c("q"), qq=c("q") * c("q"), rho=c("r") * c("z"), zq=c("z") * c("q"), qz=c("q") * c("q") * scale)
+        seen = s.times("q", c("p")).seen
+        alpha = _ratio(got["rho"], seen["pq"])
         s.let(x=c("x") + alpha * c("p"), r=c("r") - alpha * c("q"))
-        new = pre(s, "z", c("r")).sums(rho=c("r") * c("z"), rr=c("r") * c("r"))
+        if scale is None:
+            sums = {"rho": c("r") * c("z"), "rr": c("r") * c("r")}
+            joins = getattr(pre, "joins", False)  # z is then written, once and last
+            pre(s.watch(**sums if joins else {}), "z", c("r"))
+            new = s.seen if joins else s.sums(**sums)
+        else:
+            pre(s, "z", c("r"))
+            new = {"rho": seen["rho"] - 2 * alpha * seen["zq"] + alpha * alpha * seen["qz"], "rr": seen["rr"] - 2 * alpha * seen["rq"] + alpha * alpha * seen["qq"]}
+            if not (new["rr"] > CANCELLED * seen["rr"] and new["rho"] > CANCELLED * abs(seen["rho"])):
+                new = s.sums(rho=c("r") * c("z"), rr=c("r") * c("r"))
         s.let(p=c("z") + _ratio(new["rho"], got["rho"]) * c("p"))
         got = new
-        norms.append(math.sqrt(got["rr"]))
+        norms.append(math.sqrt(max(0.0, got["rr"])))
     return s.solution(norms)
 
 
